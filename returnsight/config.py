@@ -6,7 +6,7 @@ production values and another the values fitted to the driver's test tables.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # --- Fixed values from the reference (must stay equal for the same results) ----------------
 # Predictor set "All", in the reference's order.
@@ -55,7 +55,6 @@ class Params:
     # Shapley values: background rows drawn by hash from the training data
     shap_background: int = 32
     predictor_set: str = "All"
-    extra: dict = field(default_factory=dict)
 
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)
