@@ -101,15 +101,17 @@ def sku_features(detail: DataFrame, sku: DataFrame, params: Params) -> DataFrame
     return out.select(*FEATURE_COLUMNS)
 
 
-def sku_features_eager(detail: DataFrame, sku: DataFrame, params: Params) -> DataFrame:
-    """Aggregate-before-join form; reads the line table once and cannot skew on a hot SKU."""
+def line_partials(detail: DataFrame, params: Params) -> DataFrame:
+    """Per-SKU partial sums and counts of the windowed, decoded lines (one row per ``sku_key``).
+
+    Sums and counts merge associatively, so this is also the state a streaming query keeps."""
     lines = decoded_lines(detail, params)
     sale = F.col("sale") == 1
     ret = F.col("return") == 1
     price = F.when(sale, F.col("plu_amt"))
     ecom = F.when(sale, F.col("ecom"))
     rcpt = F.when(ret, F.col("receipted"))
-    per_sku = lines.groupBy("sku_key").agg(
+    return lines.groupBy("sku_key").agg(
         F.sum("return").alias("r_sum"), F.count("return").alias("r_n"),
         F.sum(price).alias("p_sum"), F.count(price).alias("p_n"),
         F.sum(F.when(sale, F.col("quantity"))).alias("q_sum"),
@@ -117,6 +119,10 @@ def sku_features_eager(detail: DataFrame, sku: DataFrame, params: Params) -> Dat
         F.sum(rcpt).alias("c_sum"), F.count(rcpt).alias("c_n"),
         F.sum("sale").alias("sale_lines"),
     )
+
+
+def features_from_partials(per_sku: DataFrame, sku: DataFrame, params: Params) -> DataFrame:
+    """Join per-SKU partials to the dimension, apply the sale-line threshold, finish the means."""
     # Dimension rows per group and per key. One hash shuffle on sku_key serves the group-by, the
     # per-key window and the join below (all keyed by sku_key), instead of one exchange each.
     dim = (
@@ -141,3 +147,8 @@ def sku_features_eager(detail: DataFrame, sku: DataFrame, params: Params) -> Dat
         mean("e_sum", "e_n").alias("ecom_rate"),
         mean("c_sum", "c_n").alias("receipted_rate"),
     )
+
+
+def sku_features_eager(detail: DataFrame, sku: DataFrame, params: Params) -> DataFrame:
+    """Aggregate-before-join form; reads the line table once and cannot skew on a hot SKU."""
+    return features_from_partials(line_partials(detail, params), sku, params)

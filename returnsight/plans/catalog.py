@@ -57,6 +57,11 @@ def spark_queries(p: Params = FIXTURE) -> dict[str, Query]:
     def q_sku_features_single_scan(spark, d):
         return round_doubles(sku_features_eager(*_inputs(spark, d), p))
 
+    def q_sku_features_streaming(spark, d):
+        from returnsight.streaming import streaming_sku_features
+
+        return round_doubles(streaming_sku_features(spark, d, p))
+
     def q_return_label(spark, d):
         lab = PL.labelled(PL.feature_table(spark, d, p))
         return round_doubles(lab.select("sku_key", "return_rate", "label"))
@@ -191,6 +196,7 @@ FROM tmp"""),
         "active_skus": O.active_skus_sql(p),
         "sku_features": O.with_ctes(p, "", feats_round),
         "sku_features_single_scan": O.with_ctes(p, "", feats_round),
+        "sku_features_streaming": O.with_ctes(p, "", feats_round),
         "return_label": O.prep_sql(p, "SELECT sku_key, round(return_rate, 6) AS return_rate, label FROM lab"),
         "label_counts": O.prep_sql(p, "SELECT label, count(*) AS n FROM lab GROUP BY label"),
         "encoded_categories": O.prep_sql(p, """

@@ -54,12 +54,13 @@ def _yn(cond: Column) -> Column:
     return F.when(cond, F.lit("Y")).otherwise(F.lit("N"))
 
 
-def fixture_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fixture_detail(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
     """Transaction lines: one row per ``lineitem`` row with its order's date and priority.
 
     ``receipted`` is NULL when ``l_tax = 0`` so that the flag decode sees values outside Y/N.
+    ``lineitem`` may be a streaming DataFrame (a stream-static join with ``orders``).
     """
-    li = read_parquet_table(spark, sf_dir, "lineitem")
+    li = lineitem if lineitem is not None else read_parquet_table(spark, sf_dir, "lineitem")
     od = read_parquet_table(spark, sf_dir, "orders")
     joined = li.join(od, li.l_orderkey == od.o_orderkey, "inner")
     returned = F.col("l_returnflag") == "R"
