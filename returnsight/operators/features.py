@@ -16,7 +16,7 @@ and the threshold scale by it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from returnsight.config import Params
@@ -123,15 +123,12 @@ def line_partials(detail: DataFrame, params: Params) -> DataFrame:
 
 def features_from_partials(per_sku: DataFrame, sku: DataFrame, params: Params) -> DataFrame:
     """Join per-SKU partials to the dimension, apply the sale-line threshold, finish the means."""
-    # Dimension rows per group and per key. One hash shuffle on sku_key serves the group-by, the
-    # per-key window and the join below (all keyed by sku_key), instead of one exchange each.
-    dim = (
-        dimension_attributes(sku)
-        .repartition("sku_key")
-        .groupBy(*GROUP_KEYS)
-        .agg(F.count(F.lit(1)).alias("m"))
-        .withColumn("key_rows", F.sum("m").over(Window.partitionBy("sku_key")))
-    )
+    # Dimension rows per group (m) and per key (key_rows), both by partial + final aggregation
+    # and a join rather than a per-key window, so a key that holds a third of the dimension is
+    # pre-reduced on the map side and a skewed join partition can still be split by AQE.
+    groups = dimension_attributes(sku).groupBy(*GROUP_KEYS).agg(F.count(F.lit(1)).alias("m"))
+    per_key = groups.groupBy("sku_key").agg(F.sum("m").alias("key_rows"))
+    dim = groups.join(per_key, "sku_key", "inner")
     j = per_sku.join(dim, "sku_key", "inner").filter(F.col("sale_lines") * F.col("key_rows") > F.lit(params.min_sale_lines))
 
     def mean(s: str, n: str) -> Column:

@@ -92,7 +92,11 @@ def exact_quantiles(
         start += n
     values: dict[int, float] = {}
     if wanted:
-        indexed = range_index(long.filter(F.col("_v").isNotNull()), [F.col("_k").asc(), F.col("_v").asc()])
+        # Equal values cannot be split by a range partitioner; a per-row tie-breaker lets one
+        # value held by a third of the rows spread over several partitions. Any tie order gives
+        # the same order statistics, and the checkpoint inside range_index fixes the one used.
+        present = long.filter(F.col("_v").isNotNull()).withColumn("_tb", F.monotonically_increasing_id())
+        indexed = range_index(present, [F.col("_k").asc(), F.col("_v").asc(), F.col("_tb").asc()])
         picked = indexed.filter(F.col("_pos").isin(list(wanted))).select("_pos", "_v").collect()
         values = {r["_pos"]: r["_v"] for r in picked}
     out: dict[str, list[float | None]] = {}

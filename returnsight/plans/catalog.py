@@ -62,6 +62,26 @@ def spark_queries(p: Params = FIXTURE) -> dict[str, Query]:
 
         return round_doubles(streaming_sku_features(spark, d, p))
 
+    def q_feature_table_readback(spark, d):
+        # CTAS into the shared folder (idempotent overwrite), then the final read-back
+        import os
+        import uuid
+
+        from returnsight.session import ensure_checkpoint_dir
+        from returnsight.sources import read_table, write_table
+
+        target = os.path.join(ensure_checkpoint_dir(spark), f"parameters_for_analysis_cln-{uuid.uuid4().hex}")
+        write_table(sku_features_eager(*_inputs(spark, d), p), target)
+        write_table(sku_features_eager(*_inputs(spark, d), p), target)  # a rerun replaces, never appends
+        return round_doubles(read_table(spark, target))
+
+    def q_null_mask(spark, d):
+        f = PL.feature_table(spark, d, p)
+        return f.select("sku_key", (F.col("receipted_rate").isNull() | F.isnan("receipted_rate")).alias("receipted_rate_missing"))
+
+    def q_schema_info(spark, d):
+        return X.schema_info(PL.feature_table(spark, d, p))
+
     def q_return_label(spark, d):
         lab = PL.labelled(PL.feature_table(spark, d, p))
         return round_doubles(lab.select("sku_key", "return_rate", "label"))
@@ -197,6 +217,15 @@ FROM tmp"""),
         "sku_features": O.with_ctes(p, "", feats_round),
         "sku_features_single_scan": O.with_ctes(p, "", feats_round),
         "sku_features_streaming": O.with_ctes(p, "", feats_round),
+        "feature_table_readback": O.with_ctes(p, "", feats_round),
+        "null_mask": O.with_ctes(p, "", "SELECT sku_key, receipted_rate IS NULL OR isnan(receipted_rate) AS receipted_rate_missing FROM features"),
+        "schema_info": O.with_ctes(p, "", "\nUNION ALL\n".join(
+            f"SELECT '{c}' AS column_name, '{t}' AS dtype, count({c}) AS non_null FROM features"
+            for c, t in [("sku_key", "bigint"), ("return_rate", "double"), ("product_desc", "string"),
+                         ("sku_color", "string"), ("sku_size", "string"), ("sku_cost", "double"),
+                         ("avg_price_product", "double"), ("quantity", "double"), ("ecom_rate", "double"),
+                         ("receipted_rate", "double")]
+        )),
         "return_label": O.prep_sql(p, "SELECT sku_key, round(return_rate, 6) AS return_rate, label FROM lab"),
         "label_counts": O.prep_sql(p, "SELECT label, count(*) AS n FROM lab GROUP BY label"),
         "encoded_categories": O.prep_sql(p, """

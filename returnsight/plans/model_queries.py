@@ -62,6 +62,29 @@ def model_queries(p: Params) -> dict[str, Callable[[SparkSession, str], DataFram
 
         return q
 
+    def _gbt_test(spark, d):
+        mf, tr, te, cols = _frame(spark, d, p)
+        return MD.predict(_model(spark, d, p, "GBT"), _scoring_frame(te, "GBT", cols), cols)
+
+    def q_prediction_head(spark, d):
+        """The first 50 test predictions with their class-1 probability, in key order."""
+        return _gbt_test(spark, d).orderBy("sku_key").limit(50)
+
+    def q_gbt_confusion(spark, d):
+        from returnsight.operators.metrics import confusion
+
+        return confusion(_gbt_test(spark, d))
+
+    def q_gbt_class_report(spark, d):
+        from returnsight.operators.metrics import class_report
+
+        return class_report(_gbt_test(spark, d))
+
+    def q_gbt_roc(spark, d):
+        from returnsight.operators.metrics import roc_points
+
+        return roc_points(_gbt_test(spark, d), score="probability")
+
     def q_gbt_eval_history(spark, d):
         mf, tr, te, cols = _frame(spark, d, p)
         m = _model(spark, d, p, "GBT")

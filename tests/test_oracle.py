@@ -35,7 +35,7 @@ def test_query_matches_oracle(spark, con, name):
 
 def test_every_query_has_an_oracle_or_is_a_model_query():
     model_like = {n for n in E.queries() if n not in E.oracle_sql()}
-    assert all(any(t in n for t in ("predictions", "cv", "importance", "gbt_", "shap")) for n in model_like)
+    assert all(any(t in n for t in ("predictions", "prediction_", "cv", "importance", "gbt_", "shap")) for n in model_like)
 
 
 def test_entry_runs(spark):

@@ -82,3 +82,14 @@ def test_fixture_median_matches_documented_value(spark):
 
     med = exact_median(feature_table(spark, SF001, FIXTURE), "return_rate")
     assert abs(med - 0.2667) < 1e-4
+
+
+def test_predictor_variants(spark):
+    from returnsight.config import predictors
+
+    assert predictors("All") == ["receipted_rate", "sku_color", "sku_size", "avg_price_product", "quantity", "ecom_rate"]
+    assert predictors("Footwear")[-1] == "footwear" and predictors("Brand")[-1] == "brand"
+    import pytest
+
+    with pytest.raises(ValueError):
+        predictors("Shoes")

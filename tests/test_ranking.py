@@ -51,3 +51,11 @@ def test_dense_codes_sorted_empty_first_null_last(spark):
     df = spark.createDataFrame([("b",), ("",), ("a",), (None,), ("b",)], "c string")
     codes = {r["c"]: r["c_code"] for r in dense_codes(df, "c").collect()}
     assert codes == {"": 0, "a": 1, "b": 2, None: 3}
+
+
+def test_quantiles_with_a_value_held_by_a_third_of_rows(spark):
+    rng = np.random.default_rng(3)
+    xs = [0.0] * 300 + list(rng.normal(size=600))
+    df = spark.createDataFrame([(float(x),) for x in xs], "x double").repartition(5)
+    got = exact_quantiles(df, ["x"], [0.1, 0.25, 0.5, 0.75], interpolation="midpoint")["x"]
+    assert np.allclose(got, np.percentile(xs, [10, 25, 50, 75], method="midpoint"), atol=1e-12)
