@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from returnsight.config import ZSCORE_COLUMNS, Params
 from returnsight.functions import icontains, nan_to_null, safe_ln
-from returnsight.operators.ranking import dense_codes, exact_median, exact_quantiles
+from returnsight.operators.ranking import dense_codes_long, exact_median, exact_quantiles
 
 ENCODED_COLUMNS = ("sku_size", "sku_color")
 
@@ -34,28 +34,17 @@ def label_counts(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 def encoding_dictionary(df: DataFrame, cols: Sequence[str] = ENCODED_COLUMNS) -> DataFrame:
     """Long dictionary ``(column_name, category, code)`` for every encoded column."""
-    parts = [
-        dense_codes(df, c, "code").select(F.lit(c).alias("column_name"), F.col(c).alias("category"), "code")
-        for c in cols
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return dense_codes_long(df, cols)
 
 
 def label_encode(df: DataFrame, cols: Sequence[str] = ENCODED_COLUMNS) -> DataFrame:
     """Replace each categorical column with its code. The dictionary has one row per category;
-    the join is planned at run time (AQE broadcasts it only when its measured size is small)."""
+    each join is planned at run time (AQE broadcasts a slice only when its measured size is small)."""
+    codes = encoding_dictionary(df, cols)
     out = df
     for c in cols:
-        codes = dense_codes(out, c, "_code")
-        out = (
-            out.join(codes, out[c].eqNullSafe(codes[c]), "left")
-            .drop(codes[c])
-            .withColumn(c, F.col("_code"))
-            .drop("_code")
-        )
+        d = codes.filter(F.col("column_name") == c).select(F.col("category").alias("_cat"), F.col("code").alias("_code"))
+        out = out.join(d, out[c].eqNullSafe(d["_cat"]), "left").withColumn(c, F.col("_code")).drop("_cat", "_code")
     return out
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from returnsight.functions import nan_to_null
-from returnsight.session import default_parallelism, materialise
+from returnsight.session import materialise
 
 
 def range_index(
@@ -32,9 +32,13 @@ def range_index(
 ) -> DataFrame:
     """Add ``pos_col`` (global 0-based position under ``order``) and ``_cum_<c>`` (inclusive
     running sum of each column in ``sums``). ``order`` should be a total order when positions of
-    tied rows matter; ranges never split equal keys across partitions."""
-    n = num_partitions or default_parallelism(df.sparkSession)
-    tagged = materialise(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    tied rows matter; ranges never split equal keys across partitions.
+
+    Without ``num_partitions`` the range count starts at ``spark.sql.shuffle.partitions`` and
+    AQE may coalesce neighbouring ranges of a small input; merged ranges stay contiguous, so
+    partition ids remain in key order."""
+    ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
+    tagged = materialise(ranged.withColumn("_part", F.spark_partition_id()))
     totals = tagged.groupBy("_part").agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_t_{c}") for c in sums]
     )
@@ -118,6 +122,21 @@ def exact_median(df: DataFrame, col: str) -> float | None:
     return exact_quantiles(df, [col], [0.5])[col][0]
 
 
+def dense_codes_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Dictionaries of several string columns with one range shuffle: ``(column_name, category,
+    code)``, categories in ascending byte order with NULL last, coded 0..k-1 per column."""
+    parts = [df.select(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("category")).distinct() for c in cols]
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p)
+    ranked = range_index(long, [F.col("column_name").asc(), F.col("category").asc_nulls_last()])
+    # first position of each column: one row per column, a bound fixed by the schema
+    starts = ranked.groupBy("column_name").agg(F.min("_pos").alias("_start"))
+    return ranked.join(F.broadcast(starts), "column_name").select(
+        "column_name", "category", (F.col("_pos") - F.col("_start")).cast("int").alias("code")
+    )
+
+
 def dense_codes(df: DataFrame, col: str, code_col: str | None = None) -> DataFrame:
     """Dictionary ``(col, code)``: distinct values in ascending byte order, NULL last, coded
     0..k-1 (the label encoder's sorted-classes rule)."""

@@ -35,7 +35,7 @@ def _inputs(spark: SparkSession, sf_dir: str):
 
 def _scored(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
     """Deterministic stand-in for a model: score = online share, predicted positive above 0.5."""
-    lab = PL.labelled(PL.feature_table(spark, sf_dir, p))
+    lab = PL.labelled(spark, sf_dir, p)
     s = lab.select(
         "sku_key", "label", F.col("ecom_rate").alias("score"),
         (F.col("ecom_rate") > F.lit(0.5)).cast("int").alias("prediction"),
@@ -83,11 +83,11 @@ def spark_queries(p: Params = FIXTURE) -> dict[str, Query]:
         return X.schema_info(PL.feature_table(spark, d, p))
 
     def q_return_label(spark, d):
-        lab = PL.labelled(PL.feature_table(spark, d, p))
+        lab = PL.labelled(spark, d, p)
         return round_doubles(lab.select("sku_key", "return_rate", "label"))
 
     def q_label_counts(spark, d):
-        return P.label_counts(PL.labelled(PL.feature_table(spark, d, p)))
+        return P.label_counts(PL.labelled(spark, d, p))
 
     def q_encoded_categories(spark, d):
         return P.encoding_dictionary(PL.feature_table(spark, d, p))
@@ -104,18 +104,18 @@ def spark_queries(p: Params = FIXTURE) -> dict[str, Query]:
         return P.text_flags(PL.feature_table(spark, d, p), p).select("sku_key", "product_desc", "brand")
 
     def q_predictor_set(spark, d):
-        before = PL.logged(PL.encoded(PL.feature_table(spark, d, p), p), p)
+        before = PL.logged(spark, d, p)
         return round_doubles(before.select("sku_key", "label", *predictors("Footwear")))
 
     def q_midpoint_quartiles(spark, d):
-        before = PL.logged(PL.encoded(PL.feature_table(spark, d, p), p), p)
+        before = PL.logged(spark, d, p)
         b = P.midpoint_bounds(before, QUARTILE_COLUMNS, p.iqr_factor, nan_policy="propagate")
         rows = [(c, *b[c]) for c in QUARTILE_COLUMNS]
         out = spark.createDataFrame(rows, "column_name string, q1 double, q3 double, lower_bound double, upper_bound double")
         return round_doubles(out)
 
     def q_iqr_filtered(spark, d):
-        before = PL.logged(PL.encoded(PL.feature_table(spark, d, p), p), p)
+        before = PL.logged(spark, d, p)
         out = P.iqr_filter(before, p.iqr_columns, p.iqr_factor)
         return round_doubles(out.select("sku_key", "label", "ecom_rate", "quantity", "avg_price_product"))
 
@@ -133,13 +133,13 @@ def spark_queries(p: Params = FIXTURE) -> dict[str, Query]:
         return round_doubles(X.columns_with_nulls(PL.feature_table(spark, d, p)))
 
     def q_describe(spark, d):
-        return round_doubles(X.describe(PL.encoded(PL.feature_table(spark, d, p), p), DESCRIBE_COLUMNS))
+        return round_doubles(X.describe(PL.encoded(spark, d, p), DESCRIBE_COLUMNS))
 
     def q_correlation(spark, d):
-        return round_doubles(X.correlation(PL.encoded(PL.feature_table(spark, d, p), p), predictors("All")))
+        return round_doubles(X.correlation(PL.encoded(spark, d, p), predictors("All")))
 
     def q_box_stats(spark, d):
-        before = PL.logged(PL.encoded(PL.feature_table(spark, d, p), p), p)
+        before = PL.logged(spark, d, p)
         return round_doubles(X.box_stats(before, predictors("All")))
 
     def q_holdout_split(spark, d):

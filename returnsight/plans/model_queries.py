@@ -103,10 +103,11 @@ def model_queries(p: Params) -> dict[str, Callable[[SparkSession, str], DataFram
     def cv(kind: str):
         def q(spark, d):
             mf, tr, te, cols = _frame(spark, d, p)
-            rows = []
-            for name, data in (("train", tr), ("test", te), ("all", mf)):
-                scores = MD.cv_scores(kind, data, cols, p, categorical=(kind == "GBT"), parallelism=default_parallelism(spark))
-                rows += [(name, i, float(s)) for i, s in enumerate(scores)]
+            scores = MD.cv_scores(
+                kind, {"train": tr, "test": te, "all": mf}, cols, p,
+                categorical=(kind == "GBT"), parallelism=default_parallelism(spark),
+            )
+            rows = [(name, i, float(s)) for name, ss in scores.items() for i, s in enumerate(ss)]
             folds = spark.createDataFrame(rows, "dataset string, fold int, accuracy double")
             return folds.groupBy("dataset").agg(
                 F.lit(kind).alias("model"),

@@ -130,20 +130,34 @@ def eval_history(model, train: DataFrame, test: DataFrame, cols: Sequence[str],
     return SparkSession.getActiveSession().createDataFrame(rows, "iteration int, train_loss double, test_loss double")
 
 
-def cv_scores(kind: str, df: DataFrame, cols: Sequence[str], p: Params, *, categorical: bool = False, parallelism: int = 4) -> list[float]:
+def cv_scores(
+    kind: str,
+    df: DataFrame | dict[str, DataFrame],
+    cols: Sequence[str],
+    p: Params,
+    *,
+    categorical: bool = False,
+    parallelism: int = 4,
+):
     """k-fold accuracy: fit on the other folds, score the held-out fold. Folds come from the key
-    hash, and the k fits are submitted concurrently (Spark schedules their jobs side by side)."""
-    folded = fold_assignment(df, "sku_key", p.n_folds, p.fold_seed)
-
-    def one(k: int) -> float:
-        tr = folded.filter(F.col("fold") != k)
-        te = folded.filter(F.col("fold") == k)
+    hash. All fits (of every frame when ``df`` is a dict of named frames) are submitted
+    concurrently, so Spark schedules their jobs side by side. Returns a list of fold scores, or
+    a dict of lists for a dict input."""
+    frames = df if isinstance(df, dict) else {"_": df}
+    folded = {name: fold_assignment(d, "sku_key", p.n_folds, p.fold_seed) for name, d in frames.items()}
+
+    def one(task: tuple[str, int]) -> float:
+        name, k = task
+        f = folded[name]
+        tr, te = f.filter(F.col("fold") != k), f.filter(F.col("fold") == k)
         m = fit(kind, tr, cols, p, categorical=categorical)
-        te_ = te
         if categorical and kind in ("GBT", "RF"):
-            te_, _ = with_nominal(te, [c for c in CATEGORICAL if c in cols])
-        r = predict(m, te_, cols).agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a")).first()
+            te, _ = with_nominal(te, [c for c in CATEGORICAL if c in cols])
+        r = predict(m, te, cols).agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a")).first()
         return float(r["a"]) if r["a"] is not None else float("nan")
 
+    tasks = [(name, k) for name in frames for k in range(p.n_folds)]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        return list(pool.map(one, range(p.n_folds)))
+        scores = dict(zip(tasks, pool.map(one, tasks)))
+    out = {name: [scores[(name, k)] for k in range(p.n_folds)] for name in frames}
+    return out if isinstance(df, dict) else out["_"]

@@ -1,13 +1,15 @@
 """End-to-end stages.
 
-``feature_table`` is the reference's materialised CTAS: it is computed once with the
-aggregate-before-join plan and checkpointed, so every later step (median, dictionaries,
-quartiles, means, models) reads one row per SKU instead of re-running the line-level scan and
-join. ``prepared`` applies the preparation chain in the reference's effective order.
+``feature_table`` is the reference's materialised CTAS: computed once per session, data folder
+and parameter set with the aggregate-before-join plan and checkpointed to the shared folder, so
+every later step (median, dictionaries, quartiles, means, models) reads one row per SKU instead
+of re-running the line-level scan and join. The prepared frames derived from it are memoised the
+same way. ``prepared`` applies the preparation chain in the reference's effective order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,23 +21,47 @@ from returnsight.operators.features import sku_features_eager
 from returnsight.session import materialise
 from returnsight.sources import fixture_detail, fixture_sku
 
+_TABLES: dict[tuple, object] = {}
+
+
+def _memo(spark: SparkSession, key: tuple, build: Callable[[], object]):
+    k = (spark.sparkContext.applicationId, *key)
+    if k not in _TABLES:
+        _TABLES[k] = build()
+    return _TABLES[k]
+
+
+def forget(spark: SparkSession | None = None) -> None:
+    """Drop memoised tables (all, or one application's)."""
+    for k in list(_TABLES):
+        if spark is None or k[0] == spark.sparkContext.applicationId:
+            del _TABLES[k]
+
 
 def feature_table(spark: SparkSession, sf_dir: str, params: Params, *, persist: bool = True) -> DataFrame:
-    f = sku_features_eager(fixture_detail(spark, sf_dir), fixture_sku(spark, sf_dir), params)
-    return materialise(f) if persist else f
+    def build() -> DataFrame:
+        return sku_features_eager(fixture_detail(spark, sf_dir), fixture_sku(spark, sf_dir), params)
+
+    if not persist:
+        return build()
+    return _memo(spark, ("features", sf_dir, params), lambda: materialise(build()))
 
 
-def labelled(features: DataFrame) -> DataFrame:
-    return P.return_label(features)
+def labelled(spark: SparkSession, sf_dir: str, params: Params) -> DataFrame:
+    return _memo(spark, ("labelled", sf_dir, params), lambda: P.return_label(feature_table(spark, sf_dir, params)))
 
 
-def encoded(features: DataFrame, params: Params) -> DataFrame:
+def encoded(spark: SparkSession, sf_dir: str, params: Params) -> DataFrame:
     """Label, encoded categories and text flags (the frame the exploration step looks at)."""
-    return materialise(P.text_flags(P.label_encode(labelled(features)), params))
+    return _memo(
+        spark,
+        ("encoded", sf_dir, params),
+        lambda: materialise(P.text_flags(P.label_encode(labelled(spark, sf_dir, params)), params)),
+    )
 
 
-def logged(enc: DataFrame, params: Params) -> DataFrame:
-    return P.log_columns(enc, params.log_columns, in_place=True)
+def logged(spark: SparkSession, sf_dir: str, params: Params) -> DataFrame:
+    return P.log_columns(encoded(spark, sf_dir, params), params.log_columns, in_place=True)
 
 
 @dataclass
@@ -45,12 +71,14 @@ class Prepared:
     predictors: list[str]
 
 
-def prepared(spark: SparkSession, sf_dir: str, params: Params, features: DataFrame | None = None) -> Prepared:
-    f = features if features is not None else feature_table(spark, sf_dir, params)
-    before = logged(encoded(f, params), params)
-    no_outliers = P.iqr_filter(before, params.iqr_columns, params.iqr_factor)
-    cleaned = materialise(P.impute_mean(no_outliers, params.impute_columns))
-    return Prepared(before, cleaned, predictors(params.predictor_set))
+def prepared(spark: SparkSession, sf_dir: str, params: Params) -> Prepared:
+    def build() -> Prepared:
+        before = logged(spark, sf_dir, params)
+        no_outliers = P.iqr_filter(before, params.iqr_columns, params.iqr_factor)
+        cleaned = materialise(P.impute_mean(no_outliers, params.impute_columns))
+        return Prepared(before, cleaned, predictors(params.predictor_set))
+
+    return _memo(spark, ("prepared", sf_dir, params), build)
 
 
 def model_frame(prep: Prepared, params: Params) -> DataFrame:
