@@ -74,3 +74,12 @@ def test_top_k_ties_and_nulls(spark):
 def test_report_brand_filter_case_insensitive(spark):
     df = spark.createDataFrame([("ADIDAS socks",), ("adidas",), ("Nike",), (None,)], "product_desc string")
     assert R.matching(df, "Adidas").count() == 2
+
+
+def test_one_class_label(spark):
+    df = spark.createDataFrame([(0, 0, 0.2), (0, 1, 0.7), (0, 0, 0.1)], "label int, prediction int, score double")
+    assert M.balanced_accuracy(df).first()[0] is None  # no positives: recall of class 1 undefined
+    pts = M.roc_points(df).collect()
+    assert all(r["tpr"] is None or r["threshold"] is None for r in pts)
+    rep = {r["class_name"]: r for r in M.class_report(df).collect()}
+    assert rep["1"]["support"] == 0 and rep["0"]["recall"] == 2 / 3
