@@ -16,13 +16,13 @@ from returnsight.config import Params
 from returnsight.plans import explain as EX
 from returnsight.plans import models as MD
 from returnsight.plans import pipeline as PL
-from returnsight.session import default_parallelism
+from returnsight.session import default_parallelism, session_key
 
 _MEMO: dict[tuple, object] = {}
 
 
 def _memo(spark: SparkSession, *key):
-    return (spark.sparkContext.applicationId, *key)
+    return (session_key(spark), *key)
 
 
 def _frame(spark: SparkSession, d: str, p: Params):

@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 from returnsight.config import Params, predictors
 from returnsight.operators import prepare as P
 from returnsight.operators.features import sku_features_eager
-from returnsight.session import materialise
+from returnsight.session import materialise, session_key
 from returnsight.sources import fixture_detail, fixture_sku
 
 _TABLES: dict[tuple, object] = {}
 
 
 def _memo(spark: SparkSession, key: tuple, build: Callable[[], object]):
-    k = (spark.sparkContext.applicationId, *key)
+    k = (session_key(spark), *key)
     if k not in _TABLES:
         _TABLES[k] = build()
     return _TABLES[k]
@@ -34,7 +34,7 @@ def _memo(spark: SparkSession, key: tuple, build: Callable[[], object]):
 def forget(spark: SparkSession | None = None) -> None:
     """Drop memoised tables (all, or one application's)."""
     for k in list(_TABLES):
-        if spark is None or k[0] == spark.sparkContext.applicationId:
+        if spark is None or k[0] == session_key(spark):
             del _TABLES[k]
 
 

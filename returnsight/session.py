@@ -20,6 +20,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # remove checkpoint files once their frames are garbage-collected on the driver
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -44,6 +46,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def session_key(spark: SparkSession) -> str:
+    """Identifies the running application (for per-session memoisation)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # pragma: no cover - sessions without a local SparkContext
+        return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: writes to the shared checkpoint folder and cuts lineage, so a lost
     executor never forces recomputation of upstream scans, joins or shuffles."""

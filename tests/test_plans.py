@@ -30,3 +30,22 @@ def test_line_scan_reads_only_needed_columns(spark):
     df = sku_features_eager(fixture_detail(spark, SF001), fixture_sku(spark, SF001), FIXTURE)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "l_shipdate" not in plan and "l_suppkey" not in plan and "l_discount" not in plan
+
+
+def _final_plan_of_run(df) -> str:
+    df.write.format("noop").mode("overwrite").save()
+    return _plan(df)
+
+
+def test_no_registered_query_plans_a_cartesian_or_nested_loop_join(spark):
+    import __spark_entry__ as E
+
+    slow = {"cv_summary", "gbt_cv_summary"}
+    offenders = []
+    for name, q in E.queries().items():
+        if name in slow:
+            continue
+        plan = _final_plan_of_run(q(spark, SF001))
+        if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan or "BatchEvalPython" in plan:
+            offenders.append(name)
+    assert offenders == []
