@@ -136,20 +136,37 @@ def shapley_weights(m: int) -> np.ndarray:
 
 
 def coalition_values(x: np.ndarray, tables: TreeTables) -> np.ndarray:
-    """v(S) for every row of ``x`` (n x M) and coalition S: array n x 2^M."""
+    """v(S) for every row of ``x`` (n x M) and coalition S: array n x 2^M.
+
+    A leaf's weight depends on S only through which of its own path features (at most the tree
+    depth) are in S, so it is computed over those 2^k patterns; leaves sharing a feature set are
+    summed first, and each feature set is expanded to the 2^M coalitions once."""
     m = tables.n_features
-    masks = np.arange(2**m)
-    member = ((masks[:, None] >> np.arange(m)[None, :]) & 1).astype(bool)  # 2^M x M
-    v = np.zeros((x.shape[0], 2**m))
+    n = x.shape[0]
+    acc: dict[tuple[int, ...], np.ndarray] = {}
     for w_t, leaves in zip(tables.weights, tables.leaves):
         for leaf in leaves:
-            weight = np.ones_like(v)
+            feats = tuple(sorted({step[0] for step in leaf.steps}))
+            k = len(feats)
+            slot = {f: j for j, f in enumerate(feats)}
+            in_s = ((np.arange(2**k)[:, None] >> np.arange(k)[None, :]) & 1).astype(bool)  # 2^k x k
+            weight = np.full((n, 2**k), w_t * leaf.value)
             for f, thr, cats, left, share in leaf.steps:
                 xf = x[:, f]
                 goes_left = np.isin(xf, cats) if cats is not None else xf <= thr
                 follows = (goes_left == left).astype(float)
-                weight *= np.where(member[None, :, f], follows[:, None], share)
-            v += (w_t * leaf.value) * weight
+                weight *= np.where(in_s[None, :, slot[f]], follows[:, None], share)
+            if feats in acc:
+                acc[feats] += weight
+            else:
+                acc[feats] = weight
+    masks = np.arange(2**m)
+    v = np.zeros((n, 2**m))
+    for feats, a in acc.items():
+        pattern = np.zeros(2**m, dtype=np.int64)
+        for j, f in enumerate(feats):
+            pattern |= ((masks >> f) & 1) << j
+        v += a[:, pattern]
     return v * tables.scale
 
 
