@@ -48,8 +48,9 @@ def _scoring_frame(df: DataFrame, kind: str, cols) -> DataFrame:
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Python-side work should use every core: split a frame that arrives in fewer partitions."""
-    n = default_parallelism(df.sparkSession)
+    """Python-side work should use every core: split a frame that arrives in fewer partitions
+    than the cluster has cores."""
+    n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n, "sku_key") if df.rdd.getNumPartitions() < n else df
 
 

@@ -26,7 +26,7 @@ def frames(spark, lines, skus):
 
 
 def rows(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
 def test_flag_outside_yn_is_null(spark):
@@ -97,3 +97,32 @@ def test_fixture_counts_match_documented_numbers(spark):
     f = sku_features_eager(fixture_detail(spark, SF001), fixture_sku(spark, SF001), FIXTURE)
     assert f.count() == 116
     assert f.filter(F.col("receipted_rate").isNull()).count() == 2
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_flag = st.sampled_from(["Y", "N", "X", None])
+_line = st.tuples(
+    st.integers(1, 5), st.integers(1, 5).map(float), st.integers(1, 400).map(lambda c: c / 4.0),
+    _flag, st.sampled_from(["Y", "N"]), _flag,
+)
+_dim = st.tuples(st.integers(1, 6), st.sampled_from(["A", "B", None]), st.sampled_from(["x/red/1", "x/blue/", "x", None]))
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(_line, min_size=1, max_size=30), st.lists(_dim, min_size=1, max_size=8), st.integers(-1, 3))
+def test_eager_plan_equals_semi_join_plan(spark, lines, dims, threshold):
+    det = [
+        (k, q, price, 0.0, 0.0, price * q, ecom, sale, "Y" if sale == "N" else "N", rc, D)
+        for k, q, price, ecom, sale, rc in lines
+    ]
+    skus = [(k, cls, "dept", 1.5, desc) for k, cls, desc in dims]
+    d, s = frames(spark, det, skus)
+    p = FIXTURE.with_(min_sale_lines=threshold)
+    text = ("product_desc", "sku_color", "sku_size")
+
+    def norm(df):
+        return rows(df.select(*[c if c in text else F.round(c, 9).alias(c) for c in df.columns]))
+
+    assert norm(sku_features(d, s, p)) == norm(sku_features_eager(d, s, p))
