@@ -16,7 +16,7 @@ from returnsight.config import Params
 from returnsight.plans import explain as EX
 from returnsight.plans import models as MD
 from returnsight.plans import pipeline as PL
-from returnsight.session import default_parallelism, session_key
+from returnsight.session import session_key
 
 _MEMO: dict[tuple, object] = {}
 
@@ -106,7 +106,7 @@ def model_queries(p: Params) -> dict[str, Callable[[SparkSession, str], DataFram
             mf, tr, te, cols = _frame(spark, d, p)
             scores = MD.cv_scores(
                 kind, {"train": tr, "test": te, "all": mf}, cols, p,
-                categorical=(kind == "GBT"), parallelism=default_parallelism(spark),
+                categorical=(kind == "GBT"),
             )
             rows = [(name, i, float(s)) for name, ss in scores.items() for i, s in enumerate(ss)]
             folds = spark.createDataFrame(rows, "dataset string, fold int, accuracy double")

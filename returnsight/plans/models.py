@@ -137,7 +137,7 @@ def cv_scores(
     p: Params,
     *,
     categorical: bool = False,
-    parallelism: int = 4,
+    parallelism: int | None = None,
 ):
     """k-fold accuracy: fit on the other folds, score the held-out fold. Folds come from the key
     hash. All fits (of every frame when ``df`` is a dict of named frames) are submitted
@@ -157,7 +157,9 @@ def cv_scores(
         return float(r["a"]) if r["a"] is not None else float("nan")
 
     tasks = [(name, k) for name in frames for k in range(p.n_folds)]
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+    # Each fit is a chain of small jobs (latency-bound), so by default every fit runs at once;
+    # the pool size is bounded by frames x folds, not by the data.
+    with ThreadPoolExecutor(max_workers=max(1, parallelism or len(tasks))) as pool:
         scores = dict(zip(tasks, pool.map(one, tasks)))
     out = {name: [scores[(name, k)] for k in range(p.n_folds)] for name in frames}
     return out if isinstance(df, dict) else out["_"]

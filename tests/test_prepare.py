@@ -2,7 +2,6 @@
 
 import math
 
-from pyspark.sql import functions as F
 
 from returnsight.config import FIXTURE, Params
 from returnsight.operators import prepare as P
