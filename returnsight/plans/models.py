@@ -27,8 +27,12 @@ from returnsight.session import ensure_checkpoint_dir
 CATEGORICAL = ("sku_color", "sku_size")
 
 
-def with_nominal(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, int]:
-    """Attach nominal ML attributes to integer-coded columns; returns the largest category count."""
+def with_nominal(df: DataFrame, cols: Sequence[str], max_categories: int | None = None) -> tuple[DataFrame, int]:
+    """Attach nominal ML attributes to integer-coded columns; returns the largest category count.
+
+    Spark's trees need ``maxBins`` >= a nominal column's category count and cap ``maxBins`` at
+    the number of training rows, so a column with more categories than ``max_categories``
+    stays an ordered numeric code."""
     present = [c for c in cols if c in df.columns]
     if not present:
         return df, 0
@@ -37,6 +41,8 @@ def with_nominal(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, int]:
     out = df
     for c in present:
         k = int(row[c] or 0) + 1
+        if max_categories is not None and k > max_categories:
+            continue
         k_max = max(k_max, k)
         meta = {"ml_attr": {"type": "nominal", "name": c, "num_vals": k}}
         out = out.withColumn(c, F.col(c).cast("double").alias(c, metadata=meta))
@@ -71,7 +77,7 @@ def fit(kind: str, train: DataFrame, cols: Sequence[str], p: Params, *, categori
     data = train
     bins = 0
     if categorical and kind in ("GBT", "RF"):
-        data, bins = with_nominal(train, [c for c in CATEGORICAL if c in cols])
+        data, bins = with_nominal(train, [c for c in CATEGORICAL if c in cols], max_categories=train.count())
     data = assemble(data, cols)
     n = data.count() if kind == "LR" else 0
     return estimator(kind, p, n, bins).fit(data)

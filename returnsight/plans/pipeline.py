@@ -19,7 +19,7 @@ from returnsight.config import Params, predictors
 from returnsight.operators import prepare as P
 from returnsight.operators.features import sku_features_eager
 from returnsight.session import materialise, session_key
-from returnsight.sources import fixture_detail, fixture_sku
+from returnsight.sources import Source, as_source
 
 _TABLES: dict[tuple, object] = {}
 
@@ -38,29 +38,32 @@ def forget(spark: SparkSession | None = None) -> None:
             del _TABLES[k]
 
 
-def feature_table(spark: SparkSession, sf_dir: str, params: Params, *, persist: bool = True) -> DataFrame:
+def feature_table(spark: SparkSession, sf_dir: str | Source, params: Params, *, persist: bool = True) -> DataFrame:
+    """``sf_dir`` is a test-table folder or a ``Source`` (production line and SKU tables)."""
+    source = as_source(sf_dir)
+
     def build() -> DataFrame:
-        return sku_features_eager(fixture_detail(spark, sf_dir), fixture_sku(spark, sf_dir), params)
+        return sku_features_eager(*source.load(spark), params)
 
     if not persist:
         return build()
-    return _memo(spark, ("features", sf_dir, params), lambda: materialise(build()))
+    return _memo(spark, ("features", source, params), lambda: materialise(build()))
 
 
-def labelled(spark: SparkSession, sf_dir: str, params: Params) -> DataFrame:
-    return _memo(spark, ("labelled", sf_dir, params), lambda: P.return_label(feature_table(spark, sf_dir, params)))
+def labelled(spark: SparkSession, sf_dir: str | Source, params: Params) -> DataFrame:
+    return _memo(spark, ("labelled", as_source(sf_dir), params), lambda: P.return_label(feature_table(spark, sf_dir, params)))
 
 
-def encoded(spark: SparkSession, sf_dir: str, params: Params) -> DataFrame:
+def encoded(spark: SparkSession, sf_dir: str | Source, params: Params) -> DataFrame:
     """Label, encoded categories and text flags (the frame the exploration step looks at)."""
     return _memo(
         spark,
-        ("encoded", sf_dir, params),
+        ("encoded", as_source(sf_dir), params),
         lambda: materialise(P.text_flags(P.label_encode(labelled(spark, sf_dir, params)), params)),
     )
 
 
-def logged(spark: SparkSession, sf_dir: str, params: Params) -> DataFrame:
+def logged(spark: SparkSession, sf_dir: str | Source, params: Params) -> DataFrame:
     return P.log_columns(encoded(spark, sf_dir, params), params.log_columns, in_place=True)
 
 
@@ -71,14 +74,14 @@ class Prepared:
     predictors: list[str]
 
 
-def prepared(spark: SparkSession, sf_dir: str, params: Params) -> Prepared:
+def prepared(spark: SparkSession, sf_dir: str | Source, params: Params) -> Prepared:
     def build() -> Prepared:
         before = logged(spark, sf_dir, params)
         no_outliers = P.iqr_filter(before, params.iqr_columns, params.iqr_factor)
         cleaned = materialise(P.impute_mean(no_outliers, params.impute_columns))
         return Prepared(before, cleaned, predictors(params.predictor_set))
 
-    return _memo(spark, ("prepared", sf_dir, params), build)
+    return _memo(spark, ("prepared", as_source(sf_dir), params), build)
 
 
 def model_frame(prep: Prepared, params: Params) -> DataFrame:

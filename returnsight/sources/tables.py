@@ -9,6 +9,8 @@ pushes the date window into the ``orders`` scan.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,3 +98,26 @@ def fixture_sku(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("p_brand"), F.lit("/"), F.split_part(F.col("p_name"), F.lit(" "), F.lit(1)), F.lit("/"), size
         ).alias("sku_desc"),
     )
+
+
+@dataclass(frozen=True)
+class Source:
+    """Where the two inputs come from: the TPC-H-shaped test tables of ``sf_dir`` (mapped by
+    ``fixture_detail`` / ``fixture_sku``), or production line and SKU tables with the reference's
+    column names, given as paths (any Spark format) or catalog table names (``fmt='table'``)."""
+
+    sf_dir: str | None = None
+    detail: str | None = None
+    sku: str | None = None
+    fmt: str = "parquet"
+
+    def load(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        if self.sf_dir is not None:
+            return fixture_detail(spark, self.sf_dir), fixture_sku(spark, self.sf_dir)
+        if self.detail is None or self.sku is None:
+            raise ValueError("a Source needs sf_dir, or both detail and sku")
+        return read_table(spark, self.detail, self.fmt), read_table(spark, self.sku, self.fmt)
+
+
+def as_source(source: "str | Source") -> Source:
+    return source if isinstance(source, Source) else Source(sf_dir=source)
