@@ -34,3 +34,12 @@ def test_run_writes_every_table(spark):
     # Shapley values sum to the model's log-odds minus the base value, for every row
     shap = spark.read.parquet(os.path.join(out, "shap_values"))
     assert shap.select("sku_key").distinct().count() == spark.read.parquet(os.path.join(out, "prepared")).count()
+
+
+def test_variant_predictor_set_reaches_the_model(spark):
+    out = os.path.join(tempfile.mkdtemp(prefix="returnsight-run-"), "o")
+    p = FIXTURE.with_(predictor_set="Brand", rf_trees=10)
+    written = run(spark, SF001, p, out, "RF", cross_validate=False, only=["importance", "shap_global"])
+    assert written == ["importance", "shap_global"]
+    feats = {r["feature"] for r in spark.read.parquet(os.path.join(out, "importance")).collect()}
+    assert "brand" in feats and len(feats) == 7
