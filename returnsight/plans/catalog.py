@@ -63,7 +63,7 @@ def spark_queries(p: Params = FIXTURE) -> dict[str, Query]:
         return round_doubles(streaming_sku_features(spark, d, p))
 
     def q_feature_table_readback(spark, d):
-        # CTAS into the shared folder (idempotent overwrite), then the final read-back
+        # CTAS into the shared folder (overwrite, so a rerun replaces), then the final read-back
         import os
         import uuid
 
@@ -72,7 +72,6 @@ def spark_queries(p: Params = FIXTURE) -> dict[str, Query]:
 
         target = os.path.join(ensure_checkpoint_dir(spark), f"parameters_for_analysis_cln-{uuid.uuid4().hex}")
         write_table(sku_features_eager(*_inputs(spark, d), p), target)
-        write_table(sku_features_eager(*_inputs(spark, d), p), target)  # a rerun replaces, never appends
         return round_doubles(read_table(spark, target))
 
     def q_null_mask(spark, d):

@@ -28,16 +28,20 @@ def run_feature_stream(
     params: Params,
     out_dir: str | None = None,
     *,
-    max_files_per_trigger: int = 1,
+    max_files_per_trigger: int | None = None,
     available_now: bool = True,
 ) -> str:
     """Start (and, with ``available_now``, finish) the stream; returns the partials folder."""
     base = out_dir or os.path.join(ensure_checkpoint_dir(spark), f"feature-stream-{uuid.uuid4().hex}")
     sink, ckpt = os.path.join(base, "partials"), os.path.join(base, "_checkpoint")
     schema = read_parquet_table(spark, sf_dir, "lineitem").schema
+    # Each trigger rewrites the complete per-SKU partial table (one row per SKU), so a backlog is
+    # best taken in few large micro-batches: no per-trigger file cap unless one is asked for.
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     lines = (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", max_files_per_trigger)
+        reader
         # a one-alternative glob: the file source then accepts a table stored as a single file
         .parquet(f"{sf_dir.rstrip('/')}/lineitem.{{parquet}}")
     )

@@ -43,3 +43,11 @@ def test_variant_predictor_set_reaches_the_model(spark):
     assert written == ["importance", "shap_global"]
     feats = {r["feature"] for r in spark.read.parquet(os.path.join(out, "importance")).collect()}
     assert "brand" in feats and len(feats) == 7
+
+
+def test_write_table_overwrites_on_rerun(spark):
+    target = os.path.join(tempfile.mkdtemp(prefix="returnsight-sink-"), "t")
+    df = spark.range(5)
+    write_table(df, target)
+    write_table(df, target)
+    assert spark.read.parquet(target).count() == 5

@@ -28,3 +28,10 @@ def test_stream_equals_batch_and_restart_is_idempotent(spark):
     again = _rows(features_from_partials(spark.read.parquet(sink), sku, FIXTURE))
     assert again == first
     assert os.path.isdir(os.path.join(out, "_checkpoint", "offsets"))
+
+
+def test_stream_with_a_file_cap_per_trigger(spark):
+    out = tempfile.mkdtemp(prefix="returnsight-stream-")
+    sink = run_feature_stream(spark, SF001, FIXTURE, out, max_files_per_trigger=1)
+    sku = fixture_sku(spark, SF001)
+    assert features_from_partials(spark.read.parquet(sink), sku, FIXTURE).count() == 116
