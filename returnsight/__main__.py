@@ -4,7 +4,11 @@
     python -m returnsight --detail /lake/std_clnt_detail --sku /lake/std_clnt_sku \\
         --reference-params --out /shared/returns
 
-``--sf-dir`` maps the TPC-H-shaped test tables (and uses the test-table parameters unless
+    python -m returnsight --sql-schema retail --reference-params
+
+``--sql-schema`` runs the feature build as SQL statements against the reference's table names in
+that schema (``std_clnt_detail``, ``std_clnt_sku`` -> ``parameters_for_analysis_cln`` and the
+report table ``plot_1``) and stops there. ``--sf-dir`` maps the TPC-H-shaped test tables (and uses the test-table parameters unless
 ``--reference-params``); ``--detail`` / ``--sku`` read production tables with the reference's
 column names (``--format table`` for catalog tables).
 """
@@ -25,9 +29,10 @@ def main(argv: list[str] | None = None) -> None:
     src = ap.add_mutually_exclusive_group(required=True)
     src.add_argument("--sf-dir", help="folder of the TPC-H-shaped test tables")
     src.add_argument("--detail", help="transaction-line table (path or catalog name)")
+    src.add_argument("--sql-schema", help="catalog schema holding the reference's tables (SQL feature build)")
     ap.add_argument("--sku", help="SKU dimension table (path or catalog name)")
     ap.add_argument("--format", default="parquet", help="input format, or 'table' for catalog tables")
-    ap.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
+    ap.add_argument("--out", help="output folder (shared storage on a cluster)")
     ap.add_argument("--model", default="GBT", choices=["GBT", "RF", "LR"])
     ap.add_argument("--predictors", default="All", choices=["All", "Footwear", "Brand"])
     ap.add_argument("--reference-params", action="store_true", help="use the reference's production window and threshold")
@@ -39,12 +44,23 @@ def main(argv: list[str] | None = None) -> None:
     a = ap.parse_args(argv)
     if a.detail and not a.sku:
         ap.error("--detail needs --sku")
-    params = REFERENCE if (a.reference_params or a.detail) else FIXTURE
+    if not a.sql_schema and not a.out:
+        ap.error("--out is required")
+    params = REFERENCE if (a.reference_params or a.detail or a.sql_schema) else FIXTURE
     params = params.with_(predictor_set=a.predictors)
     if a.window:
         params = params.with_(date_lo=a.window[0], date_hi=a.window[1])
     if a.min_sale_lines is not None:
         params = params.with_(min_sale_lines=a.min_sale_lines)
+    if a.sql_schema:
+        from returnsight.plans import sql_build as S
+
+        spark = get_session(a.master)
+        tables = S.reference_tables(a.sql_schema)
+        S.build_feature_table(spark, params, **tables)
+        S.build_report_table(spark, **tables)
+        print(json.dumps({"tables": [tables["feature_table"], tables["report_table"]]}))
+        return
     source = Source(sf_dir=a.sf_dir) if a.sf_dir else Source(detail=a.detail, sku=a.sku, fmt=a.format)
     spark = get_session(a.master)
     written = run(spark, source, params, a.out, a.model, cross_validate=not a.no_cv, only=a.only)

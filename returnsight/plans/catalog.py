@@ -74,6 +74,27 @@ def spark_queries(p: Params = FIXTURE) -> dict[str, Query]:
         write_table(sku_features_eager(*_inputs(spark, d), p), target)
         return round_doubles(read_table(spark, target))
 
+    def q_line_table_sql(spark, d):
+        # the intermediate as the SQL script builds it: a temporary view over the two inputs
+        from returnsight.plans import sql_build as S
+
+        t = S.fixture_tables(spark, d)
+        return S.line_table(spark, p, t["detail_table"], t["sku_table"])
+
+    def q_feature_table_sql(spark, d):
+        # the SQL script: drop, CTAS into a catalog table (shared location), read back
+        from returnsight.plans import sql_build as S
+
+        return round_doubles(S.build_feature_table(spark, p, **S.fixture_tables(spark, d)))
+
+    def q_report_table_sql(spark, d):
+        # the per-product report table, written from the feature table and read back
+        from returnsight.plans import sql_build as S
+
+        t = S.fixture_tables(spark, d)
+        S.build_feature_table(spark, p, **t)
+        return round_doubles(S.build_report_table(spark, **t))
+
     def q_null_mask(spark, d):
         f = PL.feature_table(spark, d, p)
         return f.select("sku_key", (F.col("receipted_rate").isNull() | F.isnan("receipted_rate")).alias("receipted_rate_missing"))
@@ -217,6 +238,12 @@ FROM tmp"""),
         "sku_features_single_scan": O.with_ctes(p, "", feats_round),
         "sku_features_streaming": O.with_ctes(p, "", feats_round),
         "feature_table_readback": O.with_ctes(p, "", feats_round),
+        "line_table_sql": O.with_ctes(p, "", """
+SELECT sku_key, quantity, plu_amt, tran_discount_amt, override_amt, extended_amt,
+       ecom, sale, ret AS "return", receipted, product_desc, sku_cost, sku_color, sku_size
+FROM tmp"""),
+        "feature_table_sql": O.with_ctes(p, "", feats_round),
+        "report_table_sql": O.with_ctes(p, summary, "SELECT * FROM summary"),
         "null_mask": O.with_ctes(p, "", "SELECT sku_key, receipted_rate IS NULL OR isnan(receipted_rate) AS receipted_rate_missing FROM features"),
         "schema_info": O.with_ctes(p, "", "\nUNION ALL\n".join(
             f"SELECT '{c}' AS column_name, '{t}' AS dtype, count({c}) AS non_null FROM features"
