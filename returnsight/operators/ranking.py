@@ -1,11 +1,11 @@
 """Global order statistics without a single-partition window.
 
 ``range_index`` gives every row its 0-based position in a total order (and optional running
-sums) the way a distributed sort does: range-partition on the order key, count / sum each
-partition, turn those per-partition totals (one row per partition, a bound fixed by the
-partition count) into offsets, and add a within-partition row number. The range-partitioned
-frame is checkpointed to the shared checkpoint folder first, so the totals and the rows always
-see the same partition boundaries, even when a lost executor forces a recompute.
+sums) the way a distributed sort does: range-partition on the order key, sort each range and
+stamp each row with (partition, index in the range), checkpoint, count each partition, and turn
+those per-partition totals (one row per partition, a bound fixed by the partition count) into
+offsets. The checkpoint to the shared folder fixes ranges, tie order and stamps, so the totals
+and the rows always agree, even when a lost executor forces a recompute.
 
 Exact quantiles, the label-encoding dictionary and the ROC running sums are built on it.
 """
@@ -22,6 +22,23 @@ from returnsight.functions import nan_to_null
 from returnsight.session import materialise
 
 
+_LOCAL_BITS = 33  # monotonically_increasing_id(): partition index above bit 33, row index below
+
+
+def _ranked(df: DataFrame, order: Sequence[Column], num_partitions: int | None = None) -> DataFrame:
+    """Range-partition on ``order``, sort each range, stamp every row with its partition index
+    (``_part``) and its index inside the sorted range (``_local``), and checkpoint.
+
+    The stamp is ``monotonically_increasing_id()`` taken right after the in-partition sort, so it
+    needs no second shuffle; the checkpoint to the shared folder fixes the ranges, the order of
+    ties and the stamps, so totals and rows agree even when a lost executor forces a recompute."""
+    ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
+    stamped = materialise(ranged.sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id()))
+    return stamped.withColumn("_part", F.shiftright("_mid", _LOCAL_BITS)).withColumn(
+        "_local", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
+    )
+
+
 def range_index(
     df: DataFrame,
     order: Sequence[Column],
@@ -37,25 +54,23 @@ def range_index(
     Without ``num_partitions`` the range count starts at ``spark.sql.shuffle.partitions`` and
     AQE may coalesce neighbouring ranges of a small input; merged ranges stay contiguous, so
     partition ids remain in key order."""
-    ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
-    tagged = materialise(ranged.withColumn("_part", F.spark_partition_id()))
+    tagged = _ranked(df, order, num_partitions)
     totals = tagged.groupBy("_part").agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_t_{c}") for c in sums]
     )
+    # one row per partition: a bound fixed by the partition count
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         "_part",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
         *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums],
     )
-    within = Window.partitionBy("_part").orderBy(*order)
-    running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = tagged.join(F.broadcast(offsets), "_part").withColumn(
-        pos_col, (F.col("_off") + F.row_number().over(within) - 1).cast("long")
-    )
-    for c in sums:
-        out = out.withColumn(f"_cum_{c}", F.col(f"_o_{c}") + F.sum(c).over(running))
-    return out.drop("_part", "_off", *[f"_o_{c}" for c in sums])
+    out = tagged.join(F.broadcast(offsets), "_part").withColumn(pos_col, (F.col("_off") + F.col("_local")).cast("long"))
+    if sums:
+        running = Window.partitionBy("_part").orderBy("_local").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        for c in sums:
+            out = out.withColumn(f"_cum_{c}", F.col(f"_o_{c}") + F.sum(c).over(running))
+    return out.drop("_part", "_local", "_mid", "_off", *[f"_o_{c}" for c in sums])
 
 
 def _positions(count: int, p: float) -> tuple[int, int, float]:
@@ -82,27 +97,49 @@ def exact_quantiles(
     long = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols]).unpivot(
         [], cols, "_k", "_v"
     )
-    stats = long.groupBy("_k").agg(F.count("_v").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
-    n_of = {r["_k"]: (r["n"], r["rows"]) for r in stats}
-    start, wanted = 0, {}
-    for c in sorted(cols):
-        n, rows = n_of.get(c, (0, 0))
+    if nan_policy != "propagate":
+        long = long.filter(F.col("_v").isNotNull())
+    # Equal values cannot be split by a range partitioner; a per-row tie-breaker lets one value
+    # held by a third of the rows spread over several partitions. Any tie order gives the same
+    # order statistics. Missing values sort last within their column.
+    tagged = _ranked(
+        long.withColumn("_tb", F.monotonically_increasing_id()),
+        [F.col("_k").asc(), F.col("_v").asc_nulls_last(), F.col("_tb").asc()],
+    )
+    # (partition, column) totals: bounded by partitions x columns; they give every column's
+    # count and start position and every partition's offset, so no separate counting pass
+    totals = tagged.groupBy("_part", "_k").agg(F.count("_v").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    part_rows: dict[int, int] = {}
+    n_of: dict[str, list[int]] = {c: [0, 0, 0] for c in cols}
+    for r in totals:
+        part_rows[r["_part"]] = part_rows.get(r["_part"], 0) + r["rows"]
+        n_of[r["_k"]][0] += r["n"]
+        n_of[r["_k"]][1] += r["rows"]
+    start = 0
+    for c in sorted(cols):  # columns appear in the range order of their names
+        n_of[c][2] = start
+        start += n_of[c][1]
+    part_off, off = [], 0
+    for part in sorted(part_rows):
+        part_off.append((part, off))
+        off += part_rows[part]
+
+    def stamp(g: int) -> int:
+        part, base = next((pt, b) for pt, b in reversed(part_off) if b <= g)
+        return (part << _LOCAL_BITS) + (g - base)
+
+    wanted: dict[int, int] = {}  # stamp -> global position
+    for c in cols:
+        n, rows, s = n_of[c]
         if n and not (nan_policy == "propagate" and rows > n):
             for p in probs:
                 lo, hi, _ = _positions(n, p)
-                wanted[start + lo] = None
-                wanted[start + hi] = None
-        n_of[c] = (n, rows, start)
-        start += n
+                wanted[stamp(s + lo)] = s + lo
+                wanted[stamp(s + hi)] = s + hi
     values: dict[int, float] = {}
     if wanted:
-        # Equal values cannot be split by a range partitioner; a per-row tie-breaker lets one
-        # value held by a third of the rows spread over several partitions. Any tie order gives
-        # the same order statistics, and the checkpoint inside range_index fixes the one used.
-        present = long.filter(F.col("_v").isNotNull()).withColumn("_tb", F.monotonically_increasing_id())
-        indexed = range_index(present, [F.col("_k").asc(), F.col("_v").asc(), F.col("_tb").asc()])
-        picked = indexed.filter(F.col("_pos").isin(list(wanted))).select("_pos", "_v").collect()
-        values = {r["_pos"]: r["_v"] for r in picked}
+        picked = tagged.filter(F.col("_mid").isin(list(wanted))).select("_mid", "_v").collect()
+        values = {wanted[r["_mid"]]: r["_v"] for r in picked}
     out: dict[str, list[float | None]] = {}
     for c in cols:
         n, rows, s = n_of[c]

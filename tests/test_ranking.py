@@ -59,3 +59,20 @@ def test_quantiles_with_a_value_held_by_a_third_of_rows(spark):
     df = spark.createDataFrame([(float(x),) for x in xs], "x double").repartition(5)
     got = exact_quantiles(df, ["x"], [0.1, 0.25, 0.5, 0.75], interpolation="midpoint")["x"]
     assert np.allclose(got, np.percentile(xs, [10, 25, 50, 75], method="midpoint"), atol=1e-12)
+
+
+def test_quantiles_of_several_columns_across_many_ranges(spark):
+    rng = np.random.default_rng(11)
+    n = 2000
+    a = rng.normal(size=n)
+    b = np.where(rng.random(n) < 0.1, np.nan, rng.exponential(size=n))
+    c = np.round(rng.normal(size=n), 1)  # many ties
+    df = spark.createDataFrame([(float(x), float(y), float(z)) for x, y, z in zip(a, b, c)], "a double, b double, c double").repartition(7)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    for method in ("linear", "midpoint"):
+        got = exact_quantiles(df, ["c", "a", "b"], probs, interpolation=method)
+        for name, xs in (("a", a), ("b", b), ("c", c)):
+            want = np.nanpercentile(xs, [100 * p for p in probs], method=method)
+            assert np.allclose(got[name], want, rtol=0, atol=1e-12), (method, name)
+    prop = exact_quantiles(df, ["a", "b"], [0.5], nan_policy="propagate")
+    assert prop["b"] == [None] and np.isclose(prop["a"][0], np.median(a))
