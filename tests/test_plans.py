@@ -49,3 +49,38 @@ def test_no_registered_query_plans_a_cartesian_or_nested_loop_join(spark):
         if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan or "BatchEvalPython" in plan:
             offenders.append(name)
     assert offenders == []
+
+
+def _exchange_records(df) -> list[int]:
+    """Records written by every shuffle of the executed (final adaptive) plan."""
+    root = df._jdf.queryExecution().executedPlan()
+    node = root.finalPhysicalPlan() if "Adaptive" in root.getClass().getName() else root
+    out, stack = [], [node]
+    while stack:
+        n = stack.pop()
+        if n.nodeName() == "Exchange":
+            out.append(int(n.metrics().apply("shuffleRecordsWritten").value()))
+        kids = n.children()
+        stack.extend(kids.apply(i) for i in range(kids.size()))
+        if n.nodeName().startswith(("ShuffleQueryStage", "BroadcastQueryStage")):
+            stack.append(n.plan())
+    return out
+
+
+def test_a_sku_with_a_third_of_all_lines_reaches_the_shuffle_pre_aggregated(spark):
+    from returnsight.config import FIXTURE
+    from tests.test_features import frames, line
+
+    hot, cold = 1000, 2000
+    lines = [line(1, q=2.0) for _ in range(hot)] + [line(k) for k in range(2, cold + 2)]
+    skus = [(k, "A", "B", 1.0, "x/y/z") for k in range(1, cold + 2)]
+    det, sku = frames(spark, lines, skus)
+    map_tasks = det.rdd.getNumPartitions()
+    df = sku_features_eager(det, sku, FIXTURE.with_(min_sale_lines=0))
+    df.write.format("noop").mode("overwrite").save()
+    records = _exchange_records(df)
+    assert records, "expected at least one shuffle"
+    # the hot SKU's 1000 lines cross the shuffle as at most one partial row per map task
+    assert max(records) <= cold + map_tasks < hot + cold
+    got = df.filter("sku_key = 1").first()
+    assert got["quantity"] == 2.0 * hot and got["return_rate"] == 0.0
