@@ -63,28 +63,40 @@ def model_queries(p: Params) -> dict[str, Callable[[SparkSession, str], DataFram
 
         return q
 
-    def _gbt_test(spark, d):
+    def _test_predictions(spark, d, kind: str):
         mf, tr, te, cols = _frame(spark, d, p)
-        return MD.predict(_model(spark, d, p, "GBT"), _scoring_frame(te, "GBT", cols), cols)
+        return MD.predict(_model(spark, d, p, kind), _scoring_frame(te, kind, cols), cols)
 
-    def q_prediction_head(spark, d):
-        """The first 50 test predictions with their class-1 probability, in key order."""
-        return _gbt_test(spark, d).orderBy("sku_key").limit(50)
+    def head(kind: str):
+        def q(spark, d):
+            """The first 50 test predictions with their class-1 probability, in key order."""
+            return _test_predictions(spark, d, kind).orderBy("sku_key").limit(50)
+
+        return q
+
+    def confusion_q(kind: str):
+        def q(spark, d):
+            from returnsight.operators.metrics import confusion
 
-    def q_gbt_confusion(spark, d):
-        from returnsight.operators.metrics import confusion
+            return confusion(_test_predictions(spark, d, kind))
+
+        return q
+
+    def report_q(kind: str):
+        def q(spark, d):
+            from returnsight.operators.metrics import class_report
 
-        return confusion(_gbt_test(spark, d))
+            return class_report(_test_predictions(spark, d, kind))
 
-    def q_gbt_class_report(spark, d):
-        from returnsight.operators.metrics import class_report
+        return q
 
-        return class_report(_gbt_test(spark, d))
+    def roc_q(kind: str):
+        def q(spark, d):
+            from returnsight.operators.metrics import roc_points
 
-    def q_gbt_roc(spark, d):
-        from returnsight.operators.metrics import roc_points
+            return roc_points(_test_predictions(spark, d, kind), score="probability")
 
-        return roc_points(_gbt_test(spark, d), score="probability")
+        return q
 
     def q_gbt_eval_history(spark, d):
         mf, tr, te, cols = _frame(spark, d, p)
@@ -119,25 +131,28 @@ def model_queries(p: Params) -> dict[str, Callable[[SparkSession, str], DataFram
 
         return q
 
-    def q_gbt_scores(spark, d):
-        """Accuracy on train / test / all, balanced accuracy of hard predictions and ROC AUC of probabilities."""
-        mf, tr, te, cols = _frame(spark, d, p)
-        m = _model(spark, d, p, "GBT")
-        acc = F.avg((F.col("label") == F.col("prediction")).cast("double"))
-        out = None
-        for name, data in (("train", tr), ("test", te), ("all", mf)):
-            part = MD.predict(m, _scoring_frame(data, "GBT", cols), cols).agg(acc.alias("value")).select(
-                F.lit(f"accuracy_{name}").alias("metric"), "value"
+    def scores(kind: str):
+        def q(spark, d):
+            """Accuracy on train / test / all, balanced accuracy of hard predictions and ROC AUC of probabilities."""
+            mf, tr, te, cols = _frame(spark, d, p)
+            m = _model(spark, d, p, kind)
+            acc = F.avg((F.col("label") == F.col("prediction")).cast("double"))
+            out = None
+            for name, data in (("train", tr), ("test", te), ("all", mf)):
+                part = MD.predict(m, _scoring_frame(data, kind, cols), cols).agg(acc.alias("value")).select(
+                    F.lit(f"accuracy_{name}").alias("metric"), "value"
+                )
+                out = part if out is None else out.unionByName(part)
+            scored = m.transform(MD.assemble(_scoring_frame(te, kind, cols), cols))
+            auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction").evaluate(scored)
+            from returnsight.operators.metrics import balanced_accuracy
+
+            bal = balanced_accuracy(MD.predict(m, _scoring_frame(te, kind, cols), cols)).select(
+                F.lit("balanced_accuracy").alias("metric"), F.col("balanced_accuracy").alias("value")
             )
-            out = part if out is None else out.unionByName(part)
-        scored = m.transform(MD.assemble(_scoring_frame(te, "GBT", cols), cols))
-        auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction").evaluate(scored)
-        from returnsight.operators.metrics import balanced_accuracy
+            return out.unionByName(bal).unionByName(spark.createDataFrame([("roc_auc", float(auc))], "metric string, value double"))
 
-        bal = balanced_accuracy(MD.predict(m, _scoring_frame(te, "GBT", cols), cols)).select(
-            F.lit("balanced_accuracy").alias("metric"), F.col("balanced_accuracy").alias("value")
-        )
-        return out.unionByName(bal).unionByName(spark.createDataFrame([("roc_auc", float(auc))], "metric string, value double"))
+        return q
 
     def _tree_long(spark, d, kind: str):
         k = _memo(spark, "shap", d, p, kind)
@@ -178,6 +193,18 @@ def model_queries(p: Params) -> dict[str, Callable[[SparkSession, str], DataFram
         "gbt_predictions": predictions("GBT"),
         "cv_summary": cv("LR"),
         "gbt_cv_summary": cv("GBT"),
+        "rf_cv_summary": cv("RF"),
+        "prediction_head": head("GBT"),
     }
+    # the reference evaluates whichever model it fits the same way: scores, ROC, first 50
+    # predictions, confusion matrix and classification report
+    for kind in ("GBT", "RF", "LR"):
+        pre = kind.lower()
+        qs[f"{pre}_scores"] = scores(kind)
+        qs[f"{pre}_confusion"] = confusion_q(kind)
+        qs[f"{pre}_class_report"] = report_q(kind)
+        qs[f"{pre}_roc"] = roc_q(kind)
+        if kind != "GBT":
+            qs[f"{pre}_prediction_head"] = head(kind)
     qs.update({name[2:]: fn for name, fn in locals().items() if name.startswith("q_")})
     return qs

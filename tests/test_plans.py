@@ -40,7 +40,7 @@ def _final_plan_of_run(df) -> str:
 def test_no_registered_query_plans_a_cartesian_or_nested_loop_join(spark):
     import __spark_entry__ as E
 
-    slow = {"cv_summary", "gbt_cv_summary"}
+    slow = {"cv_summary", "gbt_cv_summary", "rf_cv_summary"}
     offenders = []
     for name, q in E.queries().items():
         if name in slow:
