@@ -21,7 +21,8 @@ from returnsight.operators import report as R
 from returnsight.plans import explain as EX
 from returnsight.plans import models as MD
 from returnsight.plans import pipeline as PL
-from returnsight.sources import Source, write_table
+from returnsight.session import size_shuffles
+from returnsight.sources import Source, as_source, write_table
 
 
 def _scoring(df: DataFrame, kind: str, cols: list[str]) -> DataFrame:
@@ -153,7 +154,10 @@ def run(
     cross_validate: bool = True,
     only: list[str] | None = None,
 ) -> list[str]:
-    """Write every output table (or those in ``only``) under ``out_dir``; returns the names."""
+    """Write every output table (or those in ``only``) under ``out_dir``; returns the names.
+
+    Shuffle partitions are sized once from the bytes the line table scan reads."""
+    size_shuffles(spark, as_source(source).load(spark)[0])
     tables = analysis(spark, source, params, model, cross_validate=cross_validate)
     written = []
     for name, build in tables.items():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 
@@ -67,3 +68,30 @@ def default_parallelism(spark: SparkSession) -> int:
 
 def bench_cpus() -> int:
     return int(os.environ.get("BENCH_CPUS", "8"))
+
+
+def scan_bytes(df: DataFrame) -> int:
+    """Bytes of the base relations a plan reads, as the planner sizes them (file sizes for file
+    sources). Join estimates are not used: without cost-based statistics they multiply."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def size_shuffles(
+    spark: SparkSession, source: DataFrame, *, bytes_per_partition: int = 512 << 20, max_partitions: int = 50_000
+) -> int:
+    """Size AQE's initial shuffle partition count for jobs over ``source``: one partition per
+    ``bytes_per_partition`` of scanned input, at least the cluster's parallelism and at most
+    ``max_partitions`` (map outputs x reducers stays manageable). AQE then coalesces the ranges
+    that turn out small towards ``spark.sql.adaptive.advisoryPartitionSizeInBytes``. A value the
+    user configured is kept. Returns the count in effect."""
+    current = spark.conf.get(INITIAL_PARTITIONS, None)
+    if current is not None:
+        return int(current)
+    wanted = math.ceil(scan_bytes(source) / max(1, bytes_per_partition))
+    n = max(spark.sparkContext.defaultParallelism, min(max_partitions, wanted))
+    spark.conf.set(INITIAL_PARTITIONS, str(n))
+    return n

@@ -1,5 +1,7 @@
 """Physical-plan properties: pushdown, pruning, one line-table scan, no cartesian or Python rows."""
 
+import os
+
 from returnsight.config import FIXTURE
 from returnsight.operators.features import sku_features_eager
 from returnsight.sources import fixture_detail, fixture_sku
@@ -84,3 +86,23 @@ def test_a_sku_with_a_third_of_all_lines_reaches_the_shuffle_pre_aggregated(spar
     assert max(records) <= cold + map_tasks < hot + cold
     got = df.filter("sku_key = 1").first()
     assert got["quantity"] == 2.0 * hot and got["return_rate"] == 0.0
+
+
+def test_shuffle_sizing_follows_scanned_bytes_and_keeps_a_user_value(spark):
+    from returnsight.session import INITIAL_PARTITIONS, scan_bytes, size_shuffles
+
+    det = fixture_detail(spark, SF001)
+    size = scan_bytes(det)
+    files = sum(os.path.getsize(f"{SF001}/{t}.parquet") for t in ("lineitem", "orders"))
+    assert size == files
+    try:
+        spark.conf.unset(INITIAL_PARTITIONS)
+        assert size_shuffles(spark, det) == spark.sparkContext.defaultParallelism  # tiny input
+        spark.conf.unset(INITIAL_PARTITIONS)
+        assert size_shuffles(spark, det, bytes_per_partition=1000, max_partitions=10**9) == -(-size // 1000)
+        spark.conf.unset(INITIAL_PARTITIONS)
+        assert size_shuffles(spark, det, bytes_per_partition=1, max_partitions=64) == 64
+        spark.conf.set(INITIAL_PARTITIONS, "37")
+        assert size_shuffles(spark, det) == 37
+    finally:
+        spark.conf.unset(INITIAL_PARTITIONS)
