@@ -85,20 +85,18 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> Dat
     """ROC curve: one point per distinct score (descending) plus the origin.
 
     Rows are first reduced to one row per distinct score (partial aggregation absorbs a score
-    shared by a third of the rows); the running TP / FP sums then come from ``range_index``'s
-    per-partition offsets, not a single-partition window. All points are kept (no dropping of
+    shared by a third of the rows); the running TP / FP sums and their totals then come from
+    ``range_index``'s per-partition offsets, not a single-partition window. All points are kept (no dropping of
     collinear points).
     """
     per_score = df.groupBy(F.col(score).alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("tp"), F.count_if(F.col(label) != 1).alias("fp")
     )
-    totals = per_score.agg(F.sum("tp").alias("P"), F.sum("fp").alias("N")).first()
-    P, N = totals["P"] or 0, totals["N"] or 0
     idx = range_index(per_score, [F.col("threshold").desc_nulls_last()], sums=["tp", "fp"])
     pts = idx.select(
         F.col("threshold").cast("double").alias("threshold"),
-        F.try_divide(F.col("_cum_fp").cast("double"), F.lit(float(N))).alias("fpr"),
-        F.try_divide(F.col("_cum_tp").cast("double"), F.lit(float(P))).alias("tpr"),
+        F.try_divide(F.col("_cum_fp").cast("double"), F.col("_tot_fp").cast("double")).alias("fpr"),
+        F.try_divide(F.col("_cum_tp").cast("double"), F.col("_tot_tp").cast("double")).alias("tpr"),
     )
     # The origin has no threshold (NULL): it stands for "predict nothing positive".
     origin = df.sparkSession.createDataFrame([(None, 0.0, 0.0)], "threshold double, fpr double, tpr double")

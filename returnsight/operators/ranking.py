@@ -47,8 +47,9 @@ def range_index(
     num_partitions: int | None = None,
     pos_col: str = "_pos",
 ) -> DataFrame:
-    """Add ``pos_col`` (global 0-based position under ``order``) and ``_cum_<c>`` (inclusive
-    running sum of each column in ``sums``). ``order`` should be a total order when positions of
+    """Add ``pos_col`` (global 0-based position under ``order``), ``_cum_<c>`` (inclusive
+    running sum of each column in ``sums``) and ``_tot_<c>`` (its grand total, from the same
+    per-partition totals). ``order`` should be a total order when positions of
     tied rows matter; ranges never split equal keys across partitions.
 
     Without ``num_partitions`` the range count starts at ``spark.sql.shuffle.partitions`` and
@@ -60,10 +61,12 @@ def range_index(
     )
     # one row per partition: a bound fixed by the partition count
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = totals.select(
         "_part",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
         *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums],
+        *[F.sum(f"_t_{c}").over(everything).alias(f"_tot_{c}") for c in sums],
     )
     out = tagged.join(F.broadcast(offsets), "_part").withColumn(pos_col, (F.col("_off") + F.col("_local")).cast("long"))
     if sums:
