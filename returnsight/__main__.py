@@ -20,7 +20,7 @@ import json
 
 from returnsight.config import FIXTURE, REFERENCE
 from returnsight.plans.run import run
-from returnsight.session import get_session
+from returnsight.session import get_session, size_shuffles
 from returnsight.sources import Source
 
 
@@ -57,6 +57,7 @@ def main(argv: list[str] | None = None) -> None:
 
         spark = get_session(a.master)
         tables = S.reference_tables(a.sql_schema)
+        size_shuffles(spark, spark.table(tables["detail_table"]))
         S.build_feature_table(spark, params, **tables)
         S.build_report_table(spark, **tables)
         print(json.dumps({"tables": [tables["feature_table"], tables["report_table"]]}))
