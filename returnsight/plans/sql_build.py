@@ -17,6 +17,7 @@ wherever it is read.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import os
 import re
 
@@ -194,8 +195,9 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     from returnsight.session import ensure_checkpoint_dir
     from returnsight.sources import fixture_detail, fixture_sku
 
-    tag = re.sub(r"[^A-Za-z0-9]", "_", os.path.basename(sf_dir.rstrip("/")))
-    schema = f"returnsight_{tag}"
+    folder = sf_dir.rstrip("/")
+    tag = re.sub(r"[^A-Za-z0-9]", "_", os.path.basename(folder))
+    schema = f"returnsight_{tag}_{hashlib.sha1(folder.encode()).hexdigest()[:8]}"
     if not spark.catalog.databaseExists(schema):
         location = os.path.join(ensure_checkpoint_dir(spark), f"{schema}.db").replace("'", "")
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema} LOCATION '{location}'")
