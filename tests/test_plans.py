@@ -106,3 +106,14 @@ def test_shuffle_sizing_follows_scanned_bytes_and_keeps_a_user_value(spark):
         assert size_shuffles(spark, det) == 37
     finally:
         spark.conf.unset(INITIAL_PARTITIONS)
+
+
+def test_label_encoding_broadcasts_a_checked_dictionary_instead_of_shuffling_by_category(spark):
+    from returnsight.operators.prepare import label_encode
+    from returnsight.plans.pipeline import feature_table
+
+    df = label_encode(feature_table(spark, SF001, FIXTURE))
+    df.collect()
+    plan = _plan(df)
+    assert "hashpartitioning(coalesce(sku_size" not in plan and "hashpartitioning(coalesce(sku_color" not in plan
+    assert plan.count("BroadcastHashJoin [coalesce(sku_") == 2
