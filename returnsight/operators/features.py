@@ -56,15 +56,23 @@ def decoded_lines(detail: DataFrame, params: Params) -> DataFrame:
     )
 
 
+# A SKU dimension up to this many rows (about 100 MB of derived attributes) is broadcast to the
+# line-level join after a row count; a larger one is left to the planner.
+BROADCAST_DIMENSION_ROWS = 1_000_000
+
+
 def detail_flags(detail: DataFrame, sku: DataFrame, params: Params) -> DataFrame:
     """The intermediate line table: windowed lines joined to the dimension, flags decoded.
 
-    The join is left to the planner: it broadcasts the dimension when its statistics are under
-    ``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles both sides on ``sku_key``,
-    with AQE splitting a skewed key's partition.
+    The dimension's row count is checked first (a metadata-backed count for parquet): up to
+    ``BROADCAST_DIMENSION_ROWS`` rows it is broadcast, so the line table is never shuffled for
+    this join and a SKU holding a third of the lines stays in its map tasks. A larger dimension
+    is left to the planner: a sort-merge join on ``sku_key`` whose skewed partitions AQE splits.
     """
     lines = decoded_lines(detail, params)
     dim = dimension_attributes(sku)
+    if sku.count() <= BROADCAST_DIMENSION_ROWS:
+        dim = F.broadcast(dim)
     j = lines.join(dim, "sku_key", "inner")
     return j.select(
         "sku_key", "quantity", "plu_amt", "tran_discount_amt", "override_amt", "extended_amt",

@@ -117,3 +117,21 @@ def test_label_encoding_broadcasts_a_checked_dictionary_instead_of_shuffling_by_
     plan = _plan(df)
     assert "hashpartitioning(coalesce(sku_size" not in plan and "hashpartitioning(coalesce(sku_color" not in plan
     assert plan.count("BroadcastHashJoin [coalesce(sku_") == 2
+
+
+def test_line_level_join_broadcasts_a_counted_dimension(spark):
+    from returnsight.operators import features as FT
+    from returnsight.operators.features import detail_flags
+
+    det, sku = fixture_detail(spark, SF001), fixture_sku(spark, SF001)
+    df = detail_flags(det, sku, FIXTURE)
+    df.collect()
+    assert "BroadcastHashJoin [sku_key" in _plan(df)
+    # beyond the bound the join is the planner's choice: no broadcast hint in the logical plan
+    old = FT.BROADCAST_DIMENSION_ROWS
+    try:
+        FT.BROADCAST_DIMENSION_ROWS = 0
+        hinted = detail_flags(det, sku, FIXTURE)._jdf.queryExecution().analyzed().toString()
+        assert "broadcast" not in hinted.lower()
+    finally:
+        FT.BROADCAST_DIMENSION_ROWS = old
