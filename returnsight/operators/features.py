@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from returnsight.config import Params
 from returnsight.functions import decode_flag
+from returnsight.session import materialise
 
 GROUP_KEYS = ["sku_key", "product_desc", "sku_color", "sku_size", "sku_cost"]
 FEATURE_COLUMNS = [
@@ -102,9 +103,15 @@ def _feature_aggs() -> list[Column]:
 
 
 def sku_features(detail: DataFrame, sku: DataFrame, params: Params) -> DataFrame:
-    """Semi-join form (statement-for-statement with the reference's SQL)."""
+    """Semi-join form (statement-for-statement with the reference's SQL).
+
+    The active-SKU set (at most one row per SKU) is checkpointed and counted; up to
+    ``BROADCAST_DIMENSION_ROWS`` rows it is broadcast to the semi-join, so lines are never
+    shuffled for it; a larger set is left to the planner (sort-merge, AQE skew split)."""
     tmp = detail_flags(detail, sku, params)
-    active = active_skus(tmp, params).select("sku_key")
+    active = materialise(active_skus(tmp, params).select("sku_key"))
+    if active.count() <= BROADCAST_DIMENSION_ROWS:
+        active = F.broadcast(active)
     out = tmp.join(active, "sku_key", "left_semi").groupBy(*GROUP_KEYS).agg(*_feature_aggs())
     return out.select(*FEATURE_COLUMNS)
 

@@ -135,3 +135,12 @@ def test_line_level_join_broadcasts_a_counted_dimension(spark):
         assert "broadcast" not in hinted.lower()
     finally:
         FT.BROADCAST_DIMENSION_ROWS = old
+
+
+def test_semi_join_form_broadcasts_the_counted_active_set(spark):
+    from returnsight.operators.features import sku_features
+
+    df = sku_features(fixture_detail(spark, SF001), fixture_sku(spark, SF001), FIXTURE)
+    df.collect()
+    plan = _plan(df)
+    assert "LeftSemi" in plan and "SortMergeJoin" not in plan
