@@ -102,8 +102,9 @@ def test_script_plan_pushes_window_and_scans_lines_once(spark):
         "date_lo": S._date(FIXTURE.date_lo), "date_hi": S._date(FIXTURE.date_hi), "min_sale_lines": FIXTURE.min_sale_lines,
     }
     df = spark.sql(S.FEATURES_SQL, args=args)
-    df.write.format("noop").mode("overwrite").save()
+    df.collect()  # runs this DataFrame's own execution, so the final adaptive plan is read
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in plan
     assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
     assert plan.count("lineitem.parquet") == 1
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "SortMergeJoin LeftSemi"):
