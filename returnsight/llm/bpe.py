@@ -14,6 +14,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -59,8 +60,6 @@ class WordBpe(ChunkTable):
 
     def split(self, chunk: str) -> list[str]:
         """Words of a chunk; a special token, marked by a leading NUL, stands alone."""
-        if self.PLAIN.fullmatch(chunk):
-            return super().split(chunk)
         if self.special_rx and "<|" in chunk and (parts := self.special_rx.split(chunk))[1:]:
             return [w for p in parts for w in (["\0" + p] if p in self.special else self.word_rx.findall(self.normalise(p)))]
         return self.word_rx.findall(self.normalise(chunk))
@@ -125,9 +124,9 @@ def bpe_roundtrip(text: Column, vocabulary: str, with_ids: bool = False) -> Colu
     @pandas_udf(fields)
     def roundtrip(texts: pd.Series) -> pd.DataFrame:
         model, out = worker_table(WordBpe, vocabulary), []
-        for _, ids, ends in sliced_ids(model, [t or "" for t in texts]):
-            ids = ids.astype("<u4")
-            for lo, hi in zip(ends, ends[1:]):
+        for _, ids, ends in sliced_ids(model, pa.Array.from_pandas(texts, type=pa.string())):
+            ids, ends = ids.astype("<u4", copy=False), ends.tolist()
+            for lo, hi in zip(ends, ends[1:], strict=False):
                 own = ids[lo:hi]
                 decoded = model.decode(own)
                 row = hi - lo, hashlib.sha256(own.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from returnsight.session import ensure_checkpoint_dir
 
 #: Characters of text that one step inside a task works on at a time (a longer text is taken alone).
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 6_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,13 +50,13 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> Da
     return rows.join(F.broadcast(ids), F.col("own_id") == F.col("fit_id")).select("own_id", "text", "fit_label")
 
 
-def slices(texts: Sequence[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Index ranges of ``texts`` holding at most ``limit`` characters each, one text at least."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > limit:
+def slices(sizes: Sequence[int], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of the given sizes that hold at most ``limit`` together, one text at least."""
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if held and held + size > limit:
             yield start, i
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)

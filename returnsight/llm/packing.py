@@ -146,22 +146,21 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: in
         encoder = worker_table(LibraryChunks, vocabulary)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for lo, ids, ends in sliced_ids(encoder, texts, end_id):
-                ids = ids.astype("<u4")
+            doc_ids = batch.column(0).to_pylist()
+            for lo, ids, ends in sliced_ids(encoder, batch.column(1), end_id):
+                ids, ends = ids.astype("<u4", copy=False), ends.tolist()
                 rows = []
                 for k in range(len(ends) - 1):
                     for piece, at in enumerate(range(ends[k], ends[k + 1], capacity)):
-                        n = min(capacity, int(ends[k + 1]) - at)
+                        n = min(capacity, ends[k + 1] - at)
                         rows.append((doc_ids[lo + k], piece, piece * capacity, n, zlib.crc32(ids[at : at + n]), part, int(seen[n])))
                         seen[n] += 1
-                yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r, strict=True)) for r in rows], SCHEMA)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(cut, PIECES)
 
 
-NAMES = [c.split()[0] for c in PIECES.split(", ")]
 SCHEMA = pa.schema([(c.split()[0], pa.int32() if c.endswith("int") else pa.int64()) for c in PIECES.split(", ")])
 
 

@@ -5,13 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from returnsight.llm.ann import nearest
 from returnsight.llm.bpe import encode_decode
 from returnsight.llm.common import table
+from returnsight.llm.covertree import near_vectors
+from returnsight.llm.licenses import license_scan
 from returnsight.llm.packing import best_fit_packing
+from returnsight.llm.quality import quality_scores
 from returnsight.llm.records import token_records
+from returnsight.llm.secret_scan import secret_spans
 from returnsight.llm.simhash import simhash_groups
 from returnsight.llm.tokens import vocabulary_path
+from returnsight.llm.toxicity import toxicity_scores
 
 END_ID = 1
 
@@ -24,17 +31,44 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), vocabulary_path(), capacity=4096, end_id=END_ID)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), vocabulary_path(), end_id=END_ID)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")
+
+
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(table(spark, sf_dir, "documents"))
+    line = F.transform("licenses", lambda m: F.concat_ws(":", m.license, F.format_number(m.coverage, 4), m.start, m.end))
+    return found.select("doc_id", "n_licenses", F.array_join(line, ",").alias("licenses"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_decode(table(spark, sf_dir, "documents"), vocabulary_path())
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op4_token_records, op9_bpe)}
+    own = (op1_simhash, op2_packing, op3_quality, op4_token_records, op5_secrets, op6_neighbours, op7_near_vectors, op8_licenses, op9_bpe, op10_toxicity)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -96,14 +96,15 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1
         at = before = records = 0
         with files.open_output_stream(f"{path}.rec") as out, files.open_output_stream(f"{path}.idx") as index:
             for batch in batches:
-                doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-                for lo, ids, ends in sliced_ids(encoder, texts, end_id):
+                doc_ids = batch.column(0).to_pylist()
+                for lo, ids, ends in sliced_ids(encoder, batch.column(1), end_id):
                     entries = np.zeros(len(ends) - 1, INDEX)
-                    for k in range(len(ends) - 1):
-                        record = frame(pack_ids(doc_ids[lo + k], ids[ends[k] : ends[k + 1]]))
-                        entries[k] = at, before + ends[k], ends[k + 1] - ends[k]
-                        out.write(record)
-                        at += len(record)
+                    bounds, records_of = ends.tolist(), []
+                    for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                        records_of.append(frame(pack_ids(doc_ids[lo + k], ids[a:b])))
+                        entries[k] = at, before + a, b - a
+                        at += len(records_of[-1])
+                    out.write(b"".join(records_of))
                     index.write(entries.tobytes())
                     before, records = before + int(ends[-1]), records + len(entries)
         row = [TaskContext.get().partitionId()], [name], [0], [records], [before]

@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
-            for lo, hi in slices([t or "" for t in texts.to_pylist()]):
+            for lo, hi in slices([len(t or "") for t in texts.to_pylist()]):
                 fps = [fingerprint(t, words) for t in texts[lo:hi].to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 

@@ -1,24 +1,22 @@
-"""Token ids of whole texts, white-space chunk by chunk.
+"""Token ids of whole texts, by distinct chunk and word.
 
 The tokenizer drops white space and never joins across it, so a text's ids are the ids of its
-chunks in order. Each worker keeps the ids of the chunks it has met (a bounded table, emptied when
-full) and gathers the ids of many texts with a few array operations."""
+chunks in order. Arrow splits the texts and finds the distinct chunks of a slice; most are a plain
+word, perhaps with a punctuation mark, whose ids are those of the lower-case word and the mark. Each
+worker keeps the ids of the words it has met (a bounded table), so only new words are encoded."""
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Sequence
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from returnsight.llm.common import slices
 
-#: Python splits at these, the tokenizer's white space does not hold them.
-SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
-
-
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -88,46 +86,64 @@ class IdTable:
 
 
 class ChunkTable:
-    """Ids of texts from those of their chunks, and these from those of their words;
+    """Ids of texts from those of their distinct chunks, and these from those of their words;
     ``encode_words`` supplies the ids of words not met before."""
 
-    #: Letters whose lower case and composition do not depend on their neighbours, then punctuation.
-    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+    #: Letters whose lower case and composition do not depend on their neighbours.
+    PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+    MARKS = ".,;:!?"
 
-    def __init__(self, limit: int = 300_000):
-        self.chunks, self.words = IdTable(limit), IdTable(limit)
+    def __init__(self, limit: int = 700_000):
+        self.words = IdTable(limit)
 
     def split(self, chunk: str) -> list[str]:
-        """Pieces of a chunk that the tokenizer never joins: the chunk itself, unless it is plain."""
-        if m := self.PLAIN.fullmatch(chunk):
-            return [m[1].lower(), m[2]] if m[2] else [m[1].lower()]
+        """Words of a chunk that is not plain; the tokenizer must never join them."""
         return [chunk]
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, number of ids of each)."""
         raise NotImplementedError
 
-    def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        words: list[str] = []
-        ends = np.zeros(len(chunks) + 1, np.int64)
-        for i, chunk in enumerate(chunks):
-            words += self.split(chunk)
-            ends[i + 1] = len(words)
-        ids, lens = self.words.gather(self.words.lookup(words, self.encode_words))
-        return ids, np.diff(np.concatenate([[0], np.cumsum(lens)])[ends])
-
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, number of ids of each text)."""
-        chunks: list[str] = []
-        ends = np.zeros(len(texts) + 1, np.int64)
-        for i, text in enumerate(texts):
-            if any(s in text for s in SEPARATORS):
-                chunks.append(text)
-            else:
-                chunks += text.split()
-            ends[i + 1] = len(chunks)
-        ids, lens = self.chunks.gather(self.chunks.lookup(chunks, self._encode_chunks))
-        return ids, np.diff(np.concatenate([[0], np.cumsum(lens)])[ends])
+    def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of distinct chunks in a row, number of ids of each)."""
+        core = pc.ascii_rtrim(chunks, self.MARKS)
+        cut = _numpy(pc.subtract(pc.binary_length(chunks), pc.binary_length(core)))
+        plain = _numpy(pc.match_substring_regex(core, self.PLAIN)) & (cut <= 1)
+        lower = pc.utf8_lower(core.filter(pa.array(plain))).dictionary_encode()
+        words = [*lower.dictionary.to_numpy(zero_copy_only=False), *self.MARKS]
+        base = len(words)
+        other = [self.split(c) for c in chunks.filter(pa.array(~plain)).to_numpy(zero_copy_only=False)]
+        codes = self.words.lookup([*words, *chain.from_iterable(other)], self.encode_words)
+
+        parts = np.ones(len(chunks), np.int64)
+        parts[~plain] = np.fromiter(map(len, other), np.int64, len(other))
+        marked = np.flatnonzero(plain & (cut == 1))
+        parts[marked] = 2
+        ends = np.cumsum(parts)
+        flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+        rest = np.repeat(~plain, parts)
+        flat[rest] = codes[base:]
+        flat[(ends - parts)[plain]] = codes[lower.indices.to_numpy(zero_copy_only=False)]
+        mark = pc.utf8_slice_codeunits(chunks.take(pa.array(marked)), -1)
+        flat[ends[marked] - 1] = codes[base - len(self.MARKS) + _numpy(pc.index_in(mark, pa.array(list(self.MARKS))))]
+        ids, lens = self.words.gather(flat)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], ends])])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each text); ``texts`` holds no nulls."""
+        chunks = pc.ascii_split_whitespace(texts)
+        coded = chunks.flatten().dictionary_encode()
+        ids, lens = self._distinct(coded.dictionary)
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        size = lens[code]
+        before = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat((np.cumsum(lens) - lens)[code] - before[:-1], size) + np.arange(before[-1])
+        ends = np.concatenate([[0], np.cumsum(_numpy(pc.list_value_length(chunks)))])
+        return ids[at], np.diff(before[ends])
+
+
+def _numpy(values: pa.Array) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False)
 
 
 class LibraryChunks(ChunkTable):
@@ -142,10 +158,11 @@ class LibraryChunks(ChunkTable):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.letters = dict(enumerate(byte_letters()))
+        self.plain_rx = re.compile(self.PLAIN)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # lower-case plain letters need no normalising and are one word: straight to the model, spelled as bytes
-        plain = [w.islower() and self.PLAIN.fullmatch(w) is not None and w.isalpha() for w in words]
+        plain = [w.islower() and self.plain_rx.fullmatch(w) is not None for w in words]
         rest = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False))
         tokenize = self.tokenizer.model.tokenize
         spelled = (w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in words)
@@ -164,10 +181,11 @@ def worker_table(kind: type[ChunkTable], path: str) -> ChunkTable:
     return _tables[kind, path]
 
 
-def sliced_ids(encoder: ChunkTable, texts: list[str], end_id: int | None = None):
-    """(index of the first text, ids, offsets) per slice of ``texts``; text k of the slice owns
-    ids[offsets[k]:offsets[k + 1]], with ``end_id`` last if given."""
-    for lo, hi in slices(texts):
+def sliced_ids(encoder: ChunkTable, texts: pa.Array, end_id: int | None = None):
+    """(index of the first text, ids, offsets) per slice of ``texts`` (null: empty); text k of the
+    slice owns ids[offsets[k]:offsets[k + 1]], with ``end_id`` last if given."""
+    texts = pc.fill_null(texts, "")
+    for lo, hi in slices(_numpy(pc.binary_length(texts)).tolist()):
         ids, lens = encoder.encode(texts[lo:hi])
         if end_id is not None:
             ids, lens = np.insert(ids, np.cumsum(lens), end_id), lens + 1
