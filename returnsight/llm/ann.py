@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from returnsight.llm.common import staged
+from returnsight.llm.common import ready, staged
 from returnsight.llm.vectors import doubles, matrix, usable, width
 
 #: Rows that centroids are fitted on, and the share of lists that a query probes.
@@ -32,6 +32,10 @@ FIT_ROWS, PROBED = 20_000, 0.75
 SEGMENT, BLOCK = 4096, 256
 #: Columns of a block; the hypothesis test's width in standard errors.
 COLUMNS, EPSILON = 16, 2.1
+#: With a smaller share of candidates left, the next columns are read for these alone.
+DENSE = 0.15
+#: Rows that a task gathers over its lists before it keeps each query's best and passes them on.
+GATHERED = 400_000
 
 
 class Index(NamedTuple):
@@ -68,31 +72,47 @@ def fit(sample: np.ndarray, longest: float, lists: int, seed: int = 7, steps: in
 
 
 def adaptive_scan(queries: np.ndarray, candidates: np.ndarray, k: int, columns: int = COLUMNS, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
-    """(query, candidate) pairs of rotated rows that may be among the k nearest: those that no test
-    on a partial distance has abandoned."""
+    """(query, candidate) pairs of rotated rows: the k nearest, up to what a test on a partial
+    distance has abandoned wrongly."""
     n, dim = len(candidates), queries.shape[1]
     if n <= k:
         return np.repeat(np.arange(len(queries)), n), np.tile(np.arange(n), len(queries))
 
-    def block(lo: int) -> tuple[np.ndarray, np.ndarray]:
-        return queries[:, lo : lo + columns], candidates[:, lo : lo + columns]
-
-    q, c = block(0)
-    partial = (q**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None, :] - 2 * q @ c.T
-    # a first bound: the k-th best full distance among those that look nearest
-    ahead = np.argpartition(partial, min(n - 1, 2 * k), axis=1)[:, : 2 * k + 1]
-    full = ((queries[:, None, :] - candidates[ahead]) ** 2).sum(axis=2)
-    bound = np.partition(full, k - 1, axis=1)[:, k - 1]
-    seen = min(columns, dim)
-    i, j = np.nonzero(partial <= (bound * _allowance(seen, dim, epsilon))[:, None])
+    norms = (candidates**2).sum(axis=1)
+
+    def near(order: np.ndarray) -> np.ndarray:
+        """The k-th best full distance among the candidates that look nearest by ``order``."""
+        ahead = np.argpartition(order, min(n - 1, 2 * k), axis=1)[:, : 2 * k + 1]
+        cross = np.matmul(candidates[ahead], queries[:, :, None])[:, :, 0]
+        full = (queries**2).sum(axis=1)[:, None] + norms[ahead] - 2 * cross
+        return np.partition(full, k - 1, axis=1)[:, k - 1] * (1 + 1e-9) + 1e-12
+
+    # while most candidates are in, a block is one matrix product over all of them
+    partial = np.zeros((len(queries), n))
+    for lo in range(0, dim, columns):
+        q, c = queries[:, lo : lo + columns], candidates[:, lo : lo + columns]
+        partial += (q**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None, :] - 2 * q @ c.T
+        seen = min(lo + columns, dim)
+        if lo == 0 and seen < dim:
+            continue  # the bound is taken after two blocks
+        if lo <= columns:
+            bound = near(partial)
+        alive = partial <= (bound * _allowance(seen, dim, epsilon))[:, None] + 1e-12
+        if alive.mean() < DENSE:
+            break
+    i, j = np.nonzero(alive)
     sums = partial[i, j]
-    for lo in range(columns, dim, columns):
-        q, c = block(lo)
-        sums = sums + ((q[i] - c[j]) ** 2).sum(axis=1)
+    for lo in range(seen, dim, columns):  # then only of what is left
+        sums = sums + ((queries[i, lo : lo + columns] - candidates[j, lo : lo + columns]) ** 2).sum(axis=1)
         seen = min(lo + columns, dim)
-        kept = sums <= bound[i] * _allowance(seen, dim, epsilon)
+        kept = sums <= bound[i] * _allowance(seen, dim, epsilon) + 1e-12
         i, j, sums = i[kept], j[kept], sums[kept]
-    return i, j
+    # of the full distances the k smallest, and what is as near up to rounding
+    order = np.lexsort((sums, i))
+    i, j, sums = i[order], j[order], sums[order]
+    start, end = np.searchsorted(i, i), np.searchsorted(i, i, side="right")
+    kept = sums <= sums[np.minimum(start + k - 1, end - 1)] * (1 + 1e-9) + 1e-9 if len(i) else np.zeros(0, bool)
+    return i[kept], j[kept]
 
 
 def _allowance(seen: int, dim: int, epsilon: float) -> float:
@@ -108,7 +128,7 @@ def _scan(dim: int, k: int, shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        key, held, ids, known, rotated = None, [], None, None, None
+        key, held, ids, known, rotated, found, rows = None, [], None, None, None, [], 0
         for batch in batches:
             keys, is_query, reps = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
             x = matrix(batch.column(3), dim)
@@ -131,19 +151,32 @@ def _scan(dim: int, k: int, shared):
                     some = slice(at, min(at + BLOCK, hi))
                     i, j = adaptive_scan(index.rotated(x[some]), rotated, k)
                     score = np.einsum("ij,ij->i", x[some][i], known[j])
-                    yield _best(reps[some][i], ids[j], score, k)
+                    found.append((reps[some][i], ids[j], score))
+                    rows += len(i)
+                if rows > GATHERED:
+                    found = [_best(found, k)]
+                    rows = len(found[0][0])
+                    if rows > GATHERED // 2:
+                        yield _found(found[0])
+                        found, rows = [], 0
+        if found:
+            yield _found(_best(found, k))
 
     return run
 
 
-def _best(query: np.ndarray, candidate: np.ndarray, score: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k best of each query, and what ties with the last of them."""
+def _found(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query", "candidate", "score"])
+
+
+def _best(found: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """(query, candidate, score) of the k best of each query, and what ties with the last of them."""
+    query, candidate, score = (np.concatenate(c) for c in zip(*found, strict=True))
     order = np.lexsort((-score, query))
     query, candidate, score = query[order], candidate[order], score[order]
-    start = np.searchsorted(query, query)
-    last = np.minimum(start + k - 1, np.searchsorted(query, query, side="right") - 1)
-    kept = score >= score[last] if len(score) else np.zeros(0, bool)
-    return pa.RecordBatch.from_arrays([pa.array(query[kept]), pa.array(candidate[kept]), pa.array(score[kept])], ["query", "candidate", "score"])
+    start, end = np.searchsorted(query, query), np.searchsorted(query, query, side="right")
+    kept = score >= score[np.minimum(start + k - 1, end - 1)] if len(score) else np.zeros(0, bool)
+    return query[kept], candidate[kept], score[kept]
 
 
 def nearest(rows: DataFrame, every: int = 20, k: int = 20, probed: float = PROBED) -> DataFrame:
@@ -154,7 +187,7 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, probed: float = PROBE
     component, take no part. Shorter vectors count as padded with zeros. A query never finds its own
     row; rows that repeat an id count once per different vector. With fewer candidates all are found.
     An empty table gives no rows; other columns are ignored."""
-    spark = rows.sparkSession
+    spark = ready(rows).sparkSession
     own = rows.select(F.col("vec_id").cast("long").alias("vec_id"), doubles(F.col("embedding")).alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     reps = staged(own.groupBy("vector").agg(F.min("vec_id").alias("first")).withColumn("rep", F.monotonically_increasing_id()), "vector-reps")
     total = reps.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("longest")).first()

@@ -11,14 +11,14 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
+from returnsight.llm.common import gathered, ready
 from returnsight.llm.tokens import ChunkTable, byte_letters, sliced_ids, worker_table
 
 NO_RANK = np.iinfo(np.int64).max
@@ -116,28 +116,25 @@ class WordBpe(ChunkTable):
         return self.text[at].tobytes()[:-1]
 
 
-def bpe_roundtrip(text: Column, vocabulary: str, with_ids: bool = False) -> Column:
-    """Struct of n_tokens, ids_sha256 and decoded_sha256 of each text (null: empty); with
-    ``with_ids`` also the ids and the decoded text."""
-    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-
-    @pandas_udf(fields)
-    def roundtrip(texts: pd.Series) -> pd.DataFrame:
-        model, out = worker_table(WordBpe, vocabulary), []
-        for _, ids, ends in sliced_ids(model, pa.Array.from_pandas(texts, type=pa.string())):
-            ids, ends = ids.astype("<u4", copy=False), ends.tolist()
-            for lo, hi in zip(ends, ends[1:], strict=False):
-                own = ids[lo:hi]
-                decoded = model.decode(own)
-                row = hi - lo, hashlib.sha256(own.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()
-                out.append((*row, own.astype("int32"), decoded.decode()) if with_ids else row)
-        return pd.DataFrame(out, columns=[f.split()[0] for f in fields.split(", ")])
-
-    return roundtrip(text)
+FIELDS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
-    """doc_id and the fields of ``bpe_roundtrip`` for every row of ``docs``. Null texts count as
-    empty (no ids); null or repeated ids are kept as they are; an empty table gives no rows."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.select("doc_id", bpe_roundtrip(F.col("text"), vocabulary, with_ids).alias("bpe")).select("doc_id", "bpe.*")
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of ``docs`` (doc_id, text), with
+    ``with_ids`` also the ids and the decoded text. Null texts count as empty (no ids); null or
+    repeated ids are kept as they are; an empty table gives no rows; other columns are ignored."""
+
+    def roundtrip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = worker_table(WordBpe, vocabulary)
+        for batch in gathered(batches, text=1):
+            for first, ids, ends in sliced_ids(model, batch.column(1)):
+                ids, ends, rows = ids.astype("<u4", copy=False), ends.tolist(), []
+                for lo, hi in zip(ends, ends[1:], strict=False):
+                    decoded = model.decode(ids[lo:hi])
+                    row = hi - lo, hashlib.sha256(ids[lo:hi]).hexdigest(), hashlib.sha256(decoded).hexdigest()
+                    rows.append((*row, ids[lo:hi].astype("int32"), decoded.decode()) if with_ids else row)
+                columns = [batch.column(0)[first : first + len(rows)], *(pa.array(c) for c in zip(*rows, strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
+
+    rows = ready(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(roundtrip, FIELDS + ", ids array<int>, decoded string" * with_ids)

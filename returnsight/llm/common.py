@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +19,27 @@ from returnsight.session import ensure_checkpoint_dir
 SLICE_CHARS = 6_000_000
 
 
+#: Rows of a batch sent to Python: whole texts are large, and Spark's 10,000 of them fill a worker.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_shipped: set[str] = set()
+
+
+def ready(df: DataFrame) -> DataFrame:
+    """Prepare ``df``'s session for Python stages over texts: smaller Arrow batches, unless the user
+    has set their size, and this package on the executors."""
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        package = Path(__file__).resolve().parent.parent
+        if package.is_dir():  # not already inside an archive
+            base = f"{tempfile.mkdtemp(prefix='package-')}/{package.name}-{uuid.uuid4().hex[:8]}"
+            spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", package.parent, package.name))
+        _shipped.add(application)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,6 +76,23 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> Da
     return rows.join(F.broadcast(ids), F.col("own_id") == F.col("fit_id")).select("own_id", "text", "fit_label")
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches whose texts (column number ``text``) hold about ``limit``
+    bytes; a longer batch passes as it is."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        own = pc.sum(pc.binary_length(batch.column(text))).as_py() or 0
+        if held and size + own > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += own
+    if held:
+        yield pa.concat_batches(held)
+    pa.default_memory_pool().release_unused()
+
+
 def slices(sizes: Sequence[int], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of texts of the given sizes that hold at most ``limit`` together, one text at least."""
     start = held = 0

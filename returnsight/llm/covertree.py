@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from returnsight.llm.common import staged
+from returnsight.llm.common import ready, staged
 from returnsight.llm.components import components, forest
 from returnsight.llm.vectors import doubles, matrix, usable, width
 
@@ -154,10 +154,10 @@ def dual_traversal(
             na, ba, qa = one.level(k + 1)
             nb, bb, qb = two.level(k + 1)
             fa, fb = np.searchsorted(ba, sa), np.searchsorted(bb, sb)  # first child of every node
-            reach = threshold + SLACK + float(qa.max() + qb.max())
-            stack += [(k + 1, i, j) for i, j in _products(fa, fb, a, b, one.unit, two.unit, na, nb, reach)]
+            stack += [(k + 1, i, j) for i, j in _products(fa, fb, a, b, one.unit[na], two.unit[nb], qa, qb, threshold)]
             continue
-        for i, j in _products(sa, sb, a, b, one.unit, two.unit, one.order, two.order, threshold + SLACK):
+        x, y = one.unit[one.order], two.unit[two.order]
+        for i, j in _products(sa, sb, a, b, x, y, np.zeros(len(x)), np.zeros(len(y)), threshold):
             p, q = one.order[i], two.order[j]
             near = linked(p, q)
             if both:
@@ -170,18 +170,19 @@ def dual_traversal(
     return out, links
 
 
-def _products(fa, fb, a, b, x, y, vx, vy, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _products(fa, fb, a, b, x, y, rx, ry, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of an element fa[a[k]], ... before fa[a[k] + 1] and one of fb likewise, for all k;
-    of large blocks only those whose vectors x[vx], y[vy] lie within ``reach``."""
+    of large blocks only those that come within the threshold given their radii rx, ry."""
     na, nb = fa[a + 1] - fa[a], fb[b + 1] - fb[b]
     large = na * nb > 2048
     for k in np.flatnonzero(large).tolist():
         i0, j0 = int(fa[a[k]]), int(fb[b[k]])
-        right = y[vy[j0 : j0 + int(nb[k])]]
+        right, reach = y[j0 : j0 + int(nb[k])], ry[j0 : j0 + int(nb[k])] + threshold + SLACK
         step = max(1, 4 * PAIRS // len(right))
         for lo in range(i0, i0 + int(na[k]), step):
             hi = min(lo + step, i0 + int(na[k]))
-            i, j = np.nonzero(x[vx[lo:hi]] @ right.T >= 1 - reach * reach / 2 - SLACK)
+            far = rx[lo:hi, None] + reach[None, :]
+            i, j = np.nonzero(2.0 - 2.0 * (x[lo:hi] @ right.T) <= far * far + SLACK)
             if len(i):
                 yield i + lo, j + j0
     a, b, na, nb = a[~large], b[~large], na[~large], nb[~large]
@@ -309,7 +310,7 @@ def near_vectors(rows: DataFrame, cosine: float = 0.93, split: int = 2 * CELL) -
     component, link with nothing and are their own component. Shorter vectors count as padded with
     zeros. Repeated ids are rows of their own. An empty table gives no rows; other columns are
     ignored."""
-    spark = rows.sparkSession
+    spark = ready(rows).sparkSession
     own = rows.select(F.col("vec_id").cast("long").alias("vec_id"), doubles(F.col("embedding")).alias("vector"), F.col("label").cast("long").alias("label"))
     taking = F.col("label").isNotNull() & usable(F.col("vector"))
     classes = own.where(taking).groupBy("label", "vector").agg(F.count("*").alias("weight"))

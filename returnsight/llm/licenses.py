@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from returnsight.llm.common import ready
+
 GRAM, WINDOW = 3, 2
 #: Insertions or omissions that an alignment can be off the straight line by.
 BAND = 8
@@ -162,5 +164,5 @@ def licenses(text: Column, min_coverage: float = MIN_COVERAGE) -> Column:
 def license_scan(docs: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """doc_id, n_licenses and licenses (array by position) of every row of ``docs``. Null texts count
     as empty; null and repeated ids are kept; an empty table gives no rows; other columns are ignored."""
-    rows = docs.select("doc_id", licenses(F.col("text").cast("string"), min_coverage).alias("licenses"))
+    rows = ready(docs).select("doc_id", licenses(F.col("text").cast("string"), min_coverage).alias("licenses"))
     return rows.select("doc_id", F.size("licenses").alias("n_licenses"), "licenses")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from returnsight.llm.common import staged
+from returnsight.llm.common import gathered, ready, staged
 from returnsight.llm.tokens import LibraryChunks, sliced_ids, worker_table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
@@ -145,7 +145,7 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: in
 
         encoder = worker_table(LibraryChunks, vocabulary)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in gathered(batches, text=1):
             doc_ids = batch.column(0).to_pylist()
             for lo, ids, ends in sliced_ids(encoder, batch.column(1), end_id):
                 ids, ends = ids.astype("<u4", copy=False), ends.tolist()
@@ -157,7 +157,7 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: in
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = ready(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(cut, PIECES)
 
 

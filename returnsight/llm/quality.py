@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from returnsight.llm import logistic
-from returnsight.llm.common import fit_sample, held_out, staged
+from returnsight.llm.common import fit_sample, held_out, ready, staged
 
 #: At most so many labelled rows are used for fitting.
 FIT_ROWS = 20_000
@@ -75,7 +75,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Model:
             x = [[float(v) for v in measures(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(2)], ["x", "y"])
 
-    rows = fit_sample(docs, labels, "quality", bound).mapInArrow(measure, "x array<double>, y int").collect()
+    rows = fit_sample(ready(docs), labels, "quality", bound).mapInArrow(measure, "x array<double>, y int").collect()
     sample = np.array([[*r["x"], r["y"]] for r in rows], float).reshape(-1, MEASURES + 1)
     sample = sample[np.lexsort(sample.T)]  # the same model whatever the partitions
     return Model(logistic.fit(sample[:, :-1], sample[:, -1]))
@@ -134,7 +134,7 @@ def with_scores(docs: DataFrame, model: Model, host: Column, path: Column) -> Da
     """``docs`` as struct ``row``, with evidence, host_posterior, path_posterior and score."""
     # a null site is a site of its own, apart from the empty name
     key = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")).alias(n) for n, c in (("host", host), ("path", path))]
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *key, evidence(F.col("text"), model).alias("p"))
+    rows = ready(docs).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *key, evidence(F.col("text"), model).alias("p"))
     sites, prior = site_posteriors(rows.select("host", "path", "p"))
     sites = sites.withColumnsRenamed({"host": "site_host", "path": "site_path"})
     out = rows.join(sites, (F.col("host") == F.col("site_host")) & (F.col("path") == F.col("site_path")))

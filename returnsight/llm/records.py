@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from returnsight.llm.common import shared_path, staged
+from returnsight.llm.common import gathered, ready, shared_path, staged
 from returnsight.llm.tokens import LibraryChunks, sliced_ids, worker_table
 
 MASK_DELTA = 0xA282EAD8
@@ -82,7 +82,7 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1
     ids in any order) as shards in ``folder``; returns the manifest, one row per shard.
 
     The texts cross one range shuffle on doc_id; each task streams its range to one shard."""
-    spark = docs.sparkSession
+    spark = ready(docs).sparkSession
     folder = _uri(folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +95,7 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1
         path = _filesystem(name)[1]
         at = before = records = 0
         with files.open_output_stream(f"{path}.rec") as out, files.open_output_stream(f"{path}.idx") as index:
-            for batch in batches:
+            for batch in gathered(batches, text=1):
                 doc_ids = batch.column(0).to_pylist()
                 for lo, ids, ends in sliced_ids(encoder, batch.column(1), end_id):
                     entries = np.zeros(len(ends) - 1, INDEX)
@@ -162,7 +162,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
                         out = []
                 yield _rows(out)
 
-    n = manifest.count()
+    n = ready(manifest).count()
     return manifest.repartition(max(1, n), "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

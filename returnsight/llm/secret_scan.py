@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from returnsight.llm.common import ready
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -195,7 +197,7 @@ def secrets(text: Column, min_guess_bits: float = MIN_GUESS_BITS) -> Column:
 def secret_spans(docs: DataFrame, min_guess_bits: float = MIN_GUESS_BITS) -> DataFrame:
     """doc_id and the fields of ``secrets`` for every row of ``docs``. Null texts count as empty;
     null and repeated ids are kept; an empty table gives no rows; other columns are ignored."""
-    rows = docs.select("doc_id", secrets(F.col("text").cast("string"), min_guess_bits).alias("found"))
+    rows = ready(docs).select("doc_id", secrets(F.col("text").cast("string"), min_guess_bits).alias("found"))
     return rows.select("doc_id", "found.*")
 
 
@@ -208,7 +210,7 @@ def without_secrets(docs: DataFrame, mask: str = "[secret]", min_guess_bits: flo
         for texts in batches:
             yield pd.Series([None if t is None else masked_text(t, find_spans(t, min_guess_bits)[1], mask) for t in texts], dtype=object)
 
-    out = docs.withColumn("text", redact(F.col("text").cast("string")))
+    out = ready(docs).withColumn("text", redact(F.col("text").cast("string")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from returnsight.llm.common import slices, staged
+from returnsight.llm.common import ready, slices, staged
 from returnsight.llm.components import components, forest
 
 #: Node pairs that a task expands at a time.
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
                 fps = [fingerprint(t, words) for t in texts[lo:hi].to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = ready(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
@@ -191,20 +191,20 @@ def linked_fingerprints(fps: DataFrame, max_bits: int, hot: int = 4096, levels:
     connect. Values shared by more than ``hot`` are split again, up to ``levels`` times in all; what
     is shared beyond that is walked whole. Keys are hashes: a clash adds work, never a link."""
     parts, free = max_bits + 1, 64
-    rows = fps.select(F.lit(0).cast("long").alias("key"), "fp", F.col("fp").alias("bits"))
+    rows = ready(fps).select(F.lit(0).cast("long").alias("key"), "fp", F.col("fp").alias("bits"))
     links = None
     for level in range(levels):
         rows = _split(rows, free, parts)
         free -= free // parts
-        ready, rest = rows, None
+        whole, rest = rows, None
         if level + 1 < levels and free >= 2 * parts:
             rows = staged(rows, "trie-rows")
             full = staged(rows.groupBy("key").count().where(F.col("count") > hot).select("key"), "hot-keys")
             if not full.isEmpty():
-                ready, rest = rows.join(full, "key", "left_anti"), rows.join(full, "key", "left_semi")
+                whole, rest = rows.join(full, "key", "left_anti"), rows.join(full, "key", "left_semi")
             else:
-                ready = rows
-        dealt = ready.repartition("key").sortWithinPartitions("key").mapInArrow(_links(max_bits), "a long, b long")
+                whole = rows
+        dealt = whole.repartition("key").sortWithinPartitions("key").mapInArrow(_links(max_bits), "a long, b long")
         links = dealt if links is None else links.unionByName(dealt)
         if rest is None:
             break

@@ -93,7 +93,7 @@ class ChunkTable:
     PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
     MARKS = ".,;:!?"
 
-    def __init__(self, limit: int = 700_000):
+    def __init__(self, limit: int = 400_000):
         self.words = IdTable(limit)
 
     def split(self, chunk: str) -> list[str]:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from returnsight.llm import logistic
-from returnsight.llm.common import fit_sample, held_out, slices
+from returnsight.llm.common import fit_sample, held_out, ready, slices
 
 #: At most so many labelled rows are used for fitting.
 FIT_ROWS = 20_000
@@ -82,7 +83,7 @@ def character_counts(docs: DataFrame) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["gram", "n"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "gram long, n long")
+    rows = ready(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(count, "gram long, n long")
     out = np.zeros(LETTERS**3, np.int64)
     for r in rows.groupBy("gram").agg(F.sum("n").alias("n")).collect():
         out[r["gram"]] = r["n"]
@@ -171,7 +172,7 @@ def features(word: str) -> list[str]:
 class Scorer:
     """Word weights of texts; keeps a bounded table of chunks it has met."""
 
-    def __init__(self, costs: list, weights: dict[str, float], limit: int = 300_000):
+    def __init__(self, costs: list, weights: dict[str, float], limit: int = 200_000):
         self.restorer, self.weights, self.limit = Restorer(costs), weights, limit
         self.known: dict[str, float] = {}
         self.heads = {f.removeprefix("=")[:SHORTEST_HEAD] for f in weights}
@@ -197,19 +198,22 @@ class Scorer:
         return max(found, default=0.0), math.log1p(sum(found)), math.log1p(len(chunks))
 
 
+_scorers: dict[str, Scorer] = {}
+
+
 class Model:
+    """What ``fit`` learned; each worker keeps one scorer, that of the model it used last."""
+
     def __init__(self, costs: list, weights: dict[str, float], regression: logistic.Logistic | None = None):
         self.costs, self.weights, self.regression = costs, weights, regression
-        self._scorer: Scorer | None = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"_scorer": None}
+        self.name = uuid.uuid4().hex
 
     @property
     def scorer(self) -> Scorer:
-        if self._scorer is None:
-            self._scorer = Scorer(self.costs, self.weights)
-        return self._scorer
+        if self.name not in _scorers:
+            _scorers.clear()
+            _scorers[self.name] = Scorer(self.costs, self.weights)
+        return _scorers[self.name]
 
     def score(self, texts: list[str]) -> np.ndarray:
         x = np.array([self.scorer.measures(t) for t in texts], float).reshape(-1, 3)
@@ -291,7 +295,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     labels of both kinds every score is the smoothed share of toxic labels; an empty table gives no
     rows; other columns are ignored."""
     model = fit(docs, labels, bound)
-    rows = docs.select("doc_id", score(F.col("text").cast("string"), model).alias("score"))
+    rows = ready(docs).select("doc_id", score(F.col("text").cast("string"), model).alias("score"))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

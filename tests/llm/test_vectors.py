@@ -146,8 +146,9 @@ def test_adaptive_scan_keeps_the_nearest():
     rng = np.random.default_rng(0)
     c, q = rng.normal(size=(800, 65)), rng.normal(size=(30, 65))
     i, j = adaptive_scan(q, c, 21)
-    assert len(i) < 0.9 * 800 * 30
+    assert 21 * 30 <= len(i) < 25 * 30
     d = ((q[:, None] - c[None]) ** 2).sum(axis=2)
     kept = set(zip(i.tolist(), j.tolist(), strict=True))
     best = [(k, int(n)) for k in range(30) for n in np.argsort(d[k])[:21]]
     assert sum(p in kept for p in best) >= 0.99 * len(best)
+    assert {(int(a), int(b)) for a, b in zip(*adaptive_scan(q, c, 21, epsilon=1e9), strict=True)} == set(best)
