@@ -31,7 +31,9 @@ def main(argv: list[str] | None = None) -> None:
     src.add_argument("--detail", help="transaction-line table (path or catalog name)")
     src.add_argument("--sql-schema", help="catalog schema holding the reference's tables (SQL feature build)")
     ap.add_argument("--sku", help="SKU dimension table (path or catalog name)")
-    ap.add_argument("--format", default="parquet", help="input format, or 'table' for catalog tables")
+    ap.add_argument("--format", default="parquet", help="input format, 'table' for catalog tables or 'jdbc'")
+    ap.add_argument("--url", help="database address (with --format jdbc)")
+    ap.add_argument("--partition", nargs=4, metavar=("COLUMN", "LOW", "HIGH", "N"), help="read the lines as N range queries (with --format jdbc)")
     ap.add_argument("--out", help="output folder (shared storage on a cluster)")
     ap.add_argument("--model", default="GBT", choices=["GBT", "RF", "LR"])
     ap.add_argument("--predictors", default="All", choices=["All", "Footwear", "Brand"])
@@ -62,7 +64,10 @@ def main(argv: list[str] | None = None) -> None:
         S.build_report_table(spark, **tables)
         print(json.dumps({"tables": [tables["feature_table"], tables["report_table"]]}))
         return
-    source = Source(sf_dir=a.sf_dir) if a.sf_dir else Source(detail=a.detail, sku=a.sku, fmt=a.format)
+    source = Source(sf_dir=a.sf_dir) if a.sf_dir else Source(
+        detail=a.detail, sku=a.sku, fmt=a.format, url=a.url,
+        partition=(a.partition[0], *map(int, a.partition[1:])) if a.partition else None,
+    )
     spark = get_session(a.master)
     written = run(spark, source, params, a.out, a.model, cross_validate=not a.no_cv, only=a.only)
     print(json.dumps({"out": a.out, "tables": written}))

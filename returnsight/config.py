@@ -19,7 +19,6 @@ ZSCORE_COLUMNS = ("quantity", "receipted_rate", "avg_price_product", "ecom_rate"
 # brand patterns (note the space before ADIDAS), report brand filter "Adidas", IQR factor 0.5,
 # 30 % hold-out with seed 10, 10 folds with seed 1, boosted trees at rate 0.09 / depth 3 /
 # seed 42, random forest of 100 trees at depth 3.
-# ---------------------------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
@@ -52,15 +51,16 @@ class Params:
     rf_depth: int = 3
     rf_seed: int = 42
     lr_iters: int = 100
-    # Shapley values: background rows drawn by hash from the training data
-    shap_background: int = 32
     predictor_set: str = "All"
+    # boosting rounds between checkpoints of the fit's intermediate data (-1: none)
+    gbt_checkpoint_interval: int = 25
 
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)
 
 
 REFERENCE = Params()
+# --- end of the fixed values ---------------------------------------------------------------
 
 # Values for the driver's TPC-H-shaped test tables (FIXTURES.md): a part has ~30 lines over all
 # years, so the window is three years and the threshold 8 sale lines; the patterns hit p_type/p_name.

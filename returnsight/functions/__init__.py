@@ -1,10 +1,10 @@
 from returnsight.functions.scalars import (
     decode_flag,
-    hash_bucket,
+    key_hash,
     icontains,
     nan_to_null,
     round_doubles,
     safe_ln,
 )
 
-__all__ = ["decode_flag", "hash_bucket", "icontains", "nan_to_null", "round_doubles", "safe_ln"]
+__all__ = ["decode_flag", "key_hash", "icontains", "nan_to_null", "round_doubles", "safe_ln"]

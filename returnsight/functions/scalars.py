@@ -34,14 +34,10 @@ def icontains(c: str | Column, pattern: str) -> Column:
     return F.coalesce(_col(c).rlike(f"(?iu){pattern}"), F.lit(False))
 
 
-def hash_bucket(key: str | Column, salt: int | str, buckets: int) -> Column:
-    """Deterministic bucket of a key: first 32 bits of md5('key|salt') modulo ``buckets``.
-
-    Independent of partitioning and task retries (unlike ``rand`` / ``randomSplit``), and the
-    same number in any engine that has md5.
-    """
-    digest = F.md5(F.concat(_col(key).cast("string"), F.lit(f"|{salt}")))
-    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.lit(buckets)).cast("int")
+def key_hash(key: str | Column, salt: int | str) -> Column:
+    """Deterministic order of keys: md5 of 'key|salt' in hex, the same in any engine that has md5
+    and independent of partitioning and task retries (unlike ``rand`` / ``randomSplit``)."""
+    return F.md5(F.concat(_col(key).cast("string"), F.lit(f"|{salt}")))
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:

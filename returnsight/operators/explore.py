@@ -7,9 +7,9 @@ are unpivoted with ``unpivot`` so they stay DataFrames.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations_with_replacement
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,18 +76,24 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation for every ordered pair, pairwise-complete, in one aggregation."""
+    """Pearson correlation for every ordered pair over the rows where both are present, in one
+    aggregation; missing where one of the two does not vary (the diagonal included)."""
     cols = list(cols)
     norm = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
-    pairs = list(combinations(cols, 2))
-    row = norm.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)]).first()
+    pairs = list(combinations_with_replacement(cols, 2))
+
+    def corr(a: str, b: str) -> Column:
+        x = F.when(F.col(b).isNotNull(), F.col(a))
+        y = F.when(F.col(a).isNotNull(), F.col(b))
+        varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+        r = F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)))
+        return F.when(varies, F.lit(1.0) if a == b else r)
+
+    row = norm.agg(*[corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)]).first()
     val = {}
     for i, (a, b) in enumerate(pairs):
         val[(a, b)] = val[(b, a)] = row[f"{i}"]
-    out = []
-    for a in cols:
-        for b in cols:
-            out.append((a, b, 1.0 if a == b else val[(a, b)]))
+    out = [(a, b, val[(a, b)]) for a in cols for b in cols]
     return df.sparkSession.createDataFrame(out, "feature_a string, feature_b string, corr double")
 
 

@@ -57,37 +57,59 @@ def decoded_lines(detail: DataFrame, params: Params) -> DataFrame:
     )
 
 
-# A SKU dimension up to this many rows (about 100 MB of derived attributes) is broadcast to the
-# line-level join after a row count; a larger one is left to the planner.
+# A SKU dimension up to this many rows and bytes of derived attributes is broadcast to the
+# line-level join; a larger one is left to the planner.
 BROADCAST_DIMENSION_ROWS = 1_000_000
+BROADCAST_DIMENSION_BYTES = 100 << 20
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if its rows and bytes, measured in one aggregation, are within
+    the bounds."""
+    text = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    width = sum(text, F.lit(16 * len(df.columns))).cast("long")
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).first()
+    small = size["n"] <= BROADCAST_DIMENSION_ROWS and (size["bytes"] or 0) <= BROADCAST_DIMENSION_BYTES
+    return F.broadcast(df) if small else df
+
+
+# AQE refuses to split a skewed join partition if the split costs a shuffle above it, as it does
+# when the aggregation above groups by the join key; a key with a third of all lines needs it.
+FORCE_SKEW_SPLIT = "spark.sql.adaptive.forceOptimizeSkewedJoin"
+
+
+def force_skew_split(df: DataFrame) -> None:
+    """Turn the option on for the frame's session, unless the user has set it."""
+    conf = df.sparkSession.conf
+    if conf.get(FORCE_SKEW_SPLIT, "false") == "false":
+        conf.set(FORCE_SKEW_SPLIT, "true")
 
 
 def detail_flags(detail: DataFrame, sku: DataFrame, params: Params) -> DataFrame:
     """The intermediate line table: windowed lines joined to the dimension, flags decoded.
 
-    The dimension's row count is checked first (a metadata-backed count for parquet): up to
-    ``BROADCAST_DIMENSION_ROWS`` rows it is broadcast, so the line table is never shuffled for
-    this join and a SKU holding a third of the lines stays in its map tasks. A larger dimension
-    is left to the planner: a sort-merge join on ``sku_key`` whose skewed partitions AQE splits.
+    Up to the broadcast bounds the dimension is broadcast, so the line table is never shuffled for
+    this join and a SKU holding a third of the lines stays in its map tasks. Beyond them it is a
+    sort-merge join on ``sku_key`` whose skewed partitions AQE splits.
     """
-    lines = decoded_lines(detail, params)
-    dim = dimension_attributes(sku)
-    if sku.count() <= BROADCAST_DIMENSION_ROWS:
-        dim = F.broadcast(dim)
-    j = lines.join(dim, "sku_key", "inner")
+    force_skew_split(detail)
+    j = decoded_lines(detail, params).join(broadcast_if_small(dimension_attributes(sku)), "sku_key", "inner")
     return j.select(
         "sku_key", "quantity", "plu_amt", "tran_discount_amt", "override_amt", "extended_amt",
         "ecom", "sale", "return", "receipted", "product_desc", "sku_cost", "sku_color", "sku_size",
     )
 
 
-def active_skus(tmp: DataFrame, params: Params) -> DataFrame:
-    """SKUs with more than ``min_sale_lines`` sale *lines* (not units)."""
-    return (
-        tmp.groupBy("sku_key")
-        .agg(F.sum("sale").cast("long").alias("sale_lines"))
-        .filter(F.col("sale_lines") > F.lit(params.min_sale_lines))
-    )
+def active_skus(detail: DataFrame, sku: DataFrame, params: Params) -> DataFrame:
+    """SKUs with more than ``min_sale_lines`` sale *lines* (not units) joined to the dimension.
+
+    Sale lines and dimension rows are counted per key before they meet, so a key with a third of the
+    lines crosses the shuffle as one partial row per map task."""
+    lines = in_window(detail, params).select("sku_key", decode_flag("sale").alias("sale"))
+    sold = lines.groupBy("sku_key").agg(F.sum("sale").cast("long").alias("sold"))
+    rows = sku.groupBy("sku_key").agg(F.count(F.lit(1)).alias("key_rows"))
+    counted = sold.join(rows, "sku_key").select("sku_key", (F.col("sold") * F.col("key_rows")).alias("sale_lines"))
+    return counted.filter(F.col("sale_lines") > F.lit(params.min_sale_lines))
 
 
 def _feature_aggs() -> list[Column]:
@@ -103,15 +125,13 @@ def _feature_aggs() -> list[Column]:
 
 
 def sku_features(detail: DataFrame, sku: DataFrame, params: Params) -> DataFrame:
-    """Semi-join form (statement-for-statement with the reference's SQL).
+    """Semi-join form: joined lines of active SKUs, aggregated by the five group keys.
 
-    The active-SKU set (at most one row per SKU) is checkpointed and counted; up to
-    ``BROADCAST_DIMENSION_ROWS`` rows it is broadcast to the semi-join, so lines are never
-    shuffled for it; a larger set is left to the planner (sort-merge, AQE skew split)."""
+    The active set (one row per SKU at most) is checkpointed and measured; up to the broadcast bounds
+    it is broadcast to the semi-join, so lines are never shuffled for it; a larger set is joined by
+    sort-merge with AQE's skew split."""
     tmp = detail_flags(detail, sku, params)
-    active = materialise(active_skus(tmp, params).select("sku_key"))
-    if active.count() <= BROADCAST_DIMENSION_ROWS:
-        active = F.broadcast(active)
+    active = broadcast_if_small(materialise(active_skus(detail, sku, params).select("sku_key")))
     out = tmp.join(active, "sku_key", "left_semi").groupBy(*GROUP_KEYS).agg(*_feature_aggs())
     return out.select(*FEATURE_COLUMNS)
 

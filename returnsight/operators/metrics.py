@@ -23,6 +23,18 @@ def balanced_accuracy(df: DataFrame, label: str = "label", prediction: str = "pr
     return df.agg(((tpr + tnr) / 2).alias("balanced_accuracy"))
 
 
+def score_table(rows: DataFrame, auc: float | None) -> DataFrame:
+    """``(metric, value)``: accuracy on train, test and all rows and balanced accuracy of the test
+    rows, from one aggregation over rows with ``is_test``, then the given ROC AUC."""
+    hit = (F.col("label") == F.col("prediction")).cast("double")
+    test, y = F.col("is_test"), F.col("label")
+    one = rows.agg(
+        F.avg(F.when(~test, hit)).alias("accuracy_train"), F.avg(F.when(test, hit)).alias("accuracy_test"), F.avg(hit).alias("accuracy_all"),
+        ((F.avg(F.when(test & (y == 1), hit)) + F.avg(F.when(test & (y == 0), hit))) / 2).alias("balanced_accuracy"),
+    ).withColumn("roc_auc", F.lit(auc).cast("double"))
+    return one.unpivot([], one.columns, "metric", "value")
+
+
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Rows = true label, columns = predicted 0 / 1."""
     return (

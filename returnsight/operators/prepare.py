@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from returnsight.config import ZSCORE_COLUMNS, Params
 from returnsight.functions import icontains, nan_to_null, safe_ln
+from returnsight.operators.features import broadcast_if_small, force_skew_split
 from returnsight.operators.ranking import dense_codes_long, exact_median, exact_quantiles
 from returnsight.session import materialise
 
@@ -38,23 +39,19 @@ def encoding_dictionary(df: DataFrame, cols: Sequence[str] = ENCODED_COLUMNS) ->
     return dense_codes_long(df, cols)
 
 
-# Dictionaries up to this many (column, category) rows are broadcast explicitly (a few MB).
-BROADCAST_DICTIONARY_ROWS = 100_000
-
-
 def label_encode(df: DataFrame, cols: Sequence[str] = ENCODED_COLUMNS) -> DataFrame:
     """Replace each categorical column with its code. The dictionary has one row per category.
 
-    Its size is checked first: up to ``BROADCAST_DICTIONARY_ROWS`` rows it is broadcast, so the
-    frame is never shuffled by category (a category held by a third of the rows would otherwise
-    land in one reduce task, once per encoded column). A larger dictionary is left to the
-    planner: sort-merge joins whose skewed partitions AQE splits."""
+    Its rows and bytes are measured first: up to the broadcast bounds it is broadcast, so the frame
+    is never shuffled by category (a category held by a third of the rows would otherwise land in one
+    reduce task, once per encoded column). A larger dictionary is joined by sort-merge, whose skewed
+    partitions AQE splits."""
     codes = materialise(encoding_dictionary(df, cols))
-    small = codes.count() <= BROADCAST_DICTIONARY_ROWS
+    force_skew_split(df)
     out = df
     for c in cols:
         d = codes.filter(F.col("column_name") == c).select(F.col("category").alias("_cat"), F.col("code").alias("_code"))
-        d = F.broadcast(d) if small else d
+        d = broadcast_if_small(d)
         out = out.join(d, out[c].eqNullSafe(d["_cat"]), "left").withColumn(c, F.col("_code")).drop("_cat", "_code")
     return out
 

@@ -175,12 +175,3 @@ def dense_codes_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return ranked.join(F.broadcast(starts), "column_name").select(
         "column_name", "category", (F.col("_pos") - F.col("_start")).cast("int").alias("code")
     )
-
-
-def dense_codes(df: DataFrame, col: str, code_col: str | None = None) -> DataFrame:
-    """Dictionary ``(col, code)``: distinct values in ascending byte order, NULL last, coded
-    0..k-1 (the label encoder's sorted-classes rule)."""
-    code_col = code_col or f"{col}_code"
-    distinct = df.select(col).distinct()
-    ranked = range_index(distinct, [F.col(col).asc_nulls_last()])
-    return ranked.select(col, F.col("_pos").cast("int").alias(code_col))

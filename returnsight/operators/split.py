@@ -1,8 +1,8 @@
-"""Hold-out split and k-fold assignment by key hash.
+"""Hold-out split and k-fold assignment of exact size.
 
-A row's side and fold depend only on its key and the seed, so the split is the same under any
-partitioning, after a task retry, and in the SQL oracle. Sizes are close to, not exactly,
-the requested fraction.
+Rows are ranked by a hash of their key and a seed (ties by key), so a row's side and fold do not
+depend on partitioning or task retries, and the SQL oracle can rank the same way. The ranking is a
+distributed sort; no window holds more than one partition.
 """
 
 from __future__ import annotations
@@ -10,19 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from returnsight.functions import hash_bucket
+from returnsight.functions import key_hash
+from returnsight.operators.ranking import range_index
 
 
-def holdout_split(df: DataFrame, key: str = "sku_key", test_fraction: float = 0.3, seed: int = 10) -> DataFrame:
-    """Adds ``is_test`` (boolean): the key's hash bucket (of 1000) is below ``1000 * test_fraction``."""
-    return df.withColumn("is_test", hash_bucket(key, seed, 1000) < F.lit(int(round(test_fraction * 1000))))
+def _ranked(df: DataFrame, key: str, seed: int) -> tuple[DataFrame, int]:
+    """``df`` with ``_pos``, the 0-based rank of its key's hash, and its number of rows."""
+    ranked = range_index(df.withColumn("_hash", key_hash(key, seed)), [F.col("_hash").asc(), F.col(key).asc()])
+    return ranked.drop("_hash"), ranked.count()
 
 
-def fold_assignment(df: DataFrame, key: str = "sku_key", n_folds: int = 10, seed: int = 1) -> DataFrame:
-    """Adds ``fold`` in ``[0, n_folds)``."""
-    return df.withColumn("fold", hash_bucket(key, seed, n_folds))
+def holdout_split(df: DataFrame, key: str = "sku_key", test_fraction: float = 0.3, seed: int = 10) -> DataFrame:
+    """Adds ``is_test`` (boolean): true for the first ceil(n * ``test_fraction``) rows in hash order."""
+    ranked, n = _ranked(df, key, seed)
+    return ranked.withColumn("is_test", F.col("_pos") < F.ceil(F.lit(n) * F.lit(test_fraction).cast("decimal(9,6)"))).drop("_pos")
 
 
-def train_test(df: DataFrame, key: str = "sku_key", test_fraction: float = 0.3, seed: int = 10) -> tuple[DataFrame, DataFrame]:
-    s = holdout_split(df, key, test_fraction, seed)
-    return s.filter(~F.col("is_test")).drop("is_test"), s.filter(F.col("is_test")).drop("is_test")
+def fold_assignment(df: DataFrame, key: str = "sku_key", n_folds: int = 10, seed: int = 1) -> DataFrame:
+    """Adds ``fold`` in ``[0, n_folds)``; sizes differ by one row at most. Fewer rows than folds raise."""
+    ranked, n = _ranked(df, key, seed)
+    if n < n_folds:
+        raise ValueError(f"cannot make {n_folds} folds of {n} rows")
+    return ranked.withColumn("fold", (F.col("_pos") % n_folds).cast("int")).drop("_pos")

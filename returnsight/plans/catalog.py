@@ -17,8 +17,11 @@ from returnsight.operators import prepare as P
 from returnsight.operators import report as R
 from returnsight.operators.features import active_skus, detail_flags, sku_features, sku_features_eager
 from returnsight.operators.split import fold_assignment, holdout_split
+from returnsight.plans import explain as EX
 from returnsight.plans import pipeline as PL
-from returnsight.sources import fixture_detail, fixture_sku
+from returnsight.plans.model_queries import study
+from returnsight.plans.models import summarise_folds
+from returnsight.sources import as_source, fixture_detail, fixture_sku
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,13 +46,34 @@ def _scored(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
     return holdout_split(s, "sku_key", p.test_fraction, p.split_seed)
 
 
+#: A linear model with given weights, and two given trees over given columns, for explanations that
+#: SQL can express as well: ecom_rate <= 0.5 ? (quantity <= 5 ? 1 : -0.5) : 0.25, and
+#: avg_price_product <= 7.2 ? 0.7 : -0.3; the shares are the training rows that go left.
+FIXED_WEIGHTS = {"receipted_rate": 0.8, "ecom_rate": -1.25, "quantity": 0.5, "sku_size": 0.01}
+FIXED_INTERCEPT = -0.4
+FIXED_TREE_COLUMNS = ["ecom_rate", "quantity", "avg_price_product"]
+FIXED_TREES = EX.TreeTables(
+    [1.0, 0.5],
+    [
+        [
+            EX.LeafPath(1.0, [(0, 0.5, True, 0.6), (1, 5.0, True, 0.5)]),
+            EX.LeafPath(-0.5, [(0, 0.5, True, 0.6), (1, 5.0, False, 0.5)]),
+            EX.LeafPath(0.25, [(0, 0.5, False, 0.4)]),
+        ],
+        [EX.LeafPath(0.7, [(2, 7.2, True, 0.4)]), EX.LeafPath(-0.3, [(2, 7.2, False, 0.6)])],
+    ],
+    1.0,
+    3,
+)
+
+
 def spark_queries(p: Params = FIXTURE) -> dict[str, Query]:
     def q_detail_flags(spark, d):
         # products and quotients of stored values: bit-identical across engines, so not rounded
         return detail_flags(*_inputs(spark, d), p)
 
     def q_active_skus(spark, d):
-        return active_skus(detail_flags(*_inputs(spark, d), p), p)
+        return active_skus(*_inputs(spark, d), p)
 
     def q_sku_features(spark, d):
         return round_doubles(sku_features(*_inputs(spark, d), p))
@@ -63,7 +87,7 @@ def spark_queries(p: Params = FIXTURE) -> dict[str, Query]:
         return round_doubles(streaming_sku_features(spark, d, p))
 
     def q_feature_table_readback(spark, d):
-        # CTAS into the shared folder (overwrite, so a rerun replaces), then the final read-back
+        # CTAS into the shared folder twice, the second replacing the first, then the final read-back
         import os
         import uuid
 
@@ -71,9 +95,22 @@ def spark_queries(p: Params = FIXTURE) -> dict[str, Query]:
         from returnsight.sources import read_table, write_table
 
         target = os.path.join(ensure_checkpoint_dir(spark), f"parameters_for_analysis_cln-{uuid.uuid4().hex}")
-        write_table(sku_features_eager(*_inputs(spark, d), p), target)
+        for _ in range(2):
+            write_table(sku_features_eager(*_inputs(spark, d), p), target)
         return round_doubles(read_table(spark, target))
 
+    def _sql_tables(spark, d):
+        # feature and report table of the SQL script, built once for the queries that read them
+        from returnsight.plans import sql_build as S
+
+        def build():
+            t = S.fixture_tables(spark, d)
+            S.build_feature_table(spark, p, **t)
+            S.build_report_table(spark, **t)
+            return t
+
+        return PL.memo(spark, as_source(d), ("sql", p), build)
+
     def q_line_table_sql(spark, d):
         # the intermediate as the SQL script builds it: a temporary view over the two inputs
         from returnsight.plans import sql_build as S
@@ -88,12 +125,18 @@ def spark_queries(p: Params = FIXTURE) -> dict[str, Query]:
         return round_doubles(S.build_feature_table(spark, p, **S.fixture_tables(spark, d)))
 
     def q_report_table_sql(spark, d):
-        # the per-product report table, written from the feature table and read back
+        return round_doubles(spark.table(_sql_tables(spark, d)["report_table"]))
+
+    def q_top_family_sql(spark, d):
         from returnsight.plans import sql_build as S
 
-        t = S.fixture_tables(spark, d)
-        S.build_feature_table(spark, p, **t)
-        return round_doubles(S.build_report_table(spark, **t))
+        top = S.top_products(spark, _sql_tables(spark, d)["report_table"], p.family_pattern, p.top_k)
+        return round_doubles(top.select("product_desc", "avg_return_rate"))
+
+    def q_top_brand_sql(spark, d):
+        from returnsight.plans import sql_build as S
+
+        return round_doubles(S.top_products(spark, _sql_tables(spark, d)["report_table"], p.report_brand_pattern, p.top_k))
 
     def q_null_mask(spark, d):
         f = PL.feature_table(spark, d, p)
@@ -123,9 +166,12 @@ def spark_queries(p: Params = FIXTURE) -> dict[str, Query]:
     def q_brand_flag(spark, d):
         return P.text_flags(PL.feature_table(spark, d, p), p).select("sku_key", "product_desc", "brand")
 
-    def q_predictor_set(spark, d):
-        before = PL.logged(spark, d, p)
-        return round_doubles(before.select("sku_key", "label", *predictors("Footwear")))
+    def _predictor_set(variant):
+        return lambda spark, d: round_doubles(PL.logged(spark, d, p).select("sku_key", "label", *predictors(variant)))
+
+    q_predictor_set = _predictor_set("Footwear")
+    q_predictor_set_all = _predictor_set("All")
+    q_predictor_set_brand = _predictor_set("Brand")
 
     def q_midpoint_quartiles(spark, d):
         before = PL.logged(spark, d, p)
@@ -191,19 +237,54 @@ def spark_queries(p: Params = FIXTURE) -> dict[str, Query]:
     def q_roc_points(spark, d):
         return round_doubles(M.roc_points(_scored(spark, d, p).filter(F.col("is_test"))))
 
-    def _summary(spark, d):
-        return round_doubles(R.product_summary(PL.feature_table(spark, d, p)))
+    def q_fold_summary(spark, d):
+        # the cross-validation summary of a fixed predictor, fold by fold
+        lab = _scored(spark, d, p).drop("is_test")
+        folds = fold_assignment(lab, "sku_key", p.n_folds, p.fold_seed)
+        per_fold = folds.groupBy("fold").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"))
+        return round_doubles(summarise_folds(per_fold.withColumn("dataset", F.lit("all"))))
+
+    def q_fixed_prediction_head(spark, d):
+        test = _scored(spark, d, p).filter("is_test").drop("is_test")
+        return round_doubles(test.orderBy("sku_key").limit(50))
+
+    def _linear(spark, d, frame=None):
+        # the linear model's closed form with fixed weights, against the training rows' means
+        s = study(spark, d, p)
+        return EX.weights_shap(s.frame if frame is None else frame(s.frame), FIXED_WEIGHTS, FIXED_INTERCEPT, s.train)
+
+    def q_linear_explanation(spark, d):
+        long, base = _linear(spark, d)
+        return round_doubles(long.withColumn("base_value", F.lit(base)))
+
+    def q_linear_explanation_global(spark, d):
+        return round_doubles(EX.global_importance(_linear(spark, d)[0]))
+
+    def q_linear_explanation_class0(spark, d):
+        return round_doubles(EX.for_class(_linear(spark, d)[0], 0))
+
+    def q_linear_explanation_rows(spark, d):
+        return round_doubles(EX.one_row(*_linear(spark, d, EX.picked_rows)))
+
+    def q_tree_explanation(spark, d):
+        # two fixed trees through the code that explains fitted ones
+        s = study(spark, d, p)
+        long, base = EX.tables_shap(s.frame, FIXED_TREES, FIXED_TREE_COLUMNS)
+        return round_doubles(long.withColumn("base_value", F.lit(base)))
 
     def q_product_summary(spark, d):
-        return _summary(spark, d)
+        return round_doubles(R.product_summary(PL.feature_table(spark, d, p)))
+
+    def _top(spark, d, pattern, *cols):
+        # ranked on the unrounded rates, as the run and the SQL script rank them
+        top = R.top_k(R.matching(R.product_summary(PL.feature_table(spark, d, p)), pattern), p.top_k)
+        return round_doubles(top.select(*cols))
 
     def q_top_family(spark, d):
-        return R.top_k(R.matching(_summary(spark, d), p.family_pattern), p.top_k).select("product_desc", "avg_return_rate")
+        return _top(spark, d, p.family_pattern, "product_desc", "avg_return_rate")
 
     def q_top_brand(spark, d):
-        return R.top_k(R.matching(_summary(spark, d), p.report_brand_pattern), p.top_k).select(
-            "product_desc", "avg_return_rate", "avg_ecom_rate"
-        )
+        return _top(spark, d, p.report_brand_pattern, "product_desc", "avg_return_rate", "avg_ecom_rate")
 
     def q_preview(spark, d):
         return R.preview(round_doubles(PL.feature_table(spark, d, p)), 10)
@@ -217,10 +298,12 @@ def oracle_queries(p: Params = FIXTURE) -> dict[str, str]:
        round(quantity, 6) AS quantity, round(ecom_rate, 6) AS ecom_rate, round(receipted_rate, 6) AS receipted_rate
 FROM features"""
     summary = """summary AS (
-  SELECT product_desc, round(avg(return_rate), 6) AS avg_return_rate, round(avg(ecom_rate), 6) AS avg_ecom_rate,
-         round(avg(quantity), 6) AS avg_quantity, round(sum(quantity), 6) AS tot_quantity
+  SELECT product_desc, avg(return_rate) AS avg_return_rate, avg(ecom_rate) AS avg_ecom_rate,
+         avg(quantity) AS avg_quantity, sum(quantity) AS tot_quantity
   FROM features GROUP BY product_desc
 )"""
+    summary_round = """SELECT product_desc, round(avg_return_rate, 6) AS avg_return_rate, round(avg_ecom_rate, 6) AS avg_ecom_rate,
+       round(avg_quantity, 6) AS avg_quantity, round(tot_quantity, 6) AS tot_quantity FROM summary"""
     fam, brand = p.family_pattern.replace("'", "''"), p.report_brand_pattern.replace("'", "''")
     null_count_sql = "\nUNION ALL\n".join(
         f"SELECT '{c}' AS column_name, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS null_count FROM features"
@@ -229,21 +312,15 @@ FROM features"""
     )
     test = "(SELECT * FROM scored WHERE is_test)"
     sql = {
-        "detail_flags": O.with_ctes(p, "", """
-SELECT sku_key, quantity, plu_amt, tran_discount_amt, override_amt, extended_amt,
-       ecom, sale, ret AS "return", receipted, product_desc, sku_cost, sku_color, sku_size
-FROM tmp"""),
+        "detail_flags": O.line_table_sql(p),
         "active_skus": O.active_skus_sql(p),
         "sku_features": O.with_ctes(p, "", feats_round),
         "sku_features_single_scan": O.with_ctes(p, "", feats_round),
         "sku_features_streaming": O.with_ctes(p, "", feats_round),
         "feature_table_readback": O.with_ctes(p, "", feats_round),
-        "line_table_sql": O.with_ctes(p, "", """
-SELECT sku_key, quantity, plu_amt, tran_discount_amt, override_amt, extended_amt,
-       ecom, sale, ret AS "return", receipted, product_desc, sku_cost, sku_color, sku_size
-FROM tmp"""),
+        "line_table_sql": O.line_table_sql(p),
         "feature_table_sql": O.with_ctes(p, "", feats_round),
-        "report_table_sql": O.with_ctes(p, summary, "SELECT * FROM summary"),
+        "report_table_sql": O.with_ctes(p, summary, summary_round),
         "null_mask": O.with_ctes(p, "", "SELECT sku_key, receipted_rate IS NULL OR isnan(receipted_rate) AS receipted_rate_missing FROM features"),
         "schema_info": O.with_ctes(p, "", "\nUNION ALL\n".join(
             f"SELECT '{c}' AS column_name, '{t}' AS dtype, count({c}) AS non_null FROM features"
@@ -270,11 +347,11 @@ FROM features"""),
         "brand_flag": O.with_ctes(p, "", f"""
 SELECT sku_key, product_desc, CAST(COALESCE(regexp_matches(product_desc, '{p.brand_pattern.replace("'", "''")}', 'i'), false) AS INTEGER) AS brand
 FROM features"""),
-        "predictor_set": O.prep_sql(p, """
+        **{name: O.prep_sql(p, f"""
 SELECT sku_key, label, round(receipted_rate, 6) AS receipted_rate, sku_color, sku_size,
        round(avg_price_product, 6) AS avg_price_product, round(quantity, 6) AS quantity,
-       round(ecom_rate, 6) AS ecom_rate, footwear
-FROM logged"""),
+       round(ecom_rate, 6) AS ecom_rate{extra}
+FROM logged""") for name, extra in (("predictor_set", ", footwear"), ("predictor_set_all", ""), ("predictor_set_brand", ", brand"))},
         "midpoint_quartiles": O.midpoint_quartiles_sql(p, QUARTILE_COLUMNS),
         "iqr_filtered": O.prep_sql(p, """
 SELECT sku_key, label, round(ecom_rate, 6) AS ecom_rate, round(quantity, 6) AS quantity,
@@ -291,9 +368,15 @@ FROM filtered"""),
         "describe": O.describe_sql(p, DESCRIBE_COLUMNS),
         "correlation": O.correlation_sql(p, predictors("All")),
         "box_stats": O.box_stats_sql(p, predictors("All")),
-        "holdout_split": O.with_ctes(p, "", f"""
-SELECT sku_key, {O._bucket('sku_key', p.split_seed, 1000)} < {int(round(p.test_fraction * 1000))} AS is_test FROM features"""),
-        "fold_assignment": O.with_ctes(p, "", f"SELECT sku_key, {O._bucket('sku_key', p.fold_seed, p.n_folds)} AS fold FROM features"),
+        "holdout_split": O.with_ctes(p, "", f"SELECT sku_key, {O.is_test_sql(p)} AS is_test FROM features"),
+        "fold_assignment": O.with_ctes(p, "", f"SELECT sku_key, {O.fold_sql(p)} AS fold FROM features"),
+        "fold_summary": O.prep_sql(p, f"""
+SELECT 'all' AS dataset, round(avg(a), 6) AS mean, round(stddev_pop(a), 6) AS std, round(min(a), 6) AS min, round(max(a), 6) AS max,
+       count(*) AS folds
+FROM (SELECT fold, avg(CAST(label = prediction AS DOUBLE)) AS a FROM (SELECT *, {O.fold_sql(p)} AS fold FROM scored) f GROUP BY fold) g"""),
+        "fixed_prediction_head": O.prep_sql(p, f"""
+SELECT sku_key, label, round(score, 6) AS score, prediction FROM {test} t ORDER BY sku_key LIMIT 50"""),
+        **O.explanation_sql(p, FIXED_WEIGHTS, FIXED_INTERCEPT, EX.EXPLAINED_ROWS),
         "accuracy": O.prep_sql(p, """
 SELECT 'train' AS dataset, round(avg(CAST(label = prediction AS DOUBLE)), 6) AS accuracy, count(*) AS n FROM scored WHERE NOT is_test
 UNION ALL
@@ -336,15 +419,15 @@ SELECT round(threshold, 6) AS threshold,
 FROM (SELECT score AS threshold, count(*) FILTER (WHERE label = 1) AS tp, count(*) FILTER (WHERE label <> 1) AS fp
       FROM {test} t GROUP BY score) per,
      (SELECT count(*) FILTER (WHERE label = 1) AS pp, count(*) FILTER (WHERE label <> 1) AS nn FROM {test} t2) tot"""),
-        "product_summary": O.with_ctes(p, summary, "SELECT * FROM summary"),
-        "top_family": O.with_ctes(p, summary, f"""
-SELECT product_desc, avg_return_rate FROM summary
+        "product_summary": O.with_ctes(p, summary, summary_round),
+        **{f"top_family{x}": O.with_ctes(p, summary, f"""
+SELECT product_desc, round(avg_return_rate, 6) AS avg_return_rate FROM summary
 WHERE COALESCE(regexp_matches(product_desc, '{fam}', 'i'), false)
-ORDER BY avg_return_rate DESC NULLS LAST, product_desc LIMIT {p.top_k}"""),
-        "top_brand": O.with_ctes(p, summary, f"""
-SELECT product_desc, avg_return_rate, avg_ecom_rate FROM summary
+ORDER BY summary.avg_return_rate DESC NULLS LAST, product_desc LIMIT {p.top_k}""") for x in ("", "_sql")},
+        **{f"top_brand{x}": O.with_ctes(p, summary, f"""
+SELECT product_desc, round(avg_return_rate, 6) AS avg_return_rate, round(avg_ecom_rate, 6) AS avg_ecom_rate FROM summary
 WHERE COALESCE(regexp_matches(product_desc, '{brand}', 'i'), false)
-ORDER BY avg_return_rate DESC NULLS LAST, product_desc LIMIT {p.top_k}"""),
+ORDER BY summary.avg_return_rate DESC NULLS LAST, product_desc LIMIT {p.top_k}""") for x in ("", "_sql")},
         "preview": O.with_ctes(p, "", feats_round + " ORDER BY sku_key LIMIT 10"),
     }
     return sql

@@ -21,17 +21,15 @@ as column expressions; the base value is ``w . mean + b`` in log-odds.
 from __future__ import annotations
 
 import math
-import os
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from returnsight.session import ensure_checkpoint_dir
+from returnsight.plans.models import Fitted, fill_missing, node_table
 
 try:  # ship this module's task code by value, so executors need not have the package installed
     import sys as _sys
@@ -43,11 +41,24 @@ except Exception:  # pragma: no cover - older cloudpickle
     pass
 
 
+@dataclass
+class Categories:
+    """A categorical split: the codes sent left, of ``total``. A code outside 0..total-1 goes left
+    if the left set holds more than half of the codes, which is the model's own rule."""
+
+    left: tuple[float, ...]
+    total: int
+
+    def goes_left(self, x: np.ndarray) -> np.ndarray:
+        known = (x >= 0) & (x < self.total) & (x == np.floor(x))
+        return np.where(known, np.isin(x, self.left), len(self.left) > self.total // 2)
+
+
 @dataclass
 class LeafPath:
     value: float
-    # (feature index, threshold or None, left categories or None, goes left, cover share)
-    steps: list[tuple[int, float | None, tuple[float, ...] | None, bool, float]]
+    # (feature index, threshold or categories, goes left, cover share)
+    steps: list[tuple[int, float | Categories, bool, float]]
 
 
 @dataclass
@@ -58,27 +69,9 @@ class TreeTables:
     n_features: int
 
 
-def tree_tables(model, kind: str, n_features: int) -> TreeTables:
-    """Read the fitted trees' nodes (Spark ML persistence) and turn them into leaf paths."""
-    spark = SparkSession.getActiveSession()
-    path = os.path.join(ensure_checkpoint_dir(spark), f"model-{uuid.uuid4().hex}")
-    model.write().overwrite().save(path)
-    nodes = (
-        spark.read.parquet(os.path.join(path, "data"))
-        .select(
-            F.col("treeID").alias("tree") if kind != "DT" else F.lit(0).alias("tree"),
-            F.col("nodeData.id").alias("id"),
-            F.col("nodeData.prediction").alias("prediction"),
-            F.col("nodeData.impurityStats").alias("stats"),
-            F.col("nodeData.rawCount").alias("count"),
-            F.col("nodeData.leftChild").alias("left"),
-            F.col("nodeData.rightChild").alias("right"),
-            F.col("nodeData.split.featureIndex").alias("feature"),
-            F.col("nodeData.split.leftCategoriesOrThreshold").alias("split"),
-            F.col("nodeData.split.numCategories").alias("ncat"),
-        )
-        .collect()
-    )
+def tree_tables(fitted: Fitted) -> TreeTables:
+    """The fitted trees' nodes as leaf paths."""
+    kind, model, nodes = fitted.kind, fitted.model, node_table(fitted)
     by_tree: dict[int, dict[int, object]] = {}
     for r in nodes:
         by_tree.setdefault(r["tree"], {})[r["id"]] = r
@@ -113,12 +106,12 @@ def tree_tables(model, kind: str, n_features: int) -> TreeTables:
             c = cover(r)
             f = int(r["feature"])
             split = list(r["split"])
-            thr, cats = (None, tuple(split)) if r["ncat"] >= 0 else (float(split[0]), None)
+            rule = Categories(tuple(split), int(r["ncat"])) if r["ncat"] >= 0 else float(split[0])
             for child, left in ((r["left"], True), (r["right"], False)):
                 share = cover(tbl[child]) / c if c > 0 else 0.5
-                stack.append((child, steps + [(f, thr, cats, left, share)]))
+                stack.append((child, steps + [(f, rule, left, share)]))
         leaves.append(out)
-    return TreeTables(weights, leaves, scale, n_features)
+    return TreeTables(weights, leaves, scale, len(fitted.cols))
 
 
 def shapley_weights(m: int) -> np.ndarray:
@@ -151,9 +144,8 @@ def coalition_values(x: np.ndarray, tables: TreeTables) -> np.ndarray:
             slot = {f: j for j, f in enumerate(feats)}
             in_s = ((np.arange(2**k)[:, None] >> np.arange(k)[None, :]) & 1).astype(bool)  # 2^k x k
             weight = np.full((n, 2**k), w_t * leaf.value)
-            for f, thr, cats, left, share in leaf.steps:
-                xf = x[:, f]
-                goes_left = np.isin(xf, cats) if cats is not None else xf <= thr
+            for f, rule, left, share in leaf.steps:
+                goes_left = rule.goes_left(x[:, f]) if isinstance(rule, Categories) else x[:, f] <= rule
                 follows = (goes_left == left).astype(float)
                 weight *= np.where(in_s[None, :, slot[f]], follows[:, None], share)
             if feats in acc:
@@ -170,45 +162,59 @@ def coalition_values(x: np.ndarray, tables: TreeTables) -> np.ndarray:
     return v * tables.scale
 
 
-def tree_shap(df: DataFrame, model, kind: str, cols: Sequence[str], key: str = "sku_key") -> tuple[DataFrame, float]:
-    """Long frame ``key, feature, value, phi`` for every row, plus the base value v(empty)."""
+def tree_shap(df: DataFrame, fitted: Fitted, key: str = "sku_key") -> tuple[DataFrame, float]:
+    """Long frame ``key, feature, value, phi`` for every row, plus the base value v(empty). Missing
+    predictors are explained at the value the model sees; ``value`` shows them as missing."""
+    return tables_shap(df, tree_tables(fitted), fitted.cols, fitted.fill, key)
+
+
+def tables_shap(
+    df: DataFrame, tables: TreeTables, cols: Sequence[str], fill: dict[str, float] | None = None, key: str = "sku_key"
+) -> tuple[DataFrame, float]:
     cols = list(cols)
-    tables = tree_tables(model, kind, len(cols))
     coef = shapley_weights(len(cols))
     base = float(coalition_values(np.zeros((1, len(cols))), tables)[0, 0])
-    key_type = dict(df.dtypes)[key]
+    seen = [f"_x{i}" for i in range(len(cols))]
 
     def explain(batches):
         for pdf in batches:
             if pdf.empty:
                 continue
-            x = pdf[cols].to_numpy(dtype=float)
-            phi = coalition_values(x, tables) @ coef  # n x M
+            phi = coalition_values(pdf[seen].to_numpy(dtype=float), tables) @ coef  # n x M
             n = len(pdf)
             yield pd.DataFrame({
                 key: np.repeat(pdf[key].to_numpy(), len(cols)),
                 "feature": np.tile(np.array(cols, dtype=object), n),
-                "value": x.reshape(-1),
+                "value": pd.array(pdf[cols].to_numpy(dtype=float).reshape(-1), dtype="Float64"),
                 "phi": phi.reshape(-1),
             })
 
-    schema = f"{key} {key_type}, feature string, value double, phi double"
-    src = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols])
+    schema = f"{key} {dict(df.dtypes)[key]}, feature string, value double, phi double"
+    src = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols], *_filled(cols, seen, fill or {}))
     return src.mapInPandas(explain, schema), base
 
 
-def linear_shap(df: DataFrame, model, cols: Sequence[str], background: DataFrame, key: str = "sku_key") -> tuple[DataFrame, float]:
+def _filled(cols: Sequence[str], names: Sequence[str], fill: dict[str, float]):
+    return [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(fill.get(c)).cast("double")).alias(n) for c, n in zip(cols, names, strict=True)]
+
+
+def linear_shap(df: DataFrame, fitted: Fitted, background: DataFrame, key: str = "sku_key") -> tuple[DataFrame, float]:
     """Closed-form values of a linear model in log-odds against the background means."""
-    cols = list(cols)
-    means = background.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
-    w = model.coefficients.toArray().tolist()
-    base = float(model.intercept) + sum(wi * (means[c] or 0.0) for wi, c in zip(w, cols))
+    return weights_shap(df, dict(zip(fitted.cols, fitted.model.coefficients.toArray().tolist(), strict=True)), float(fitted.model.intercept), background, fitted.fill, key)
+
+
+def weights_shap(
+    df: DataFrame, weights: dict[str, float], intercept: float, background: DataFrame, fill: dict[str, float] | None = None, key: str = "sku_key"
+) -> tuple[DataFrame, float]:
+    cols = list(weights)
+    means = fill_missing(background, fill or {}).agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
+    base = intercept + sum(w * (means[c] or 0.0) for c, w in weights.items())
     parts = F.array(*[
         F.struct(
             F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"),
-            (F.lit(wi) * (F.col(c).cast("double") - F.lit(means[c]).cast("double"))).alias("phi"),
+            (F.lit(w) * (seen - F.lit(means[c]).cast("double"))).alias("phi"),
         )
-        for wi, c in zip(w, cols)
+        for (c, w), seen in zip(weights.items(), _filled(cols, cols, fill or {}), strict=True)
     ])
     return df.select(key, F.inline(parts)), base
 
@@ -223,12 +229,21 @@ def for_class(long: DataFrame, cls: int) -> DataFrame:
     return long if cls == 1 else long.withColumn("phi", -F.col("phi"))
 
 
-def one_row(long: DataFrame, base: float, key_value, key: str = "sku_key") -> DataFrame:
-    """One row's explanation: contributions by decreasing |phi|, with the running total from the base value."""
-    row = long.filter(F.col(key) == F.lit(key_value))
-    w = Window.partitionBy(key).orderBy(F.abs("phi").desc(), "feature").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return row.select(
+def one_row(long: DataFrame, base: float, key: str = "sku_key") -> DataFrame:
+    """Each row's explanation: contributions by decreasing |phi|, with the running total from the base value."""
+    order = Window.partitionBy(key).orderBy(F.abs("phi").desc(), "feature")
+    return long.select(
         key, "feature", "value", "phi",
-        (F.lit(base) + F.sum("phi").over(w)).alias("cumulative"),
-        F.row_number().over(Window.partitionBy(key).orderBy(F.abs("phi").desc(), "feature")).alias("rank"),
+        (F.lit(base) + F.sum("phi").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).alias("cumulative"),
+        F.row_number().over(order).alias("rank"),
     )
+
+
+#: The rows, counted from 0 in key order, that the analysis explains one by one.
+EXPLAINED_ROWS = (10, 8, 0)
+
+
+def picked_rows(frame: DataFrame, rows: Sequence[int] = EXPLAINED_ROWS, key: str = "sku_key") -> DataFrame:
+    """The rows of ``frame`` at the given places in key order; filtered before any explaining."""
+    keys = [r[key] for r in frame.select(key).orderBy(key).limit(max(rows) + 1).collect()]
+    return frame.filter(F.col(key).isin([keys[r] for r in rows if r < len(keys)]))

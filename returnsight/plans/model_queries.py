@@ -1,210 +1,63 @@
-"""Model and explanation queries (no SQL twin: the driver records a rows-only check).
+"""Model and explanation queries of fitted models (no SQL twin: the driver records a rows-only check).
 
-Fitted models and the prepared frame are memoised per (application, data folder, parameters),
-so the catalogue fits each model once per session however many queries read it.
-"""
+All queries of a session, data folder and parameter set share one ``Study``, so each model is fitted
+once however many queries read it; it is made anew when the input files change."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from returnsight.config import Params
+from returnsight.operators import metrics as M
 from returnsight.plans import explain as EX
-from returnsight.plans import models as MD
 from returnsight.plans import pipeline as PL
-from returnsight.session import session_key
+from returnsight.plans.evaluate import Study
+from returnsight.sources import as_source
 
-_MEMO: dict[tuple, object] = {}
+KINDS = ("GBT", "RF", "LR")
 
 
-def _memo(spark: SparkSession, *key):
-    return (session_key(spark), *key)
-
-
-def _frame(spark: SparkSession, d: str, p: Params):
-    k = _memo(spark, "frame", d, p)
-    if k not in _MEMO:
-        prep = PL.prepared(spark, d, p)
-        mf = PL.model_frame(prep, p)
-        tr, te = MD.split(mf, p)
-        _MEMO[k] = (mf, tr, te, prep.predictors)
-    return _MEMO[k]
-
-
-def _model(spark: SparkSession, d: str, p: Params, kind: str):
-    k = _memo(spark, "model", d, p, kind)
-    if k not in _MEMO:
-        mf, tr, te, cols = _frame(spark, d, p)
-        _MEMO[k] = MD.fit(kind, tr, cols, p, categorical=(kind == "GBT"))
-    return _MEMO[k]
-
-
-def _scoring_frame(df: DataFrame, kind: str, cols) -> DataFrame:
-    return MD.with_nominal(df, [c for c in MD.CATEGORICAL if c in cols])[0] if kind == "GBT" else df
-
-
-def _spread(df: DataFrame) -> DataFrame:
-    """Python-side work should use every core: split a frame that arrives in fewer partitions
-    than the cluster has cores."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n, "sku_key") if df.rdd.getNumPartitions() < n else df
+def study(spark: SparkSession, sf_dir: str, p: Params) -> Study:
+    return PL.memo(spark, as_source(sf_dir), ("study", p), lambda: Study(spark, sf_dir, p))
 
 
 def model_queries(p: Params) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def predictions(kind: str):
-        def q(spark, d):
-            mf, tr, te, cols = _frame(spark, d, p)
-            m = _model(spark, d, p, kind)
-            return MD.predict(m, _scoring_frame(te, kind, cols), cols)
-
-        return q
-
-    def _test_predictions(spark, d, kind: str):
-        mf, tr, te, cols = _frame(spark, d, p)
-        return MD.predict(_model(spark, d, p, kind), _scoring_frame(te, kind, cols), cols)
-
-    def head(kind: str):
-        def q(spark, d):
-            """The first 50 test predictions with their class-1 probability, in key order."""
-            return _test_predictions(spark, d, kind).orderBy("sku_key").limit(50)
-
-        return q
-
-    def confusion_q(kind: str):
-        def q(spark, d):
-            from returnsight.operators.metrics import confusion
-
-            return confusion(_test_predictions(spark, d, kind))
-
-        return q
-
-    def report_q(kind: str):
-        def q(spark, d):
-            from returnsight.operators.metrics import class_report
-
-            return class_report(_test_predictions(spark, d, kind))
-
-        return q
-
-    def roc_q(kind: str):
-        def q(spark, d):
-            from returnsight.operators.metrics import roc_points
-
-            return roc_points(_test_predictions(spark, d, kind), score="probability")
-
-        return q
-
-    def q_gbt_eval_history(spark, d):
-        mf, tr, te, cols = _frame(spark, d, p)
-        m = _model(spark, d, p, "GBT")
-        return MD.eval_history(m, _scoring_frame(tr, "GBT", cols), _scoring_frame(te, "GBT", cols), cols)
-
-    def q_gbt_importance(spark, d):
-        mf, tr, te, cols = _frame(spark, d, p)
-        m = _model(spark, d, p, "GBT")
-        gain = MD.importances(m, cols).withColumnRenamed("importance", "gain_importance")
-        return MD.split_counts(m, cols).join(gain, "feature")
-
-    def q_rf_importance(spark, d):
-        mf, tr, te, cols = _frame(spark, d, p)
-        return MD.importances(_model(spark, d, p, "RF"), cols).orderBy(F.desc("importance"))
-
-    def cv(kind: str):
-        def q(spark, d):
-            mf, tr, te, cols = _frame(spark, d, p)
-            scores = MD.cv_scores(
-                kind, {"train": tr, "test": te, "all": mf}, cols, p,
-                categorical=(kind == "GBT"),
-            )
-            rows = [(name, i, float(s)) for name, ss in scores.items() for i, s in enumerate(ss)]
-            folds = spark.createDataFrame(rows, "dataset string, fold int, accuracy double")
-            return folds.groupBy("dataset").agg(
-                F.lit(kind).alias("model"),
-                F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std"),
-                F.min("accuracy").alias("min"), F.max("accuracy").alias("max"),
-                F.count(F.lit(1)).alias("folds"),
-            )
-
-        return q
-
-    def scores(kind: str):
-        def q(spark, d):
-            """Accuracy on train / test / all, balanced accuracy of hard predictions and ROC AUC of probabilities."""
-            mf, tr, te, cols = _frame(spark, d, p)
-            m = _model(spark, d, p, kind)
-            acc = F.avg((F.col("label") == F.col("prediction")).cast("double"))
-            out = None
-            for name, data in (("train", tr), ("test", te), ("all", mf)):
-                part = MD.predict(m, _scoring_frame(data, kind, cols), cols).agg(acc.alias("value")).select(
-                    F.lit(f"accuracy_{name}").alias("metric"), "value"
-                )
-                out = part if out is None else out.unionByName(part)
-            scored = m.transform(MD.assemble(_scoring_frame(te, kind, cols), cols))
-            auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction").evaluate(scored)
-            from returnsight.operators.metrics import balanced_accuracy
-
-            bal = balanced_accuracy(MD.predict(m, _scoring_frame(te, kind, cols), cols)).select(
-                F.lit("balanced_accuracy").alias("metric"), F.col("balanced_accuracy").alias("value")
-            )
-            return out.unionByName(bal).unionByName(spark.createDataFrame([("roc_auc", float(auc))], "metric string, value double"))
-
-        return q
-
-    def _tree_long(spark, d, kind: str):
-        k = _memo(spark, "shap", d, p, kind)
-        if k not in _MEMO:
-            mf, tr, te, cols = _frame(spark, d, p)
-            _MEMO[k] = EX.tree_shap(_spread(mf), _model(spark, d, p, kind), kind, cols)
-        return _MEMO[k]
-
-    def q_shap_tree(spark, d):
-        long, base = _tree_long(spark, d, "GBT")
-        return long.withColumn("base_value", F.lit(base))
-
-    def q_shap_forest(spark, d):
-        long, base = _tree_long(spark, d, "RF")
-        return long.withColumn("base_value", F.lit(base))
-
-    def q_shap_linear(spark, d):
-        mf, tr, te, cols = _frame(spark, d, p)
-        long, base = EX.linear_shap(mf, _model(spark, d, p, "LR"), cols, tr)
-        return long.withColumn("base_value", F.lit(base))
-
-    def q_shap_global(spark, d):
-        return EX.global_importance(_tree_long(spark, d, "GBT")[0])
+    def of(make: Callable[[Study], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda spark, d: make(study(spark, d, p))
 
-    def q_shap_dependence(spark, d):
-        return EX.for_class(_tree_long(spark, d, "GBT")[0], 0)
+    def with_base(kind: str):
+        def make(s: Study) -> DataFrame:
+            long, base = s.shap(kind)
+            return long.withColumn("base_value", F.lit(base))
 
-    def q_shap_one_row(spark, d):
-        mf, tr, te, cols = _frame(spark, d, p)
-        long, base = _tree_long(spark, d, "GBT")
-        # the reference's row 10: the eleventh row in key order
-        keys = mf.select("sku_key").orderBy("sku_key").limit(11).collect()
-        return EX.one_row(long, base, keys[-1]["sku_key"])
+        return make
 
     qs = {
-        "lr_predictions": predictions("LR"),
-        "rf_predictions": predictions("RF"),
-        "gbt_predictions": predictions("GBT"),
-        "cv_summary": cv("LR"),
-        "gbt_cv_summary": cv("GBT"),
-        "rf_cv_summary": cv("RF"),
-        "prediction_head": head("GBT"),
+        "cv_summary": of(lambda s: s.cv("LR")),
+        "prediction_head": of(lambda s: s.head("GBT")),
+        "gbt_eval_history": of(lambda s: s.eval_history("GBT")),
+        "gbt_importance": of(lambda s: s.importance("GBT")),
+        "rf_importance": of(lambda s: s.importance("RF").orderBy(F.desc("importance"))),
+        "gbt_cv_summary": of(lambda s: s.cv("GBT")),
+        "rf_cv_summary": of(lambda s: s.cv("RF")),
+        "rf_prediction_head": of(lambda s: s.head("RF")),
+        "lr_prediction_head": of(lambda s: s.head("LR")),
+        "shap_tree": of(with_base("GBT")),
+        "shap_forest": of(with_base("RF")),
+        "shap_linear": of(with_base("LR")),
+        "shap_global": of(lambda s: EX.global_importance(s.shap("GBT")[0])),
+        "shap_dependence": of(lambda s: EX.for_class(s.shap("GBT")[0], 0)),
+        "shap_one_row": of(lambda s: s.shap_rows("GBT")),
     }
-    # the reference evaluates whichever model it fits the same way: scores, ROC, first 50
-    # predictions, confusion matrix and classification report
-    for kind in ("GBT", "RF", "LR"):
+    # whichever model is fitted is evaluated the same way
+    for kind in KINDS:
         pre = kind.lower()
-        qs[f"{pre}_scores"] = scores(kind)
-        qs[f"{pre}_confusion"] = confusion_q(kind)
-        qs[f"{pre}_class_report"] = report_q(kind)
-        qs[f"{pre}_roc"] = roc_q(kind)
-        if kind != "GBT":
-            qs[f"{pre}_prediction_head"] = head(kind)
-    qs.update({name[2:]: fn for name, fn in locals().items() if name.startswith("q_")})
+        qs[f"{pre}_predictions"] = of(lambda s, k=kind: s.predictions(k))
+        qs[f"{pre}_scores"] = of(lambda s, k=kind: s.scores(k))
+        qs[f"{pre}_confusion"] = of(lambda s, k=kind: M.confusion(s.predictions(k)))
+        qs[f"{pre}_class_report"] = of(lambda s, k=kind: M.class_report(s.predictions(k)))
+        qs[f"{pre}_roc"] = of(lambda s, k=kind: M.roc_points(s.predictions(k), score="probability"))
     return qs

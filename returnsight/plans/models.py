@@ -2,8 +2,12 @@
 
 Hyper-parameters mirror the reference's (boosted trees: rate 0.09, depth 3, 100 rounds,
 seed 42; forest: 100 trees of depth 3; logistic regression: L2 with C = 1, which on Spark's
-mean-loss objective is ``regParam = 1 / n_train``). Label-encoded size and color can be marked
-nominal, so the trees split them as categories (``maxBins`` is raised to the category count).
+mean-loss objective is ``regParam = 1 / n_train``).
+
+Whether a column is nominal is the caller's choice (``categories``: column -> number of codes in its
+dictionary), the same for every frame and fold. Missing predictors stay in: boosted trees see a code
+below the training minimum, so a split can send missing rows either way from the observed ones;
+forests and the linear model see the training mean. Codes and means are part of the fitted model.
 """
 
 from __future__ import annotations
@@ -12,52 +16,70 @@ import os
 import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from returnsight.config import Params
+from returnsight.functions import nan_to_null
 from returnsight.operators.split import fold_assignment, holdout_split
 from returnsight.session import ensure_checkpoint_dir
 
-CATEGORICAL = ("sku_color", "sku_size")
-
-
-def with_nominal(df: DataFrame, cols: Sequence[str], max_categories: int | None = None) -> tuple[DataFrame, int]:
-    """Attach nominal ML attributes to integer-coded columns; returns the largest category count.
-
-    Spark's trees need ``maxBins`` >= a nominal column's category count and cap ``maxBins`` at
-    the number of training rows, so a column with more categories than ``max_categories``
-    stays an ordered numeric code."""
-    present = [c for c in cols if c in df.columns]
-    if not present:
-        return df, 0
-    row = df.agg(*[F.max(c).alias(c) for c in present]).first()
-    k_max = 0
-    out = df
-    for c in present:
-        k = int(row[c] or 0) + 1
-        if max_categories is not None and k > max_categories:
-            continue
-        k_max = max(k_max, k)
+
+@dataclass(frozen=True)
+class Fitted:
+    """A model with what its input needs: column order, category counts, values for missing ones."""
+
+    kind: str
+    model: Model
+    cols: list[str]
+    fill: dict[str, float]
+    categories: dict[str, int] = field(default_factory=dict)
+
+    def filled(self, df: DataFrame) -> DataFrame:
+        return fill_missing(df, self.fill)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(assemble(self.filled(df), self.cols))
+
+
+def fill_missing(df: DataFrame, fill: dict[str, float]) -> DataFrame:
+    return df.withColumns({c: F.coalesce(nan_to_null(F.col(c).cast("double")), F.lit(v)) for c, v in fill.items()})
+
+
+def missing_values(kind: str, train: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+    """Per column, in one aggregation: a value below the training minimum by one, or by the range if
+    that is larger (boosted trees), or the training mean; 0 for a column without any value."""
+    x = {c: nan_to_null(F.col(c).cast("double")) for c in cols}
+    if kind == "GBT":
+        row = train.agg(*[F.struct(F.min(x[c]).alias("lo"), F.max(x[c]).alias("hi")).alias(c) for c in cols]).first()
+        return {c: 0.0 if row[c]["lo"] is None else row[c]["lo"] - max(1.0, row[c]["hi"] - row[c]["lo"]) for c in cols}
+    row = train.agg(*[F.avg(x[c]).alias(c) for c in cols]).first()
+    return {c: row[c] or 0.0 for c in cols}
+
+
+def with_nominal(df: DataFrame, categories: dict[str, int]) -> DataFrame:
+    """Mark integer-coded columns as nominal with their dictionary's number of codes (no job)."""
+    for c, k in categories.items():
         meta = {"ml_attr": {"type": "nominal", "name": c, "num_vals": k}}
-        out = out.withColumn(c, F.col(c).cast("double").alias(c, metadata=meta))
-    return out, k_max
+        df = df.withColumn(c, F.col(c).cast("double").alias(c, metadata=meta))
+    return df
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep").transform(df)
+    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="error").transform(df)
 
 
 def estimator(kind: str, p: Params, n_train: int, max_bins: int = 32):
     if kind == "GBT":
         return GBTClassifier(
             featuresCol="features", labelCol="label", stepSize=p.gbt_step, maxDepth=p.gbt_depth,
-            maxIter=p.gbt_iters, seed=p.gbt_seed, maxBins=max(32, max_bins),
+            maxIter=p.gbt_iters, seed=p.gbt_seed, maxBins=max(32, max_bins), checkpointInterval=p.gbt_checkpoint_interval,
         )
     if kind == "RF":
         return RandomForestClassifier(
@@ -72,100 +94,117 @@ def estimator(kind: str, p: Params, n_train: int, max_bins: int = 32):
     raise ValueError(f"unknown model {kind!r}; expected GBT, RF or LR")
 
 
-def fit(kind: str, train: DataFrame, cols: Sequence[str], p: Params, *, categorical: bool = False) -> Model:
-    """Fit on a frame holding ``label`` and the predictor columns (doubles)."""
-    data = train
-    bins = 0
-    if categorical and kind in ("GBT", "RF"):
-        data, bins = with_nominal(train, [c for c in CATEGORICAL if c in cols], max_categories=train.count())
-    data = assemble(data, cols)
-    n = data.count() if kind == "LR" else 0
-    return estimator(kind, p, n, bins).fit(data)
+def fit(kind: str, train: DataFrame, cols: Sequence[str], p: Params, *, categories: dict[str, int] | None = None) -> Fitted:
+    """Fit on a frame holding ``label`` and the predictor columns (doubles).
+
+    Spark's trees need a bin per category and cap bins at the number of training rows; a nominal
+    column with more categories than rows raises, naming the column."""
+    cols = list(cols)
+    nominal = {c: k for c, k in (categories or {}).items() if c in cols and kind in ("GBT", "RF")}
+    n = train.count() if nominal or kind == "LR" else 0
+    for c, k in nominal.items():
+        if k > n:
+            raise ValueError(f"column {c!r} has {k} categories, more than the {n} training rows; pass it as a number instead")
+    fill = missing_values(kind, train, cols)
+    data = assemble(with_nominal(fill_missing(train, {c: v for c, v in fill.items() if c not in nominal}), nominal), cols)
+    return Fitted(kind, estimator(kind, p, n, max(nominal.values(), default=0)).fit(data), cols, {c: v for c, v in fill.items() if c not in nominal}, nominal)
 
 
-def predict(model: Model, df: DataFrame, cols: Sequence[str], key: str = "sku_key") -> DataFrame:
-    """``key, label, prediction (int), probability (class 1)``."""
-    scored = model.transform(assemble(df, cols))
-    return scored.select(
+def predict(fitted: Fitted, df: DataFrame, key: str = "sku_key", extra: Sequence[str] = ()) -> DataFrame:
+    """``key, label, prediction (int), probability (class 1)`` and the ``extra`` columns."""
+    return fitted.transform(df).select(
         key, F.col("label").cast("int").alias("label"),
         F.col("prediction").cast("int").alias("prediction"),
         vector_to_array("probability")[1].alias("probability"),
+        *extra,
     )
 
 
-def split(df: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
-    s = holdout_split(df, "sku_key", p.test_fraction, p.split_seed)
-    return s.filter(~F.col("is_test")).drop("is_test"), s.filter(F.col("is_test")).drop("is_test")
+def split(df: DataFrame, p: Params) -> DataFrame:
+    return holdout_split(df, "sku_key", p.test_fraction, p.split_seed)
 
 
-def importances(model: Model, cols: Sequence[str]) -> DataFrame:
-    """Impurity-decrease importance per feature (normalised to sum 1), descending."""
-    from pyspark.sql import SparkSession
-
-    vals = model.featureImportances.toArray().tolist()
+def importances(fitted: Fitted) -> DataFrame:
+    """Impurity-decrease importance per feature (normalised to sum 1)."""
+    vals = fitted.model.featureImportances.toArray().tolist()
     s = SparkSession.getActiveSession()
-    return s.createDataFrame(list(zip(cols, [float(v) for v in vals])), "feature string, importance double")
-
-
-def split_counts(model: Model, cols: Sequence[str]) -> DataFrame:
-    """How often each feature is used in a split across all trees (LightGBM's default importance).
+    return s.createDataFrame([(c, float(v)) for c, v in zip(fitted.cols, vals, strict=True)], "feature string, importance double")
 
-    The model's node table is written to the shared checkpoint folder with Spark ML's own
-    persistence and counted with a Spark aggregation."""
-    from pyspark.sql import SparkSession
 
+def node_table(fitted: Fitted) -> list:
+    """The trees' nodes, read from Spark ML's own persistence; bounded by the model, not the data.
+    The written copy is removed."""
     spark = SparkSession.getActiveSession()
     path = os.path.join(ensure_checkpoint_dir(spark), f"model-{uuid.uuid4().hex}")
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(os.path.join(path, "data"))
-    internal = nodes.filter(F.col("nodeData.leftChild") >= 0)
-    counts = internal.groupBy(F.col("nodeData.split.featureIndex").alias("idx")).agg(F.count(F.lit(1)).alias("split_count"))
-    names = spark.createDataFrame([(i, c) for i, c in enumerate(cols)], "idx int, feature string")
-    return names.join(counts, "idx", "left").select(
-        "feature", F.coalesce(F.col("split_count"), F.lit(0)).cast("long").alias("split_count")
-    )
-
-
-def eval_history(model, train: DataFrame, test: DataFrame, cols: Sequence[str], every: int = 10) -> DataFrame:
-    """Log-loss after each boosting round on train and test, kept every ``every`` rounds."""
-    from pyspark.sql import SparkSession
-
-    tr = model.evaluateEachIteration(assemble(train, cols))
-    te = model.evaluateEachIteration(assemble(test, cols))
-    rows = [(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(tr, te)) if (i + 1) % every == 0 or i == 0]
+    fitted.model.write().overwrite().save(path)
+    try:
+        return spark.read.parquet(os.path.join(path, "data")).select(
+            F.col("treeID").alias("tree"), F.col("nodeData.id").alias("id"),
+            F.col("nodeData.prediction").alias("prediction"), F.col("nodeData.impurityStats").alias("stats"),
+            F.col("nodeData.rawCount").alias("count"),
+            F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
+            F.col("nodeData.split.featureIndex").alias("feature"),
+            F.col("nodeData.split.leftCategoriesOrThreshold").alias("split"),
+            F.col("nodeData.split.numCategories").alias("ncat"),
+        ).collect()
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def split_counts(fitted: Fitted) -> DataFrame:
+    """How often each feature is used in a split across all trees."""
+    used = [r["feature"] for r in node_table(fitted) if r["left"] >= 0]
+    rows = [(c, used.count(i)) for i, c in enumerate(fitted.cols)]
+    return SparkSession.getActiveSession().createDataFrame(rows, "feature string, split_count long")
+
+
+def eval_history(fitted: Fitted, train: DataFrame, test: DataFrame, every: int = 10) -> DataFrame:
+    """Mean log-loss after every ``every``-th boosting round on train and test. Spark's loss of
+    margin m and label +-1 is 2 log(1 + exp(-2 y m)), twice the log-loss of its probabilities."""
+    losses = [fitted.model.evaluateEachIteration(assemble(fitted.filled(d), fitted.cols)) for d in (train, test)]
+    rows = [(i, float(a) / 2, float(b) / 2) for i, (a, b) in enumerate(zip(*losses, strict=True), 1) if i % every == 0]
     return SparkSession.getActiveSession().createDataFrame(rows, "iteration int, train_loss double, test_loss double")
 
 
 def cv_scores(
     kind: str,
-    df: DataFrame | dict[str, DataFrame],
+    frames: dict[str, DataFrame],
     cols: Sequence[str],
     p: Params,
     *,
-    categorical: bool = False,
+    categories: dict[str, int] | None = None,
     parallelism: int | None = None,
-):
-    """k-fold accuracy: fit on the other folds, score the held-out fold. Folds come from the key
-    hash. All fits (of every frame when ``df`` is a dict of named frames) are submitted
-    concurrently, so Spark schedules their jobs side by side. Returns a list of fold scores, or
-    a dict of lists for a dict input."""
-    frames = df if isinstance(df, dict) else {"_": df}
+) -> dict[str, list[float]]:
+    """k-fold accuracy per named frame: fit on the other folds, score the held-out fold. Folds are
+    balanced (hash order of the key). All fits are submitted concurrently, so Spark schedules their
+    jobs side by side."""
     folded = {name: fold_assignment(d, "sku_key", p.n_folds, p.fold_seed) for name, d in frames.items()}
 
     def one(task: tuple[str, int]) -> float:
         name, k = task
         f = folded[name]
-        tr, te = f.filter(F.col("fold") != k), f.filter(F.col("fold") == k)
-        m = fit(kind, tr, cols, p, categorical=categorical)
-        if categorical and kind in ("GBT", "RF"):
-            te, _ = with_nominal(te, [c for c in CATEGORICAL if c in cols])
-        r = predict(m, te, cols).agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a")).first()
-        return float(r["a"]) if r["a"] is not None else float("nan")
+        m = fit(kind, f.filter(F.col("fold") != k), cols, p, categories=categories)
+        r = predict(m, f.filter(F.col("fold") == k)).agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a")).first()
+        return float(r["a"])
 
     tasks = [(name, k) for name in frames for k in range(p.n_folds)]
     # Each fit is a chain of small jobs (latency-bound), so by default every fit runs at once;
     # the pool size is bounded by frames x folds, not by the data.
     with ThreadPoolExecutor(max_workers=max(1, parallelism or len(tasks))) as pool:
-        scores = dict(zip(tasks, pool.map(one, tasks)))
-    out = {name: [scores[(name, k)] for k in range(p.n_folds)] for name in frames}
-    return out if isinstance(df, dict) else out["_"]
+        scores = dict(zip(tasks, pool.map(one, tasks), strict=True))
+    return {name: [scores[(name, k)] for k in range(p.n_folds)] for name in frames}
+
+
+def fold_summary(scores: dict[str, list[float]]) -> DataFrame:
+    """Mean, population deviation, smallest and largest fold score per data set."""
+    rows = [(name, i, float(s)) for name, ss in scores.items() for i, s in enumerate(ss)]
+    folds = SparkSession.getActiveSession().createDataFrame(rows, "dataset string, fold int, accuracy double")
+    return summarise_folds(folds)
+
+
+def summarise_folds(folds: DataFrame) -> DataFrame:
+    return folds.groupBy("dataset").agg(
+        F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std"),
+        F.min("accuracy").alias("min"), F.max("accuracy").alias("max"), F.count(F.lit(1)).alias("folds"),
+    )

@@ -18,21 +18,25 @@ from pyspark.sql import functions as F
 from returnsight.config import Params, predictors
 from returnsight.operators import prepare as P
 from returnsight.operators.features import sku_features_eager
-from returnsight.session import materialise, session_key
+from returnsight.session import files_version, materialise, session_key
 from returnsight.sources import Source, as_source
 
-_TABLES: dict[tuple, object] = {}
+_TABLES: dict[tuple, tuple[str, object]] = {}
 
 
-def _memo(spark: SparkSession, key: tuple, build: Callable[[], object]):
-    k = (session_key(spark), *key)
-    if k not in _TABLES:
-        _TABLES[k] = build()
-    return _TABLES[k]
+def memo(spark: SparkSession, source: Source, key: tuple, build: Callable[[], object]):
+    """``build()``, kept per session, source and key for as long as the source's files stay the same;
+    once they change, what was built from the old ones is dropped."""
+    k = (session_key(spark), source, *key)
+    version = files_version(*source.load(spark))
+    if k not in _TABLES or _TABLES[k][0] != version:
+        _TABLES.pop(k, None)
+        _TABLES[k] = (version, build())
+    return _TABLES[k][1]
 
 
 def forget(spark: SparkSession | None = None) -> None:
-    """Drop memoised tables (all, or one application's)."""
+    """Drop memoised tables and models (all, or one application's)."""
     for k in list(_TABLES):
         if spark is None or k[0] == session_key(spark):
             del _TABLES[k]
@@ -47,18 +51,19 @@ def feature_table(spark: SparkSession, sf_dir: str | Source, params: Params, *,
 
     if not persist:
         return build()
-    return _memo(spark, ("features", source, params), lambda: materialise(build()))
+    return memo(spark, source, ("features", params), lambda: materialise(build()))
 
 
 def labelled(spark: SparkSession, sf_dir: str | Source, params: Params) -> DataFrame:
-    return _memo(spark, ("labelled", as_source(sf_dir), params), lambda: P.return_label(feature_table(spark, sf_dir, params)))
+    return memo(spark, as_source(sf_dir), ("labelled", params), lambda: P.return_label(feature_table(spark, sf_dir, params)))
 
 
 def encoded(spark: SparkSession, sf_dir: str | Source, params: Params) -> DataFrame:
     """Label, encoded categories and text flags (the frame the exploration step looks at)."""
-    return _memo(
+    return memo(
         spark,
-        ("encoded", as_source(sf_dir), params),
+        as_source(sf_dir),
+        ("encoded", params),
         lambda: materialise(P.text_flags(P.label_encode(labelled(spark, sf_dir, params)), params)),
     )
 
@@ -72,6 +77,7 @@ class Prepared:
     before_cleaning: DataFrame  # labelled, encoded, flagged, logged
     cleaned: DataFrame  # after IQR removal and mean imputation
     predictors: list[str]
+    categories: dict[str, int]  # encoded column -> number of codes in its dictionary
 
 
 def prepared(spark: SparkSession, sf_dir: str | Source, params: Params) -> Prepared:
@@ -79,9 +85,12 @@ def prepared(spark: SparkSession, sf_dir: str | Source, params: Params) -> Prepa
         before = logged(spark, sf_dir, params)
         no_outliers = P.iqr_filter(before, params.iqr_columns, params.iqr_factor)
         cleaned = materialise(P.impute_mean(no_outliers, params.impute_columns))
-        return Prepared(before, cleaned, predictors(params.predictor_set))
+        # codes are dense over the whole labelled table, whatever rows the later steps keep
+        top = encoded(spark, sf_dir, params).agg(*[F.max(c).alias(c) for c in P.ENCODED_COLUMNS]).first()
+        categories = {c: (-1 if top[c] is None else top[c]) + 1 for c in P.ENCODED_COLUMNS}
+        return Prepared(before, cleaned, predictors(params.predictor_set), categories)
 
-    return _memo(spark, ("prepared", as_source(sf_dir), params), build)
+    return memo(spark, as_source(sf_dir), ("prepared", params), build)
 
 
 def model_frame(prep: Prepared, params: Params) -> DataFrame:

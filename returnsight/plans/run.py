@@ -9,7 +9,6 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,16 +18,12 @@ from returnsight.operators import metrics as M
 from returnsight.operators import prepare as P
 from returnsight.operators import report as R
 from returnsight.plans import explain as EX
-from returnsight.plans import models as MD
 from returnsight.plans import pipeline as PL
+from returnsight.plans.evaluate import Study
 from returnsight.session import size_shuffles
 from returnsight.sources import Source, as_source, write_table
 
 
-def _scoring(df: DataFrame, kind: str, cols: list[str]) -> DataFrame:
-    return MD.with_nominal(df, [c for c in MD.CATEGORICAL if c in cols])[0] if kind == "GBT" else df
-
-
 def analysis(
     spark: SparkSession, source: str | Source, params: Params, model: str = "GBT", *, cross_validate: bool = True
 ) -> dict[str, Callable[[], DataFrame]]:
@@ -36,85 +31,11 @@ def analysis(
     model = model.upper()
     cols = predictors(params.predictor_set)
     out: dict[str, Callable[[], DataFrame]] = {}
-    state: dict[str, object] = {}
+    study = Study(spark, source, params)
 
     def features() -> DataFrame:
         return PL.feature_table(spark, source, params)
 
-    def prep():
-        if "prep" not in state:
-            state["prep"] = PL.prepared(spark, source, params)
-        return state["prep"]
-
-    def frames():
-        if "frames" not in state:
-            mf = PL.model_frame(prep(), params)
-            tr, te = MD.split(mf, params)
-            state["frames"] = (mf, tr, te)
-        return state["frames"]
-
-    def fitted():
-        if "model" not in state:
-            _, tr, _ = frames()
-            state["model"] = MD.fit(model, tr, cols, params, categorical=(model == "GBT"))
-        return state["model"]
-
-    def test_predictions() -> DataFrame:
-        _, _, te = frames()
-        return MD.predict(fitted(), _scoring(te, model, cols), cols)
-
-    def scores() -> DataFrame:
-        mf, tr, te = frames()
-        acc = F.avg((F.col("label") == F.col("prediction")).cast("double"))
-        parts = [
-            MD.predict(fitted(), _scoring(d, model, cols), cols).agg(acc.alias("value")).select(F.lit(f"accuracy_{n}").alias("metric"), "value")
-            for n, d in (("train", tr), ("test", te), ("all", mf))
-        ]
-        preds = test_predictions()
-        bal = M.balanced_accuracy(preds).select(F.lit("balanced_accuracy").alias("metric"), F.col("balanced_accuracy").alias("value"))
-        raw = fitted().transform(MD.assemble(_scoring(te, model, cols), cols))
-        auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction").evaluate(raw)
-        res = parts[0]
-        for p in parts[1:] + [bal]:
-            res = res.unionByName(p)
-        return res.unionByName(spark.createDataFrame([("roc_auc", float(auc))], "metric string, value double"))
-
-    def importance() -> DataFrame:
-        if model == "LR":
-            w = fitted().coefficients.toArray().tolist()
-            return spark.createDataFrame(list(zip(cols, map(float, w))), "feature string, coefficient double")
-        gain = MD.importances(fitted(), cols)
-        return MD.split_counts(fitted(), cols).join(gain, "feature") if model == "GBT" else gain
-
-    def eval_history() -> DataFrame:
-        _, tr, te = frames()
-        return MD.eval_history(fitted(), _scoring(tr, model, cols), _scoring(te, model, cols), cols)
-
-    def cv() -> DataFrame:
-        mf, tr, te = frames()
-        sc = MD.cv_scores(model, {"train": tr, "test": te, "all": mf}, cols, params, categorical=(model == "GBT"))
-        rows = [(n, i, float(v)) for n, vs in sc.items() for i, v in enumerate(vs)]
-        folds = spark.createDataFrame(rows, "dataset string, fold int, accuracy double")
-        return folds.groupBy("dataset").agg(
-            F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std"),
-            F.min("accuracy").alias("min"), F.max("accuracy").alias("max"),
-        )
-
-    def shap() -> tuple[DataFrame, float]:
-        if "shap" not in state:
-            mf, tr, _ = frames()
-            if model == "LR":
-                state["shap"] = EX.linear_shap(mf, fitted(), cols, tr)
-            else:
-                state["shap"] = EX.tree_shap(mf, fitted(), model, cols)
-        return state["shap"]
-
-    def shap_one_row() -> DataFrame:
-        mf, _, _ = frames()
-        keys = mf.select("sku_key").orderBy("sku_key").limit(11).collect()
-        long, base = shap()
-        return EX.one_row(long, base, keys[-1]["sku_key"])
-
     def summary() -> DataFrame:
         return R.product_summary(features())
 
@@ -122,22 +43,22 @@ def analysis(
     out["null_counts"] = lambda: X.null_counts(features())
     out["describe"] = lambda: X.describe(PL.encoded(spark, source, params))
     out["correlation"] = lambda: X.correlation(PL.encoded(spark, source, params), cols)
-    out["box_stats"] = lambda: X.box_stats(prep().before_cleaning, cols)
-    out["prepared"] = lambda: prep().cleaned
-    out["zscores"] = lambda: P.zscores(prep().cleaned, [c for c in ZSCORE_COLUMNS])
-    out["predictions"] = test_predictions
-    out["scores"] = scores
-    out["confusion"] = lambda: M.confusion(test_predictions())
-    out["class_report"] = lambda: M.class_report(test_predictions())
-    out["roc"] = lambda: M.roc_points(test_predictions(), score="probability")
-    out["importance"] = importance
+    out["box_stats"] = lambda: X.box_stats(study.prepared.before_cleaning, cols)
+    out["prepared"] = lambda: study.prepared.cleaned
+    out["zscores"] = lambda: P.zscores(study.prepared.cleaned, list(ZSCORE_COLUMNS))
+    out["predictions"] = lambda: study.predictions(model)
+    out["scores"] = lambda: study.scores(model)
+    out["confusion"] = lambda: M.confusion(study.predictions(model))
+    out["class_report"] = lambda: M.class_report(study.predictions(model))
+    out["roc"] = lambda: M.roc_points(study.predictions(model), score="probability")
+    out["importance"] = lambda: study.importance(model)
     if model == "GBT":
-        out["eval_history"] = eval_history
+        out["eval_history"] = lambda: study.eval_history(model)
     if cross_validate:
-        out["cv_summary"] = cv
-    out["shap_values"] = lambda: shap()[0].withColumn("base_value", F.lit(shap()[1]))
-    out["shap_global"] = lambda: EX.global_importance(shap()[0])
-    out["shap_one_row"] = shap_one_row
+        out["cv_summary"] = lambda: study.cv(model)
+    out["shap_values"] = lambda: study.shap(model)[0].withColumn("base_value", F.lit(study.shap(model)[1]))
+    out["shap_global"] = lambda: EX.global_importance(study.shap(model)[0])
+    out["shap_one_row"] = lambda: study.shap_rows(model)
     out["product_summary"] = summary
     out["top_family"] = lambda: R.top_k(R.matching(summary(), params.family_pattern), params.top_k)
     out["top_brand"] = lambda: R.top_k(R.matching(summary(), params.report_brand_pattern), params.top_k)

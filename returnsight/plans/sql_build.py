@@ -17,32 +17,17 @@ wherever it is read.
 from __future__ import annotations
 
 import datetime as dt
-import hashlib
 import os
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from returnsight.config import Params
+from returnsight.operators.features import detail_flags
 
 TMP_VIEW = "parameters_for_analysis_tmp"
 
-# Line-level intermediate: windowed lines joined to the SKU dimension, Y/N flags decoded.
-LINE_TABLE_SQL = """
-SELECT a.sku_key, a.quantity, a.plu_amt, a.tran_discount_amt, a.override_amt, a.extended_amt,
-       CASE a.ecom WHEN 'Y' THEN 1 WHEN 'N' THEN 0 END AS ecom,
-       CASE a.sale WHEN 'Y' THEN 1 WHEN 'N' THEN 0 END AS sale,
-       CASE a.`return` WHEN 'Y' THEN 1 WHEN 'N' THEN 0 END AS `return`,
-       CASE a.receipted WHEN 'Y' THEN 1 WHEN 'N' THEN 0 END AS receipted,
-       b.class_desc || ' ' || b.department_desc AS product_desc,
-       b.sku_cost,
-       split_part(b.sku_desc, '/', 2) AS sku_color,
-       split_part(b.sku_desc, '/', 3) AS sku_size
-FROM IDENTIFIER(:detail_table) AS a
-JOIN IDENTIFIER(:sku_table) AS b ON a.sku_key = b.sku_key
-WHERE a.date_pos >= :date_lo AND a.date_pos < :date_hi
-"""
-
 # Per-SKU features. Averages are sum / count of the qualifying lines; a dimension group repeated
 # m times scales sums by m and leaves averages unchanged; the sale-line threshold applies to the
 # joined line count of the key (sale lines x dimension rows of the key).
@@ -133,13 +118,7 @@ def reference_tables(schema: str) -> dict[str, str]:
 
 def line_table(spark: SparkSession, params: Params, detail_table: str, sku_table: str) -> DataFrame:
     """The line-level intermediate, registered as the temporary view ``parameters_for_analysis_tmp``."""
-    df = spark.sql(
-        LINE_TABLE_SQL,
-        args={
-            "detail_table": detail_table, "sku_table": sku_table,
-            "date_lo": _date(params.date_lo), "date_hi": _date(params.date_hi),
-        },
-    )
+    df = detail_flags(spark.table(detail_table), spark.table(sku_table), params)
     df.createOrReplaceTempView(TMP_VIEW)
     return df
 
@@ -190,17 +169,16 @@ def top_products(spark: SparkSession, report_table: str, pattern: str, k: int) -
 
 def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     """Table names for the test tables: the mapped line and SKU inputs as temporary views, and
-    output tables in a schema whose location is a folder under the session's checkpoint folder,
+    output tables in a schema of this call's own, so builds do not disturb each other; its location is a folder under the session's checkpoint folder,
     so managed tables written there land in shared storage, never in a machine-local path."""
     from returnsight.session import ensure_checkpoint_dir
     from returnsight.sources import fixture_detail, fixture_sku
 
     folder = sf_dir.rstrip("/")
     tag = re.sub(r"[^A-Za-z0-9]", "_", os.path.basename(folder))
-    schema = f"returnsight_{tag}_{hashlib.sha1(folder.encode()).hexdigest()[:8]}"
-    if not spark.catalog.databaseExists(schema):
-        location = os.path.join(ensure_checkpoint_dir(spark), f"{schema}.db").replace("'", "")
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema} LOCATION '{location}'")
+    schema = f"returnsight_{tag}_{uuid.uuid4().hex[:12]}"
+    location = os.path.join(ensure_checkpoint_dir(spark), f"{schema}.db").replace("'", "")
+    spark.sql(f"CREATE DATABASE {schema} LOCATION '{location}'")
     fixture_detail(spark, sf_dir).createOrReplaceTempView(f"{schema}_std_clnt_detail")
     fixture_sku(spark, sf_dir).createOrReplaceTempView(f"{schema}_std_clnt_sku")
     tables = reference_tables(schema)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,14 +64,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def default_parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def bench_cpus() -> int:
-    return int(os.environ.get("BENCH_CPUS", "8"))
-
-
 def scan_bytes(df: DataFrame) -> int:
     """Bytes of the base relations a plan reads, as the planner sizes them (file sizes for file
     sources). Join estimates are not used: without cost-based statistics they multiply."""
@@ -78,20 +72,38 @@ def scan_bytes(df: DataFrame) -> int:
 
 
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+_sized: dict[str, str] = {}  # application -> the value this module set last
 
 
-def size_shuffles(
-    spark: SparkSession, source: DataFrame, *, bytes_per_partition: int = 512 << 20, max_partitions: int = 50_000
-) -> int:
+def size_shuffles(spark: SparkSession, source: DataFrame, *, bytes_per_partition: int = 512 << 20) -> int:
     """Size AQE's initial shuffle partition count for jobs over ``source``: one partition per
-    ``bytes_per_partition`` of scanned input, at least the cluster's parallelism and at most
-    ``max_partitions`` (map outputs x reducers stays manageable). AQE then coalesces the ranges
-    that turn out small towards ``spark.sql.adaptive.advisoryPartitionSizeInBytes``. A value the
-    user configured is kept. Returns the count in effect."""
+    ``bytes_per_partition`` of scanned input, at least the cluster's parallelism. AQE then coalesces
+    the ranges that turn out small towards ``spark.sql.adaptive.advisoryPartitionSizeInBytes``. A
+    value the user configured is kept; one set by an earlier call is sized anew. Returns the count
+    in effect."""
     current = spark.conf.get(INITIAL_PARTITIONS, None)
-    if current is not None:
+    if current is not None and current != _sized.get(session_key(spark)):
         return int(current)
-    wanted = math.ceil(scan_bytes(source) / max(1, bytes_per_partition))
-    n = max(spark.sparkContext.defaultParallelism, min(max_partitions, wanted))
+    n = max(spark.sparkContext.defaultParallelism, math.ceil(scan_bytes(source) / max(1, bytes_per_partition)))
+    _sized[session_key(spark)] = str(n)
     spark.conf.set(INITIAL_PARTITIONS, str(n))
     return n
+
+
+def files_version(*frames: DataFrame) -> str:
+    """Digest of the paths, sizes and modification times of the files that the frames read, from the
+    listings their scans already hold. A source that is not files (a database) counts as changed
+    every time."""
+    seen = hashlib.sha256()
+    for df in frames:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        for i in range(leaves.size()):
+            leaf = leaves.apply(i)
+            kind = leaf.getClass().getSimpleName()
+            if kind == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+                seen.update(leaf.relation().location().allFiles().mkString("\n").encode())
+            elif kind in ("LocalRelation", "LogicalRDD", "Range", "OneRowRelation"):
+                seen.update(leaf.toString().encode())
+            else:
+                seen.update(uuid.uuid4().bytes)
+    return seen.hexdigest()

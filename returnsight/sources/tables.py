@@ -104,18 +104,28 @@ def fixture_sku(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Source:
     """Where the two inputs come from: the TPC-H-shaped test tables of ``sf_dir`` (mapped by
     ``fixture_detail`` / ``fixture_sku``), or production line and SKU tables with the reference's
-    column names, given as paths (any Spark format) or catalog table names (``fmt='table'``)."""
+    column names, given as paths (any Spark format), catalog table names (``fmt='table'``) or tables
+    of the database at ``url`` (``fmt='jdbc'``; ``partition`` = (column, lowest, highest, number of
+    range queries) reads the lines in parallel)."""
 
     sf_dir: str | None = None
     detail: str | None = None
     sku: str | None = None
     fmt: str = "parquet"
+    url: str | None = None
+    partition: tuple[str, int, int, int] | None = None
 
     def load(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         if self.sf_dir is not None:
             return fixture_detail(spark, self.sf_dir), fixture_sku(spark, self.sf_dir)
         if self.detail is None or self.sku is None:
             raise ValueError("a Source needs sf_dir, or both detail and sku")
+        if self.fmt == "jdbc":
+            if self.url is None:
+                raise ValueError("a database source needs its url")
+            column, low, high, n = self.partition or (None, None, None, None)
+            lines = read_jdbc(spark, self.url, self.detail, partition_column=column, lower_bound=low, upper_bound=high, num_partitions=n)
+            return lines, read_jdbc(spark, self.url, self.sku)
         return read_table(spark, self.detail, self.fmt), read_table(spark, self.sku, self.fmt)
 
 

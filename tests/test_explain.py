@@ -13,9 +13,9 @@ from returnsight.plans.explain import LeafPath, TreeTables
 def _tiny() -> TreeTables:
     # x0 <= 0.5 (cover 6 of 10) ? (x1 <= 1 (4 of 6) ? 1.0 : 2.0) : 5.0
     leaves = [
-        LeafPath(1.0, [(0, 0.5, None, True, 0.6), (1, 1.0, None, True, 4 / 6)]),
-        LeafPath(2.0, [(0, 0.5, None, True, 0.6), (1, 1.0, None, False, 2 / 6)]),
-        LeafPath(5.0, [(0, 0.5, None, False, 0.4)]),
+        LeafPath(1.0, [(0, 0.5, True, 0.6), (1, 1.0, True, 4 / 6)]),
+        LeafPath(2.0, [(0, 0.5, True, 0.6), (1, 1.0, False, 2 / 6)]),
+        LeafPath(5.0, [(0, 0.5, False, 0.4)]),
     ]
     return TreeTables([1.0], [leaves], 1.0, 3)
 
@@ -25,7 +25,7 @@ def _expect(x, s, tables):
     total = 0.0
     for leaf in tables.leaves[0]:
         w = 1.0
-        for f, thr, cats, left, share in leaf.steps:
+        for f, thr, left, share in leaf.steps:
             if f in s:
                 w *= 1.0 if ((x[f] <= thr) == left) else 0.0
             else:
@@ -69,8 +69,8 @@ def test_tree_models_local_accuracy_and_signal(spark):
     p = FIXTURE.with_(gbt_iters=15, rf_trees=20)
     for kind in ("GBT", "RF"):
         m = MD.fit(kind, df, cols, p)
-        long, base = EX.tree_shap(df, m, kind, cols)
-        pred = MD.predict(m, df, cols)
+        long, base = EX.tree_shap(df, m)
+        pred = MD.predict(m, df)
         acc = pred.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
         assert acc > 0.8  # better than the ~50 % majority class on planted signal
         out = F.log(F.col("probability") / (1 - F.col("probability"))) if kind == "GBT" else F.col("probability")
@@ -91,8 +91,8 @@ def test_linear_closed_form(spark):
     df = _planted(spark)
     cols = ["a", "b", "c"]
     m = MD.fit("LR", df, cols, FIXTURE)
-    long, base = EX.linear_shap(df, m, cols, df)
-    pred = MD.predict(m, df, cols)
+    long, base = EX.linear_shap(df, m, df)
+    pred = MD.predict(m, df)
     err = (
         long.groupBy("sku_key").agg(F.sum("phi").alias("s"))
         .join(pred.select("sku_key", F.log(F.col("probability") / (1 - F.col("probability"))).alias("f")), "sku_key")
@@ -107,6 +107,44 @@ def test_linear_closed_form(spark):
 def test_one_row_running_total(spark):
     long = spark.createDataFrame([(1, "a", 0.0, 0.5), (1, "b", 0.0, -2.0), (1, "c", 0.0, 1.0), (2, "a", 0.0, 9.0)],
                                  "sku_key long, feature string, value double, phi double")
-    rows = EX.one_row(long, 1.0, 1).orderBy("rank").collect()
+    rows = EX.one_row(long.filter("sku_key = 1"), 1.0).orderBy("rank").collect()
     assert [r["feature"] for r in rows] == ["b", "c", "a"]
     assert [r["cumulative"] for r in rows] == [-1.0, 0.0, 0.5]
+
+
+def test_picked_rows_are_filtered_before_they_are_explained(spark):
+    from returnsight.config import FIXTURE
+    from returnsight.plans import models as MD
+
+    df = _planted(spark, 60)
+    m = MD.fit("RF", df, ["a", "b", "c"], FIXTURE.with_(rf_trees=3))
+    long, base = EX.tree_shap(EX.picked_rows(df), m)
+    plan = long._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInPandas") < plan.index("Filter") or "MapInPandas" in plan.split("Filter")[0]
+    assert {r["sku_key"] for r in EX.one_row(long, base).collect()} == {0, 8, 10}
+
+
+def test_boosted_trees_with_categories_unseen_codes_and_missing_values(spark):
+    from returnsight.config import FIXTURE
+    from returnsight.plans import models as MD
+
+    rng = np.random.default_rng(3)
+    n, k = 500, 9
+    cat = rng.integers(0, k - 2, n)  # the two last codes of the dictionary do not occur in training
+    x = rng.normal(size=n)
+    y = ((cat % 3 == 0) ^ (x > 0.3)).astype(float)
+    rows = [(i, float(y[i]), float(cat[i]), None if i % 17 == 0 else float(x[i])) for i in range(n)]
+    schema = "sku_key long, label double, sku_size double, quantity double"
+    m = MD.fit("GBT", spark.createDataFrame(rows, schema), ["sku_size", "quantity"], FIXTURE.with_(gbt_iters=20), categories={"sku_size": k, "sku_color": 4})
+    assert m.categories == {"sku_size": k} and m.fill["quantity"] < min(v for *_, v in rows if v is not None)
+    new = spark.createDataFrame([(i, 0.0, float(c), v) for i, (c, v) in enumerate(itertools.product(range(k + 3), (-1.0, 0.31, 2.0, None)))], schema)
+    known = new.filter(f"sku_size < {k}")  # the model itself only takes codes of the dictionary
+    long, base = EX.tree_shap(known, m)
+    want = MD.predict(m, known).select("sku_key", F.log(F.col("probability") / (1 - F.col("probability"))).alias("f"))
+    off = long.groupBy("sku_key").agg(F.sum("phi").alias("s")).join(want, "sku_key").agg(F.max(F.abs(F.col("s") + F.lit(base) - F.col("f")))).first()[0]
+    assert off < 1e-9
+    assert long.filter("value IS NULL").count() == k
+    # codes beyond the dictionary follow the model's rule for the smaller set
+    rule = EX.Categories((0.0, 1.0, 2.0), 4)
+    assert rule.goes_left(np.array([0.0, 3.0, 7.0])).tolist() == [True, False, True]
+    assert EX.Categories((0.0, 1.0), 4).goes_left(np.array([0.0, 3.0, 7.0])).tolist() == [True, False, False]

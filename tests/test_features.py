@@ -54,7 +54,7 @@ def test_threshold_counts_sale_lines_not_units(spark):
     p = FIXTURE.with_(min_sale_lines=2)
     lines = [line(1, q=50.0), line(1, q=50.0), line(2), line(2), line(2)]
     det, sku = frames(spark, lines, [(1, "A", "B", 1.0, "x/y/z"), (2, "A", "B", 1.0, "x/y/z")])
-    assert [r["sku_key"] for r in active_skus(detail_flags(det, sku, p), p).collect()] == [2]
+    assert [r["sku_key"] for r in active_skus(det, sku, p).collect()] == [2]
 
 
 def test_both_plans_agree_with_fanout_nulls_and_no_sales(spark):

@@ -1,6 +1,8 @@
 """Every registered query with a SQL twin agrees with DuckDB on sf0.001 (row count, column
 names and types, order-insensitive values)."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -34,7 +36,8 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_an_oracle_or_is_a_model_query():
-    model_like = {n for n in E.queries() if n not in E.oracle_sql()}
+    # the training-data queries are held against brute force in their own tests
+    model_like = {n for n in E.queries() if n not in E.oracle_sql() and not re.match(r"op\d+_|pipeline$", n)}
     assert all(any(t in n for t in ("predictions", "prediction_", "cv", "importance", "gbt_", "rf_", "lr_", "shap")) for n in model_like)
 
 

@@ -99,19 +99,102 @@ def test_shuffle_sizing_follows_scanned_bytes_and_keeps_a_user_value(spark):
     size = scan_bytes(det)
     files = sum(os.path.getsize(f"{SF001}/{t}.parquet") for t in ("lineitem", "orders"))
     assert size == files
+    wide = spark.read.parquet(f"{SF001}/lineitem.parquet")
     try:
         spark.conf.unset(INITIAL_PARTITIONS)
         assert size_shuffles(spark, det) == spark.sparkContext.defaultParallelism  # tiny input
-        spark.conf.unset(INITIAL_PARTITIONS)
-        assert size_shuffles(spark, det, bytes_per_partition=1000, max_partitions=10**9) == -(-size // 1000)
-        spark.conf.unset(INITIAL_PARTITIONS)
-        assert size_shuffles(spark, det, bytes_per_partition=1, max_partitions=64) == 64
+        # a value set by an earlier call is sized anew for another input
+        assert size_shuffles(spark, det, bytes_per_partition=1000) == -(-size // 1000)
+        assert size_shuffles(spark, wide, bytes_per_partition=1000) == -(-scan_bytes(wide) // 1000) != -(-size // 1000)
         spark.conf.set(INITIAL_PARTITIONS, "37")
         assert size_shuffles(spark, det) == 37
     finally:
         spark.conf.unset(INITIAL_PARTITIONS)
 
 
+def test_memo_follows_the_input_files(spark, tmp_path):
+    from returnsight.plans import pipeline as PL
+    from returnsight.plans.model_queries import study
+    from returnsight.sources import Source, fixture_detail, fixture_sku
+
+    lines, skus = str(tmp_path / "lines"), str(tmp_path / "skus")
+    fixture_sku(spark, SF001).write.parquet(skus)
+    fixture_detail(spark, SF001).write.parquet(lines)
+    source, p = Source(detail=lines, sku=skus), FIXTURE.with_(rf_trees=2)
+    before = PL.feature_table(spark, source, p).agg({"quantity": "sum"}).first()[0]
+    assert PL.feature_table(spark, source, p) is PL.feature_table(spark, source, p)
+    old = study(spark, source, p)
+    assert study(spark, source, p) is old
+    rows = old.predictions("RF").count()
+    more = fixture_detail(spark, SF001)
+    more.unionByName(more.filter("sku_key % 2 = 0")).write.mode("overwrite").parquet(lines)
+    after = PL.feature_table(spark, source, p).agg({"quantity": "sum"}).first()[0]
+    assert after > 1.2 * before
+    new = study(spark, source, p)
+    assert new is not old and new.predictions("RF").count() != rows or new.scored("RF").count() != old.scored("RF").count()
+    PL.forget(spark)
+    assert study(spark, source, p) is not new
+
+
+def _hot_frames(spark):
+    from tests.test_features import frames, line
+
+    lines = [line(1, q=2.0) for _ in range(20_000)] + [line(2 + k % 2000) for k in range(40_000)]
+    return frames(spark, lines, [(k, "A", "B", 1.0, "x/y/z") for k in range(1, 2002)])
+
+
+def test_a_hot_sku_is_split_beyond_the_broadcast_bounds(spark):
+    from returnsight.operators import features as FT
+
+    det, sku = _hot_frames(spark)
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+    }
+    was = {k: spark.conf.get(k, None) for k in conf}
+    old = FT.BROADCAST_DIMENSION_ROWS
+    try:
+        FT.BROADCAST_DIMENSION_ROWS = 0
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = FT.sku_features(det.repartition(16), sku, FIXTURE.with_(min_sale_lines=0))
+        df.collect()
+        assert "skew=true" in _plan(df)
+        active = FT.active_skus(det, sku, FIXTURE.with_(min_sale_lines=0))
+        active.collect()
+        # no shuffle carries lines: at most a row per key and map task
+        assert max(_exchange_records(active)) <= 2001 * det.rdd.getNumPartitions() < 60_000
+        assert {r["sku_key"]: r["sale_lines"] for r in active.collect()}[1] == 20_000
+    finally:
+        FT.BROADCAST_DIMENSION_ROWS = old
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_broadcasts_check_bytes_too(spark):
+    from returnsight.operators import features as FT
+
+    df = spark.range(10).selectExpr("id", "repeat('x', 1000) AS t")
+    hinted = lambda d: "broadcast" in d._jdf.queryExecution().analyzed().toString().lower()
+    old = FT.BROADCAST_DIMENSION_BYTES
+    try:
+        assert hinted(FT.broadcast_if_small(df))
+        FT.BROADCAST_DIMENSION_BYTES = 10_000
+        assert not hinted(FT.broadcast_if_small(df))
+    finally:
+        FT.BROADCAST_DIMENSION_BYTES = old
+
+
+def test_scores_read_one_scoring_pass(spark):
+    from returnsight.plans.evaluate import Study
+
+    s = Study(spark, SF001, FIXTURE.with_(rf_trees=2))
+    assert s.scored("RF") is s.scored("RF")
+    plan = s.scores("RF")._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan and plan.count("LogicalRDD") + plan.count("Scan") <= 1
+
+
 def test_label_encoding_broadcasts_a_checked_dictionary_instead_of_shuffling_by_category(spark):
     from returnsight.operators.prepare import label_encode
     from returnsight.plans.pipeline import feature_table

@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from returnsight.operators.ranking import dense_codes, exact_quantiles, range_index
+from returnsight.operators.ranking import dense_codes_long, exact_quantiles, range_index
 
 
 def test_range_index_positions_and_running_sums(spark):
@@ -49,7 +49,7 @@ def test_one_row_quartiles(spark):
 
 def test_dense_codes_sorted_empty_first_null_last(spark):
     df = spark.createDataFrame([("b",), ("",), ("a",), (None,), ("b",)], "c string")
-    codes = {r["c"]: r["c_code"] for r in dense_codes(df, "c").collect()}
+    codes = {r["category"]: r["code"] for r in dense_codes_long(df, ["c"]).collect()}
     assert codes == {"": 0, "a": 1, "b": 2, None: 3}
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from returnsight.config import FIXTURE
 from returnsight.operators.features import features_from_partials, sku_features_eager
 from returnsight.sources import fixture_detail, fixture_sku
-from returnsight.streaming import run_feature_stream
+from returnsight.streaming.features import run_feature_stream, start_feature_stream
 from tests.conftest import SF001
 
 
@@ -35,3 +35,11 @@ def test_stream_with_a_file_cap_per_trigger(spark):
     sink = run_feature_stream(spark, SF001, FIXTURE, out, max_files_per_trigger=1)
     sku = fixture_sku(spark, SF001)
     assert features_from_partials(spark.read.parquet(sink), sku, FIXTURE).count() == 116
+
+
+def test_a_running_stream_can_be_stopped(spark):
+    stream = start_feature_stream(spark, SF001, FIXTURE, tempfile.mkdtemp(prefix="returnsight-stream-"), available_now=False)
+    stream.query.processAllAvailable()
+    assert stream.query.isActive and spark.read.parquet(stream.latest()).count() > 0
+    stream.query.stop()
+    assert not stream.query.isActive
