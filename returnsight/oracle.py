@@ -247,21 +247,22 @@ linear AS (
 )"""
     shown = "sku_key, feature, round(value, 6) AS value"
     picked = ", ".join(map(str, rows))
-    # one tree over two features: v(S) for S none, a, b, both; a feature's value is the mean of its two steps
+    # one tree over two features: v(S) for S none, a, b, both; a feature's value is the mean of its two
+    # steps. Numbers are written as 6e-1, which is a DOUBLE; 0.6 would be a DECIMAL.
     trees = split + """,
 sides AS (
   SELECT sku_key, ecom_rate, quantity, avg_price_product,
-         CASE WHEN COALESCE(ecom_rate <= 0.5, false) THEN 1 ELSE 0 END AS a, CASE WHEN COALESCE(quantity <= 5, false) THEN 1.0 ELSE -0.5 END AS b,
-         CASE WHEN COALESCE(avg_price_product <= 7.2, false) THEN 0.7 ELSE -0.3 END AS c
+         CASE WHEN COALESCE(ecom_rate <= 0.5, false) THEN 1e0 ELSE 0e0 END AS a, CASE WHEN COALESCE(quantity <= 5, false) THEN 1e0 ELSE -5e-1 END AS b,
+         CASE WHEN COALESCE(avg_price_product <= 7.2, false) THEN 7e-1 ELSE -3e-1 END AS c
   FROM framed
 ),
 worth AS (
-  SELECT *, 0.6 * 0.25 + 0.4 * 0.25 AS v0, a * 0.25 + (1 - a) * 0.25 AS va, 0.6 * b + 0.4 * 0.25 AS vb, a * b + (1 - a) * 0.25 AS vab,
-         0.4 * 0.7 + 0.6 * -0.3 AS w0
+  SELECT *, 6e-1 * (5e-1 * 1e0 + 5e-1 * -5e-1) + 4e-1 * 25e-2 AS v0, a * (5e-1 * 1e0 + 5e-1 * -5e-1) + (1 - a) * 25e-2 AS va,
+         6e-1 * b + 4e-1 * 25e-2 AS vb, a * b + (1 - a) * 25e-2 AS vab, 4e-1 * 7e-1 + 6e-1 * -3e-1 AS w0
   FROM sides
 )"""
     tree_rows = (
-        ("ecom_rate", "((va - v0) + (vab - vb)) / 2"), ("quantity", "((vb - v0) + (vab - va)) / 2"), ("avg_price_product", "0.5 * (c - w0)"),
+        ("ecom_rate", "((va - v0) + (vab - vb)) / 2"), ("quantity", "((vb - v0) + (vab - va)) / 2"), ("avg_price_product", "5e-1 * (c - w0)"),
     )
     return {
         "linear_explanation": with_ctes(p, split, f"SELECT {shown}, round(phi, 6) AS phi, round(base_value, 6) AS base_value FROM linear, base"),
@@ -273,6 +274,6 @@ SELECT {shown}, round(phi, 6) AS phi,
        CAST(row_number() OVER (PARTITION BY sku_key ORDER BY abs(phi) DESC, feature) AS INTEGER) AS rank
 FROM linear, base WHERE place IN ({picked})"""),
         "tree_explanation": with_ctes(p, trees, " UNION ALL ".join(
-            f"SELECT sku_key, '{c}' AS feature, round({c}, 6) AS value, round({phi}, 6) AS phi, round(v0 + 0.5 * w0, 6) AS base_value FROM worth" for c, phi in tree_rows
+            f"SELECT sku_key, '{c}' AS feature, round({c}, 6) AS value, round({phi}, 6) AS phi, round(v0 + 5e-1 * w0, 6) AS base_value FROM worth" for c, phi in tree_rows
         )),
     }
