@@ -23,6 +23,7 @@ from pyspark.sql.functions import pandas_udf
 
 from returnsight.llm import logistic
 from returnsight.llm.common import fit_sample, held_out, ready, staged
+from returnsight.operators.features import broadcast_if_small
 
 #: At most so many labelled rows are used for fitting.
 FIT_ROWS = 20_000
@@ -120,7 +121,7 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, Prior]:
     share = (total["good"] + 0.5) / (total["n"] + 1) if total["n"] else 0.5
     host_strength = _strength(hosts, F.lit(share))
     of_host = hosts.select("host", F.col("n").alias("host_n"), F.col("good").alias("host_good"))
-    sites = paths.join(of_host, "host")
+    sites = staged(paths.join(of_host, "host"), "sites")
     host_mean = (F.lit(host_strength * share) + F.col("host_good")) / (host_strength + F.col("host_n"))
     prior = Prior(share, host_strength, _strength(sites.withColumn("mean", host_mean), F.col("mean")))
     return sites, prior
@@ -136,7 +137,8 @@ def with_scores(docs: DataFrame, model: Model, host: Column, path: Column) -> Da
     key = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")).alias(n) for n, c in (("host", host), ("path", path))]
     rows = ready(docs).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *key, evidence(F.col("text"), model).alias("p"))
     sites, prior = site_posteriors(rows.select("host", "path", "p"))
-    sites = sites.withColumnsRenamed({"host": "site_host", "path": "site_path"})
+    # broadcast within measured bounds, so that texts are not shuffled by site
+    sites = broadcast_if_small(sites.withColumnsRenamed({"host": "site_host", "path": "site_path"}))
     out = rows.join(sites, (F.col("host") == F.col("site_host")) & (F.col("path") == F.col("site_path")))
     p = F.col("p")
     host_mean = (F.lit(prior.host_strength * prior.share) + F.col("host_good") - p) / (prior.host_strength + F.col("host_n") - 1)
