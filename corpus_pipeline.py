@@ -17,6 +17,7 @@ from returnsight.llm.packing import best_fit_packing
 from returnsight.llm.secret_scan import without_secrets
 from returnsight.llm.simhash import simhash_groups
 from returnsight.llm.tokens import vocabulary_path
+from returnsight.operators.features import broadcast_if_small
 
 #: Stages fit models and cluster by hashes; tests hold the result against brute force instead.
 ORACLE_SQL = None
@@ -36,7 +37,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The document with the smallest doc_id of every SimHash group (one row, should its id be
     repeated); rows without an id stay, as no other row can name them."""
     groups = staged(simhash_groups(docs, words=4, max_bits=4), "groups").where("doc_id IS NOT NULL")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = staged(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    gone = broadcast_if_small(gone)  # within measured bounds, so that texts are not shuffled by id
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # whatever its columns are called
     left = rows.join(gone, F.col("row.doc_id") == F.col("gone_id"), "left_anti")
     repeated = staged(groups.groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1").select("again_id"), "repeated")
