@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from returnsight.llm import logistic
-from returnsight.llm.common import fit_sample, held_out, ready, slices
+from returnsight.llm.common import fit_sample, held_out, ready, slices, staged
 
 #: At most so many labelled rows are used for fitting.
 FIT_ROWS = 20_000
@@ -250,19 +250,18 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Model:
     A feature gets a weight if its toxic share is above the average by more than chance explains
     among that many features (log-likelihood ratio above the log of their number)."""
     costs = trigram_costs(character_counts(docs))
-    rows = fit_sample(docs, labels, "toxic", bound)
+    rows = staged(fit_sample(docs, labels, "toxic", bound), "fit-sample")
     total = {r["fit_label"]: r["count"] for r in rows.groupBy("fit_label").count().collect()}
     toxic, clean = total.get(1, 0), total.get(0, 0)
     weights: dict[str, float] = {}
     if toxic and clean:
-        counted = _word_counts(rows, costs).cache()
+        counted = staged(_word_counts(rows, costs), "word-counts")
         kinds = max(1, counted.count())
         rate, n = toxic / (toxic + clean), F.col("toxic") + F.col("clean")
         evidence = F.col("toxic") * F.log(F.col("toxic") / n / rate) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / n / (1 - rate))).otherwise(0.0)
         kept = counted.where((F.col("toxic") > 0) & (F.col("toxic") / n > rate) & (evidence > math.log(kinds)))
         for r in kept.collect():  # bounded by the sample
             weights[r["feature"]] = math.log((r["toxic"] + 0.5) / (toxic + 1)) - math.log((r["clean"] + 0.5) / (clean + 1))
-        counted.unpersist()
         weights = {f: w for f, w in weights.items() if w > 1}
     model = Model(costs, weights)
 
