@@ -222,8 +222,9 @@ def simhash_groups(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataFr
     rows = staged(fingerprints(docs, words), "fingerprints")
     classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
     roots = components(linked_fingerprints(classes.select("fp"), max_bits))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    rooted = staged(classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    # written first: both sides of the join are then plain shuffles, whose hot partitions AQE splits
+    smallest = staged(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
     of_fp = staged(rooted.join(smallest, "root").select(F.col("fp").alias("of"), "component_id"), "fingerprint-components")
     out = rows.join(of_fp, F.col("fp") == F.col("of"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
