@@ -343,7 +343,8 @@ def near_vectors(rows: DataFrame, cosine: float = 0.93, split: int = 2 * CELL) -
     )
     same = (F.col("label") == F.col("of_label")) & (F.col("vector") == F.col("of_vector"))
     found = staged(own.where(taking).join(known, same).select("vec_id", "n_links", "root"), "vector-links")
-    first = found.groupBy(F.col("root").alias("of_root")).agg(F.min("vec_id").alias("component_id"))
+    # written first: both sides of the join are then plain shuffles, whose hot partitions AQE splits
+    first = staged(found.groupBy(F.col("root").alias("of_root")).agg(F.min("vec_id").alias("component_id")), "smallest")
     linked = found.join(first, F.col("root") == F.col("of_root")).select("vec_id", "n_links", "component_id")
     alone = own.where(~taking).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
