@@ -192,5 +192,6 @@ def best_fit_packing(docs: DataFrame, vocabulary: str, capacity: int = 4096, end
     shifts = counts.select(F.col("part").alias("of_part"), F.col("length").alias("of_length"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     same = (F.col("part") == F.col("of_part")) & (F.col("length") == F.col("of_length"))
-    ranked = pieces.join(shifts, same).withColumn("rank", F.col("rank") + F.col("shift"))
+    # the table of shifts grows with the partitions, so it is never broadcast, small as its files are
+    ranked = pieces.join(shifts.hint("merge"), same).withColumn("rank", F.col("rank") + F.col("shift"))
     return ranked.withColumn("at", place(plan(totals, capacity))).select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")
