@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from returnsight.llm.common import ready, staged
-from returnsight.llm.vectors import doubles, matrix, usable, width
+from returnsight.llm.vectors import doubles, matrix, usable
 
 #: Rows that centroids are fitted on, and the share of lists that a query probes.
 FIT_ROWS, PROBED = 20_000, 0.75
