@@ -28,14 +28,26 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of 32 or more among those of [0-9a-f]+
 
-VALUE = r"""(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'@,;<>(){}\[\]]+))"""
-#: A credential word, and the value after it.
+#: A credential word, before a value.
 CONTEXT = re.compile(
-    r"""(?:(?:password|passwd|passphrase|passcode|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|pwd)s?["']?\x20{0,8}(?:[:=]{1,2}|\bis\b)\x20{0,8}|\bbearer\x20{1,8})"""
-    + VALUE,
+    r"""(?:(?:password|passwd|passphrase|passcode|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|pwd)s?["']?\x20{0,8}(?:[:=]{1,2}|\bis\b)\x20{0,8}|\bbearer\x20{1,8})(?=\S)""",
     re.I | re.A,
 )
-URL_CONTEXT = re.compile(r"://[^\s:/@]{1,64}:" + VALUE + "@")
+URL_CONTEXT = re.compile(r"://[^\s:/@]{1,64}:(?=\S)")
+QUOTED = re.compile(r""""([^"\n]+)"|'([^'\n]+)'""")
+#: Where an unquoted value ends: white space, the name of the next field, an HTML end tag.
+VALUE_END = re.compile(r"""\s|[,;][{\[(]*(?:[A-Za-z_]{3,}=|"[\w-]+":|'[\w-]+':)|</[A-Za-z]\w*>|\Z""")
+SPACE = re.compile(r"\s|\Z")
+#: A port and what follows it; there only a password without quotes and brackets is looked for.
+PORT = re.compile(r"\d{2,5}[/?#\"'<>\\]")
+AFTER_PORT = re.compile(r"""[^\s"'@,;<>(){}\[\]]+(?=@)""")
+HOST = re.compile(r"""@(?:[a-z0-9_.-]+|\[[0-9a-f:.]+\])(?::\d+)?(?![^\s/?"'<>(),;\]}])""")
+#: What may follow a value without belonging to it, apart from closing brackets.
+TRAILING = ".,:;!?\"'"
+BRACKETS = {")": "(", "]": "[", "}": "{", ">": "<"}
+#: Placeholders such as <password>, {password} and ${PASSWORD}.
+WRAPPED = re.compile(r"[$#%]?(?:\((.+)\)|\[(.+)\]|\{(.+)\}|<(.+)>)", re.S)
+WRAP_BITS = 3.0  # for the choice of the brackets around a value
 #: Lower-case parts of the patterns' credential words; a text with none of them has no context.
 HINTS = ("passw", "passphrase", "passcode", "secret", "token", "key", "credential", "pwd", "bearer")
 
@@ -145,17 +157,63 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _trimmed(text: str, start: int, end: int) -> int:
+    """End of a value without the punctuation and the unbalanced closing brackets after it."""
+    surplus = {c: text.count(c, start, end) - text.count(o, start, end) for c, o in BRACKETS.items()}
+    while end > start and ((c := text[end - 1]) in TRAILING or surplus.get(c, 0) > 0):
+        if c in surplus:
+            surplus[c] -= 1
+        end -= 1
+    return end
+
+
+def context_values(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the values after credential words."""
+    at = 0
+    while m := CONTEXT.search(text, at):
+        at = m.end()
+        if quoted := QUOTED.match(text, at):
+            start, at = quoted.span(quoted.lastindex)
+            yield start, at
+        elif text[at] not in "\"'":
+            start, at = at, VALUE_END.search(text, at).start()
+            yield start, _trimmed(text, start, at)
+
+
+def url_values(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the passwords in URLs: up to the first @ with a host after it, else the last."""
+    at = stop = 0
+    while m := URL_CONTEXT.search(text, at):
+        start = at = m.end()
+        if start >= stop:
+            stop = SPACE.search(text, start).start()
+        if text.find("@", start, stop) < 0:
+            at = stop
+            continue
+        if PORT.match(text, start):
+            end = own.end() if (own := AFTER_PORT.match(text, start)) else -1
+        else:
+            end = host.start() if (host := HOST.search(text, start, stop)) else text.rfind("@", start, stop)
+        if end > start:
+            at = end
+            quoted = QUOTED.fullmatch(text, start, end)
+            yield quoted.span(quoted.lastindex) if quoted else (start, end)
+
+
+def value_bits(value: str) -> float:
+    """``guess_bits``, brackets around the whole value taken as one choice."""
+    bits = guess_bits(value)
+    m = WRAPPED.fullmatch(value)
+    return min(bits, WRAP_BITS + guess_bits(m[m.lastindex])) if m else bits
+
+
 def find_spans(text: str, min_guess_bits: float, min_length: int = 6) -> tuple[list, list]:
     """(base spans, base spans and those of costly values), by start, then kind."""
     base = base_spans(text)
     added = []
-    for m in chain(CONTEXT.finditer(text) if _hinted(text) else (), URL_CONTEXT.finditer(text)):
-        k = next(k for k in (1, 2, 3) if m[k] is not None)
-        start, end = m.span(k)
-        if k == 3:
-            end = start + len(m[3].rstrip(".:!?"))
+    for start, end in chain(context_values(text) if _hinted(text) else (), url_values(text)):
         inside = any(s <= start and end <= e for s, _, e in base)
-        if end - start >= min_length and not inside and guess_bits(text[start:end]) >= min_guess_bits:
+        if end - start >= min_length and not inside and value_bits(text[start:end]) >= min_guess_bits:
             added.append((start, 3, end))
     return base, sorted({*base, *added})
 

@@ -14,7 +14,7 @@ from returnsight.llm import quality, toxicity
 from returnsight.llm.common import fit_sample
 from returnsight.llm.licenses import TEMPLATES, aligned, find_licenses, license_scan, template_index, winnowed, words_of
 from returnsight.llm.logistic import fit
-from returnsight.llm.secret_scan import COMMON_WORDS, MIN_GUESS_BITS, base_spans, find_spans, guess_bits, secret_spans, without_secrets
+from returnsight.llm.secret_scan import COMMON_WORDS, MIN_GUESS_BITS, base_spans, find_spans, guess_bits, masked_text, secret_spans, without_secrets
 
 SF01 = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, p string, row int, host string, found string, score double"
@@ -81,6 +81,25 @@ def test_contexts():
     assert [text[s:e] for s, k, e in spans if k == 3] == ["xK9#mQ2$vL7p", "abcQz91kdLpTT7xx", "h8KQzL0pw2x", "gtR kw81 zzQ!"]
 
 
+def guessed(text):
+    return [text[s:e] for s, k, e in find_spans(text, MIN_GUESS_BITS)[1] if k == 3]
+
+
+@pytest.mark.parametrize("value", ["xK9@fQ2!mZ7#vL", "Xk29fQmZ7b@Wq19", "xK9,fQ2;mZ7#vL", "xK(9fQ)2mZ7#vL", "xK9<fQ2>mZ7#vL", "@xK9{fQ2}mZ7vL", "xK9'fQ2\"mZ7[vL", "<xK9fQ2mZ7#vL"])
+def test_unquoted_values_are_whole(value):
+    for text in (f"pwd: {value}", f"pwd: {value}, and", f"(pwd={value})", f"password={value}.\n", f"pwd={value};server=db1"):
+        assert guessed(text) == [value], text
+        assert masked_text(text, find_spans(text, MIN_GUESS_BITS)[1], "*").count("*") == 1
+    assert guessed(f"postgres://bob:{value}@db.example.com:5432/x?mail=a@b.com") == [value]
+    assert guessed(f"see postgres://bob:{value}@host") == [value]
+
+
+def test_values_end_before_the_next_field():
+    for text in ('{"max_tokens":4096,"model":"xK9fQ2mZ7vLxx","id":[1,2]}', "pwd=changeme;server=db7.example.com", "password: <your_password_here>", "<p>pwd: changeme</p><p>Kq7#z", 'open("http://a:80/x","mail":"xK9fQ2mZ7@b.com")', 'pwd: "", x'):
+        assert guessed(text) == [], text
+    assert guessed("pwd=changeme;secret_key=x,pwd=xK9#mQ2$vL7p") == ["xK9#mQ2$vL7p"]
+
+
 def test_secret_edges(spark):
     docs = edge_docs(spark, [(9, 'é token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" pwd: xK9#mQ2$vL7p', "en", "s"), (10, "a" * 50000 + " AKIAABCDEFGHIJKL12", "en", "s")])
     got = secret_spans(docs).collect()
