@@ -30,10 +30,10 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of 32 or more among those of [0-9
 
 #: A credential word, before a value.
 CONTEXT = re.compile(
-    r"""(?:(?:password|passwd|passphrase|passcode|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|pwd)s?["']?\x20{0,8}(?:[:=]{1,2}|\bis\b)\x20{0,8}|\bbearer\x20{1,8})(?=\S)""",
+    r"""(?:(?:password|passwd|passphrase|passcode|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|pwd)s?["']?[\x20\t]*+(?:[:=]++(?:(?<==)>)?|\bis\b(?:[\x20\t]*+[:=]++)?+)[\x20\t]*+|\bbearer[\x20\t]++)(?=\S)""",
     re.I | re.A,
 )
-URL_CONTEXT = re.compile(r"://[^\s:/@]{1,64}:(?=\S)")
+URL_CONTEXT = re.compile(r"://([^\s:/@]*+):(?=\S)")
 QUOTED = re.compile(r""""([^"\n]+)"|'([^'\n]+)'""")
 #: Where an unquoted value ends: white space, the name of the next field, an HTML end tag.
 VALUE_END = re.compile(r"""\s|[,;][{\[(]*(?:[A-Za-z_]{3,}=|"[\w-]+":|'[\w-]+':)|</[A-Za-z]\w*>|\Z""")
@@ -190,7 +190,7 @@ def url_values(text: str) -> Iterator[tuple[int, int]]:
         if text.find("@", start, stop) < 0:
             at = stop
             continue
-        if PORT.match(text, start):
+        if m[1] and PORT.match(text, start):
             end = own.end() if (own := AFTER_PORT.match(text, start)) else -1
         else:
             end = host.start() if (host := HOST.search(text, start, stop)) else text.rfind("@", start, stop)

@@ -94,6 +94,19 @@ def test_unquoted_values_are_whole(value):
     assert guessed(f"see postgres://bob:{value}@host") == [value]
 
 
+@pytest.mark.parametrize("context", ["pwd:" + " " * 30, "pwd" + " " * 30 + "= ", "pwd\t:\t\t", "'password' => ", "password=>", "password is: ", "passphrase  is ", "Bearer\t", "Bearer" + " " * 20, "pwd === "])
+def test_every_context_is_judged(context):
+    for value in ("xK9!fQ2#mZ7", "'xK9!fQ2#mZ7'"):
+        assert guessed(f"a {context}{value} b") == ["xK9!fQ2#mZ7"]
+        assert guessed(f"a {context}changeme b") == [] == guessed(f"a {context}\n{value}")
+
+
+@pytest.mark.parametrize("user", ["", "u" * 65, "u" * 5000])
+def test_urls_with_any_user(user):
+    assert guessed(f"redis://{user}:xK9!fQ2#mZ7@host:6379") == ["xK9!fQ2#mZ7"]
+    assert guessed(f"redis://{user}:changeme@host") == []
+
+
 def test_values_end_before_the_next_field():
     for text in ('{"max_tokens":4096,"model":"xK9fQ2mZ7vLxx","id":[1,2]}', "pwd=changeme;server=db7.example.com", "password: <your_password_here>", "<p>pwd: changeme</p><p>Kq7#z", 'open("http://a:80/x","mail":"xK9fQ2mZ7@b.com")', 'pwd: "", x'):
         assert guessed(text) == [], text
