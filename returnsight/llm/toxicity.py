@@ -40,12 +40,15 @@ STANDS_FOR = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
 # Cost in nats of a substitution, of a filler left out, of a word end at a filler or at a
-# character that may stand for a letter, of a repeat left out.
-SUBSTITUTE, FILLER, WORD_END, SIGN_END, REPEAT = 1.0, 0.7, 2.0, 12.0, 0.5
+# character that may stand for a letter, of such a character at a chunk's edge read as punctuation, of a
+# repeat left out.
+SUBSTITUTE, FILLER, WORD_END, SIGN_END, EDGE_END, REPEAT = 1.0, 0.7, 2.0, 12.0, 8.0, 0.5
 
 LETTERS = 28  # 0: no letter, 1-26: a-z, 27: any other letter
 WORD = re.compile(r"[^\W\d_]+")
 EDGES = ".,;:?\"'()[]{}<>*&%#~^`“”«»¿¡…-_/=+|\\"
+#: Those that stand for no letter.
+PLAIN_EDGES = "".join(c for c in EDGES if c not in STANDS_FOR)
 JUNK = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 # A quick look for what SPACED may find, after every gap.
@@ -103,13 +106,13 @@ class Restorer:
     def __init__(self, costs: list):
         self.costs = costs
 
-    def options(self, raw: str, k: int) -> list[tuple[int, str, float]]:
+    def options(self, raw: str, k: int, sign_end: float = SIGN_END) -> list[tuple[int, str, float]]:
         """(symbol, letter, cost) readings of character k: -1 leaves it out, 0 ends the word."""
         c = raw[k]
         if "a" <= c <= "z":
             out = [(ord(c) - 96, c, 0.0)]
         elif c in STANDS_FOR:
-            out = [(ord(x) - 96, x, SUBSTITUTE) for x in STANDS_FOR[c]] + [(0, " ", SIGN_END)]
+            out = [(ord(x) - 96, x, SUBSTITUTE) for x in STANDS_FOR[c]] + [(0, " ", sign_end)]
         elif c.isalpha():
             out = [(27, c, 0.0)]
         else:
@@ -118,12 +121,14 @@ class Restorer:
             out.append((-1, "", REPEAT))
         return out
 
-    def restore(self, raw: str) -> str:
-        """The reading of least cost of a lower-case string, words parted by spaces."""
+    def restore(self, raw: str, core: tuple[int, int] | None = None) -> str:
+        """The reading of least cost of a lower-case string, words parted by spaces. Signs outside
+        ``core`` (a range of positions, default: all) may well be punctuation."""
+        start, end = core or (0, len(raw))
         states: dict[tuple[int, int], float] = {(0, 0): 0.0}
         trail: list[dict] = []
         for k in range(len(raw)):
-            options = self.options(raw, k)
+            options = self.options(raw, k, SIGN_END if start <= k < end else EDGE_END)
             best: dict[tuple[int, int], float] = {}
             back: dict[tuple[int, int], tuple] = {}
             for (a, b), cost in states.items():
@@ -148,12 +153,16 @@ class Restorer:
         """Words of a lower-case chunk without white space, disguised ones restored."""
         if chunk.isalpha() and not TRIPLE.search(chunk):
             return [chunk]
-        core = JUNK.sub("", chunk).strip(EDGES).rstrip("!").strip(EDGES)
-        if not core:
-            return []
-        if core.isalpha() and not TRIPLE.search(core):
-            return [core]
-        return [*WORD.findall(core), *self.restore(core).split()]
+        chunk = JUNK.sub("", chunk)
+        core = chunk.strip(EDGES).rstrip("!").strip(EDGES)
+        whole = chunk.strip(PLAIN_EDGES)  # with the signs at its edges that may be letters
+        out = WORD.findall(core)
+        if core and (not core.isalpha() or TRIPLE.search(core)):
+            out += self.restore(core).split()
+        if whole != core:
+            at = len(whole) - len(whole.lstrip(EDGES))
+            out += self.restore(whole, (at, at + len(core))).split()
+        return out
 
     def spaced(self, text: str) -> list[str]:
         """What a lower-case text has written letter by letter, from each letter on: the gaps do not

@@ -206,6 +206,17 @@ def test_disguised_words_weigh_as_plain_ones(model, disguised):
     assert model.scorer.measures("the ordinary and")[0] == 0
 
 
+def test_signs_at_the_edges_are_read_as_letters_or_punctuation(model):
+    restorer = model.scorer.restorer
+    for chunk, word in (("(lown", "clown"), ("|oser", "loser"), ("|diot", "idiot"), ("+rash", "trash"), ('"(lown".', "clown"), ("(|own)", "clown"), ("idio+", "idiot"), ("idio+,", "idiot")):
+        assert word in restorer.words(chunk), chunk
+    for chunk, word in (("(the", "the"), ("(and)", "and"), ("this!", "this"), ("(not", "not")):
+        assert set(restorer.words(chunk)) == {word}, chunk
+    plain = model.scorer.measures("the idiot")[0]
+    assert model.scorer.measures("the |diot and")[0] >= 0.7 * plain and model.scorer.measures("the idio+ and")[0] >= 0.7 * plain
+    assert restorer.words("(((") == [] == restorer.words('"')
+
+
 def test_viterbi_is_the_cheapest_reading(model):
     restorer = toxicity.Restorer(model.costs)
     for raw in ("1d1", "a.b", "$0x1", "ooo1"):
