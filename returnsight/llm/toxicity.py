@@ -41,8 +41,8 @@ STANDS_FOR = {
 }
 # Cost in nats of a substitution, of a filler left out, of a word end at a filler or at a
 # character that may stand for a letter, of such a character at a chunk's edge read as punctuation, of a
-# repeat left out.
-SUBSTITUTE, FILLER, WORD_END, SIGN_END, EDGE_END, REPEAT = 1.0, 0.7, 2.0, 12.0, 8.0, 0.5
+# repeat left out of three or more, of one of two (the letter model keeps most ordinary doubles).
+SUBSTITUTE, FILLER, WORD_END, SIGN_END, EDGE_END, REPEAT, DOUBLE = 1.0, 0.7, 2.0, 12.0, 8.0, 0.5, 3.0
 
 LETTERS = 28  # 0: no letter, 1-26: a-z, 27: any other letter
 WORD = re.compile(r"[^\W\d_]+")
@@ -50,9 +50,9 @@ EDGES = ".,;:?\"'()[]{}<>*&%#~^`“”«»¿¡…-_/=+|\\"
 #: Those that stand for no letter.
 PLAIN_EDGES = "".join(c for c in EDGES if c not in STANDS_FOR)
 JUNK = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
-TRIPLE = re.compile(r"([^\W\d_])\1\1")
-# A quick look for what SPACED may find, after every gap.
-MAYBE_SPACED = re.compile(r" (?:[\w@$!|+][ .\-_*~]{1,2}){3}")
+DOUBLED = re.compile(r"([^\W\d_])\1")
+# A quick look for what SPACED may find, wherever a word may begin.
+MAYBE_SPACED = re.compile(r"(?<![^\W_])(?:[\w@$!|+][ .\-_*~]{1,2}){3}")
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])(?:[ .\-_*~]{1,2}(?:[^\W_]|[@$!|+])){3,}(?![^\W_])")
 
 
@@ -117,8 +117,9 @@ class Restorer:
             out = [(27, c, 0.0)]
         else:
             return [(-1, "", FILLER), (0, " ", WORD_END)]
-        if k and raw[k - 1] == c and c in (raw[k - 2 : k - 1], raw[k + 1 : k + 2]):  # written three times or more
-            out.append((-1, "", REPEAT))
+        if k and raw[k - 1] == c:
+            thrice = c in (raw[k - 2 : k - 1], raw[k + 1 : k + 2])
+            out.append((-1, "", REPEAT if thrice else DOUBLE))
         return out
 
     def restore(self, raw: str, core: tuple[int, int] | None = None) -> str:
@@ -151,13 +152,13 @@ class Restorer:
 
     def words(self, chunk: str) -> list[str]:
         """Words of a lower-case chunk without white space, disguised ones restored."""
-        if chunk.isalpha() and not TRIPLE.search(chunk):
+        if chunk.isalpha() and not DOUBLED.search(chunk):
             return [chunk]
         chunk = JUNK.sub("", chunk)
         core = chunk.strip(EDGES).rstrip("!").strip(EDGES)
         whole = chunk.strip(PLAIN_EDGES)  # with the signs at its edges that may be letters
         out = WORD.findall(core)
-        if core and (not core.isalpha() or TRIPLE.search(core)):
+        if core and (not core.isalpha() or DOUBLED.search(core)):
             out += self.restore(core).split()
         if whole != core:
             at = len(whole) - len(whole.lstrip(EDGES))
@@ -167,7 +168,8 @@ class Restorer:
     def spaced(self, text: str) -> list[str]:
         """What a lower-case text has written letter by letter, from each letter on: the gaps do not
         tell where a word begins."""
-        if not MAYBE_SPACED.search(" " + text.replace("\n", " ").replace("\t", " ")):
+        text = " ".join(text.split())  # gaps may be wide, or line ends
+        if not MAYBE_SPACED.search(text):
             return []
         read = (self.restore(m[0]).replace(" ", "") for m in SPACED.finditer(text))
         return [r[k : k + LONGEST_HEAD] for r in read for k in range(len(r) - SHORTEST_HEAD + 1)]

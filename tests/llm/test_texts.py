@@ -217,6 +217,22 @@ def test_signs_at_the_edges_are_read_as_letters_or_punctuation(model):
     assert restorer.words("(((") == [] == restorer.words('"')
 
 
+def test_doubled_letters_are_undone(model):
+    restorer = model.scorer.restorer
+    for chunk, word in (("stuupid", "stupid"), ("iddiot", "idiot"), ("mmoorroonn", "moron"), ("(iddiot)", "idiot"), ("1dd10t", "idiot")):
+        assert word in restorer.words(chunk), chunk
+    for word in ("letter", "added", "summer", "well"):
+        assert word in restorer.words(word)
+    assert model.scorer.measures("the iddiot and")[0] >= 0.7 * model.scorer.measures("the idiot")[0]
+
+
+@pytest.mark.parametrize("text", ['say "i d i o t" to', "(i.d.i.o.t)", "an i   d   i   o   t", "i\td\ti\to\tt", "i\nd\ni\no\nt", "i \r\n d \r\n i \r\n o \r\n t"])
+def test_spaced_words_after_any_sign_and_gap(model, text):
+    assert any(r.startswith("idio") for r in model.scorer.restorer.spaced(text))
+    assert any(r == "scum" for r in model.scorer.restorer.spaced('a "s c u m" b'))
+    assert model.scorer.measures(text)[0] >= 0.7 * model.scorer.measures("the idiot")[0]
+
+
 def test_viterbi_is_the_cheapest_reading(model):
     restorer = toxicity.Restorer(model.costs)
     for raw in ("1d1", "a.b", "$0x1", "ooo1"):
