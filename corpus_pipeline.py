@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from returnsight.llm import quality, toxicity
 from returnsight.llm.common import staged, table
 from returnsight.llm.packing import best_fit_packing
 from returnsight.llm.secret_scan import without_secrets
-from returnsight.llm.simhash import simhash_groups
+from returnsight.llm.simhash import fingerprint_of, rooted_fingerprints
 from returnsight.llm.tokens import vocabulary_path
 from returnsight.operators.features import broadcast_if_small
 
@@ -34,20 +34,27 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every SimHash group (one row, should its id be
-    repeated); rows without an id stay, as no other row can name them."""
-    groups = staged(simhash_groups(docs, words=4, max_bits=4), "groups").where("doc_id IS NOT NULL")
-    gone = staged(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    """One row of every SimHash group: of the rows with its smallest doc_id the one with the smallest
+    fingerprint, then the smallest row. Among a group's rows without an id one stays too."""
+    groups = staged(rooted_fingerprints(docs, words=4, max_bits=4), "groups")
+    known = groups.where("doc_id IS NOT NULL")
+    repeated = staged(known.groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1").select("again_id"), "repeated")
+    gone = staged(known.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).join(repeated, F.col("gone_id") == F.col("again_id"), "left_anti"), "gone")
     gone = broadcast_if_small(gone)  # within measured bounds, so that texts are not shuffled by id
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # whatever its columns are called
     left = rows.join(gone, F.col("row.doc_id") == F.col("gone_id"), "left_anti")
-    repeated = staged(groups.groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1").select("again_id"), "repeated")
-    if repeated.isEmpty():
+    if repeated.isEmpty() and groups.where("doc_id IS NULL").isEmpty():
         return left.select("row.*")
+    # ids do not tell these rows apart: id and fingerprint do, and rows equal in both are copies
     same = F.col("row.doc_id") == F.col("again_id")
-    first = F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row"))
-    single = left.join(repeated, same, "left_semi").withColumn("place", first).where("place = 1").select("row")
-    return left.join(repeated, same, "left_anti").unionByName(single).select("row.*")
+    unclear = rows.join(repeated, same, "left_semi").unionByName(rows.where("row.doc_id IS NULL"))
+    keyed = unclear.select(F.col("row.doc_id").cast("long").alias("key_id"), fingerprint_of(F.col("row.text")).alias("key_fp"), "row")
+    single = keyed.groupBy("key_id", "key_fp").agg(F.min("row").alias("row"))  # tasks take their minima first
+    first = groups.where("doc_id IS NULL OR doc_id = component_id").groupBy("root", "doc_id").agg(F.min("fp").alias("first_fp"))
+    kept = F.col("key_id").eqNullSafe(F.col("doc_id")) & (F.col("key_fp") == F.col("first_fp"))
+    single = single.join(first, kept, "left_semi").select("row")
+    plain = left.join(repeated, same, "left_anti").where("row.doc_id IS NOT NULL")
+    return plain.unionByName(single).select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

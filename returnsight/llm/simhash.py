@@ -17,10 +17,12 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from returnsight.llm.common import ready, slices, staged
 from returnsight.llm.components import components, forest
@@ -212,6 +214,30 @@ def linked_fingerprints(fps: DataFrame, max_bits: int, hot: int = 4096, levels:
     return links
 
 
+def rooted_fingerprints(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp (signed long), root (the fingerprint that names the
+    component) and component_id, as in ``simhash_groups``."""
+    rows = staged(fingerprints(docs, words), "fingerprints")
+    classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
+    roots = components(linked_fingerprints(classes.select("fp"), max_bits))
+    rooted = staged(classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    # written first: both sides of the join are then plain shuffles, whose hot partitions AQE splits
+    smallest = staged(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
+    of_fp = staged(rooted.join(smallest, "root").select(F.col("fp").alias("of"), "root", "component_id"), "fingerprint-components")
+    return rows.join(of_fp, F.col("fp") == F.col("of")).select("doc_id", "fp", "root", "component_id")
+
+
+def fingerprint_of(text: Column, words: int = 4) -> Column:
+    """Fingerprint of a text as a signed long (null: empty)."""
+
+    @pandas_udf("long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
+
+    return run(text.cast("string"))
+
+
 def simhash_groups(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, fingerprint (16 hex digits) and
     component_id, the smallest doc_id that links of ``max_bits`` or fewer differing bits reach.
@@ -219,12 +245,5 @@ def simhash_groups(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataFr
     Null texts count as empty; texts without words have fingerprint zero and link like any other;
     rows with equal ids stay; rows with a null id get the smallest id that is not null (null if the
     component has none). An empty table gives no rows; other columns are ignored."""
-    rows = staged(fingerprints(docs, words), "fingerprints")
-    classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
-    roots = components(linked_fingerprints(classes.select("fp"), max_bits))
-    rooted = staged(classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
-    # written first: both sides of the join are then plain shuffles, whose hot partitions AQE splits
-    smallest = staged(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
-    of_fp = staged(rooted.join(smallest, "root").select(F.col("fp").alias("of"), "component_id"), "fingerprint-components")
-    out = rows.join(of_fp, F.col("fp") == F.col("of"))
+    out = rooted_fingerprints(docs, words, max_bits)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -63,3 +63,13 @@ def test_near_copies_leave_one_row(spark, awkward):
     assert kept.count(2) == 0 and kept.count(1) == 1 and kept.count(None) == 2
     again = awkward.where("doc_id IN (2, 7)")
     assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, again, SF001).collect()] == [2]
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    a, b, c, d = (" ".join(f"{k}{i * i % 97}" for i in range(80)) for k in "abcd")
+    given = [(5, a), (5, b), (3, b), (6, a + " more"), (7, c), (7, d), (None, "x " + c * 2), (None, "x " + c * 2), (None, "x " + c * 2)]
+    label = brute_groups([plain_fingerprint(t) for _, t in given], 4)
+    assert label == [0, 1, 1, 0, 4, 5, 6, 6, 6]
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(4)
+    kept = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, SF001).collect()]
+    assert sorted(kept, key=str) == sorted([(5, a), (3, b), (7, c), (7, d), (None, "x " + c * 2)], key=str)
