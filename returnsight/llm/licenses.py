@@ -53,6 +53,23 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
 )
+_GNU = (("GPL", "General", "1.0 2.0 3.0"), ("LGPL", "Lesser General", "2.1 3.0"), ("LGPL", "Library General", "2.0"), ("AGPL", "Affero General", "3.0"))
+_CC = (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-ND", "Attribution-NoDerivs"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivs"))
+# The same notices of the sibling licenses.
+_SIBLINGS = (
+    *((n, f"{verb} under the {title}.") for verb in ("Released", "Licensed") for n, title in (("Apache-2.0", "Apache License, Version 2.0"), ("MIT", "MIT License"), ("BSD", "BSD License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("ISC", "ISC License"), ("MPL-1.1", "Mozilla Public License, version 1.1"), ("MPL-2.0", "Mozilla Public License, version 2.0"))),
+    *((f"{n}-{v}", f"{start} under the GNU {title} Public License, version {v.removesuffix('.0')}.") for start in ("This work is licensed", "Released") for n, title, versions in _GNU for v in versions.split()),
+    *((f"{n}-{v}", f"you can redistribute it and/or modify it under the terms of the GNU {title} Public License as published by the Free Software Foundation; either version {v.removesuffix('.0')} of the License") for n, title, versions in _GNU for v in versions.split()),
+    *((f"CC-{n}-{v}", f"Licensed under CC {n} {v}.") for n in dict(_CC) for v in ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    *((f"CC-{n}-{v}", f"This work is licensed under a Creative Commons {title} {v} {kind} License") for n, title in _CC for v, kind in (("1.0", "Generic"), ("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International"))),
+)
+_known = {text for _, text in TEMPLATES}
+TEMPLATES += tuple(t for t in _SIBLINGS if t[1] not in _known)
+
+# Words that tell licenses apart. Those of a template must be found, as must its version.
+NAMES = frozenset("apache mit bsd isc mozilla gnu cc commons unencumbered clause".split())
+# Words that turn one license into another, so that none may be inserted either.
+CHANGES = frozenset("lesser affero nc nd sa noncommercial commercial noderivatives noderivs derivatives derivs sharealike alike".split())
 
 WORD = re.compile("[a-z0-9]+")
 
@@ -121,6 +138,37 @@ def aligned(template: list[str], words: list[str], start: int, band: int = BAND)
     return found[::-1]
 
 
+def _needed(template: list[str]) -> frozenset[str]:
+    """Words of a template that must be found; a zero after a number may be left out."""
+    return frozenset(w for k, w in enumerate(template) if w in NAMES or w in CHANGES or (w.isdigit() and not (w == "0" and k and template[k - 1].isdigit())))
+
+
+@cache
+def _needed_of(templates: tuple) -> list[frozenset[str]]:
+    return [_needed(words) for words in template_index(templates)[0]]
+
+
+def told_apart(template: list[str], text: str, tokens: list[tuple[str, int, int]], hits: list[int]) -> bool:
+    """Whether the words that tell licenses apart are those of the template: all are matched, and none
+    is inserted, nor a number beside the version."""
+    words, matched = [w for w, _, _ in tokens[hits[0] : hits[-1] + 2]], {h - hits[0] for h in hits}
+    if not _needed(template) <= {words[k] for k in matched}:
+        return False
+    last = hits[-1] - hits[0]
+    for k in range(last + 1):
+        if k in matched:
+            continue
+        if words[k] in CHANGES:
+            return False
+        beside = [words[k - 1] if k - 1 in matched else "", words[k + 1] if k + 1 in matched else ""]
+        if words[k].isdigit() and int(words[k]) and (beside[0] in ("version", "v") or any(w.isdigit() for w in beside)):
+            return False
+    # the version may go on after the last word
+    after = words[last + 1] if len(words) > last + 1 else ""
+    goes_on = after.isdigit() and int(after) and words[last].isdigit() and text[tokens[hits[-1]][2] : tokens[hits[-1] + 1][1]] == "."
+    return not goes_on
+
+
 def find_licenses(text: str, templates: tuple = TEMPLATES, min_coverage: float = MIN_COVERAGE) -> list[Match]:
     """Matches in a text by position; spans count code points, the end excluded."""
     split, runs, hints = template_index(templates)
@@ -133,15 +181,17 @@ def find_licenses(text: str, templates: tuple = TEMPLATES, min_coverage: float =
     for k in range(len(words) - GRAM + 1):
         for t, at in runs.get(tuple(words[k : k + GRAM]), ()):
             proposed.setdefault(t, []).append(k - at)
-    found = []
+    found, seen = [], set(words)
     for t, starts in proposed.items():
+        if not _needed_of(templates)[t] <= seen:
+            continue
         last = None
         for start in sorted(set(starts)):
             if last is not None and start - last <= BAND // 2:
                 continue
             last = start
             hits = aligned(split[t], words, start)
-            if hits and len(hits) >= min_coverage * len(split[t]):
+            if hits and len(hits) >= min_coverage * len(split[t]) and told_apart(split[t], text, tokens, hits):
                 found.append(Match(templates[t][0], len(hits) / len(split[t]), tokens[hits[0]][1], tokens[hits[-1]][2], len(hits)))
     kept: list[Match] = []
     for m in sorted(set(found), key=lambda m: (-m.words, -m.coverage, m.start, m.license)):

@@ -181,6 +181,29 @@ def test_winnowing_keeps_a_run_of_every_window():
     assert find_licenses("licensed to nobody under any version") == []
 
 
+@pytest.mark.parametrize(
+    "text,name",
+    [
+        ("Released under the BSD License.", "BSD"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+        ("This work is licensed under the GNU General Public License, version 3.0.", "GPL-3.0"),
+        ("This work is licensed under the GNU General Public License, version 3.1.", None),
+        ("This work is licensed under the GNU General Public License, version 7.", None),
+        ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+        ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"),
+        ("Licensed under CC BY 3.0.", "CC-BY-3.0"),
+        ("Licensed under CC BY 4.1.", None),
+        ("Licensed under the Apache License, Version 2.", "Apache-2.0"),
+        ("Licensed under the Apache License, Version 1.1.", None),
+        ("Released under the Foo License.", None),
+    ],
+)
+def test_near_miss_licenses(text, name):
+    assert [m.license for m in find_licenses(f"a {text} b")] == ([name] if name else [])
+
+
 def test_license_edges(spark):
     docs = edge_docs(spark, [(9, "Released under the MIT License.\n" * 300, "en", "s")])
     got = {r.doc_id: r for r in license_scan(docs).collect()}
