@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from returnsight.llm.ann import nearest
+from returnsight.llm.balltree import lexical_search
 from returnsight.llm.bpe import encode_decode
 from returnsight.llm.common import table
 from returnsight.llm.covertree import near_vectors
@@ -18,7 +19,9 @@ from returnsight.llm.records import token_records
 from returnsight.llm.secret_scan import secret_spans
 from returnsight.llm.simhash import simhash_groups
 from returnsight.llm.tokens import vocabulary_path
+from returnsight.llm.topk import top_products
 from returnsight.llm.toxicity import toxicity_scores
+from returnsight.llm.whitening import whiten
 
 END_ID = 1
 
@@ -66,10 +69,74 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), every=100, k=10, scale=1024)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256)
+
+
+OWN = (op1_simhash, op2_packing, op3_quality, op4_token_records, op5_secrets, op6_neighbours, op7_near_vectors, op8_licenses, op9_bpe, op10_toxicity)
+OWN += (op11_lexical_search, op12_topk, op13_whitening)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_packing, op3_quality, op4_token_records, op5_secrets, op6_neighbours, op7_near_vectors, op8_licenses, op9_bpe, op10_toxicity)
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in OWN}
+
+
+#: Scores of all pairs, ranked; the operators search instead.
+LEXICAL_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+),
+total AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM texts WHERE len(terms) > 0),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM texts) GROUP BY r, term),
+items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tf, total GROUP BY term
+),
+lengths AS (SELECT r, doc_id, 100 - 90 + ((90 * len(terms) * n_docs) // n_terms) AS m FROM texts, total),
+scores AS (
+  SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM items JOIN tf USING (term) JOIN weights USING (term) JOIN lengths USING (r)
+  GROUP BY item_id, r, doc_id
+),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+  FROM scores WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+TOPK_SQL = """
+WITH x AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    CAST(list_sum(list_transform(generate_series(1, len(q.x)), lambda i: q.x[i] * c.x[i])) AS BIGINT) AS score
+  FROM x q JOIN x c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 100 = 0
+),
+ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scores
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_lexical_search": LEXICAL_SQL, "op12_topk": TOPK_SQL}
