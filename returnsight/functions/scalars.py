@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,3 +51,8 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
             for f in df.schema.fields
         ]
     )
+
+
+def ship_by_value(module: str) -> None:
+    """Send a module's task code with the tasks, so executors need not have the package installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -6,15 +6,16 @@ are unpivoted with ``unpivot`` so they stay DataFrames.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from returnsight.functions import nan_to_null
-from returnsight.operators.ranking import exact_quantiles
+from returnsight.operators.quantiles import exact_quantiles
 
 
 def _missing(c: str, dtype: T.DataType):
@@ -76,24 +77,44 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation for every ordered pair over the rows where both are present, in one
-    aggregation; missing where one of the two does not vary (the diagonal included)."""
+    """Pearson correlation for every ordered pair over the rows where both are present; missing where
+    one of the two does not vary (the diagonal included).
+
+    Two aggregations: each column's count, mean and range, then sums of products of deviations from
+    the means. A pair of columns without missing values needs one sum; a pair with some also needs its
+    own counts, sums, squares and ranges."""
     cols = list(cols)
-    norm = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
-    pairs = list(combinations_with_replacement(cols, 2))
-
-    def corr(a: str, b: str) -> Column:
-        x = F.when(F.col(b).isNotNull(), F.col(a))
-        y = F.when(F.col(a).isNotNull(), F.col(b))
-        varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-        r = F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)))
-        return F.when(varies, F.lit(1.0) if a == b else r)
-
-    row = norm.agg(*[corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)]).first()
-    val = {}
-    for i, (a, b) in enumerate(pairs):
-        val[(a, b)] = val[(b, a)] = row[f"{i}"]
-    out = [(a, b, val[(a, b)]) for a in cols for b in cols]
+    norm = df.select(*[nan_to_null(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(cols)])
+    x = [F.col(c) for c in norm.columns]
+    one = norm.agg(F.count(F.lit(1)).alias("rows"), *[f(v).alias(f"{n}{i}") for i, v in enumerate(x) for n, f in (("n", F.count), ("m", F.avg), ("lo", F.min), ("hi", F.max))]).first()
+    whole = [one[f"n{i}"] == one["rows"] for i in range(len(cols))]
+    d = [v - F.lit(one[f"m{i}"]).cast("double") for i, v in enumerate(x)]
+    pairs = list(combinations_with_replacement(range(len(cols)), 2))
+    sums = []
+    for i, j in pairs:
+        sums.append(F.sum(d[i] * d[j]).alias(f"p{i}_{j}"))
+        if i != j and not (whole[i] and whole[j]):
+            for own, by in ((i, j), (j, i)):
+                v, dev = F.when(x[by].isNotNull(), x[own]), F.when(x[by].isNotNull(), d[own])
+                sums += [F.count(v).alias(f"n{own}_{by}"), F.sum(dev).alias(f"s{own}_{by}"), F.sum(dev * dev).alias(f"q{own}_{by}"), F.min(v).alias(f"lo{own}_{by}"), F.max(v).alias(f"hi{own}_{by}")]
+    two = norm.agg(*sums).first()
+
+    def part(i: int, j: int) -> tuple[float, float, float, bool]:
+        """Count, sum and sum of squares of i's deviations where j is present, and whether i varies."""
+        if i == j or (whole[i] and whole[j]):
+            return one[f"n{i}"], 0.0, two[f"p{i}_{i}"], one[f"lo{i}"] is not None and one[f"lo{i}"] < one[f"hi{i}"]
+        lo = two[f"lo{i}_{j}"]
+        return two[f"n{i}_{j}"], two[f"s{i}_{j}"], two[f"q{i}_{j}"], lo is not None and lo < two[f"hi{i}_{j}"]
+
+    val: dict[tuple[int, int], float | None] = {}
+    for i, j in pairs:
+        (n, si, qi, vi), (_, sj, qj, vj) = part(i, j), part(j, i)
+        r = None
+        if vi and vj:
+            spread = math.sqrt(max(0.0, qi - si * si / n)) * math.sqrt(max(0.0, qj - sj * sj / n))
+            r = 1.0 if i == j else (two[f"p{i}_{j}"] - si * sj / n) / spread if spread else None
+        val[i, j] = val[j, i] = r
+    out = [(a, b, val[i, j]) for i, a in enumerate(cols) for j, b in enumerate(cols)]
     return df.sparkSession.createDataFrame(out, "feature_a string, feature_b string, corr double")
 
 

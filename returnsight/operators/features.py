@@ -47,8 +47,9 @@ def dimension_attributes(sku: DataFrame) -> DataFrame:
     )
 
 
-def decoded_lines(detail: DataFrame, params: Params) -> DataFrame:
+def decoded_lines(detail: DataFrame, params: Params, *extra: Column) -> DataFrame:
     return in_window(detail, params).select(
+        *extra,
         "sku_key", "quantity", "plu_amt", "tran_discount_amt", "override_amt", "extended_amt",
         decode_flag("ecom").alias("ecom"),
         decode_flag("sale").alias("sale"),
@@ -112,7 +113,7 @@ def active_skus(detail: DataFrame, sku: DataFrame, params: Params) -> DataFrame:
     return counted.filter(F.col("sale_lines") > F.lit(params.min_sale_lines))
 
 
-def _feature_aggs() -> list[Column]:
+def feature_aggregates() -> list[Column]:
     sale = F.col("sale") == 1
     ret = F.col("return") == 1
     return [
@@ -132,28 +133,41 @@ def sku_features(detail: DataFrame, sku: DataFrame, params: Params) -> DataFrame
     sort-merge with AQE's skew split."""
     tmp = detail_flags(detail, sku, params)
     active = broadcast_if_small(materialise(active_skus(detail, sku, params).select("sku_key")))
-    out = tmp.join(active, "sku_key", "left_semi").groupBy(*GROUP_KEYS).agg(*_feature_aggs())
+    out = tmp.join(active, "sku_key", "left_semi").groupBy(*GROUP_KEYS).agg(*feature_aggregates())
     return out.select(*FEATURE_COLUMNS)
 
 
-def line_partials(detail: DataFrame, params: Params) -> DataFrame:
-    """Per-SKU partial sums and counts of the windowed, decoded lines (one row per ``sku_key``).
-
-    Sums and counts merge associatively, so this is also the state a streaming query keeps."""
-    lines = decoded_lines(detail, params)
+def _line_sums() -> list[Column]:
     sale = F.col("sale") == 1
     ret = F.col("return") == 1
     price = F.when(sale, F.col("plu_amt"))
     ecom = F.when(sale, F.col("ecom"))
     rcpt = F.when(ret, F.col("receipted"))
-    return lines.groupBy("sku_key").agg(
+    return [
         F.sum("return").alias("r_sum"), F.count("return").alias("r_n"),
         F.sum(price).alias("p_sum"), F.count(price).alias("p_n"),
         F.sum(F.when(sale, F.col("quantity"))).alias("q_sum"),
         F.sum(ecom).alias("e_sum"), F.count(ecom).alias("e_n"),
         F.sum(rcpt).alias("c_sum"), F.count(rcpt).alias("c_n"),
         F.sum("sale").alias("sale_lines"),
-    )
+    ]
+
+
+#: Columns of the partial sums; each adds up over disjoint sets of lines.
+PARTIAL_SUMS = ["r_sum", "r_n", "p_sum", "p_n", "q_sum", "e_sum", "e_n", "c_sum", "c_n", "sale_lines"]
+
+
+def line_partials(detail: DataFrame, params: Params) -> DataFrame:
+    """Per-SKU partial sums and counts of the windowed, decoded lines (one row per ``sku_key``).
+
+    Sums and counts merge associatively, so this is also the state a streaming query keeps."""
+    return decoded_lines(detail, params).groupBy("sku_key").agg(*_line_sums())
+
+
+def daily_line_partials(detail: DataFrame, params: Params) -> DataFrame:
+    """The same sums per (day, SKU)."""
+    lines = decoded_lines(detail, params, F.to_date("date_pos").alias("day"))
+    return lines.groupBy("day", "sku_key").agg(*_line_sums())
 
 
 def features_from_partials(per_sku: DataFrame, sku: DataFrame, params: Params) -> DataFrame:

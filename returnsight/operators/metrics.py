@@ -93,18 +93,29 @@ def class_report(df: DataFrame, label: str = "label", prediction: str = "predict
     return m.select(F.inline(rows)).select("class_name", "precision", "recall", "f1", F.col("support").cast("long").alias("support"))
 
 
-def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """ROC curve: one point per distinct score (descending) plus the origin.
-
-    Rows are first reduced to one row per distinct score (partial aggregation absorbs a score
-    shared by a third of the rows); the running TP / FP sums and their totals then come from
-    ``range_index``'s per-partition offsets, not a single-partition window. All points are kept (no dropping of
-    collinear points).
-    """
+def _counted_scores(df: DataFrame, label: str, score: str, following: bool = False) -> DataFrame:
+    """One row per distinct score, falling, with its positives and negatives, their running sums and
+    totals, and on request those of the next score. Rows are reduced first (partial aggregation absorbs
+    a score shared by a third of them); the running sums come from ``range_index``'s per-partition
+    offsets, not a single-partition window."""
     per_score = df.groupBy(F.col(score).alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("tp"), F.count_if(F.col(label) != 1).alias("fp")
     )
-    idx = range_index(per_score, [F.col("threshold").desc_nulls_last()], sums=["tp", "fp"])
+    return range_index(
+        per_score, [F.col("threshold").desc_nulls_last()], sums=["tp", "fp"], following=["tp", "fp"] if following else []
+    )
+
+
+def roc_points(df: DataFrame, label: str = "label", score: str = "score", *, drop_intermediate: bool = False) -> DataFrame:
+    """ROC curve: one point per distinct score (descending) plus the origin.
+
+    ``drop_intermediate`` leaves out the points on a straight run: those whose step from the point
+    before equals the step to the point after (the first and the last score always stay), so that the
+    curve keeps its shape and its corners."""
+    idx = _counted_scores(df, label, score, following=drop_intermediate)
+    if drop_intermediate:
+        bends = (F.col("tp") != F.col("_next_tp")) | (F.col("fp") != F.col("_next_fp"))
+        idx = idx.filter((F.col("_pos") == 0) | F.col("_next_tp").isNull() | bends)
     pts = idx.select(
         F.col("threshold").cast("double").alias("threshold"),
         F.try_divide(F.col("_cum_fp").cast("double"), F.col("_tot_fp").cast("double")).alias("fpr"),
@@ -113,3 +124,20 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> Dat
     # The origin has no threshold (NULL): it stands for "predict nothing positive".
     origin = df.sparkSession.createDataFrame([(None, 0.0, 0.0)], "threshold double, fpr double, tpr double")
     return origin.unionByName(pts)
+
+
+def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """Area under the ROC curve, ``(roc_auc, n_pos, n_neg)``: the share of (positive, negative) pairs
+    in which the positive has the higher score, ties counting half; NULL without one of the classes.
+
+    Twice the number of won pairs is summed exactly, as a decimal of 38 digits: each score's positives
+    win against all negatives of lower scores and half of its own. Missing scores rank lowest, as one
+    tie."""
+    idx = _counted_scores(df, label, score)
+    whole = {c: F.col(c).cast("decimal(19,0)") for c in ("tp", "fp", "_cum_fp", "_tot_fp")}
+    won = whole["tp"] * (2 * (whole["_tot_fp"] - whole["_cum_fp"]) + whole["fp"])
+    total = idx.agg(
+        F.sum(won.cast("decimal(38,0)")).alias("won"), F.coalesce(F.max("_tot_tp"), F.lit(0)).alias("n_pos"), F.coalesce(F.max("_tot_fp"), F.lit(0)).alias("n_neg")
+    )
+    pairs = F.col("n_pos").cast("double") * F.col("n_neg").cast("double")
+    return total.select(F.try_divide(F.col("won").cast("double"), 2 * pairs).alias("roc_auc"), "n_pos", "n_neg")

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from returnsight.config import ZSCORE_COLUMNS, Params
 from returnsight.functions import icontains, nan_to_null, safe_ln
 from returnsight.operators.features import broadcast_if_small, force_skew_split
-from returnsight.operators.ranking import dense_codes_long, exact_median, exact_quantiles
+from returnsight.operators.quantiles import exact_median, exact_quantiles
+from returnsight.operators.ranking import dense_codes_long
 from returnsight.session import materialise
 
 ENCODED_COLUMNS = ("sku_size", "sku_color")

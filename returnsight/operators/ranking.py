@@ -7,18 +7,16 @@ those per-partition totals (one row per partition, a bound fixed by the partitio
 offsets. The checkpoint to the shared folder fixes ranges, tie order and stamps, so the totals
 and the rows always agree, even when a lost executor forces a recompute.
 
-Exact quantiles, the label-encoding dictionary and the ROC running sums are built on it.
+The label-encoding dictionary, splits and folds, the ROC running sums and ranks are built on it.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from returnsight.functions import nan_to_null
 from returnsight.session import materialise
 
 
@@ -44,12 +42,14 @@ def range_index(
     order: Sequence[Column],
     *,
     sums: Sequence[str] = (),
+    following: Sequence[str] = (),
     num_partitions: int | None = None,
     pos_col: str = "_pos",
 ) -> DataFrame:
     """Add ``pos_col`` (global 0-based position under ``order``), ``_cum_<c>`` (inclusive
-    running sum of each column in ``sums``) and ``_tot_<c>`` (its grand total, from the same
-    per-partition totals). ``order`` should be a total order when positions of
+    running sum of each column in ``sums``), ``_tot_<c>`` (its grand total), ``_next_<c>`` (the
+    column's value in the row that follows, NULL in the last) and ``_rows`` (the number of rows), all
+    from the same per-partition totals: a range hands its first values to the range before. ``order`` should be a total order when positions of
     tied rows matter; ranges never split equal keys across partitions.
 
     Without ``num_partitions`` the range count starts at ``spark.sql.shuffle.partitions`` and
@@ -57,7 +57,8 @@ def range_index(
     partition ids remain in key order."""
     tagged = _ranked(df, order, num_partitions)
     totals = tagged.groupBy("_part").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_t_{c}") for c in sums]
+        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_t_{c}") for c in sums],
+        *[F.min_by(c, "_local").alias(f"_f_{c}") for c in following],
     )
     # one row per partition: a bound fixed by the partition count
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -66,100 +67,21 @@ def range_index(
         "_part",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
         *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums],
+        F.sum("_n").over(everything).alias("_rows"),
         *[F.sum(f"_t_{c}").over(everything).alias(f"_tot_{c}") for c in sums],
+        *[F.lead(f"_f_{c}").over(Window.orderBy("_part")).alias(f"_over_{c}") for c in following],
     )
     out = tagged.join(F.broadcast(offsets), "_part").withColumn(pos_col, (F.col("_off") + F.col("_local")).cast("long"))
     if sums:
         running = Window.partitionBy("_part").orderBy("_local").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         for c in sums:
             out = out.withColumn(f"_cum_{c}", F.col(f"_o_{c}") + F.sum(c).over(running))
-    return out.drop("_part", "_local", "_mid", "_off", *[f"_o_{c}" for c in sums])
-
-
-def _positions(count: int, p: float) -> tuple[int, int, float]:
-    h = (count - 1) * p
-    return math.floor(h), math.ceil(h), h - math.floor(h)
-
-
-def exact_quantiles(
-    df: DataFrame,
-    cols: Sequence[str],
-    probs: Sequence[float],
-    *,
-    interpolation: str = "linear",
-    nan_policy: str = "omit",
-) -> dict[str, list[float | None]]:
-    """Exact quantiles of several columns with one range shuffle.
-
-    ``interpolation`` is ``'linear'`` (pandas / numpy default) or ``'midpoint'``. Missing values
-    are skipped with ``nan_policy='omit'``; with ``'propagate'`` a column holding any missing
-    value yields None, like numpy on an array containing NaN. Only the handful of order
-    statistics needed reach the driver.
-    """
-    cols = list(cols)
-    long = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols]).unpivot(
-        [], cols, "_k", "_v"
-    )
-    if nan_policy != "propagate":
-        long = long.filter(F.col("_v").isNotNull())
-    # Equal values cannot be split by a range partitioner; a per-row tie-breaker lets one value
-    # held by a third of the rows spread over several partitions. Any tie order gives the same
-    # order statistics. Missing values sort last within their column.
-    tagged = _ranked(
-        long.withColumn("_tb", F.monotonically_increasing_id()),
-        [F.col("_k").asc(), F.col("_v").asc_nulls_last(), F.col("_tb").asc()],
-    )
-    # (partition, column) totals: bounded by partitions x columns; they give every column's
-    # count and start position and every partition's offset, so no separate counting pass
-    totals = tagged.groupBy("_part", "_k").agg(F.count("_v").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
-    part_rows: dict[int, int] = {}
-    n_of: dict[str, list[int]] = {c: [0, 0, 0] for c in cols}
-    for r in totals:
-        part_rows[r["_part"]] = part_rows.get(r["_part"], 0) + r["rows"]
-        n_of[r["_k"]][0] += r["n"]
-        n_of[r["_k"]][1] += r["rows"]
-    start = 0
-    for c in sorted(cols):  # columns appear in the range order of their names
-        n_of[c][2] = start
-        start += n_of[c][1]
-    part_off, off = [], 0
-    for part in sorted(part_rows):
-        part_off.append((part, off))
-        off += part_rows[part]
-
-    def stamp(g: int) -> int:
-        part, base = next((pt, b) for pt, b in reversed(part_off) if b <= g)
-        return (part << _LOCAL_BITS) + (g - base)
-
-    wanted: dict[int, int] = {}  # stamp -> global position
-    for c in cols:
-        n, rows, s = n_of[c]
-        if n and not (nan_policy == "propagate" and rows > n):
-            for p in probs:
-                lo, hi, _ = _positions(n, p)
-                wanted[stamp(s + lo)] = s + lo
-                wanted[stamp(s + hi)] = s + hi
-    values: dict[int, float] = {}
-    if wanted:
-        picked = tagged.filter(F.col("_mid").isin(list(wanted))).select("_mid", "_v").collect()
-        values = {wanted[r["_mid"]]: r["_v"] for r in picked}
-    out: dict[str, list[float | None]] = {}
-    for c in cols:
-        n, rows, s = n_of[c]
-        if not n or (nan_policy == "propagate" and rows > n):
-            out[c] = [None for _ in probs]
-            continue
-        qs = []
-        for p in probs:
-            lo, hi, frac = _positions(n, p)
-            a, b = values[s + lo], values[s + hi]
-            qs.append((a + b) / 2.0 if interpolation == "midpoint" else a + (b - a) * frac)
-        out[c] = qs
-    return out
-
-
-def exact_median(df: DataFrame, col: str) -> float | None:
-    return exact_quantiles(df, [col], [0.5])[col][0]
+    if following:
+        own = Window.partitionBy("_part").orderBy("_local")
+        last = F.lead(F.lit(True)).over(own).isNull()
+        for c in following:
+            out = out.withColumn(f"_next_{c}", F.when(last, F.col(f"_over_{c}")).otherwise(F.lead(c).over(own)))
+    return out.drop("_part", "_local", "_mid", "_off", *[f"_o_{c}" for c in sums], *[f"_over_{c}" for c in following])
 
 
 def dense_codes_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -236,6 +236,27 @@ FROM mq_{c}"""
     return with_ctes(p, prep_ctes(p) + ",\n" + ranked, body)
 
 
+def category_order_sql(p: Params, cols: list[str], smoothing: float = 10.0) -> str:
+    """Categories of the training rows by smoothed label mean."""
+    k = f"CAST({smoothing} AS DOUBLE)"
+    extra = prep_ctes(p) + f""",
+training AS (SELECT * FROM (SELECT *, {is_test_sql(p)} AS is_test FROM cleaned) s WHERE NOT is_test),
+codes AS (
+{" UNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS code, label FROM training" for c in cols)}
+),
+held AS (
+  SELECT column_name, code, count(*) AS n, sum(label) AS positives,
+         sum(sum(label)) OVER (PARTITION BY column_name) / CAST(sum(count(*)) OVER (PARTITION BY column_name) AS DOUBLE) AS overall
+  FROM codes GROUP BY column_name, code
+),
+smoothed AS (SELECT *, (positives + {k} * overall) / (n + {k}) AS label_mean FROM held)"""
+    return with_ctes(p, extra, """
+SELECT column_name, code, n, round(label_mean, 6) AS label_mean,
+       CAST(row_number() OVER (PARTITION BY column_name ORDER BY smoothed.label_mean, code NULLS LAST) - 1 AS INTEGER) AS place,
+       CAST(count(*) FILTER (WHERE smoothed.label_mean < overall) OVER (PARTITION BY column_name) - 0.5 AS DOUBLE) AS unseen
+FROM smoothed""")
+
+
 def explanation_sql(p: Params, weights: dict[str, float], intercept: float, rows: tuple[int, ...]) -> dict[str, str]:
     """Twins of the explanations of a fixed linear model and of two fixed trees."""
     split = prep_ctes(p) + f""",
@@ -260,6 +281,14 @@ worth AS (
   SELECT *, 6e-1 * (5e-1 * 1e0 + 5e-1 * -5e-1) + 4e-1 * 25e-2 AS v0, a * (5e-1 * 1e0 + 5e-1 * -5e-1) + (1 - a) * 25e-2 AS va,
          6e-1 * b + 4e-1 * 25e-2 AS vb, a * b + (1 - a) * 25e-2 AS vab, 4e-1 * 7e-1 + 6e-1 * -3e-1 AS w0
   FROM sides
+)"""
+    # against the training rows: the features outside S are theirs, averaged
+    apart = trees + """,
+held AS (SELECT avg(s.a) AS a, avg(s.b) AS b, avg(s.c) AS c, avg(s.a * s.b + (1 - s.a) * 25e-2) AS v0 FROM sides s JOIN framed f USING (sku_key) WHERE NOT f.is_test),
+steps AS (
+  SELECT s.sku_key, s.ecom_rate, s.quantity, s.avg_price_product, s.c, h.c AS w0, h.v0, s.a * h.b + (1 - s.a) * 25e-2 AS va,
+         h.a * s.b + (1 - h.a) * 25e-2 AS vb, s.a * s.b + (1 - s.a) * 25e-2 AS vab
+  FROM sides s, held h
 )"""
     tree_rows = (
         ("ecom_rate", "((va - v0) + (vab - vb)) / 2"), ("quantity", "((vb - v0) + (vab - va)) / 2"), ("avg_price_product", "5e-1 * (c - w0)"),
@@ -273,7 +302,7 @@ SELECT {shown}, round(phi, 6) AS phi,
        round(base_value + sum(phi) OVER (PARTITION BY sku_key ORDER BY abs(phi) DESC, feature), 6) AS cumulative,
        CAST(row_number() OVER (PARTITION BY sku_key ORDER BY abs(phi) DESC, feature) AS INTEGER) AS rank
 FROM linear, base WHERE place IN ({picked})"""),
-        "tree_explanation": with_ctes(p, trees, " UNION ALL ".join(
-            f"SELECT sku_key, '{c}' AS feature, round({c}, 6) AS value, round({phi}, 6) AS phi, round(v0 + 5e-1 * w0, 6) AS base_value FROM worth" for c, phi in tree_rows
-        )),
+        **{name: with_ctes(p, ctes, " UNION ALL ".join(
+            f"SELECT sku_key, '{c}' AS feature, round({c}, 6) AS value, round({phi}, 6) AS phi, round(v0 + 5e-1 * w0, 6) AS base_value FROM {rows}" for c, phi in tree_rows
+        )) for name, ctes, rows in (("tree_explanation", trees, "worth"), ("tree_explanation_background", apart, "steps"))},
     }

@@ -3,6 +3,7 @@ its DuckDB SQL twin where one exists. Float outputs are rounded to 6 decimals on
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,15 +17,29 @@ from returnsight.operators import metrics as M
 from returnsight.operators import prepare as P
 from returnsight.operators import report as R
 from returnsight.operators.features import active_skus, detail_flags, sku_features, sku_features_eager
+from returnsight.operators.ordering import category_order, category_sums
 from returnsight.operators.split import fold_assignment, holdout_split
+from returnsight.plans import colocated as CO
+from returnsight.plans import daily as DP
 from returnsight.plans import explain as EX
 from returnsight.plans import pipeline as PL
+from returnsight.plans import publish as PB
 from returnsight.plans.model_queries import study
 from returnsight.plans.models import summarise_folds
+from returnsight.session import materialise, shared_folder
 from returnsight.sources import as_source, fixture_detail, fixture_sku
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Where the daily sums of the test window are first cut off, and from where they are appended.
+APPENDED_FROM, APPENDED_AGAIN = "1999-06-01", "1999-05-20"
+
+
+def year_params(p: Params) -> Params:
+    """One year inside the test window."""
+    return p.with_(date_lo="1998-01-01", date_hi="1999-01-01", min_sale_lines=3)
+
+
 DESCRIBE_COLUMNS = [
     "sku_key", "return_rate", "sku_color", "sku_size", "sku_cost", "avg_price_product",
     "quantity", "ecom_rate", "receipted_rate", "label",
@@ -38,12 +53,15 @@ def _inputs(spark: SparkSession, sf_dir: str):
 
 def _scored(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
     """Deterministic stand-in for a model: score = online share, predicted positive above 0.5."""
-    lab = PL.labelled(spark, sf_dir, p)
-    s = lab.select(
-        "sku_key", "label", F.col("ecom_rate").alias("score"),
-        (F.col("ecom_rate") > F.lit(0.5)).cast("int").alias("prediction"),
-    )
-    return holdout_split(s, "sku_key", p.test_fraction, p.split_seed)
+
+    def build() -> DataFrame:
+        s = PL.labelled(spark, sf_dir, p).select(
+            "sku_key", "label", F.col("ecom_rate").alias("score"),
+            (F.col("ecom_rate") > F.lit(0.5)).cast("int").alias("prediction"),
+        )
+        return materialise(holdout_split(s, "sku_key", p.test_fraction, p.split_seed))
+
+    return PL.memo(spark, as_source(sf_dir), ("scored", p), build)
 
 
 #: A linear model with given weights, and two given trees over given columns, for explanations that
@@ -88,13 +106,9 @@ def spark_queries(p: Params = FIXTURE) -> dict[str, Query]:
 
     def q_feature_table_readback(spark, d):
         # CTAS into the shared folder twice, the second replacing the first, then the final read-back
-        import os
-        import uuid
-
-        from returnsight.session import ensure_checkpoint_dir
         from returnsight.sources import read_table, write_table
 
-        target = os.path.join(ensure_checkpoint_dir(spark), f"parameters_for_analysis_cln-{uuid.uuid4().hex}")
+        target = shared_folder(spark, "parameters_for_analysis_cln")
         for _ in range(2):
             write_table(sku_features_eager(*_inputs(spark, d), p), target)
         return round_doubles(read_table(spark, target))
@@ -138,6 +152,46 @@ def spark_queries(p: Params = FIXTURE) -> dict[str, Query]:
 
         return round_doubles(S.top_products(spark, _sql_tables(spark, d)["report_table"], p.report_brand_pattern, p.top_k))
 
+    def _daily(spark, d):
+        # daily sums up to a day inside the window, then the rest appended, some days over again
+        def build():
+            path = shared_folder(spark, "daily")
+            detail, _ = _inputs(spark, d)
+            DP.append_days(spark, detail, path, p.with_(date_hi=APPENDED_FROM))
+            DP.append_days(spark, detail, path, p.with_(date_lo=APPENDED_AGAIN))
+            return path
+
+        return PL.memo(spark, as_source(d), ("daily", p), build)
+
+    def q_daily_window_features(spark, d):
+        return round_doubles(DP.features_from_daily(spark, _daily(spark, d), fixture_sku(spark, d), p))
+
+    def q_daily_year_features(spark, d):
+        return round_doubles(DP.features_from_daily(spark, _daily(spark, d), fixture_sku(spark, d), year_params(p)))
+
+    def _colocated(spark, d):
+        def build():
+            schema = f"returnsight_{uuid.uuid4().hex[:12]}"
+            location = shared_folder(spark, schema).replace("'", "")
+            spark.sql(f"CREATE DATABASE {schema} LOCATION '{location}'")
+            return CO.write_colocated(*_inputs(spark, d), f"{schema}.by_sku", 8)
+
+        return PL.memo(spark, as_source(d), ("colocated",), build)
+
+    def q_colocated_features(spark, d):
+        return round_doubles(CO.colocated_features(spark, _colocated(spark, d), p))
+
+    def q_colocated_active_skus(spark, d):
+        return CO.colocated_active_skus(spark, _colocated(spark, d), p)
+
+    def q_published_features(spark, d):
+        # two versions, the second in place of the first
+        name = f"returnsight_{uuid.uuid4().hex[:12]}"
+        root = shared_folder(spark, name)
+        for window in (year_params(p), p):
+            PB.publish(sku_features_eager(*_inputs(spark, d), window), name, root)
+        return round_doubles(spark.table(name))
+
     def q_null_mask(spark, d):
         f = PL.feature_table(spark, d, p)
         return f.select("sku_key", (F.col("receipted_rate").isNull() | F.isnan("receipted_rate")).alias("receipted_rate_missing"))
@@ -216,6 +270,11 @@ def spark_queries(p: Params = FIXTURE) -> dict[str, Query]:
         f = PL.feature_table(spark, d, p)
         return fold_assignment(f, "sku_key", p.n_folds, p.fold_seed).select("sku_key", "fold")
 
+    def q_category_order(spark, d):
+        # as the boosted trees learn it from the training rows
+        order = category_order(category_sums(study(spark, d, p).train, P.ENCODED_COLUMNS))
+        return round_doubles(order.select("column_name", F.col("code").cast("int").alias("code"), "n", "label_mean", "place", "unseen"))
+
     def q_accuracy(spark, d):
         s = _scored(spark, d, p)
         parts = [
@@ -237,6 +296,12 @@ def spark_queries(p: Params = FIXTURE) -> dict[str, Query]:
     def q_roc_points(spark, d):
         return round_doubles(M.roc_points(_scored(spark, d, p).filter(F.col("is_test"))))
 
+    def q_roc_corners(spark, d):
+        return round_doubles(M.roc_points(_scored(spark, d, p).filter(F.col("is_test")), drop_intermediate=True))
+
+    def q_roc_auc(spark, d):
+        return round_doubles(M.roc_auc(_scored(spark, d, p).filter(F.col("is_test"))))
+
     def q_fold_summary(spark, d):
         # the cross-validation summary of a fixed predictor, fold by fold
         lab = _scored(spark, d, p).drop("is_test")
@@ -272,6 +337,12 @@ def spark_queries(p: Params = FIXTURE) -> dict[str, Query]:
         long, base = EX.tables_shap(s.frame, FIXED_TREES, FIXED_TREE_COLUMNS)
         return round_doubles(long.withColumn("base_value", F.lit(base)))
 
+    def q_tree_explanation_background(spark, d):
+        # the same trees against all training rows
+        s = study(spark, d, p)
+        long, base = EX.tables_background_shap(s.frame, FIXED_TREES, FIXED_TREE_COLUMNS, s.train)
+        return round_doubles(long.withColumn("base_value", F.lit(base)))
+
     def q_product_summary(spark, d):
         return round_doubles(R.product_summary(PL.feature_table(spark, d, p)))
 
@@ -318,6 +389,9 @@ FROM features"""
         "sku_features_single_scan": O.with_ctes(p, "", feats_round),
         "sku_features_streaming": O.with_ctes(p, "", feats_round),
         "feature_table_readback": O.with_ctes(p, "", feats_round),
+        **{name: O.with_ctes(p, "", feats_round) for name in ("daily_window_features", "colocated_features", "published_features")},
+        "daily_year_features": O.with_ctes(year_params(p), "", feats_round),
+        "colocated_active_skus": O.active_skus_sql(p),
         "line_table_sql": O.line_table_sql(p),
         "feature_table_sql": O.with_ctes(p, "", feats_round),
         "report_table_sql": O.with_ctes(p, summary, summary_round),
@@ -377,6 +451,7 @@ FROM (SELECT fold, avg(CAST(label = prediction AS DOUBLE)) AS a FROM (SELECT *,
         "fixed_prediction_head": O.prep_sql(p, f"""
 SELECT sku_key, label, round(score, 6) AS score, prediction FROM {test} t ORDER BY sku_key LIMIT 50"""),
         **O.explanation_sql(p, FIXED_WEIGHTS, FIXED_INTERCEPT, EX.EXPLAINED_ROWS),
+        "category_order": O.category_order_sql(p, list(P.ENCODED_COLUMNS)),
         "accuracy": O.prep_sql(p, """
 SELECT 'train' AS dataset, round(avg(CAST(label = prediction AS DOUBLE)), 6) AS accuracy, count(*) AS n FROM scored WHERE NOT is_test
 UNION ALL
@@ -419,6 +494,22 @@ SELECT round(threshold, 6) AS threshold,
 FROM (SELECT score AS threshold, count(*) FILTER (WHERE label = 1) AS tp, count(*) FILTER (WHERE label <> 1) AS fp
       FROM {test} t GROUP BY score) per,
      (SELECT count(*) FILTER (WHERE label = 1) AS pp, count(*) FILTER (WHERE label <> 1) AS nn FROM {test} t2) tot"""),
+        "roc_corners": O.prep_sql(p, f"""
+SELECT CAST(NULL AS DOUBLE) AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr
+UNION ALL
+SELECT round(threshold, 6) AS threshold, round(cfp / CAST(nn AS DOUBLE), 6) AS fpr, round(ctp / CAST(pp AS DOUBLE), 6) AS tpr
+FROM (SELECT threshold, sum(fp) OVER falling AS cfp, sum(tp) OVER falling AS ctp, sum(fp) OVER () AS nn, sum(tp) OVER () AS pp,
+             row_number() OVER falling AS place, tp, fp, lead(tp) OVER falling AS next_tp, lead(fp) OVER falling AS next_fp
+      FROM (SELECT score AS threshold, count(*) FILTER (WHERE label = 1) AS tp, count(*) FILTER (WHERE label <> 1) AS fp
+            FROM {test} t GROUP BY score) per
+      WINDOW falling AS (ORDER BY threshold DESC NULLS LAST)) steps
+WHERE place = 1 OR next_tp IS NULL OR tp <> next_tp OR fp <> next_fp"""),
+        "roc_auc": O.prep_sql(p, f"""
+SELECT round((sum(place) FILTER (WHERE label = 1) - n_pos * (n_pos + 1) / 2) / (n_pos * CAST(n_neg AS DOUBLE)), 6) AS roc_auc, n_pos, n_neg
+FROM (SELECT label, avg(place) OVER (PARTITION BY score) AS place,
+             count(*) FILTER (WHERE label = 1) OVER () AS n_pos, count(*) FILTER (WHERE label <> 1) OVER () AS n_neg
+      FROM (SELECT label, score, row_number() OVER (ORDER BY score NULLS FIRST) AS place FROM {test} t) placed) shared
+GROUP BY n_pos, n_neg"""),
         "product_summary": O.with_ctes(p, summary, summary_round),
         **{f"top_family{x}": O.with_ctes(p, summary, f"""
 SELECT product_desc, round(avg_return_rate, 6) AS avg_return_rate FROM summary

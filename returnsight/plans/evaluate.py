@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +53,8 @@ class Study:
     def test(self) -> DataFrame:
         return self.frame.filter(F.col("is_test")).drop("is_test")
 
-    def categories(self, kind: str) -> dict[str, int]:
-        return self.prepared.categories if kind == "GBT" else {}
+    def categories(self, kind: str) -> list[str]:
+        return self.prepared.categories if kind == "GBT" else []
 
     def fitted(self, kind: str) -> MD.Fitted:
         return self._once(("model", kind), lambda: MD.fit(kind, self.train, self.cols, self.params, categories=self.categories(kind)))
@@ -74,8 +73,7 @@ class Study:
         """Accuracy on train, test and all rows, balanced accuracy of the test predictions and ROC AUC
         of their probabilities."""
         rows = self.scored(kind)
-        evaluator = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability")
-        auc = evaluator.evaluate(rows.filter("is_test").select(F.col("label").cast("double").alias("label"), "probability"))
+        auc = M.roc_auc(rows.filter("is_test"), score="probability").first()["roc_auc"]
         return M.score_table(rows, auc)
 
     def importance(self, kind: str) -> DataFrame:
@@ -108,6 +106,15 @@ class Study:
 
         return self._once(("shap", kind), build)
 
+    def background_shap(self, kind: str = "GBT") -> tuple[DataFrame, float]:
+        """Interventional values of every row against all training rows, written once."""
+
+        def build() -> tuple[DataFrame, float]:
+            long, base = EX.background_shap(self.frame, self.fitted(kind), self.train)
+            return materialise(long), base
+
+        return self._once(("background_shap", kind), build)
+
     def shap_rows(self, kind: str) -> DataFrame:
         """The picked rows' explanations; only these rows are explained."""
         long, base = self._explained(kind, EX.picked_rows(self.frame))

@@ -1,15 +1,23 @@
 """Shapley-value explanations of fitted models, computed over every row as Spark jobs.
 
-Trees (GBT, RF): exact path-dependent values, the tree explainer's default definition. For a
-coalition S the value v(S) of one tree is the expectation of its output when the features in S
-are fixed at the row's values and the others follow the training distribution recorded in the
-node covers: a leaf's weight is the product, along its path, of 1/0 for splits on features in S
-(the row goes that way or not) and the child's share of its parent's cover otherwise. The
-Shapley value of feature i is then sum_S w(|S|) (v(S + i) - v(S)) over the 2^M coalitions, with
-M the (small, fixed) number of predictors. The node table is read with Spark from the model's
-own persistence output; it is bounded by the model's size (trees x 2^(depth+1) nodes), not by
-the data, and ships to the tasks with the function. Each partition evaluates its rows with numpy
-inside ``mapInPandas``, so the work is split over the cluster exactly like the rows.
+Trees (GBT, RF), by either of the tree explainer's definitions of a coalition's value v(S), the
+expected output with the features in S fixed at the row's values:
+
+* path-dependent (``tree_shap``): the other features follow the training distribution recorded in the
+  node covers, so a leaf counts as the product, over the features on its path, of 1 or 0 (the row
+  follows the path or not) for those in S and of the path's share of the covers for the rest. Summed by
+  the size of S these products are the coefficients of prod_j (z_j + o_j y), built up by one factor at
+  a time; a feature's Shapley value needs the product without its own factor, which is divided out
+  again. That costs the square of the path's length, whatever the number of predictors.
+* interventional (``background_shap``): the other features are those of a background row, averaged
+  over the whole background. Against one background row, a leaf is a game in which the row's features
+  must be in S and the background row's must not; its Shapley values are two quotients of factorials
+  in the sizes of these sets. Background rows that meet the same conditions of a path play the same
+  game, so one pass counts them by the conditions met, and a row's values are looked up by its own.
+
+The node table is read with Spark from the model's own persistence output; it is bounded by the
+model's size (trees x 2^(depth+1) nodes), not by the data, and ships to the tasks with the function.
+Each partition evaluates its rows with numpy, so the work is split over the cluster like the rows.
 
 Boosted trees are explained in log-odds (what the classifier thresholds); forests in class-1
 probability (the mean of the trees' leaf class shares).
@@ -21,7 +29,7 @@ as column expressions; the base value is ``w . mean + b`` in log-odds.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,36 +37,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from returnsight.functions import ship_by_value
 from returnsight.plans.models import Fitted, fill_missing, node_table
 
-try:  # ship this module's task code by value, so executors need not have the package installed
-    import sys as _sys
-
-    from pyspark import cloudpickle as _cloudpickle
-
-    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # pragma: no cover - older cloudpickle
-    pass
-
-
-@dataclass
-class Categories:
-    """A categorical split: the codes sent left, of ``total``. A code outside 0..total-1 goes left
-    if the left set holds more than half of the codes, which is the model's own rule."""
-
-    left: tuple[float, ...]
-    total: int
-
-    def goes_left(self, x: np.ndarray) -> np.ndarray:
-        known = (x >= 0) & (x < self.total) & (x == np.floor(x))
-        return np.where(known, np.isin(x, self.left), len(self.left) > self.total // 2)
+ship_by_value(__name__)
 
 
 @dataclass
 class LeafPath:
     value: float
-    # (feature index, threshold or categories, goes left, cover share)
-    steps: list[tuple[int, float | Categories, bool, float]]
+    # (feature index, threshold, goes left, cover share)
+    steps: list[tuple[int, float, bool, float]]
 
 
 @dataclass
@@ -106,92 +95,195 @@ def tree_tables(fitted: Fitted) -> TreeTables:
             c = cover(r)
             f = int(r["feature"])
             split = list(r["split"])
-            rule = Categories(tuple(split), int(r["ncat"])) if r["ncat"] >= 0 else float(split[0])
+            if r["ncat"] >= 0:
+                raise ValueError("categorical splits are not explained; category columns are ordered numbers here")
+            threshold = float(split[0])
             for child, left in ((r["left"], True), (r["right"], False)):
                 share = cover(tbl[child]) / c if c > 0 else 0.5
-                stack.append((child, steps + [(f, rule, left, share)]))
+                stack.append((child, steps + [(f, threshold, left, share)]))
         leaves.append(out)
     return TreeTables(weights, leaves, scale, len(fitted.cols))
 
 
-def shapley_weights(m: int) -> np.ndarray:
-    """C[S, i]: coefficient of v(S) in phi_i over all 2^m coalitions (S as a bit mask)."""
-    def w(s: int) -> float:
-        return math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m)
+@dataclass
+class Path:
+    """A leaf's path by feature: the row follows it if lower < x <= upper for each feature (a missing
+    value takes every right turn); ``shares`` are the products of the covers' shares."""
 
-    masks = np.arange(2**m)
-    member = ((masks[:, None] >> np.arange(m)[None, :]) & 1).astype(bool)
-    size = member.sum(axis=1)
-    c = np.zeros((2**m, m))
-    for i in range(m):
-        c[:, i] = np.where(member[:, i], [w(s - 1) if s > 0 else 0.0 for s in size], [-w(s) if s < m else 0.0 for s in size])
-    return c
+    value: float
+    features: np.ndarray
+    lower: np.ndarray
+    upper: np.ndarray
+    shares: np.ndarray
 
+    def follows(self, x: np.ndarray) -> np.ndarray:
+        own = x[:, self.features]
+        return ~(own <= self.lower) & ((own <= self.upper) | np.isposinf(self.upper))
 
-def coalition_values(x: np.ndarray, tables: TreeTables) -> np.ndarray:
-    """v(S) for every row of ``x`` (n x M) and coalition S: array n x 2^M.
 
-    A leaf's weight depends on S only through which of its own path features (at most the tree
-    depth) are in S, so it is computed over those 2^k patterns; leaves sharing a feature set are
-    summed first, and each feature set is expanded to the 2^M coalitions once."""
-    m = tables.n_features
-    n = x.shape[0]
-    acc: dict[tuple[int, ...], np.ndarray] = {}
-    for w_t, leaves in zip(tables.weights, tables.leaves):
+def paths_of(tables: TreeTables) -> list[Path]:
+    """All leaves' paths, their values multiplied by the trees' weights and the output's scale."""
+    out = []
+    for weight, leaves in zip(tables.weights, tables.leaves, strict=True):
         for leaf in leaves:
-            feats = tuple(sorted({step[0] for step in leaf.steps}))
-            k = len(feats)
-            slot = {f: j for j, f in enumerate(feats)}
-            in_s = ((np.arange(2**k)[:, None] >> np.arange(k)[None, :]) & 1).astype(bool)  # 2^k x k
-            weight = np.full((n, 2**k), w_t * leaf.value)
-            for f, rule, left, share in leaf.steps:
-                goes_left = rule.goes_left(x[:, f]) if isinstance(rule, Categories) else x[:, f] <= rule
-                follows = (goes_left == left).astype(float)
-                weight *= np.where(in_s[None, :, slot[f]], follows[:, None], share)
-            if feats in acc:
-                acc[feats] += weight
-            else:
-                acc[feats] = weight
-    masks = np.arange(2**m)
-    v = np.zeros((n, 2**m))
-    for feats, a in acc.items():
-        pattern = np.zeros(2**m, dtype=np.int64)
-        for j, f in enumerate(feats):
-            pattern |= ((masks >> f) & 1) << j
-        v += a[:, pattern]
-    return v * tables.scale
+            features = sorted({f for f, *_ in leaf.steps})
+            at = {f: j for j, f in enumerate(features)}
+            lower, upper, shares = np.full(len(at), -np.inf), np.full(len(at), np.inf), np.ones(len(at))
+            for f, threshold, left, share in leaf.steps:
+                if left:
+                    upper[at[f]] = min(upper[at[f]], threshold)
+                else:
+                    lower[at[f]] = max(lower[at[f]], threshold)
+                shares[at[f]] *= share
+            out.append(Path(weight * leaf.value * tables.scale, np.array(features, int), lower, upper, shares))
+    return out
+
+
+def _extended(follows: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Coefficients, by rising power of y, of prod_j (z_j + o_j y) for every row."""
+    n, d = follows.shape
+    out = np.zeros((n, d + 1))
+    out[:, 0] = 1.0
+    for j in range(d):
+        out[:, 1 : j + 2] = out[:, 1 : j + 2] * shares[j] + out[:, : j + 1] * follows[:, j : j + 1]
+        out[:, 0] *= shares[j]
+    return out
+
+
+def _unwound(product: np.ndarray, follows: np.ndarray, share: float) -> np.ndarray:
+    """The product without one factor (z + o y)."""
+    d = product.shape[1] - 1
+    out = np.zeros((len(product), d))
+    if d and share > 0:
+        out[:] = product[:, :d] / share  # right where the row does not follow
+    rest = np.zeros(len(product))
+    for t in range(d - 1, -1, -1):  # where it does: q_t = p_(t+1) - z q_(t+1)
+        rest = product[:, t + 1] - share * rest
+        out[:, t] = np.where(follows, rest, out[:, t])
+    return out
+
+
+def path_values(x: np.ndarray, paths: Sequence[Path], m: int) -> np.ndarray:
+    """Path-dependent Shapley values of every row: n x m."""
+    phi = np.zeros((len(x), m))
+    for path in paths:
+        d = len(path.features)
+        if not d or path.value == 0.0:
+            continue
+        follows = path.follows(x).astype(float)
+        product = _extended(follows, path.shares)
+        by_size = np.array([math.factorial(t) * math.factorial(d - t - 1) / math.factorial(d) for t in range(d)])
+        for j, f in enumerate(path.features):
+            others = _unwound(product, follows[:, j] > 0, path.shares[j])
+            phi[:, f] += path.value * (follows[:, j] - path.shares[j]) * (others @ by_size)
+    return phi
+
+
+def base_value(paths: Sequence[Path]) -> float:
+    return float(sum(path.value * path.shares.prod() for path in paths))
 
 
 def tree_shap(df: DataFrame, fitted: Fitted, key: str = "sku_key") -> tuple[DataFrame, float]:
     """Long frame ``key, feature, value, phi`` for every row, plus the base value v(empty). Missing
-    predictors are explained at the value the model sees; ``value`` shows them as missing."""
-    return tables_shap(df, tree_tables(fitted), fitted.cols, fitted.fill, key)
+    predictors are explained at the value the model sees, categories at their place in its order;
+    ``value`` shows both as they are in the frame."""
+    return tables_shap(df, tree_tables(fitted), fitted.cols, fitted.filled, key)
 
 
-def tables_shap(
-    df: DataFrame, tables: TreeTables, cols: Sequence[str], fill: dict[str, float] | None = None, key: str = "sku_key"
-) -> tuple[DataFrame, float]:
-    cols = list(cols)
-    coef = shapley_weights(len(cols))
-    base = float(coalition_values(np.zeros((1, len(cols))), tables)[0, 0])
-    seen = [f"_x{i}" for i in range(len(cols))]
+View = Callable[[DataFrame], DataFrame]
+
+
+def tables_shap(df: DataFrame, tables: TreeTables, cols: Sequence[str], view: View | None = None, key: str = "sku_key") -> tuple[DataFrame, float]:
+    paths, m = paths_of(tables), len(cols)
+    return _explained(df, list(cols), view, key, lambda x: path_values(x, paths, m)), base_value(paths)
+
+
+def _seen(df: DataFrame, cols: Sequence[str], view: View | None, *keep: str) -> DataFrame:
+    """``keep`` and the columns, as doubles, as the model sees them; values as they are in ``_v<i>``."""
+    shown = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in cols], *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
+    return view(shown) if view else shown
+
+
+def _explained(df: DataFrame, cols: list[str], view: View | None, key: str, values: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    shown = [f"_v{i}" for i in range(len(cols))]
 
     def explain(batches):
         for pdf in batches:
             if pdf.empty:
                 continue
-            phi = coalition_values(pdf[seen].to_numpy(dtype=float), tables) @ coef  # n x M
+            phi = values(pdf[cols].to_numpy(dtype=float))  # n x M
             n = len(pdf)
             yield pd.DataFrame({
                 key: np.repeat(pdf[key].to_numpy(), len(cols)),
                 "feature": np.tile(np.array(cols, dtype=object), n),
-                "value": pd.array(pdf[cols].to_numpy(dtype=float).reshape(-1), dtype="Float64"),
+                "value": pd.array(pdf[shown].to_numpy(dtype=float).reshape(-1), dtype="Float64"),
                 "phi": phi.reshape(-1),
             })
 
     schema = f"{key} {dict(df.dtypes)[key]}, feature string, value double, phi double"
-    src = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols], *_filled(cols, seen, fill or {}))
-    return src.mapInPandas(explain, schema), base
+    return _seen(df, cols, view, key).select(key, *cols, *shown).mapInPandas(explain, schema)
+
+
+def _met(paths: Sequence[Path], cols: list[str]):
+    """Tasks over background rows: how many meet which of each path's conditions (as bits)."""
+
+    def run(batches):
+        counts = [dict() for _ in paths]
+        for pdf in batches:
+            x = pdf[cols].to_numpy(dtype=float)
+            for own, path in zip(counts, paths, strict=True):
+                met, n = np.unique(path.follows(x) @ (1 << np.arange(len(path.features))), return_counts=True)
+                for pattern, k in zip(met.tolist(), n.tolist(), strict=True):
+                    own[pattern] = own.get(pattern, 0) + k
+        rows = [(i, pattern, k) for i, own in enumerate(counts) for pattern, k in own.items()]
+        yield pd.DataFrame(rows, columns=["path", "met", "n"]).astype("int64")
+
+    return run
+
+
+def _games(path: Path, background: dict[int, int]) -> np.ndarray:
+    """Shapley values of a path's features for every pattern of conditions that a row may meet,
+    against the background's patterns, weighted by their rows: 2^d x d."""
+    d = len(path.features)
+    bits = (np.arange(2**d)[:, None] >> np.arange(d)[None, :]) & 1
+    total, out = sum(background.values()), np.zeros((2**d, d))
+    for pattern, n in background.items():
+        own, other = bits, bits[pattern][None, :]
+        needs, bars = own * (1 - other), (1 - own) * other
+        a, b = needs.sum(axis=1), bars.sum(axis=1)
+        reachable = ((own + other) > 0).all(axis=1)
+        gain = np.array([math.factorial(max(i - 1, 0)) * math.factorial(j) / math.factorial(i + j) for i, j in zip(a, b, strict=True)])
+        loss = np.array([math.factorial(i) * math.factorial(max(j - 1, 0)) / math.factorial(i + j) for i, j in zip(a, b, strict=True)])
+        out += n / total * reachable[:, None] * (needs * gain[:, None] - bars * loss[:, None])
+    return path.value * out
+
+
+def background_shap(df: DataFrame, fitted: Fitted, background: DataFrame, key: str = "sku_key") -> tuple[DataFrame, float]:
+    """As ``tree_shap``, with the other features taken from the rows of ``background``, all of them."""
+    return tables_background_shap(df, tree_tables(fitted), fitted.cols, background, fitted.filled, key)
+
+
+def tables_background_shap(
+    df: DataFrame, tables: TreeTables, cols: Sequence[str], background: DataFrame, view: View | None = None, key: str = "sku_key"
+) -> tuple[DataFrame, float]:
+    cols, m = list(cols), len(cols)
+    paths = [path for path in paths_of(tables) if path.value]
+    met = _seen(background, cols, view).select(*cols).mapInPandas(_met(paths, cols), "path long, met long, n long")
+    counts: list[dict[int, int]] = [{} for _ in paths]
+    for r in met.groupBy("path", "met").agg(F.sum("n").alias("n")).collect():  # a row per path and pattern met
+        counts[r["path"]][r["met"]] = r["n"]
+    if not paths or not counts[0]:
+        raise ValueError("the background has no rows")
+    games = [_games(path, own) for path, own in zip(paths, counts, strict=True)]
+    base = float(sum(path.value * own.get((1 << len(path.features)) - 1, 0) / sum(own.values()) for path, own in zip(paths, counts, strict=True)))
+
+    def values(x: np.ndarray) -> np.ndarray:
+        phi = np.zeros((len(x), m))
+        for path, game in zip(paths, games, strict=True):
+            phi[:, path.features] += game[path.follows(x) @ (1 << np.arange(len(path.features)))]
+        return phi
+
+    return _explained(df, cols, view, key, values), base
 
 
 def _filled(cols: Sequence[str], names: Sequence[str], fill: dict[str, float]):

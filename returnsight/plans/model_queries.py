@@ -28,9 +28,9 @@ def model_queries(p: Params) -> dict[str, Callable[[SparkSession, str], DataFram
     def of(make: Callable[[Study], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, d: make(study(spark, d, p))
 
-    def with_base(kind: str):
+    def with_base(kind: str, explained=Study.shap):
         def make(s: Study) -> DataFrame:
-            long, base = s.shap(kind)
+            long, base = explained(s, kind)
             return long.withColumn("base_value", F.lit(base))
 
         return make
@@ -48,6 +48,7 @@ def model_queries(p: Params) -> dict[str, Callable[[SparkSession, str], DataFram
         "shap_tree": of(with_base("GBT")),
         "shap_forest": of(with_base("RF")),
         "shap_linear": of(with_base("LR")),
+        "shap_tree_background": of(with_base("GBT", Study.background_shap)),
         "shap_global": of(lambda s: EX.global_importance(s.shap("GBT")[0])),
         "shap_dependence": of(lambda s: EX.for_class(s.shap("GBT")[0], 0)),
         "shap_one_row": of(lambda s: s.shap_rows("GBT")),

@@ -4,10 +4,11 @@ Hyper-parameters mirror the reference's (boosted trees: rate 0.09, depth 3, 100
 seed 42; forest: 100 trees of depth 3; logistic regression: L2 with C = 1, which on Spark's
 mean-loss objective is ``regParam = 1 / n_train``).
 
-Whether a column is nominal is the caller's choice (``categories``: column -> number of codes in its
-dictionary), the same for every frame and fold. Missing predictors stay in: boosted trees see a code
-below the training minimum, so a split can send missing rows either way from the observed ones;
-forests and the linear model see the training mean. Codes and means are part of the fitted model.
+Columns named as ``categories`` are split in the order of their categories' label means in the
+training rows (``operators.ordering``), whatever their number. Missing predictors stay in: boosted
+trees see a code below the training minimum, so a split can send missing rows either way from the
+observed ones; forests and the linear model see the training mean. Orders, codes and means are part
+of the fitted model.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import os
 import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -27,22 +29,26 @@ from pyspark.sql import functions as F
 
 from returnsight.config import Params
 from returnsight.functions import nan_to_null
+from returnsight.operators.ordering import CategoryOrder, category_order, category_sums, learned_order, training_sums
 from returnsight.operators.split import fold_assignment, holdout_split
-from returnsight.session import ensure_checkpoint_dir
+from returnsight.plans.logistic import fit_folds, held_out_accuracy
+from returnsight.session import ensure_checkpoint_dir, materialise
 
 
 @dataclass(frozen=True)
 class Fitted:
-    """A model with what its input needs: column order, category counts, values for missing ones."""
+    """A model with what its input needs: column order, values for missing ones, category places."""
 
     kind: str
-    model: Model
+    model: Model | None
     cols: list[str]
     fill: dict[str, float]
-    categories: dict[str, int] = field(default_factory=dict)
+    order: CategoryOrder | None = None
 
     def filled(self, df: DataFrame) -> DataFrame:
-        return fill_missing(df, self.fill)
+        """The predictors as the model sees them."""
+        df = fill_missing(df, self.fill)
+        return self.order.apply(df) if self.order else df
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.model.transform(assemble(self.filled(df), self.cols))
@@ -63,14 +69,6 @@ def missing_values(kind: str, train: DataFrame, cols: Sequence[str]) -> dict[str
     return {c: row[c] or 0.0 for c in cols}
 
 
-def with_nominal(df: DataFrame, categories: dict[str, int]) -> DataFrame:
-    """Mark integer-coded columns as nominal with their dictionary's number of codes (no job)."""
-    for c, k in categories.items():
-        meta = {"ml_attr": {"type": "nominal", "name": c, "num_vals": k}}
-        df = df.withColumn(c, F.col(c).cast("double").alias(c, metadata=meta))
-    return df
-
-
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="error").transform(df)
 
@@ -94,20 +92,28 @@ def estimator(kind: str, p: Params, n_train: int, max_bins: int = 32):
     raise ValueError(f"unknown model {kind!r}; expected GBT, RF or LR")
 
 
-def fit(kind: str, train: DataFrame, cols: Sequence[str], p: Params, *, categories: dict[str, int] | None = None) -> Fitted:
-    """Fit on a frame holding ``label`` and the predictor columns (doubles).
+#: Rows of a training frame that are fitted in one partition: boosting is a chain of small jobs, whose
+#: tasks cost more than the rows of a frame of this size.
+ONE_PARTITION_ROWS = 100_000
+#: Bins of a numeric column, and of category places, at most.
+BINS, PLACE_BINS = 32, 256
 
-    Spark's trees need a bin per category and cap bins at the number of training rows; a nominal
-    column with more categories than rows raises, naming the column."""
+
+def fit(kind: str, train: DataFrame, cols: Sequence[str], p: Params, *, categories: Sequence[str] = (), order: CategoryOrder | None = None) -> Fitted:
+    """Fit on a frame holding ``label`` and the predictor columns (doubles). ``order`` is the category
+    order of these training rows, if it is known already; else it is learned here."""
     cols = list(cols)
-    nominal = {c: k for c, k in (categories or {}).items() if c in cols and kind in ("GBT", "RF")}
-    n = train.count() if nominal or kind == "LR" else 0
-    for c, k in nominal.items():
-        if k > n:
-            raise ValueError(f"column {c!r} has {k} categories, more than the {n} training rows; pass it as a number instead")
-    fill = missing_values(kind, train, cols)
-    data = assemble(with_nominal(fill_missing(train, {c: v for c, v in fill.items() if c not in nominal}), nominal), cols)
-    return Fitted(kind, estimator(kind, p, n, max(nominal.values(), default=0)).fit(data), cols, {c: v for c, v in fill.items() if c not in nominal}, nominal)
+    ordered = [c for c in categories if c in cols and kind == "GBT"]
+    n = train.count() if kind in ("GBT", "LR") else 0
+    fill = missing_values(kind, train, [c for c in cols if c not in ordered])
+    if ordered and order is None:
+        order = learned_order(category_order(category_sums(train, ordered)))
+    fitted = Fitted(kind, None, cols, fill, order if ordered else None)
+    bins = min(PLACE_BINS, max([BINS, *order.categories.values()])) if ordered else BINS
+    data = assemble(fitted.filled(train), cols)
+    if kind == "GBT" and n <= ONE_PARTITION_ROWS:
+        data = data.coalesce(1)
+    return replace(fitted, model=estimator(kind, p, n, bins).fit(data))
 
 
 def predict(fitted: Fitted, df: DataFrame, key: str = "sku_key", extra: Sequence[str] = ()) -> DataFrame:
@@ -173,18 +179,29 @@ def cv_scores(
     cols: Sequence[str],
     p: Params,
     *,
-    categories: dict[str, int] | None = None,
+    categories: Sequence[str] = (),
     parallelism: int | None = None,
 ) -> dict[str, list[float]]:
     """k-fold accuracy per named frame: fit on the other folds, score the held-out fold. Folds are
-    balanced (hash order of the key). All fits are submitted concurrently, so Spark schedules their
-    jobs side by side."""
+    balanced (hash order of the key). Logistic regressions of all folds and frames are fitted together
+    (``plans.logistic``); tree models are submitted concurrently, so Spark schedules their jobs side by
+    side, with the category orders of all folds learned in one aggregation beforehand."""
     folded = {name: fold_assignment(d, "sku_key", p.n_folds, p.fold_seed) for name, d in frames.items()}
+    names = list(frames)
+    together = reduce(DataFrame.unionByName, [d.withColumn("dataset", F.lit(i)).select("dataset", "fold", "label", *cols) for i, d in enumerate(folded.values())])
+    if kind == "LR":
+        return held_out_accuracy(together, fit_folds(together, names, cols, p.n_folds))
+    ordered = [c for c in categories if c in cols and kind == "GBT"]
+    orders = None
+    if ordered:
+        sums = materialise(category_sums(together, ordered, by=["dataset", "fold"]))
+        orders = materialise(category_order(training_sums(sums, p.n_folds), by=["dataset", "fold"]))
 
     def one(task: tuple[str, int]) -> float:
         name, k = task
         f = folded[name]
-        m = fit(kind, f.filter(F.col("fold") != k), cols, p, categories=categories)
+        own = learned_order(orders.filter((F.col("dataset") == names.index(name)) & (F.col("fold") == k))) if orders else None
+        m = fit(kind, f.filter(F.col("fold") != k), cols, p, categories=ordered, order=own)
         r = predict(m, f.filter(F.col("fold") == k)).agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a")).first()
         return float(r["a"])
 

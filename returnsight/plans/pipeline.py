@@ -10,6 +10,7 @@ same way. ``prepared`` applies the preparation chain in the reference's effectiv
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,21 +19,39 @@ from pyspark.sql import functions as F
 from returnsight.config import Params, predictors
 from returnsight.operators import prepare as P
 from returnsight.operators.features import sku_features_eager
-from returnsight.session import files_version, materialise, session_key
+from returnsight.session import files_version, listed_version, materialise, session_key
 from returnsight.sources import Source, as_source
 
 _TABLES: dict[tuple, tuple[str, object]] = {}
 
 
+#: Versions looked up by the memoised call in progress, which those inside it share.
+_CURRENT: ContextVar[dict[Source, str] | None] = ContextVar("versions", default=None)
+
+
+def _version(spark: SparkSession, source: Source) -> str:
+    paths = source.paths()
+    return files_version(*source.load(spark)) if paths is None else listed_version(spark, paths)
+
+
 def memo(spark: SparkSession, source: Source, key: tuple, build: Callable[[], object]):
     """``build()``, kept per session, source and key for as long as the source's files stay the same;
-    once they change, what was built from the old ones is dropped."""
+    once they change, what was built from the old ones is dropped. The files are looked at once for
+    the outermost call and those that it makes while building."""
     k = (session_key(spark), source, *key)
-    version = files_version(*source.load(spark))
-    if k not in _TABLES or _TABLES[k][0] != version:
-        _TABLES.pop(k, None)
-        _TABLES[k] = (version, build())
-    return _TABLES[k][1]
+    seen = _CURRENT.get()
+    token = _CURRENT.set({}) if seen is None else None
+    try:
+        versions = _CURRENT.get()
+        if source not in versions:
+            versions[source] = _version(spark, source)
+        if k not in _TABLES or _TABLES[k][0] != versions[source]:
+            _TABLES.pop(k, None)
+            _TABLES[k] = (versions[source], build())
+        return _TABLES[k][1]
+    finally:
+        if token is not None:
+            _CURRENT.reset(token)
 
 
 def forget(spark: SparkSession | None = None) -> None:
@@ -77,7 +96,7 @@ class Prepared:
     before_cleaning: DataFrame  # labelled, encoded, flagged, logged
     cleaned: DataFrame  # after IQR removal and mean imputation
     predictors: list[str]
-    categories: dict[str, int]  # encoded column -> number of codes in its dictionary
+    categories: list[str]  # predictors that are encoded categories
 
 
 def prepared(spark: SparkSession, sf_dir: str | Source, params: Params) -> Prepared:
@@ -85,10 +104,8 @@ def prepared(spark: SparkSession, sf_dir: str | Source, params: Params) -> Prepa
         before = logged(spark, sf_dir, params)
         no_outliers = P.iqr_filter(before, params.iqr_columns, params.iqr_factor)
         cleaned = materialise(P.impute_mean(no_outliers, params.impute_columns))
-        # codes are dense over the whole labelled table, whatever rows the later steps keep
-        top = encoded(spark, sf_dir, params).agg(*[F.max(c).alias(c) for c in P.ENCODED_COLUMNS]).first()
-        categories = {c: (-1 if top[c] is None else top[c]) + 1 for c in P.ENCODED_COLUMNS}
-        return Prepared(before, cleaned, predictors(params.predictor_set), categories)
+        cols = predictors(params.predictor_set)
+        return Prepared(before, cleaned, cols, [c for c in cols if c in P.ENCODED_COLUMNS])
 
     return memo(spark, as_source(sf_dir), ("prepared", params), build)
 

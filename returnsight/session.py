@@ -48,6 +48,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def session_key(spark: SparkSession) -> str:
     """Identifies the running application (for per-session memoisation)."""
     try:
@@ -106,3 +111,11 @@ def files_version(*frames: DataFrame) -> str:
             else:
                 seen.update(uuid.uuid4().bytes)
     return seen.hexdigest()
+
+
+def listed_version(spark: SparkSession, paths: list[str]) -> str:
+    """``files_version`` of whatever files lie under ``paths``, from one listing: no schema is read and
+    nothing is planned."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    leaf = files._jdf.queryExecution().analyzed().collectLeaves().head()
+    return hashlib.sha256(leaf.relation().location().allFiles().mkString("\n").encode()).hexdigest()

@@ -128,6 +128,12 @@ class Source:
             return lines, read_jdbc(spark, self.url, self.sku)
         return read_table(spark, self.detail, self.fmt), read_table(spark, self.sku, self.fmt)
 
+    def paths(self) -> list[str] | None:
+        """Files or folders that the inputs are read from; None for catalog and database tables."""
+        if self.sf_dir is not None:
+            return [f"{self.sf_dir.rstrip('/')}/{name}.parquet" for name in ("lineitem", "orders", "part")]
+        return None if self.fmt in ("jdbc", "table") else [p for p in (self.detail, self.sku) if p is not None]
+
 
 def as_source(source: "str | Source") -> Source:
     return source if isinstance(source, Source) else Source(sf_dir=source)

@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from returnsight.plans import explain as EX
@@ -34,23 +35,104 @@ def _expect(x, s, tables):
     return total
 
 
-def test_vectorised_values_equal_brute_force():
-    tables = _tiny()
-    x = np.array([[0.2, 3.0, 7.0], [0.9, 0.0, -1.0]])
-    phi = EX.coalition_values(x, tables) @ EX.shapley_weights(3)
-    m = 3
-    for r in range(2):
-        for i in range(m):
-            want = 0.0
-            others = [j for j in range(m) if j != i]
-            for k in range(m):
-                for s in itertools.combinations(others, k):
-                    w = math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m)
-                    want += w * (_expect(x[r], set(s) | {i}, tables) - _expect(x[r], set(s), tables))
-            assert abs(phi[r, i] - want) < 1e-12
-        # local accuracy and the unused feature gets nothing
-        assert abs(phi[r].sum() + _expect(x[r], set(), tables) - _expect(x[r], {0, 1, 2}, tables)) < 1e-12
-        assert abs(phi[r, 2]) < 1e-12
+def _shapley(m, v):
+    """Values of the game ``v`` (a function of sets of players) by its definition."""
+    out = []
+    for i in range(m):
+        others, total = [j for j in range(m) if j != i], 0.0
+        for k in range(m):
+            for s in itertools.combinations(others, k):
+                total += math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) * (v(set(s) | {i}) - v(set(s)))
+        out.append(total)
+    return out
+
+
+def _random_tables(rng, m, trees=4, depth=4):
+    """Trees whose paths meet features again, with shares that need not be the covers of any data."""
+
+    def grow(steps, left):
+        if not left or rng.random() < 0.15:
+            return [LeafPath(float(rng.normal()), steps)]
+        f, threshold, share = int(rng.integers(0, m)), float(rng.normal()), float(rng.choice([0.0, 0.3, 0.6, 1.0]))
+        return grow([*steps, (f, threshold, True, share)], left - 1) + grow([*steps, (f, threshold, False, 1 - share)], left - 1)
+
+    return TreeTables([1.0, 0.5, 0.25, 2.0][:trees], [grow([], depth) for _ in range(trees)], 2.0, m)
+
+
+def _output(x, tables):
+    total = 0.0
+    for w, leaves in zip(tables.weights, tables.leaves, strict=True):
+        for leaf in leaves:
+            if all((x[f] <= t) == left for f, t, left, _ in leaf.steps):
+                total += w * leaf.value
+    return total * tables.scale
+
+
+def _expected(x, s, tables):
+    total = 0.0
+    for w, leaves in zip(tables.weights, tables.leaves, strict=True):
+        total += w * _expect(x, s, TreeTables([1.0], [leaves], 1.0, tables.n_features))
+    return total * tables.scale
+
+
+def test_path_values_equal_the_definition():
+    rng = np.random.default_rng(12)
+    for tables in (_tiny(), _random_tables(rng, 5), _random_tables(rng, 3, depth=6), TreeTables([1.0], [[LeafPath(3.0, [])]], 1.0, 2)):
+        m, x = tables.n_features, rng.normal(size=(6, tables.n_features))
+        paths = EX.paths_of(tables)
+        phi = EX.path_values(x, paths, m)
+        for r in range(len(x)):
+            assert phi[r].tolist() == pytest.approx(_shapley(m, lambda s, r=r: _expected(x[r], s, tables)), abs=1e-9)
+        assert EX.base_value(paths) == pytest.approx(_expected(x[0], set(), tables))
+
+
+def test_missing_values_take_every_right_turn():
+    x = np.array([[np.nan, 0.5, 0.0]])
+    path = EX.paths_of(_tiny())
+    assert [p.follows(x).all() for p in path] == [False, False, True]
+
+
+def _framed(spark, x):
+    names = [f"x{i}" for i in range(x.shape[1])]
+    return spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(x)], "sku_key long, " + ", ".join(f"{n} double" for n in names)), names
+
+
+def test_background_values_equal_the_definition(spark):
+    rng = np.random.default_rng(13)
+    tables = _random_tables(rng, 4)
+    x, z = rng.normal(size=(5, 4)), rng.normal(size=(40, 4))
+    z[:15] = z[0]  # rows that meet the same conditions
+    df, names = _framed(spark, x)
+    long, base = EX.tables_background_shap(df, tables, names, _framed(spark, z)[0].repartition(3))
+    got = {(r["sku_key"], r["feature"]): r["phi"] for r in long.collect()}
+    assert base == pytest.approx(np.mean([_output(row, tables) for row in z]))
+    for r in range(5):
+        want = _shapley(4, lambda s, r=r: np.mean([_output([x[r][j] if j in s else row[j] for j in range(4)], tables) for row in z]))
+        assert [got[r, n] for n in names] == pytest.approx(want, abs=1e-9)
+    with pytest.raises(ValueError, match="no rows"):
+        EX.tables_background_shap(df, tables, names, df.limit(0))
+
+
+def test_background_values_of_a_fitted_model(spark):
+    from returnsight.config import FIXTURE
+    from returnsight.plans import models as MD
+
+    df = _planted(spark, 60)
+    m = MD.fit("GBT", df, ["a", "b", "c"], FIXTURE.with_(gbt_iters=6))
+    some = df.filter("sku_key < 3")
+    long, base = EX.background_shap(some, m, df)
+    got = {(r["sku_key"], r["feature"]): r["phi"] for r in long.collect()}
+    z = np.array([[r["a"], r["b"], r["c"]] for r in df.collect()])
+    mixed = []  # every coalition's rows, through the model itself
+    for r in some.collect():
+        for s in itertools.product([0, 1], repeat=3):
+            mixed += [(int(r["sku_key"] * 8 + s[0] + 2 * s[1] + 4 * s[2]), 0.0, *(float(r[c]) if on else float(v) for c, on, v in zip("abc", s, row, strict=True))) for row in z]
+    out = MD.predict(m, spark.createDataFrame(mixed, df.schema)).groupBy("sku_key").agg(F.avg(F.log(F.col("probability") / (1 - F.col("probability")))).alias("v"))
+    v = {r["sku_key"]: r["v"] for r in out.collect()}
+    assert base == pytest.approx(v[0], abs=1e-9)
+    for r in range(3):
+        want = _shapley(3, lambda s, r=r: v[r * 8 + sum(2**j for j in s)])
+        assert [got[r, c] for c in "abc"] == pytest.approx(want, abs=1e-9)
 
 
 def _planted(spark, n=400):
@@ -135,16 +217,18 @@ def test_boosted_trees_with_categories_unseen_codes_and_missing_values(spark):
     y = ((cat % 3 == 0) ^ (x > 0.3)).astype(float)
     rows = [(i, float(y[i]), float(cat[i]), None if i % 17 == 0 else float(x[i])) for i in range(n)]
     schema = "sku_key long, label double, sku_size double, quantity double"
-    m = MD.fit("GBT", spark.createDataFrame(rows, schema), ["sku_size", "quantity"], FIXTURE.with_(gbt_iters=20), categories={"sku_size": k, "sku_color": 4})
-    assert m.categories == {"sku_size": k} and m.fill["quantity"] < min(v for *_, v in rows if v is not None)
-    new = spark.createDataFrame([(i, 0.0, float(c), v) for i, (c, v) in enumerate(itertools.product(range(k + 3), (-1.0, 0.31, 2.0, None)))], schema)
-    known = new.filter(f"sku_size < {k}")  # the model itself only takes codes of the dictionary
+    m = MD.fit("GBT", spark.createDataFrame(rows, schema), ["sku_size", "quantity"], FIXTURE.with_(gbt_iters=20), categories=["sku_size", "sku_color"])
+    assert m.order.categories == {"sku_size": k - 2} and m.fill["quantity"] < min(v for *_, v in rows if v is not None)
+    known = spark.createDataFrame([(i, 0.0, float(c), v) for i, (c, v) in enumerate(itertools.product(range(k + 3), (-1.0, 0.31, 2.0, None)))], schema)
     long, base = EX.tree_shap(known, m)
     want = MD.predict(m, known).select("sku_key", F.log(F.col("probability") / (1 - F.col("probability"))).alias("f"))
     off = long.groupBy("sku_key").agg(F.sum("phi").alias("s")).join(want, "sku_key").agg(F.max(F.abs(F.col("s") + F.lit(base) - F.col("f")))).first()[0]
     assert off < 1e-9
-    assert long.filter("value IS NULL").count() == k
-    # codes beyond the dictionary follow the model's rule for the smaller set
-    rule = EX.Categories((0.0, 1.0, 2.0), 4)
-    assert rule.goes_left(np.array([0.0, 3.0, 7.0])).tolist() == [True, False, True]
-    assert EX.Categories((0.0, 1.0), 4).goes_left(np.array([0.0, 3.0, 7.0])).tolist() == [True, False, False]
+    assert long.filter("value IS NULL").count() == k + 3
+    shown = {r["sku_key"]: r["value"] for r in long.filter("feature = 'sku_size'").collect()}
+    assert shown == {i: float(i // 4) for i in range(4 * (k + 3))}  # the codes, not their places
+    same = long.filter(f"feature = 'sku_size' AND value >= {k - 2}").groupBy("sku_key").agg(F.sum("phi").alias("s"))
+    by_quantity = {}
+    for r in same.collect():
+        by_quantity.setdefault(r["sku_key"] % 4, set()).add(round(r["s"], 9))
+    assert all(len(v) == 1 for v in by_quantity.values())  # unseen codes stand in one place

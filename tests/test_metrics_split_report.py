@@ -1,9 +1,12 @@
 """Metrics, splitting and report operators."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from returnsight.operators import metrics as M
 from returnsight.operators import report as R
+from returnsight.operators.ranking import range_index
 from returnsight.operators.split import fold_assignment, holdout_split
 
 PAIRS = [(1, 1), (1, 1), (1, 0), (0, 0), (0, 0), (0, 1), (0, 0), (1, 1)]
@@ -46,6 +49,63 @@ def test_roc_with_tied_scores(spark):
     assert pts[0.5] == (0.5, 1.0) and pts[0.1] == (1.0, 1.0) and pts[None] == (0.0, 0.0)
 
 
+def _pairs_won(rows):
+    pos, neg = [s for y, s in rows if y == 1], [s for y, s in rows if y != 1]
+    key = lambda s: (s is not None, s or 0.0)  # noqa: E731  missing scores rank lowest
+    won = sum((key(a) > key(b)) + 0.5 * (key(a) == key(b)) for a in pos for b in neg)
+    return won / (len(pos) * len(neg))
+
+
+def test_auc_equals_the_pairs_won(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.random() < 0.3 + 0.4 * s), float(s)) for s in rng.random(1500)]  # more than 1,000 different scores
+    rows += [(int(rng.random() < 0.5), 0.5) for _ in range(700)]  # a tie of a third of the rows
+    rows += [(int(rng.random() < 0.6), float(round(s, 1))) for s in rng.random(200)] + [(1, None), (0, None), (0, None)]
+    df = spark.createDataFrame(rows, "label int, score double").repartition(6)
+    got = M.roc_auc(df).first()
+    assert got["roc_auc"] == pytest.approx(_pairs_won(rows), abs=1e-14)
+    assert (got["n_pos"], got["n_neg"]) == (sum(y for y, _ in rows), sum(1 - y for y, _ in rows))
+
+
+def test_auc_of_one_class_and_of_no_rows(spark):
+    df = spark.createDataFrame([(1, 0.5), (1, 0.2)], "label int, score double")
+    assert tuple(M.roc_auc(df).first()) == (None, 2, 0)
+    assert tuple(M.roc_auc(df.limit(0)).first()) == (None, 0, 0)
+
+
+def _corners(rows):
+    """Points whose second difference of either count is not zero, and the first and the last."""
+    steps = {}
+    for y, s in rows:
+        tp, fp = steps.get(s, (0, 0))
+        steps[s] = (tp + (y == 1), fp + (y != 1))
+    scores = sorted(steps, reverse=True)
+    return {s for i, s in enumerate(scores) if i in (0, len(scores) - 1) or steps[s] != steps[scores[i + 1]]}
+
+
+def test_corners_of_the_curve_over_range_borders(spark):
+    rng = np.random.default_rng(2)
+    rows = [(1, 900.0 - i) for i in range(300)] + [(0, 500.0 - i) for i in range(300)]  # two straight runs
+    rows += [(int(rng.random() < 0.5), float(rng.integers(0, 150))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "label int, score double").repartition(4)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # eight ranges, so runs cross their borders
+    try:
+        got = M.roc_points(df, drop_intermediate=True).collect()
+        full = {(r["threshold"], r["fpr"], r["tpr"]) for r in M.roc_points(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert {r["threshold"] for r in got} == _corners(rows) | {None}
+    assert {(r["threshold"], r["fpr"], r["tpr"]) for r in got} <= full
+    assert len(got) < 200
+
+
+def test_range_index_hands_values_over_range_borders(spark):
+    df = spark.range(100).select((F.col("id") * 37 % 100).alias("v"))
+    out = range_index(df, [F.col("v").asc()], following=["v"], num_partitions=7).orderBy("_pos").collect()
+    assert [r["_next_v"] for r in out] == [*range(1, 100), None] and {r["_rows"] for r in out} == {100}
+
+
 def test_folds_disjoint_cover_and_stable_under_repartition(spark):
     df = spark.range(0, 500).withColumnRenamed("id", "sku_key")
     a = {r["sku_key"]: r["fold"] for r in fold_assignment(df, n_folds=10, seed=1).collect()}

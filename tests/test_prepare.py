@@ -75,7 +75,7 @@ def test_zscore_population_std_and_constant_column(spark):
 
 
 def test_fixture_median_matches_documented_value(spark):
-    from returnsight.operators.ranking import exact_median
+    from returnsight.operators.quantiles import exact_median
     from returnsight.plans.pipeline import feature_table
     from tests.conftest import SF001
 

@@ -5,7 +5,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from returnsight.operators.ranking import dense_codes_long, exact_quantiles, range_index
+from returnsight.operators.quantiles import exact_quantiles
+from returnsight.operators.ranking import dense_codes_long, range_index
 
 
 def test_range_index_positions_and_running_sums(spark):
