@@ -2,13 +2,15 @@
 
 All words new to a worker are merged together: their symbols lie in one flat array, every round
 looks up all neighbouring pairs by binary search over the sorted pair keys, takes each word's lowest
-rank and merges that pair wherever it occurs in the word. The vocabulary file gives the symbols and
-the ranked merges; normalisation (NFC, white space, lower case) and the split into words follow it.
+rank and merges that pair wherever it occurs in the word. A word longer than ``LONG`` bytes, whose
+rounds would be many, is merged alone: its pairs lie in one queue by rank, and a round looks up only
+the pairs beside its merges. The vocabulary file gives the symbols and the ranked merges; normalisation (NFC, white space, lower case) and the split into words follow it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -22,6 +24,8 @@ from returnsight.llm.common import gathered, ready
 from returnsight.llm.tokens import ChunkTable, byte_letters, sliced_ids, worker_table
 
 NO_RANK = np.iinfo(np.int64).max
+#: Bytes up to which words are merged together.
+LONG = 256
 
 
 class WordBpe(ChunkTable):
@@ -42,6 +46,7 @@ class WordBpe(ChunkTable):
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.base = max(max(vocab.values()), *self.special.values()) + 1
         keys = np.array([vocab[a] * self.base + vocab[b] for a, b in merges], np.int64)
+        self.key_of = keys  # by rank
         self.rank_of = np.argsort(keys, kind="stable")
         self.keys = keys[self.rank_of]
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)
@@ -79,10 +84,15 @@ class WordBpe(ChunkTable):
             symbols[np.cumsum(size) - 1] = self.last[[d[-1] for d in data]]
         done_ids: list[np.ndarray] = []
         done_words: list[np.ndarray] = []
+        if len(words) and size.max() > LONG:
+            ends = np.cumsum(size)
+            for k in np.flatnonzero(size > LONG).tolist():
+                done_ids.append(self.merge_long(symbols[ends[k] - size[k] : ends[k]]))
+                done_words.append(np.full(len(done_ids[-1]), k))
+            short = np.repeat(size <= LONG, size)
+            symbols, word = symbols[short], word[short]
         while len(symbols):
-            key = symbols[:-1] * self.base + symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where((self.keys[at] == key) & (word[:-1] == word[1:]), self.rank_of[at], NO_RANK)
+            rank = np.where(word[:-1] == word[1:], self.pair_ranks(symbols[:-1], symbols[1:]), NO_RANK)
             rank = np.append(rank, NO_RANK)
             starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             lowest = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(word))))
@@ -108,6 +118,54 @@ class WordBpe(ChunkTable):
             ids[np.searchsorted(owner[order], k)] = i
         return ids, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))]).astype(np.int64)
 
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self.base + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank_of[at], NO_RANK)
+
+    def merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids of one word: its pairs wait by rank, each as the place of its left symbol, and symbols
+        are linked to their neighbours."""
+        symbols, n = symbols.copy(), len(symbols)
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            rank = self.pair_ranks(symbols[places], symbols[after[places]])
+            places, rank = places[rank != NO_RANK], rank[rank != NO_RANK]
+            order = np.argsort(rank, kind="stable")
+            values, first = np.unique(rank[order], return_index=True)
+            for r, own in zip(values.tolist(), np.split(places[order], first[1:]), strict=False):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(queue, r)
+                waiting[r].append(own)
+
+        wait(np.arange(n - 1))
+        while queue:
+            r = heapq.heappop(queue)
+            place = np.unique(np.concatenate(waiting.pop(r)))
+            place = place[alive[place] & (after[place] < n)]
+            # what has not changed since it came into the queue
+            place = place[symbols[place] * self.base + symbols[after[place]] == self.key_of[r]]
+            if not len(place):
+                continue
+            # of pairs that overlap, as in "aaa", the first, third, ... are merged
+            fresh = np.concatenate([[True], after[place[:-1]] != place[1:]])
+            run = np.arange(len(place)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+            place = place[run % 2 == 0]
+            gone = after[place]
+            symbols[place] = self.merged[r]
+            alive[gone] = False
+            after[place] = after[gone]
+            follows = after[place] < n
+            before[after[place[follows]]] = place[follows]
+            left = before[place]
+            beside = np.unique(np.concatenate([left[left >= 0], place[follows]]))
+            wait(beside)
+        return symbols[alive]
+
     def decode(self, ids: np.ndarray) -> bytes:
         """Tokens with a space between them, in UTF-8: the file has no decoder that would join them."""
         size = self.text_starts[ids.astype(np.int64) + 1] - self.text_starts[ids]
