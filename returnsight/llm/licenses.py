@@ -23,7 +23,7 @@ from pyspark.sql.functions import pandas_udf
 from returnsight.llm.common import ready
 
 GRAM, WINDOW = 3, 2
-#: Insertions or omissions that an alignment can be off the straight line by.
+#: Insertions or omissions that one alignment can be off the straight line by.
 BAND = 8
 MIN_COVERAGE = 0.8
 
@@ -105,9 +105,10 @@ def template_index(templates: tuple = TEMPLATES) -> tuple[list[list[str]], dict[
     return split, runs, frozenset(max(r, key=lambda w: (len(w), w)) for r in runs)
 
 
-def aligned(template: list[str], words: list[str], start: int, band: int = BAND) -> list[int]:
-    """Positions in ``words`` matched, in order, by the alignment of ``template`` around ``start``
-    with most matches less skipped template words; it leaves the line by ``band`` words at most."""
+def aligned(template: list[str], words: list[str], start: int, band: int = BAND) -> list[tuple[int, int]]:
+    """(place in the template, position in ``words``) of the words matched, in order, by the alignment
+    of ``template`` around ``start`` with most matches less skipped template words; it leaves the line
+    by ``band`` words at most."""
     width = 2 * band + 1
     score, step = [0] * width, []
     for i, word in enumerate(template):
@@ -129,7 +130,7 @@ def aligned(template: list[str], words: list[str], start: int, band: int = BAND)
     while i >= 0:
         move = step[i][d]
         if move == 1:
-            found.append(start + i + d - band)
+            found.append((i, start + i + d - band))
         if move == 3:
             d -= 1
             continue
@@ -138,6 +139,34 @@ def aligned(template: list[str], words: list[str], start: int, band: int = BAND)
     return found[::-1]
 
 
+def _nonzero(word: str) -> bool:
+    """Whether a word is a number other than zero, of whatever length."""
+    return word.isdigit() and bool(word.strip("0"))
+
+
+def chained(parts: list[list[tuple[int, int]]], gap: int) -> list[int]:
+    """The most positions that can be taken from the alignments ``parts`` with places and positions
+    rising, neighbours at most ``gap`` words apart in the text."""
+    pairs = sorted({pair for part in parts for pair in part}, key=lambda pair: (pair[1], -pair[0]))
+    best: list[tuple[int, int]] = []  # (length, index of the pair before) of the longest chain to each pair
+    ends: dict[int, int] = {}  # place -> the pair that ends the longest chain there, not out of reach
+    for n, (i, j) in enumerate(pairs):
+        length, before = 0, -1
+        for place, k in list(ends.items()):
+            if j - pairs[k][1] > gap + 1:
+                del ends[place]
+            elif place < i and best[k][0] > length and pairs[k][1] < j:
+                length, before = best[k][0], k
+        best.append((length + 1, before))
+        if i not in ends or best[ends[i]][0] <= length + 1:
+            ends[i] = n
+    at, out = max(range(len(best)), key=lambda n: best[n][0]), []
+    while at >= 0:
+        out.append(pairs[at][1])
+        at = best[at][1]
+    return out[::-1]
+
+
 def _needed(template: list[str]) -> frozenset[str]:
     """Words of a template that must be found; a zero after a number may be left out."""
     return frozenset(w for k, w in enumerate(template) if w in NAMES or w in CHANGES or (w.isdigit() and not (w == "0" and k and template[k - 1].isdigit())))
@@ -161,11 +190,11 @@ def told_apart(template: list[str], text: str, tokens: list[tuple[str, int, int]
         if words[k] in CHANGES:
             return False
         beside = [words[k - 1] if k - 1 in matched else "", words[k + 1] if k + 1 in matched else ""]
-        if words[k].isdigit() and int(words[k]) and (beside[0] in ("version", "v") or any(w.isdigit() for w in beside)):
+        if _nonzero(words[k]) and (beside[0] in ("version", "v") or any(w.isdigit() for w in beside)):
             return False
     # the version may go on after the last word
     after = words[last + 1] if len(words) > last + 1 else ""
-    goes_on = after.isdigit() and int(after) and words[last].isdigit() and text[tokens[hits[-1]][2] : tokens[hits[-1] + 1][1]] == "."
+    goes_on = _nonzero(after) and words[last].isdigit() and text[tokens[hits[-1]][2] : tokens[hits[-1] + 1][1]] == "."
     return not goes_on
 
 
@@ -185,14 +214,25 @@ def find_licenses(text: str, templates: tuple = TEMPLATES, min_coverage: float =
     for t, starts in proposed.items():
         if not _needed_of(templates)[t] <= seen:
             continue
-        last = None
+        size, groups, last = len(split[t]), [], None
+        gap = max(BAND, size)
         for start in sorted(set(starts)):
             if last is not None and start - last <= BAND // 2:
                 continue
+            part = aligned(split[t], words, start)
+            if not part:
+                continue
+            if last is None or start - last > gap:
+                groups.append([])
+            groups[-1].append(part)
             last = start
-            hits = aligned(split[t], words, start)
-            if hits and len(hits) >= min_coverage * len(split[t]) and told_apart(split[t], text, tokens, hits):
-                found.append(Match(templates[t][0], len(hits) / len(split[t]), tokens[hits[0]][1], tokens[hits[-1]][2], len(hits)))
+        for parts in groups:
+            whole = [hits for part in parts if len(hits := [j for _, j in part]) >= min_coverage * size]
+            if not whole and len(parts) > 1 and len({i for part in parts for i, _ in part}) >= min_coverage * size:
+                whole = [hits for hits in [chained(parts, gap)] if len(hits) >= min_coverage * size]
+            for hits in whole:
+                if told_apart(split[t], text, tokens, hits):
+                    found.append(Match(templates[t][0], len(hits) / size, tokens[hits[0]][1], tokens[hits[-1]][2], len(hits)))
     kept: list[Match] = []
     for m in sorted(set(found), key=lambda m: (-m.words, -m.coverage, m.start, m.license)):
         if all(m.end <= o.start or o.end <= m.start for o in kept):

@@ -168,7 +168,9 @@ def test_alignment_matches_lcs_within_the_band():
         template = [rng.choice("abcdefgh") for _ in range(12)]
         words = [w for w in template if rng.random() > 0.1]
         words.insert(rng.randrange(len(words) + 1), "x")
-        hits = aligned(template, words, 0)
+        pairs = aligned(template, words, 0)
+        assert all(template[i] == words[j] for i, j in pairs) and [i for i, _ in pairs] == sorted({i for i, _ in pairs})
+        hits = [j for _, j in pairs]
         assert hits == sorted(set(hits)) and lcs(template, [words[h] for h in hits]) == len(hits)
         assert len(hits) >= lcs(template, words) - 2
 
