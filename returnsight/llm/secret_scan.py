@@ -12,9 +12,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,19 +29,21 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of 32 or more among those of [0-9a-f]+
 
-#: A credential word, before a value.
+#: A credential word before a value: with a sign or "is" between them, or as the name of an element.
+_NAMES = r"(?:password|passwd|passphrase|passcode|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|pwd)s?"
+_SIGN = r"[:=]++(?:(?<==)>)?"
 CONTEXT = re.compile(
-    r"""(?:(?:password|passwd|passphrase|passcode|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|pwd)s?["']?[\x20\t]*+(?:[:=]++(?:(?<==)>)?|\bis\b(?:[\x20\t]*+[:=]++)?+)[\x20\t]*+|\bbearer[\x20\t]++)(?=\S)""",
+    rf"""(?:{_NAMES}["']?[\x20\t]*+(?:{_SIGN}|\bis\b(?:[\x20\t]*+[:=]++)?+)[\x20\t]*+|(?<![a-z])pass["']?[\x20\t]*+{_SIGN}[\x20\t]*+|(?<=[.:_<-])(?:{_NAMES}|pass)>(?=[^<>\n]++</)[\x20\t]*+|\bbearer[\x20\t]++)(?=\S)""",
     re.I | re.A,
 )
 URL_CONTEXT = re.compile(r"://([^\s:/@]*+):(?=\S)")
-QUOTED = re.compile(r""""([^"\n]+)"|'([^'\n]+)'""")
+QUOTED = re.compile(r""""((?:[^"\\\n]++|\\.)++)"|'((?:[^'\\\n]++|\\.)++)'""")
 #: Where an unquoted value ends: white space, the name of the next field, an HTML end tag.
 VALUE_END = re.compile(r"""\s|[,;][{\[(]*(?:[A-Za-z_]{3,}=|"[\w-]+":|'[\w-]+':)|</[A-Za-z]\w*>|\Z""")
 SPACE = re.compile(r"\s|\Z")
 #: A port and what follows it; there only a password without quotes and brackets is looked for.
 PORT = re.compile(r"\d{2,5}[/?#\"'<>\\]")
-AFTER_PORT = re.compile(r"""[^\s"'@,;<>(){}\[\]]+(?=@)""")
+AFTER_PORT = re.compile(r"""[\s"'@,;<>(){}\[\]]|\Z""")
 HOST = re.compile(r"""@(?:[a-z0-9_.-]+|\[[0-9a-f:.]+\])(?::\d+)?(?![^\s/?"'<>(),;\]}])""")
 #: What may follow a value without belonging to it, apart from closing brackets.
 TRAILING = ".,:;!?\"'"
@@ -49,7 +52,7 @@ BRACKETS = {")": "(", "]": "[", "}": "{", ">": "<"}
 WRAPPED = re.compile(r"[$#%]?(?:\((.+)\)|\[(.+)\]|\{(.+)\}|<(.+)>)", re.S)
 WRAP_BITS = 3.0  # for the choice of the brackets around a value
 #: Lower-case parts of the patterns' credential words; a text with none of them has no context.
-HINTS = ("passw", "passphrase", "passcode", "secret", "token", "key", "credential", "pwd", "bearer")
+HINTS = ("pass", "secret", "token", "key", "credential", "pwd", "bearer")
 
 
 # Words that attackers try first, most common first.
@@ -69,8 +72,8 @@ KEYBOARD_ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "
 PLAIN_LETTER = str.maketrans("013457@$!", "oieastasi")
 
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
-DATE_BITS = {4: 7.0, 6: 10.5, 7: 10.5, 8: 15.2, 10: 16.5}
-LONGEST_DATE = 10
+DATE_BITS = {4: 7.0, 6: 10.5, 7: 10.5, 8: 15.2, 9: 15.2, 10: 16.5}
+NEAR = 16  # longer than any word or date
 SEGMENT_BITS = 1.0  # for the choice of kind and place of a segment
 
 
@@ -95,13 +98,31 @@ def _char_bits(c: str) -> float:
     return math.log2(size)
 
 
+def _runs(n: int, joined) -> tuple[list[int], list[int]]:
+    """Beginning and end of the run that each place lies in; ``joined(k)``: k and k + 1 share one."""
+    first, last = list(range(n)), list(range(n))
+    for k in range(n - 1):
+        if joined(k):
+            first[k + 1] = first[k]
+    for k in range(n - 2, -1, -1):
+        if joined(k):
+            last[k] = last[k + 1]
+    return first, last
+
+
 def guess_bits(value: str) -> float:
-    """log2 of the guesses that the cheapest segmentation of ``value`` takes; linear in its length."""
+    """log2 of the guesses that the cheapest segmentation of ``value`` takes; linear in its length.
+
+    Any segment may begin and end anywhere in a run of repeats or neighbouring keys up to twice
+    ``NEAR`` long. In a longer one it begins within ``NEAR`` characters of the run's beginning and ends
+    within as many of its end: another cut inside the run would cost a segment to save one bit."""
     n = len(value)
     lower = value.lower() if len(value.lower()) == n else value
     plain = lower.translate(PLAIN_LETTER)
-    ranks, steps = _ranks(), _steps()
+    ranks, steps, heads = _ranks(), _steps(), _heads()
     longest = max(map(len, ranks))
+    repeats = [(period, *_runs(max(0, n - period), lambda k, p=period: value[k] == value[k + p] and value[k + 1] == value[k + 1 + p])) for period in (1, 2, 3)]
+    walks = [_runs(n, lambda k, w=way: _next(lower[k], lower[k + 1], w, steps)) for way in (1, -1)]
     best = [0.0] + [math.inf] * n  # cheapest cost of the first k characters
     brute = [math.inf] * (n + 1)  # the same if a brute-force span ends there
     for i in range(n):
@@ -109,37 +130,41 @@ def guess_bits(value: str) -> float:
         step = _char_bits(value[i])
         brute[i + 1] = min(brute[i] + step, cost + step)
         best[i + 1] = min(best[i + 1], brute[i + 1])
-        for size in range(3, min(longest, n - i) + 1):
-            rank = ranks.get(lower[i : i + size])
-            swapped = 0.0
-            if rank is None:
-                rank, swapped = ranks.get(plain[i : i + size]), 2.0
-            if rank:
-                upper = sum(c.isupper() for c in value[i : i + size])
-                bits = math.log2(rank + 1) + swapped + (0 if not upper else 1 if upper == size or value[i].isupper() and upper == 1 else upper)
-                best[i + size] = min(best[i + size], cost + bits)
-        if value[i].isdigit() and (m := DATE.match(value, i, i + LONGEST_DATE)):
-            end = m.end()
-            best[end] = min(best[end], cost + DATE_BITS.get(end - i, 15.2))
-        for period in (1, 2, 3):  # "aaaa", "abab", "abcabc": the unit and how often
-            j = i + period
-            if j < n and value[j] == value[i] and (i == 0 or value[i - 1] != value[j - 1]):  # not inside a longer run
-                while j < n and value[j] == value[j - period]:
-                    j += 1
-                if j - i >= max(3, 2 * period):
-                    unit = sum(map(_char_bits, value[i : i + period]))
-                    best[j] = min(best[j], cost + unit + math.log2((j - i) / period))
-        for way in (1, -1):  # keyboard walks and alphabetic runs, forwards or backwards
-            j = i + 1
-            if i and _next(lower[i - 1], lower[i], way, steps):
-                continue  # inside a walk that an earlier start covers
-            while j < n and _next(lower[j - 1], lower[j], way, steps):
-                j += 1
-                if j - i >= 3:
+        if lower[i : i + 3] in heads or plain[i : i + 3] in heads:
+            for size in range(3, min(longest, n - i) + 1):
+                rank = ranks.get(lower[i : i + size])
+                swapped = 0.0
+                if rank is None:
+                    rank, swapped = ranks.get(plain[i : i + size]), 2.0
+                if rank:
+                    upper = sum(c.isupper() for c in value[i : i + size])
+                    bits = math.log2(rank + 1) + swapped + (0 if not upper else 1 if upper == size or value[i].isupper() and upper == 1 else upper)
+                    best[i + size] = min(best[i + size], cost + bits)
+        if value[i].isdigit():
+            for size, bits in DATE_BITS.items():
+                if i + size <= n and best[i + size] > cost + bits and DATE.fullmatch(value, i, i + size):
+                    best[i + size] = cost + bits
+        for period, first, last in repeats:  # "aaaa", "abab", "abcabc": the unit and how often
+            if i < n - period and value[i] == value[i + period] and i - first[i] < NEAR:
+                unit = cost + sum(map(_char_bits, value[i : i + period]))
+                for j in _ends(i + max(3, 2 * period), last[i] + period + 1):
+                    best[j] = min(best[j], unit + math.log2((j - i) / period))
+        for first, last in walks:  # keyboard walks and alphabetic runs, forwards or backwards
+            if last[i] - i >= 2 and i - first[i] < NEAR:
+                for j in _ends(i + 3, last[i] + 1):
                     best[j] = min(best[j], cost + 6.0 + math.log2(j - i))
     return best[n]
 
 
+def _ends(shortest: int, end: int) -> range:
+    return range(shortest if end - shortest <= 2 * NEAR else end - NEAR, end + 1)
+
+
+@cache
+def _heads() -> frozenset[str]:
+    return frozenset(w[:3] for w in COMMON_WORDS)
+
+
 def _next(a: str, b: str, way: int, steps: dict[str, str]) -> bool:
     return b in steps.get(a, "") if way > 0 else a in steps.get(b, "")
 
@@ -175,23 +200,30 @@ def context_values(text: str) -> Iterator[tuple[int, int]]:
         if quoted := QUOTED.match(text, at):
             start, at = quoted.span(quoted.lastindex)
             yield start, at
-        elif text[at] not in "\"'":
-            start, at = at, VALUE_END.search(text, at).start()
-            yield start, _trimmed(text, start, at)
+        else:
+            start = at + (text[at] in "\"'")  # a quote that is not closed on its line
+            at = VALUE_END.search(text, start).start()
+            if at > start:
+                yield start, _trimmed(text, start, at)
 
 
 def url_values(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of the passwords in URLs: up to the first @ with a host after it, else the last."""
-    at = stop = 0
+    at = stop = run = 0  # ends of the run without white space and of that without quotes and brackets
+    sign = -1  # the next @
     while m := URL_CONTEXT.search(text, at):
         start = at = m.end()
         if start >= stop:
             stop = SPACE.search(text, start).start()
-        if text.find("@", start, stop) < 0:
+        if sign < start:
+            sign = found if (found := text.find("@", start)) >= 0 else len(text)
+        if sign >= stop:
             at = stop
             continue
         if m[1] and PORT.match(text, start):
-            end = own.end() if (own := AFTER_PORT.match(text, start)) else -1
+            if start >= run:
+                run = AFTER_PORT.search(text, start).start()
+            end = run if run < len(text) and text[run] == "@" else -1
         else:
             end = host.start() if (host := HOST.search(text, start, stop)) else text.rfind("@", start, stop)
         if end > start:
@@ -210,9 +242,11 @@ def value_bits(value: str) -> float:
 def find_spans(text: str, min_guess_bits: float, min_length: int = 6) -> tuple[list, list]:
     """(base spans, base spans and those of costly values), by start, then kind."""
     base = base_spans(text)
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))  # the furthest end so far
     added = []
     for start, end in chain(context_values(text) if _hinted(text) else (), url_values(text)):
-        inside = any(s <= start and end <= e for s, _, e in base)
+        before = bisect_right(starts, start)
+        inside = before and end <= reach[before - 1]
         if end - start >= min_length and not inside and value_bits(text[start:end]) >= min_guess_bits:
             added.append((start, 3, end))
     return base, sorted({*base, *added})
@@ -272,4 +306,4 @@ def without_secrets(docs: DataFrame, mask: str = "[secret]", min_guess_bits: flo
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
-    return out.select(docs.columns)
+    return out.select([f"`{c}`" for c in docs.columns])
