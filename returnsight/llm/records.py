@@ -3,8 +3,10 @@
 Record (all little-endian): u64 payload length, u32 masked checksum of these 8 bytes, payload, u32
 masked checksum of the payload. Payload: u8 flags (1: the id is null, 2: ids take 4 bytes, else 2),
 i64 document id, ids. Index: per record i64 byte offset of the frame, i64 ids before it in the
-shard, i64 number of ids, so any record can be fetched in one seek. The checksum is CRC-32, rotated
-right by 15 bits plus a constant ("masked"), so that data holding checksums does not check itself.
+shard, i64 number of ids, so any record can be fetched in one seek; after the last entry a u32 masked
+checksum of the whole index. The checksum is CRC-32, rotated right by 15 bits plus a constant
+("masked"), so that data holding checksums does not check itself. A reader that goes through a shard
+holds it against the manifest as well: the numbers of records and ids, and no bytes after the last.
 
 Shards cover rising ranges of doc_id. A task writes its shard under a name of its own and reports
 it as a row; only files named by the committed manifest count, so a task that is run again, or twice
@@ -33,7 +35,10 @@ MANIFEST = "shard int, path string, first_start long, n_records long, n_ids long
 
 
 def masked(data: bytes) -> int:
-    crc = zlib.crc32(data)
+    return masked_crc(zlib.crc32(data))
+
+
+def masked_crc(crc: int) -> int:
     return (((crc >> 15) | (crc << 17)) + MASK_DELTA) & 0xFFFFFFFF
 
 
@@ -78,10 +83,12 @@ def _uri(path: str) -> str:
 
 
 def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1) -> DataFrame:
-    """Write ids of every text (null: empty) in ascending doc_id order (a null id first, repeated
-    ids in any order) as shards in ``folder``; returns the manifest, one row per shard.
+    """Write ids of every text (null: empty) in ascending doc_id order (a null id first, rows of equal
+    ids in the order of a hash of their texts) as shards in ``folder``; returns the manifest, one row
+    per shard.
 
-    The texts cross one range shuffle on doc_id; each task streams its range to one shard."""
+    The texts cross one range shuffle on doc_id and that hash, so that rows without an id or of one id
+    are spread like any others; each task streams its range to one shard."""
     spark = ready(docs).sparkSession
     folder = _uri(folder)
 
@@ -93,7 +100,7 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1
         files.create_dir(root, recursive=True)
         name = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         path = _filesystem(name)[1]
-        at = before = records = 0
+        at = before = records = crc = 0
         with files.open_output_stream(f"{path}.rec") as out, files.open_output_stream(f"{path}.idx") as index:
             for batch in gathered(batches, text=1):
                 doc_ids = batch.column(0).to_pylist()
@@ -106,35 +113,53 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1
                         at += len(records_of[-1])
                     out.write(b"".join(records_of))
                     index.write(entries.tobytes())
+                    crc = zlib.crc32(entries.tobytes(), crc)
                     before, records = before + int(ends[-1]), records + len(entries)
+            index.write(struct.pack("<I", masked_crc(crc)))
         row = [TaskContext.get().partitionId()], [name], [0], [records], [before]
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["shard", "path", "first_start", "n_records", "n_ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    manifest = staged(rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(write, MANIFEST), "manifest")
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    manifest = staged(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(write, MANIFEST), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     return manifest.withColumn("first_start", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
 
 
-def read_shard(path: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
-    """(document id, ids before it in the shard, ids) of each record, checksums verified."""
+def read_index(data: bytes, path: str) -> np.ndarray:
+    """Entries of an index, their checksum verified."""
+    entries = data[:-4]
+    if len(data) < 4 or len(entries) % INDEX.itemsize or struct.unpack("<I", data[-4:])[0] != masked(entries):
+        raise ValueError(f"{path}: damaged index")
+    return np.frombuffer(entries, INDEX)
+
+
+def read_shard(path: str, n_records: int | None = None, n_ids: int | None = None) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    """(document id, ids before it in the shard, ids) of each record. ValueError if a checksum is wrong,
+    if records and index differ, or if there are not ``n_records`` and ``n_ids``, where given."""
     files, local = _filesystem(path)
     with files.open_input_file(f"{local}.idx") as f:
-        index = np.frombuffer(f.read(), INDEX)
+        index = read_index(f.read(), path)
+    if n_records is not None and len(index) != n_records:
+        raise ValueError(f"{path}: the index has {len(index)} records, the manifest {n_records}")
     with files.open_input_stream(f"{local}.rec") as f:
-        at = 0
+        at = before = 0
         for offset, start, n in index.tolist():
-            if offset != at:
-                raise ValueError(f"{path}: the index points to {offset}, the record is at {at}")
+            if offset != at or start != before:
+                raise ValueError(f"{path}: the index points to {offset} after {start} ids, the record is at {at} after {before}")
             head = f.read(12)
             size = struct.unpack_from("<Q", head)[0] if len(head) == 12 else 0
             payload, size = unframe(head + f.read(size + 4))
             doc_id, ids = unpack_ids(payload)
             if len(ids) != n:
                 raise ValueError(f"{path}: {len(ids)} ids at {offset}, the index has {n}")
-            at += size
+            at, before = at + size, before + n
             yield doc_id, start, ids
+        if f.read(1):
+            raise ValueError(f"{path}: bytes after the last record, at {at}")
+    if n_ids is not None and before != n_ids:
+        raise ValueError(f"{path}: {before} ids, the manifest has {n_ids}")
 
 
 def fetch(path: str, k: int) -> tuple[int | None, np.ndarray]:
@@ -155,7 +180,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 out: list[tuple] = []
-                for doc_id, start, ids in read_shard(row["path"]):
+                for doc_id, start, ids in read_shard(row["path"], row["n_records"], row["n_ids"]):
                     out.append((doc_id, row["first_start"] + start, len(ids), zlib.crc32(ids.tobytes())))
                     if len(out) == 10_000:
                         yield _rows(out)
