@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from returnsight.llm.common import ready, staged
 from returnsight.llm.components import components, forest
-from returnsight.llm.vectors import doubles, matrix, usable, width
+from returnsight.llm.vectors import doubles, matrix, tamed, usable, width
 
 #: About one vector in so many becomes a pivot of its label's cells, if the label is split.
 CELL = 2048
@@ -308,10 +308,11 @@ def near_vectors(rows: DataFrame, cosine: float = 0.93, split: int = 2 * CELL) -
 
     Rows whose label or vector is null, or whose vector is empty, zero or holds a null or non-finite
     component, link with nothing and are their own component. Shorter vectors count as padded with
-    zeros. Repeated ids are rows of their own. An empty table gives no rows; other columns are
-    ignored."""
+    zeros. Repeated ids are rows of their own. Labels that are not integers are told apart by a 64-bit
+    hash. An empty table gives no rows; other columns are ignored."""
     spark = ready(rows).sparkSession
-    own = rows.select(F.col("vec_id").cast("long").alias("vec_id"), doubles(F.col("embedding")).alias("vector"), F.col("label").cast("long").alias("label"))
+    label = F.col("label") if dict(rows.dtypes)["label"] in ("tinyint", "smallint", "int", "bigint") else F.when(F.col("label").isNotNull(), F.xxhash64("label"))
+    own = rows.select(F.col("vec_id").cast("long").alias("vec_id"), tamed(doubles(F.col("embedding"))).alias("vector"), label.cast("long").alias("label"))
     taking = F.col("label").isNotNull() & usable(F.col("vector"))
     classes = own.where(taking).groupBy("label", "vector").agg(F.count("*").alias("weight"))
     classes = staged(classes.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")

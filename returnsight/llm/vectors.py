@@ -18,6 +18,13 @@ def doubles(column: Column) -> Column:
     return column.cast("array<double>")
 
 
+def tamed(vector: Column) -> Column:
+    """``vector``, or, where its squares would leave the range of doubles, the vector divided by its
+    largest component, which has the same direction."""
+    largest = F.array_max(F.transform(vector, lambda c: F.abs(c)))
+    return F.when((largest > 0) & ((largest < 1e-100) | (largest > 1e100)), F.transform(vector, lambda c: c / largest)).otherwise(vector)
+
+
 def width(rows: DataFrame, vector: str) -> int:
     """Length of the longest vector (0 without rows); shorter ones count as padded with zeros."""
     return rows.agg(F.max(F.size(vector))).first()[0] or 0
