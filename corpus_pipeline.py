@@ -35,7 +35,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every SimHash group: of the rows with its smallest doc_id the one with the smallest
-    fingerprint, then the smallest row. Among a group's rows without an id one stays too."""
+    fingerprint, then the smallest row. Rows without an id come last, so one stays only in a group
+    where no row has an id."""
     groups = staged(rooted_fingerprints(docs, words=4, max_bits=4), "groups")
     known = groups.where("doc_id IS NOT NULL")
     repeated = staged(known.groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1").select("again_id"), "repeated")
@@ -49,14 +50,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     same = F.col("row.doc_id") == F.col("again_id")
     unclear = rows.join(repeated, same, "left_semi").unionByName(rows.where("row.doc_id IS NULL"))
     keyed = unclear.select(F.col("row.doc_id").cast("long").alias("key_id"), fingerprint_of(F.col("row.text")).alias("key_fp"), "row")
-    single = keyed.groupBy("key_id", "key_fp").agg(F.min("row").alias("row"))  # tasks take their minima first
-    first = groups.where("doc_id IS NULL OR doc_id = component_id").groupBy("root", "doc_id").agg(F.min("fp").alias("first_fp"))
+    smallest = F.min("row") if _orderable(docs) else F.min_by("row", F.to_json("row"))
+    single = keyed.groupBy("key_id", "key_fp").agg(smallest.alias("row"))  # tasks take their minima first
+    first = groups.where("component_id IS NULL OR doc_id = component_id").groupBy("root", "doc_id").agg(F.min("fp").alias("first_fp"))
     kept = F.col("key_id").eqNullSafe(F.col("doc_id")) & (F.col("key_fp") == F.col("first_fp"))
     single = single.join(first, kept, "left_semi").select("row")
     plain = left.join(repeated, same, "left_anti").where("row.doc_id IS NOT NULL")
     return plain.unionByName(single).select("row.*")
 
 
+def _orderable(docs: DataFrame) -> bool:
+    """Whether rows can be compared: maps and variants cannot."""
+    kinds = docs.schema.simpleString()
+    return "map<" not in kinds and "variant" not in kinds
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, secrets in their texts masked."""
     return without_secrets(docs)
