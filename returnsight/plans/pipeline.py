@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from returnsight.config import Params, predictors
 from returnsight.operators import prepare as P
 from returnsight.operators.features import sku_features_eager
+from returnsight.plans.daily import features_from_daily
 from returnsight.session import files_version, listed_version, materialise, session_key
 from returnsight.sources import Source, as_source
 
@@ -31,7 +32,9 @@ _CURRENT: ContextVar[dict[Source, str] | None] = ContextVar("versions", default=
 
 def _version(spark: SparkSession, source: Source) -> str:
     paths = source.paths()
-    return files_version(*source.load(spark)) if paths is None else listed_version(spark, paths)
+    if paths is None:
+        return files_version(source.lines(spark), source.dimension(spark))
+    return listed_version(spark, paths)
 
 
 def memo(spark: SparkSession, source: Source, key: tuple, build: Callable[[], object]):
@@ -66,6 +69,8 @@ def feature_table(spark: SparkSession, sf_dir: str | Source, params: Params, *,
     source = as_source(sf_dir)
 
     def build() -> DataFrame:
+        if source.daily is not None:
+            return features_from_daily(spark, source.daily, source.dimension(spark), params)
         return sku_features_eager(*source.load(spark), params)
 
     if not persist:

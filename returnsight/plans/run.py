@@ -51,6 +51,7 @@ def analysis(
     out["confusion"] = lambda: M.confusion(study.predictions(model))
     out["class_report"] = lambda: M.class_report(study.predictions(model))
     out["roc"] = lambda: M.roc_points(study.predictions(model), score="probability")
+    out["roc_corners"] = lambda: M.roc_points(study.predictions(model), score="probability", drop_intermediate=True)
     out["importance"] = lambda: study.importance(model)
     if model == "GBT":
         out["eval_history"] = lambda: study.eval_history(model)
@@ -58,6 +59,8 @@ def analysis(
         out["cv_summary"] = lambda: study.cv(model)
     out["shap_values"] = lambda: study.shap(model)[0].withColumn("base_value", F.lit(study.shap(model)[1]))
     out["shap_global"] = lambda: EX.global_importance(study.shap(model)[0])
+    if model != "LR":
+        out["shap_background"] = lambda: study.background_shap(model)[0].withColumn("base_value", F.lit(study.background_shap(model)[1]))
     out["shap_one_row"] = lambda: study.shap_rows(model)
     out["product_summary"] = summary
     out["top_family"] = lambda: R.top_k(R.matching(summary(), params.family_pattern), params.top_k)
@@ -78,7 +81,7 @@ def run(
     """Write every output table (or those in ``only``) under ``out_dir``; returns the names.
 
     Shuffle partitions are sized once from the bytes the line table scan reads."""
-    size_shuffles(spark, as_source(source).load(spark)[0])
+    size_shuffles(spark, as_source(source).lines(spark))
     tables = analysis(spark, source, params, model, cross_validate=cross_validate)
     written = []
     for name, build in tables.items():

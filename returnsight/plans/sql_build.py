@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from returnsight.config import Params
 from returnsight.operators.features import detail_flags
+from returnsight.plans.publish import publish
 
 TMP_VIEW = "parameters_for_analysis_tmp"
 
@@ -106,6 +107,14 @@ def _check_format(fmt: str) -> str:
     return fmt
 
 
+def _feature_args(params: Params, detail_table: str, sku_table: str) -> dict:
+    return {
+        "detail_table": detail_table, "sku_table": sku_table,
+        "date_lo": _date(params.date_lo), "date_hi": _date(params.date_hi),
+        "min_sale_lines": params.min_sale_lines,
+    }
+
+
 def reference_tables(schema: str) -> dict[str, str]:
     """The reference's table names in one schema (inputs, feature table, report table)."""
     return {
@@ -136,14 +145,11 @@ def build_feature_table(
     """Run the script: intermediate view, drop, CTAS, read-back. Rerunnable (the target is
     dropped first). Returns the read-back of the written table."""
     line_table(spark, params, detail_table, sku_table)
+    # as the reference replaces it; publish_tables leaves readers no gap
     spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:t)", args={"t": feature_table})
     spark.sql(
         f"CREATE TABLE IDENTIFIER(:target) USING {_check_format(fmt)} AS {FEATURES_SQL}",
-        args={
-            "target": feature_table, "detail_table": detail_table, "sku_table": sku_table,
-            "date_lo": _date(params.date_lo), "date_hi": _date(params.date_hi),
-            "min_sale_lines": params.min_sale_lines,
-        },
+        args={"target": feature_table} | _feature_args(params, detail_table, sku_table),
     )
     return spark.sql("SELECT * FROM IDENTIFIER(:t)", args={"t": feature_table})
 
@@ -161,6 +167,17 @@ def build_report_table(
     return spark.sql("SELECT * FROM IDENTIFIER(:t)", args={"t": report_table})
 
 
+def publish_tables(
+    spark: SparkSession, params: Params, root: str, *, detail_table: str, sku_table: str, feature_table: str, report_table: str, keep: int = 2
+) -> None:
+    """Feature and report table by the same statements, as views that are switched to a new version
+    under ``root`` once it is complete: readers always find a table, and a failed build changes nothing.
+    The names must not be taken by tables."""
+    features = spark.sql(FEATURES_SQL, args=_feature_args(params, detail_table, sku_table))
+    publish(features, feature_table, f"{root}/features", keep=keep)
+    publish(spark.sql(REPORT_SQL, args={"feature_table": feature_table}), report_table, f"{root}/report", keep=keep)
+
+
 def top_products(spark: SparkSession, report_table: str, pattern: str, k: int) -> DataFrame:
     """Top ``k`` rows of the report table whose product text matches ``pattern``
     (case-insensitive, Unicode case rules)."""

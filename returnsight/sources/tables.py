@@ -106,7 +106,8 @@ class Source:
     ``fixture_detail`` / ``fixture_sku``), or production line and SKU tables with the reference's
     column names, given as paths (any Spark format), catalog table names (``fmt='table'``) or tables
     of the database at ``url`` (``fmt='jdbc'``; ``partition`` = (column, lowest, highest, number of
-    range queries) reads the lines in parallel)."""
+    range queries) reads the lines in parallel). ``daily`` is a folder of daily sums
+    (``plans.daily``) that stands in for the lines."""
 
     sf_dir: str | None = None
     detail: str | None = None
@@ -114,6 +115,16 @@ class Source:
     fmt: str = "parquet"
     url: str | None = None
     partition: tuple[str, int, int, int] | None = None
+    daily: str | None = None
+
+    def lines(self, spark: SparkSession) -> DataFrame:
+        """What a feature build reads besides the dimension: the lines, or their daily sums."""
+        return read_table(spark, self.daily) if self.daily is not None else self.load(spark)[0]
+
+    def dimension(self, spark: SparkSession) -> DataFrame:
+        if self.daily is None or self.sf_dir is not None:
+            return fixture_sku(spark, self.sf_dir) if self.sf_dir is not None else self.load(spark)[1]
+        return read_table(spark, self.sku, self.fmt)
 
     def load(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         if self.sf_dir is not None:
@@ -130,9 +141,10 @@ class Source:
 
     def paths(self) -> list[str] | None:
         """Files or folders that the inputs are read from; None for catalog and database tables."""
+        own = [] if self.daily is None else [self.daily]
         if self.sf_dir is not None:
-            return [f"{self.sf_dir.rstrip('/')}/{name}.parquet" for name in ("lineitem", "orders", "part")]
-        return None if self.fmt in ("jdbc", "table") else [p for p in (self.detail, self.sku) if p is not None]
+            return [*own, *(f"{self.sf_dir.rstrip('/')}/{name}.parquet" for name in ("lineitem", "orders", "part"))]
+        return None if self.fmt in ("jdbc", "table") else [*own, *(p for p in (self.detail, self.sku) if p is not None)]
 
 
 def as_source(source: "str | Source") -> Source:

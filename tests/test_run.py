@@ -51,3 +51,26 @@ def test_write_table_overwrites_on_rerun(spark):
     write_table(df, target)
     write_table(df, target)
     assert spark.read.parquet(target).count() == 5
+
+
+def test_analysis_from_daily_sums(spark, capsys):
+    from returnsight.__main__ import main
+
+    base = tempfile.mkdtemp(prefix="returnsight-daily-")
+    window = FIXTURE.with_(date_lo="1998-01-01", date_hi="1998-04-01", min_sale_lines=0)
+    write_table(fixture_detail(spark, SF001), os.path.join(base, "lines"))
+    write_table(fixture_sku(spark, SF001), os.path.join(base, "sku"))
+    for lo, hi in (("1998-01-01", "1998-03-01"), ("1998-03-01", "1998-04-01")):
+        main(["--detail", os.path.join(base, "lines"), "--append-days", os.path.join(base, "daily"), "--window", lo, hi])
+    prod = Source(sku=os.path.join(base, "sku"), daily=os.path.join(base, "daily"))
+    got = PL.feature_table(spark, prod, window)
+    want = PL.feature_table(spark, SF001, window)
+    key = ["sku_key", "product_desc"]
+    rows = [f.select(*key, F.round("return_rate", 9), F.round("avg_price_product", 9), "quantity").orderBy(*key).collect() for f in (got, want)]
+    assert rows[0] == rows[1] and len(rows[0]) > 50
+    out = os.path.join(base, "out")
+    assert run(spark, prod, window, out, "LR", cross_validate=False, only=["features", "null_counts"]) == ["features", "null_counts"]
+    # days appended later count as changed input
+    main(["--detail", os.path.join(base, "lines"), "--append-days", os.path.join(base, "daily"), "--window", "1998-04-01", "1998-06-01"])
+    longer = window.with_(date_hi="1998-06-01")
+    assert PL.feature_table(spark, prod, longer).agg(F.sum("quantity")).first() == PL.feature_table(spark, SF001, longer).agg(F.sum("quantity")).first()

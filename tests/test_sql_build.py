@@ -145,3 +145,14 @@ def test_command_line_runs_the_script_against_a_schema(spark, capsys):
     want = sku_features_eager(fixture_detail(spark, SF001), fixture_sku(spark, SF001), FIXTURE)
     assert norm(feats) == norm(want)
     assert spark.table(tables["report_table"]).count() == R.product_summary(want).count()
+
+
+def test_published_tables_are_views_that_are_switched(spark):
+    t = S.fixture_tables(spark, SF001)
+    root = os.path.join(ensure_checkpoint_dir(spark), "published-" + t["feature_table"].split(".")[0])
+    S.publish_tables(spark, FIXTURE.with_(min_sale_lines=10_000), root, **t)
+    reader = spark.table(t["report_table"])
+    S.publish_tables(spark, FIXTURE, root, **t)
+    want = sku_features_eager(fixture_detail(spark, SF001), fixture_sku(spark, SF001), FIXTURE)
+    assert reader.count() == 0 and norm(spark.table(t["feature_table"])) == norm(want)
+    assert norm(spark.table(t["report_table"])) == norm(R.product_summary(want))
