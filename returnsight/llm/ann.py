@@ -9,13 +9,15 @@ still beat the query's k-th best, and only the rest reads the next block. What s
 with the original vectors in double precision.
 
 Equal vectors are one candidate and one query. Only the smallest k + 1 ids of a candidate can be
-among k neighbours, ties going to the smaller id, so that is all it needs to keep. Lists longer than
-``SEGMENT`` are dealt out in segments; queries pass a segment in blocks, so no task holds more than
-a segment and a block whatever the number of either."""
+among k neighbours, ties going to the smaller id, so that is all it needs to keep. Candidates are
+written once, list by list, lists longer than ``SEGMENT`` dealt out in segments. Queries are broadcast
+in chunks of at most ``CHUNK_BYTES`` and pass a segment in blocks, so no task holds more than a segment,
+a chunk and its best answers."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -23,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from returnsight.llm.common import ready, staged
+from returnsight.llm.common import chunked, ready, staged
 from returnsight.llm.vectors import doubles, matrix, usable
 
 #: Rows that centroids are fitted on, and the share of lists that a query probes.
 FIT_ROWS, PROBED = 20_000, 0.75
 #: Candidates of a list that a task scans together; queries that it passes over them at a time.
 SEGMENT, BLOCK = 4096, 256
+#: Bytes of query vectors that are broadcast at once.
+CHUNK_BYTES = 32 << 20
 #: Columns of a block; the hypothesis test's width in standard errors.
 COLUMNS, EPSILON = 16, 2.1
 #: With a smaller share of candidates left, the next columns are read for these alone.
@@ -51,9 +55,14 @@ class Index(NamedTuple):
     def rotated(self, q: np.ndarray) -> np.ndarray:
         return np.column_stack([q, np.zeros(len(q))]) @ self.rotation
 
-    def nearest_lists(self, x: np.ndarray, n: int) -> np.ndarray:
-        d = (self.centroids**2).sum(axis=1) - 2 * x @ self.centroids.T
-        return np.argsort(d, axis=1, kind="stable")[:, :n]
+    def distances(self, x: np.ndarray, lists: slice = slice(None)) -> np.ndarray:
+        """Squared distances to the lists' centroids, less the squared norm of x."""
+        return (self.centroids[lists] ** 2).sum(axis=1) - 2 * x @ self.centroids[lists].T
+
+    def reach(self, x: np.ndarray, n: int) -> np.ndarray:
+        """Distance of each query to the farthest of the ``n`` lists that it probes."""
+        parts = [np.partition(self.distances(x[lo : lo + 1024]), n - 1, axis=1)[:, n - 1] for lo in range(0, len(x), 1024)]
+        return np.concatenate([*parts, np.zeros(0)])
 
 
 def fit(sample: np.ndarray, longest: float, lists: int, seed: int = 7, steps: int = 8) -> Index:
@@ -123,42 +132,56 @@ def _allowance(seen: int, dim: int, epsilon: float) -> float:
 FOUND = "query long, candidate long, score double"
 
 
+class Queries(NamedTuple):
+    index: Index
+    reps: np.ndarray
+    x: np.ndarray
+    rotated: np.ndarray
+    reach: np.ndarray
+
+    def probing(self, number: int) -> np.ndarray:
+        d = self.index.distances(self.rotated, slice(number, number + 1))[:, 0]
+        return np.flatnonzero(d <= self.reach + 1e-9 * np.abs(self.reach) + 1e-12)
+
+
+def _lists(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(list, reps, vectors) of rows (list, rep, vector) in the order of lists, ``SEGMENT`` at most."""
+    number, reps, rows, held = None, [], [], 0
+    for batch in batches:
+        lists, ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2), dim)
+        edges = np.flatnonzero(lists[1:] != lists[:-1]) + 1
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(lists)], strict=True):
+            if held and (lists[lo] != number or held + hi - lo > SEGMENT):
+                yield number, np.concatenate(reps), np.concatenate(rows)
+                reps, rows, held = [], [], 0
+            if hi > lo:
+                number, held = int(lists[lo]), held + hi - lo
+                reps.append(ids[lo:hi])
+                rows.append(x[lo:hi])
+    if held:
+        yield number, np.concatenate(reps), np.concatenate(rows)
+
+
 def _scan(dim: int, k: int, shared):
-    """Tasks over rows (key, is_query, rep, vector) sorted by key, candidates first."""
+    """Tasks over rows (list, rep, vector)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        key, held, ids, known, rotated, found, rows = None, [], None, None, None, [], 0
-        for batch in batches:
-            keys, is_query, reps = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
-            x = matrix(batch.column(3), dim)
-            change = np.flatnonzero((keys[1:] != keys[:-1]) | (is_query[1:] != is_query[:-1])) + 1
-            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), len(keys)], strict=True):
-                if lo == hi:
-                    continue
-                if not is_query[lo]:
-                    if key != keys[lo]:
-                        key, held = keys[lo], []
-                    held.append((reps[lo:hi], x[lo:hi]))
-                    rotated = None
-                    continue
-                if key != keys[lo]:
-                    continue  # a list without candidates
-                if rotated is None:
-                    ids, known = (np.concatenate(c) for c in zip(*held, strict=True))
-                    rotated = index.lengthened(known)
-                for at in range(lo, hi, BLOCK):
-                    some = slice(at, min(at + BLOCK, hi))
-                    i, j = adaptive_scan(index.rotated(x[some]), rotated, k)
-                    score = np.einsum("ij,ij->i", x[some][i], known[j])
-                    found.append((reps[some][i], ids[j], score))
-                    rows += len(i)
-                if rows > GATHERED:
-                    found = [_best(found, k)]
-                    rows = len(found[0][0])
-                    if rows > GATHERED // 2:
-                        yield _found(found[0])
-                        found, rows = [], 0
+        queries: Queries = shared.value
+        found, rows = [], 0
+        for number, ids, known in _lists(batches, dim):
+            rotated, asking = queries.index.lengthened(known), queries.probing(number)
+            for at in range(0, len(asking), BLOCK):
+                some = asking[at : at + BLOCK]
+                i, j = adaptive_scan(queries.rotated[some], rotated, k)
+                score = np.einsum("ij,ij->i", queries.x[some[i]], known[j])
+                found.append((queries.reps[some[i]], ids[j], score))
+                rows += len(i)
+            if rows > GATHERED:
+                found = [_best(found, k)]
+                rows = len(found[0][0])
+                if rows > GATHERED // 2:
+                    yield _found(found[0])
+                    found, rows = [], 0
         if found:
             yield _found(_best(found, k))
 
@@ -179,6 +202,11 @@ def _best(found: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]
     return query[kept], candidate[kept], score[kept]
 
 
+def _best_rows(found: DataFrame, k: int) -> DataFrame:
+    place = F.rank().over(Window.partitionBy("query").orderBy(F.col("score").desc()))
+    return found.withColumn("place", place).where(F.col("place") <= k).drop("place")
+
+
 def nearest(rows: DataFrame, every: int = 20, k: int = 20, probed: float = PROBED) -> DataFrame:
     """The ``k`` rows of ``rows`` (vec_id, embedding) with the largest inner product found for each
     row whose vec_id ``every`` divides: query_id, rank, vec_id, score; ties go to the smaller id.
@@ -206,33 +234,30 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, probed: float = PROBE
     shared = spark.sparkContext.broadcast(index)
     probes = max(1, int(np.ceil(probed * len(index.centroids))))
 
-    def assign(as_query: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = matrix(batch.column(1), dim)
-                near = shared.value.nearest_lists(shared.value.rotated(x) if as_query else shared.value.lengthened(x), probes if as_query else 1)
-                lists = pa.ListArray.from_arrays(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32), near.astype(np.int32).ravel())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["rep", "vector", "lists"])
-
-        return run
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = np.argmin(shared.value.distances(shared.value.lengthened(matrix(batch.column(1), dim))), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), batch.column(0), batch.column(1)], ["list", "rep", "vector"])
 
-    held = "rep long, vector array<double>, lists array<int>"
-    candidates = reps.select("rep", "vector").mapInArrow(assign(False), held).select("rep", "vector", F.col("lists")[0].alias("list"))
-    candidates = staged(candidates, "candidates")
-    sizes = candidates.groupBy(F.col("list").alias("of_list")).agg(F.ceil(F.count("*") / SEGMENT).alias("segments"))
+    listed = reps.select("rep", "vector").mapInArrow(assign, "list int, rep long, vector array<double>")
+    sizes = listed.groupBy(F.col("list").alias("of_list")).agg(F.ceil(F.count("*") / SEGMENT).alias("segments"))
     sizes = F.broadcast(staged(sizes, "list-sizes"))  # 4096 rows at most
+    dealt = listed.join(sizes, F.col("list") == F.col("of_list")).withColumn("segment", F.pmod(F.xxhash64("rep"), F.col("segments")))
+    candidates = staged(dealt.repartition("list", "segment").sortWithinPartitions("list").select("list", "rep", "vector"), "candidates")
     different = asked.select("query").distinct()
-    queries = reps.join(different, F.col("rep") == F.col("query"), "left_semi").select("rep", "vector").mapInArrow(assign(True), held)
-    queries = queries.select("rep", "vector", F.explode("lists").alias("list"))
-    key = F.xxhash64("list", "segment").alias("key")
-    left = candidates.join(sizes, F.col("list") == F.col("of_list")).withColumn("segment", F.pmod(F.xxhash64("rep"), F.col("segments")))
-    right = queries.join(sizes, F.col("list") == F.col("of_list")).withColumn("segment", F.explode(F.sequence(F.lit(0).cast("long"), F.col("segments") - 1)))
-    work = left.select(key, F.lit(False).alias("is_query"), "rep", "vector").unionByName(right.select(key, F.lit(True).alias("is_query"), "rep", "vector"))
-    found = work.repartition("key").sortWithinPartitions("key", "is_query").mapInArrow(_scan(dim, k + 1, shared), FOUND)
+    queries = staged(reps.join(different, F.col("rep") == F.col("query"), "left_semi").select("rep", "vector"), "query-vectors")
+    chunk, chunks = chunked(queries, ["rep"], max(1, CHUNK_BYTES // (24 * (dim + 1))))
+    found = []
+    for number in range(chunks):
+        part = queries.where(chunk == number).toArrow().combine_chunks()
+        x = matrix(part.column("vector").combine_chunks(), dim)
+        rotated = index.rotated(x)
+        asking = spark.sparkContext.broadcast(Queries(index, part.column("rep").to_numpy(), x, rotated, index.reach(rotated, probes)))
+        found.append(staged(_best_rows(candidates.mapInArrow(_scan(dim, k + 1, asking), FOUND), k + 1), "best-vectors"))
+        asking.unpersist()
 
     # the best k + 1 different vectors hold the best k rows; equal scores of different vectors all stay
-    place = F.rank().over(Window.partitionBy("query").orderBy(F.col("score").desc()))
-    best = staged(found.withColumn("place", place).where(F.col("place") <= k + 1).drop("place"), "best-vectors")
+    best = reduce(DataFrame.unionByName, found)
     hits = asked.join(best, "query").join(named, "candidate").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return hits.select("query_id", "vec_id", "score").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

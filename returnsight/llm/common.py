@@ -57,6 +57,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def chunked(rows: DataFrame, keys: list[str], limit: int) -> tuple[Column, int]:
+    """A column that deals the written table ``rows``, whose ``keys`` differ, out to chunks of at most
+    ``limit`` rows, and the number of chunks: their sizes are counted, and the number doubles until all
+    fit."""
+    chunks = max(1, -(-rows.count() // limit))
+    while True:
+        chunk = F.pmod(F.xxhash64(*keys), F.lit(chunks))
+        if chunks == 1 or rows.groupBy(chunk.alias("chunk")).count().agg(F.max("count")).first()[0] <= limit:
+            return chunk, chunks
+        chunks *= 2
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels are never learned from: crc32 of the id as text leaves 1 modulo 3."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

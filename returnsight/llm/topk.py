@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from returnsight.llm.common import ready, staged
+from returnsight.llm.common import chunked, ready, staged
 from returnsight.llm.vectors import doubles
 
 #: Candidates that a task reads together: of the first segment, which gives a first bound, and later.
@@ -186,9 +186,8 @@ def top_products(rows: DataFrame, every: int = 100, k: int = 10, scale: int = 10
     size = own.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("dim")).first()
     n, dim = size["n"], size["dim"] or 1
     asking = staged(own.where(F.pmod("vec_id", F.lit(every)) == 0).distinct(), "queries")
-    asked = asking.count()
     limit = max(1, chunk_bytes // (8 * dim))
-    chunk, chunks = _chunks(asking, asked, limit)
+    chunk, chunks = chunked(asking, ["vec_id", "x"], limit)
     # a task for every core, or for every 64 segments; few rows make fewer tasks
     cores = spark.sparkContext.defaultParallelism
     candidates = own.repartition(max(1, min(max(cores, math.ceil(n / (64 * SEGMENT))), math.ceil(n / FIRST))))
@@ -206,14 +205,3 @@ def top_products(rows: DataFrame, every: int = 100, k: int = 10, scale: int = 10
 def _best(answers: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return answers.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def _chunks(asking: DataFrame, asked: int, limit: int) -> tuple[Column, int]:
-    """A column that deals queries out to chunks of at most ``limit``, and the number of chunks: sizes
-    are counted, and the number doubles until all fit."""
-    chunks = max(1, math.ceil(asked / limit))
-    while True:
-        chunk = F.pmod(F.xxhash64("vec_id", "x"), F.lit(chunks))
-        if chunks == 1 or asking.groupBy(chunk.alias("chunk")).count().agg(F.max("count")).first()[0] <= limit:
-            return chunk, chunks
-        chunks *= 2
