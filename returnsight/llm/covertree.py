@@ -248,8 +248,8 @@ def _cells(dim: int, cosine: float):
 
 def _visits(dim: int, bound: float, shared):
     """Rows (label, rep, weight, vector) to rows (cell, rep, weight, home, vector, gain, pivot): the
-    home cell, cells to visit, and, with no vector, cells that lie within the threshold as a whole
-    (``gain``: their weight). ``shared``: broadcast of label -> (numbers, reps, units, radii, weights),
+    home cell, cells to visit, and, with no vector, links with cells that lie within the threshold as a
+    whole (``gain``: their weight). ``shared``: broadcast of label -> (numbers, reps, units, radii, weights),
     and None as a further key once radii and weights are known; before, only homes are given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +262,7 @@ def _visits(dim: int, bound: float, shared):
             for one in np.unique(label):
                 rows = np.flatnonzero(label == one)
                 if one not in pivots:  # not split: the label is one cell
-                    found.append((rows, np.full(len(rows), -1), np.ones(len(rows), bool), np.zeros(len(rows)), rows))
+                    found.append((rows, np.full(len(rows), -1), np.ones(len(rows), bool), np.zeros(len(rows))))
                     continue
                 _, _, units, radii, _ = pivots[one]
                 for lo in range(0, len(rows), 1024):
@@ -270,18 +270,19 @@ def _visits(dim: int, bound: float, shared):
                     d = distances(unit[some], units)
                     home = d.argmin(axis=1)
                     at = np.arange(len(some))
-                    found.append((some, home, np.ones(len(some), bool), d[at, home], some))
+                    found.append((some, home, np.ones(len(some), bool), d[at, home]))
                     if None in pivots:
                         near = d - radii[None, :] <= bound + SLACK
                         near[at, home] = False
                         whole = near & (d + radii[None, :] <= bound - SLACK)
-                        for hits, visits in ((near & ~whole, True), (whole, False)):
-                            i, j = np.nonzero(hits)
-                            found.append((some[i], j, np.zeros(len(i), bool), d[i, j], some[i] if visits else np.full(len(i), -1)))
-            for rows, cell, home, d, vector in found:
-                if not len(rows):
-                    continue
-                yield _visit_rows(batch, label, rows, cell, home, d, vector, pivots)
+                        i, j = np.nonzero(near & ~whole)
+                        found.append((some[i], j, np.zeros(len(i), bool), d[i, j]))
+                        i, j = np.nonzero(whole)
+                        if len(i):
+                            yield _whole_rows(batch, one, some, i, j, pivots[one])
+            for rows, cell, home, d in found:
+                if len(rows):
+                    yield _visit_rows(batch, label, rows, cell, home, d)
 
     return run
 
@@ -289,15 +290,27 @@ def _visits(dim: int, bound: float, shared):
 VISIT = "label long, cell int, rep long, weight long, home boolean, distance double, vector array<double>, gain long, pivot long"
 
 
-def _visit_rows(batch, label, rows, cell, home, d, vector, pivots) -> pa.RecordBatch:
-    whole = vector < 0
-    of = pivots.get(label[rows[0]])
-    gain = of[4][cell] if whole.any() else np.zeros(len(rows))
-    pivot = of[1][cell] if of is not None else np.zeros(len(rows))
-    vectors = batch.column(3).take(pa.array(rows))
-    if whole.any():
-        vectors = pa.nulls(len(rows), batch.column(3).type)
-    columns = [pa.array(label[rows], pa.int64()), pa.array(cell, pa.int32()), batch.column(1).take(pa.array(rows)), batch.column(2).take(pa.array(rows)), pa.array(home), pa.array(d, pa.float64()), vectors, pa.array(gain.astype(np.int64)), pa.array(pivot.astype(np.int64))]
+def _visit_rows(batch, label, rows, cell, home, d) -> pa.RecordBatch:
+    """Rows that are at home in a cell or visit it."""
+    at, none = pa.array(rows), np.zeros(len(rows), np.int64)
+    columns = [pa.array(label[rows], pa.int64()), pa.array(cell, pa.int32()), batch.column(1).take(at), batch.column(2).take(at), pa.array(home), pa.array(d, pa.float64()), batch.column(3).take(at), pa.array(none), pa.array(none)]
+    return pa.RecordBatch.from_arrays(columns, ["label", "cell", "rep", "weight", "home", "distance", "vector", "gain", "pivot"])
+
+
+def _whole_rows(batch, label, some, i, j, of) -> pa.RecordBatch:
+    """Links, without vectors, of rows ``some[i]`` that link with all of cell ``j``: each row once, to its
+    first cell's pivot with the gain of all its cells, and these cells' pivots to that one, each pair
+    once a batch. A tight group's rows thus stay in proportion to its vectors."""
+    _, reps, _, _, weights = of
+    first = np.concatenate([[True], i[1:] != i[:-1]])
+    starts = np.flatnonzero(first)
+    lead = j[starts][np.cumsum(first) - 1]
+    pairs = np.unique(np.column_stack([lead, j])[~first], axis=0)
+    rep = np.concatenate([batch.column(1).to_numpy()[some[i[starts]]], reps[pairs[:, 1]]])
+    gain = np.concatenate([np.add.reduceat(weights[j], starts), np.zeros(len(pairs), np.int64)])
+    cell = np.concatenate([j[starts], pairs[:, 0]])
+    n = len(rep)
+    columns = [pa.array(np.full(n, label), pa.int64()), pa.array(cell, pa.int32()), pa.array(rep, pa.int64()), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, bool)), pa.array(np.zeros(n)), pa.nulls(n, batch.column(3).type), pa.array(gain.astype(np.int64)), pa.array(reps[cell], pa.int64())]
     return pa.RecordBatch.from_arrays(columns, ["label", "cell", "rep", "weight", "home", "distance", "vector", "gain", "pivot"])
 
 
