@@ -49,17 +49,32 @@ WORD = re.compile(r"[^\W\d_]+")
 EDGES = ".,;:?\"'()[]{}<>*&%#~^`“”«»¿¡…-_/=+|\\"
 #: Those that stand for no letter.
 PLAIN_EDGES = "".join(c for c in EDGES if c not in STANDS_FOR)
-JUNK = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
 DOUBLED = re.compile(r"([^\W\d_])\1")
 # A quick look for what SPACED may find, wherever a word may begin.
+_KINDS = bytes(ord("a") if chr(b).isalnum() or b >= 128 or chr(b) in "@$!|+" else ord(" ") if chr(b) in " .-*~" else ord("_") if b == ord("_") else ord(",") for b in range(256))
+_CONTINUED = bytes(range(128, 192))
+# The same without regard to what stands before: one character, one or two gaps, three times. A _ may be either.
+_GAPPED = tuple(f"a{x}a{y}a ".encode() for x in (" ", "  ") for y in (" ", "  "))
 MAYBE_SPACED = re.compile(r"(?<![^\W_])(?:[\w@$!|+][ .\-_*~]{1,2}){3}")
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])(?:[ .\-_*~]{1,2}(?:[^\W_]|[@$!|+])){3,}(?![^\W_])")
+#: Characters that the lattice decodes together: of a longer string the reading up to there is settled.
+LATTICE = 2_000
 
 
 # Lengths of the word beginnings that carry weights.
 SHORTEST_HEAD, LONGEST_HEAD = 4, 6
 
 
+def without_junk(chunk: str) -> str:
+    """``chunk`` without a run of three or more of the same sign at its beginning and at its end."""
+    for strip, first in ((str.lstrip, 0), (str.rstrip, -1)):
+        if chunk and not chunk[first].isalnum() and chunk[first] != "_":
+            rest = strip(chunk, chunk[first])
+            if len(chunk) - len(rest) >= 3:
+                chunk = rest
+    return chunk
+
+
 def letter_codes() -> np.ndarray:
     """Symbol of every byte of a lower-case text in UTF-8."""
     codes = np.zeros(256, np.uint8)
@@ -102,6 +117,37 @@ def trigram_costs(counts: np.ndarray) -> list:
     return (-np.log(triple)).tolist()
 
 
+def head_tree(heads: set[str]) -> dict:
+    """Letter by letter, nested; None marks the end of a beginning."""
+    tree: dict = {}
+    for head in heads:
+        node = tree
+        for c in head:
+            node = node.setdefault(c, {})
+        node[None] = {}
+    return tree
+
+
+def may_begin(raw: str, tree: dict) -> bool:
+    """Whether some reading of ``raw``, of whatever cost, has a word that starts with one of the
+    beginnings in ``tree``. Most strings have none after a letter or two, which spares their lattice."""
+    nodes, before, start, plain = [], "", True, raw.isalpha()
+    for c in raw:
+        letters = c if "a" <= c <= "z" else STANDS_FOR.get(c) or (c if c.isalpha() else "")
+        if start:
+            nodes.append(tree)
+        kept = nodes if c == before or not letters else []  # left out: a repeat or a filler
+        nodes = kept + [node[x] for node in nodes for x in letters if x in node]
+        if any(None in node for node in nodes):
+            return True
+        if plain and not nodes:
+            return False
+        before, start = c, not letters or c in STANDS_FOR  # which may end a word
+        if len(nodes) > 64:
+            nodes = list({id(node): node for node in nodes}.values())
+    return False
+
+
 class Restorer:
     def __init__(self, costs: list):
         self.costs = costs
@@ -124,43 +170,51 @@ class Restorer:
 
     def restore(self, raw: str, core: tuple[int, int] | None = None) -> str:
         """The reading of least cost of a lower-case string, words parted by spaces. Signs outside
-        ``core`` (a range of positions, default: all) may well be punctuation."""
+        ``core`` (a range of positions, default: all) may well be punctuation. After every ``LATTICE``
+        characters the cheapest reading so far is settled, which bounds the lattice."""
         start, end = core or (0, len(raw))
-        states: dict[tuple[int, int], float] = {(0, 0): 0.0}
-        trail: list[dict] = []
-        for k in range(len(raw)):
-            options = self.options(raw, k, SIGN_END if start <= k < end else EDGE_END)
-            best: dict[tuple[int, int], float] = {}
-            back: dict[tuple[int, int], tuple] = {}
-            for (a, b), cost in states.items():
-                row = self.costs[a][b]
-                for symbol, letter, price in options:
-                    if symbol < 0 or (symbol == 0 and b == 0):
-                        to, total, out = (a, b), cost + price, ""
-                    else:
-                        to, total, out = (b, symbol), cost + price + row[symbol], letter
-                    if to not in best or total < best[to]:
-                        best[to], back[to] = total, ((a, b), out)
-            states = best
-            trail.append(back)
-        at = min(states, key=lambda s: states[s] + (self.costs[s[0]][s[1]][0] if s[1] else 0.0))
-        out = []
-        for back in reversed(trail):
-            at, letter = back[at]
-            out.append(letter)
-        return "".join(reversed(out)).strip()
-
-    def words(self, chunk: str) -> list[str]:
-        """Words of a lower-case chunk without white space, disguised ones restored."""
+        state, out = (0, 0), []
+        for lo in range(0, len(raw), LATTICE):
+            states: dict[tuple[int, int], float] = {state: 0.0}
+            trail: list[dict] = []
+            hi = min(lo + LATTICE, len(raw))
+            for k in range(lo, hi):
+                options = self.options(raw, k, SIGN_END if start <= k < end else EDGE_END)
+                best: dict[tuple[int, int], float] = {}
+                back: dict[tuple[int, int], tuple] = {}
+                for (a, b), cost in states.items():
+                    row = self.costs[a][b]
+                    for symbol, letter, price in options:
+                        if symbol < 0 or (symbol == 0 and b == 0):
+                            to, total, letter_out = (a, b), cost + price, ""
+                        else:
+                            to, total, letter_out = (b, symbol), cost + price + row[symbol], letter
+                        if to not in best or total < best[to]:
+                            best[to], back[to] = total, ((a, b), letter_out)
+                states = best
+                trail.append(back)
+            last = hi == len(raw)
+            at = state = min(states, key=lambda s: states[s] + (self.costs[s[0]][s[1]][0] if s[1] and last else 0.0))
+            part = []
+            for back in reversed(trail):
+                at, letter = back[at]
+                part.append(letter)
+            out += reversed(part)
+        return "".join(out).strip()
+
+    def words(self, chunk: str, heads: dict | None = None) -> list[str]:
+        """Words of a lower-case chunk without white space, disguised ones restored. With ``heads`` (as
+        ``head_tree`` makes it) what cannot be read as a word with one of these beginnings may be left
+        out."""
         if chunk.isalpha() and not DOUBLED.search(chunk):
             return [chunk]
-        chunk = JUNK.sub("", chunk)
+        chunk = without_junk(chunk)
         core = chunk.strip(EDGES).rstrip("!").strip(EDGES)
         whole = chunk.strip(PLAIN_EDGES)  # with the signs at its edges that may be letters
         out = WORD.findall(core)
-        if core and (not core.isalpha() or DOUBLED.search(core)):
+        if core and (not core.isalpha() or DOUBLED.search(core)) and (heads is None or may_begin(core, heads)):
             out += self.restore(core).split()
-        if whole != core:
+        if whole != core and (heads is None or may_begin(whole, heads)):
             at = len(whole) - len(whole.lstrip(EDGES))
             out += self.restore(whole, (at, at + len(core))).split()
         return out
@@ -169,7 +223,8 @@ class Restorer:
         """What a lower-case text has written letter by letter, from each letter on: the gaps do not
         tell where a word begins."""
         text = " ".join(text.split())  # gaps may be wide, or line ends
-        if not MAYBE_SPACED.search(text):
+        kinds = text.encode("utf-8", "replace").translate(_KINDS, _CONTINUED)
+        if b"_" not in kinds and not any(g in kinds for g in _GAPPED) or not MAYBE_SPACED.search(text):
             return []
         read = (self.restore(m[0]).replace(" ", "") for m in SPACED.finditer(text))
         return [r[k : k + LONGEST_HEAD] for r in read for k in range(len(r) - SHORTEST_HEAD + 1)]
@@ -187,11 +242,20 @@ class Scorer:
         self.restorer, self.weights, self.limit = Restorer(costs), weights, limit
         self.known: dict[str, float] = {}
         self.heads = {f.removeprefix("=")[:SHORTEST_HEAD] for f in weights}
+        self.tree = head_tree(self.heads)
 
     def weight(self, words: list[str]) -> float:
         get = self.weights.get
         return max((get(f, 0.0) for w in words if w[:SHORTEST_HEAD] in self.heads for f in features(w)), default=0.0)
 
+    def chunk_weight(self, chunk: str) -> float:
+        """The largest weight of a chunk's words; plain words that begin like no weighted one have none."""
+        if chunk[-1] in PLAIN_EDGES and chunk[:-1].isalpha():
+            chunk = chunk[:-1]  # one sign after a word changes no reading
+        if chunk.isalpha() and chunk[:SHORTEST_HEAD] not in self.heads and not (DOUBLED.search(chunk) and may_begin(chunk, self.tree)):
+            return 0.0
+        return self.weight(self.restorer.words(chunk, self.tree))
+
     def measures(self, text: str) -> tuple[float, float, float]:
         """Largest weight, log of the weights' sum, log of the number of chunks."""
         text = text.lower()
@@ -202,7 +266,7 @@ class Scorer:
             if w is None:
                 if len(known) >= self.limit:
                     known.clear()
-                w = known[chunk] = self.weight(self.restorer.words(chunk))
+                w = known[chunk] = self.chunk_weight(chunk)
             if w:
                 found.append(w)
         found += [w for s in self.restorer.spaced(text) if (w := self.weight([s]))]
@@ -235,11 +299,15 @@ def _word_counts(rows: DataFrame, costs: list) -> DataFrame:
     """(feature, toxic, clean): texts of the sample that hold it. Tasks count first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, counts = Restorer(costs), (Counter(), Counter())
+        restorer, counts, known = Restorer(costs), (Counter(), Counter()), {}
         for batch in batches:
             for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 text = text.lower()
-                words = {w for c in set(text.split()) for w in restorer.words(c)} | set(restorer.spaced(text))
+                chunks = set(text.split())
+                if len(known) > 200_000:
+                    known.clear()
+                known.update((c, restorer.words(c)) for c in chunks if c not in known)
+                words = {w for c in chunks for w in known[c]} | set(restorer.spaced(text))
                 counts[label > 0].update({f for w in words for f in features(w)})
             if len(counts[0]) + len(counts[1]) > 400_000:
                 yield _counted(counts)
