@@ -31,8 +31,8 @@ from returnsight.sources import as_source, fixture_detail, fixture_sku
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Where the daily sums of the test window are first cut off, and from where they are appended.
-APPENDED_FROM, APPENDED_AGAIN = "1999-06-01", "1999-05-20"
+#: Where the daily sums of the year are first cut off, and from where they are appended.
+APPENDED_FROM, APPENDED_AGAIN = "1998-09-01", "1998-08-20"
 
 
 def year_params(p: Params) -> Params:
@@ -40,6 +40,11 @@ def year_params(p: Params) -> Params:
     return p.with_(date_lo="1998-01-01", date_hi="1999-01-01", min_sale_lines=3)
 
 
+def weeks_params(p: Params) -> Params:
+    """Some weeks of that year, on both sides of where days are appended."""
+    return p.with_(date_lo="1998-06-15", date_hi="1998-10-01", min_sale_lines=0)
+
+
 DESCRIBE_COLUMNS = [
     "sku_key", "return_rate", "sku_color", "sku_size", "sku_cost", "avg_price_product",
     "quantity", "ecom_rate", "receipted_rate", "label",
@@ -157,14 +162,14 @@ def spark_queries(p: Params = FIXTURE) -> dict[str, Query]:
         def build():
             path = shared_folder(spark, "daily")
             detail, _ = _inputs(spark, d)
-            DP.append_days(spark, detail, path, p.with_(date_hi=APPENDED_FROM))
-            DP.append_days(spark, detail, path, p.with_(date_lo=APPENDED_AGAIN))
+            DP.append_days(spark, detail, path, year_params(p).with_(date_hi=APPENDED_FROM))
+            DP.append_days(spark, detail, path, year_params(p).with_(date_lo=APPENDED_AGAIN))
             return path
 
         return PL.memo(spark, as_source(d), ("daily", p), build)
 
     def q_daily_window_features(spark, d):
-        return round_doubles(DP.features_from_daily(spark, _daily(spark, d), fixture_sku(spark, d), p))
+        return round_doubles(DP.features_from_daily(spark, _daily(spark, d), fixture_sku(spark, d), weeks_params(p)))
 
     def q_daily_year_features(spark, d):
         return round_doubles(DP.features_from_daily(spark, _daily(spark, d), fixture_sku(spark, d), year_params(p)))
@@ -389,7 +394,8 @@ FROM features"""
         "sku_features_single_scan": O.with_ctes(p, "", feats_round),
         "sku_features_streaming": O.with_ctes(p, "", feats_round),
         "feature_table_readback": O.with_ctes(p, "", feats_round),
-        **{name: O.with_ctes(p, "", feats_round) for name in ("daily_window_features", "colocated_features", "published_features")},
+        **{name: O.with_ctes(p, "", feats_round) for name in ("colocated_features", "published_features")},
+        "daily_window_features": O.with_ctes(weeks_params(p), "", feats_round),
         "daily_year_features": O.with_ctes(year_params(p), "", feats_round),
         "colocated_active_skus": O.active_skus_sql(p),
         "line_table_sql": O.line_table_sql(p),
