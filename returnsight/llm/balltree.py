@@ -33,7 +33,7 @@ from returnsight.llm.common import gathered, ready, staged
 
 #: (item, term) pairs of a block; a larger item is a block of its own.
 BLOCK_TERMS = 16_384
-#: Documents of a shard, and of a leaf.
+#: Documents of a shard, fewer where a block of one item is larger than that, and of a leaf.
 SHARD, LEAF = 1024, 4
 #: Groups of terms with radii of their own; half of them are single, the most frequent, terms.
 GROUPS = 2048
@@ -234,13 +234,13 @@ def _counted(shared):
     return run
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     held, rows = [], 0
     for batch in batches:
-        for lo in range(0, len(batch), SHARD):
-            held.append(batch.slice(lo, SHARD))
+        for lo in range(0, len(batch), size):
+            held.append(batch.slice(lo, size))
             rows += len(held[-1])
-            if rows >= SHARD:
+            if rows >= size:
                 yield pa.concat_batches(held)
                 held, rows = [], 0
     if rows:
@@ -254,11 +254,11 @@ def _searched(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block = shared.value
         best = [NONE] * len(block.item_ids)
-        for shard in _shards(batches):
+        size = max(2 * LEAF, min(SHARD, SHARD * BLOCK_TERMS // len(block.terms)))  # a tree's nodes are this wide
+        for shard in _shards(batches, size):
             ids = shard.column(0)
             missing, doc_ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
-            size = np.diff(shard.column(2).offsets.to_numpy())
-            starts = np.concatenate([[0], np.cumsum(size)])
+            starts = np.concatenate([[0], np.cumsum(np.diff(shard.column(2).offsets.to_numpy()))])
             terms, tf = (shard.column(c).flatten().to_numpy() for c in (2, 3))
             rows = vectors(block, shard.column(1).to_pylist(), starts, terms, tf)
             search(build(rows, groups_of(block.weights)), missing, doc_ids, block, best)

@@ -72,6 +72,15 @@ def test_lexical_search(spark, block_terms):
     assert got == brute_ranking(docs, items())
 
 
+def test_an_item_of_very_many_terms(spark):
+    docs = documents(np.random.default_rng(1), 60)
+    long_item = " ".join(f"t{j}" for j in range(60_000)) + " w1 w2 w40"
+    frame = spark.createDataFrame([(i, t, "x", 1, 0.5) for i, t in docs], DOCS).repartition(2)
+    asked = spark.createDataFrame([(1, long_item, "y"), (2, "w3 w4", "y")], ITEMS)
+    got = sorted(map(tuple, lexical_search(frame, asked).collect()), key=str)
+    assert got == brute_ranking(docs, [(1, "w1 w2 w40"), (2, "w3 w4")])
+
+
 def test_lexical_search_without_rows(spark):
     none, asked = spark.createDataFrame([], DOCS), spark.createDataFrame([(1, "a", "")], ITEMS)
     some = spark.createDataFrame([(1, "a b", "x", 1, 0.5)], DOCS)
