@@ -220,12 +220,12 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, probed: float = PROBE
     reps = staged(own.groupBy("vector").agg(F.min("vec_id").alias("first")).withColumn("rep", F.monotonically_increasing_id()), "vector-reps")
     total = reps.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("longest")).first()
     n, dim = total["n"], total["dim"] or 1
+    # the only join by vector: from here on a vector is its number
+    numbered = staged(own.join(reps.withColumnRenamed("vector", "of"), F.col("vector") == F.col("of")).select("vec_id", "rep"), "vector-ids").distinct()
     # of each vector the smallest k + 1 ids: no other can be among k neighbours
-    of_vector = Window.partitionBy("vector").orderBy("vec_id")
-    few = own.distinct().withColumn("place", F.row_number().over(of_vector)).where(F.col("place") <= k + 1)
-    named = staged(few.join(reps.withColumnRenamed("vector", "of"), F.col("vector") == F.col("of")).select(F.col("rep").alias("candidate"), "vec_id"), "vector-ids")
-    asking = own.where(F.pmod("vec_id", F.lit(every)) == 0).distinct()
-    asked = staged(asking.join(reps.withColumnRenamed("vector", "of"), F.col("vector") == F.col("of")).select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")), "queries")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))
+    named = staged(numbered.withColumn("place", place).where(F.col("place") <= k + 1).select(F.col("rep").alias("candidate"), "vec_id"), "smallest-ids")
+    asked = staged(numbered.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")), "queries")
 
     sample = reps.orderBy(F.xxhash64("vector"), "first").limit(FIT_ROWS).select("vector").collect()
     x = np.array([np.pad(r["vector"], (0, dim - len(r["vector"]))) for r in sample]).reshape(-1, dim)
