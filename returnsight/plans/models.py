@@ -13,7 +13,6 @@ of the fitted model.
 
 from __future__ import annotations
 
-import math
 import os
 import uuid
 from collections.abc import Sequence
@@ -32,7 +31,7 @@ from returnsight.config import Params
 from returnsight.functions import nan_to_null
 from returnsight.operators.ordering import CategoryOrder, category_order, category_sums, learned_order, training_sums
 from returnsight.operators.split import fold_assignment, holdout_split
-from returnsight.plans.logistic import fit_folds, held_out_accuracy
+from returnsight.plans import boosting, logistic
 from returnsight.session import ensure_checkpoint_dir, materialise
 
 
@@ -96,25 +95,20 @@ def estimator(kind: str, p: Params, n_train: int, max_bins: int = 32):
 #: Rows of a training frame that are fitted in one partition: boosting is a chain of small jobs, whose
 #: tasks cost more than the rows of a frame of this size.
 ONE_PARTITION_ROWS = 100_000
-#: Training rows of a fold to a partition when boosted trees of many folds are fitted side by side: each
-#: of a fit's some 300 levels sends a result per partition to the driver.
-FOLD_PARTITION_ROWS = 500_000
 #: Bins of a numeric column, and of category places, at most.
 BINS, PLACE_BINS = 32, 256
 
 
-def fit_partitions(n: int, cores: int, partition_rows: int | None = None) -> int:
-    """Partitions that boosting ``n`` rows takes at most: bounded by the cores, whatever the rows."""
-    if n <= ONE_PARTITION_ROWS:
-        return 1
-    return cores if partition_rows is None else max(1, min(cores, math.ceil(n / partition_rows)))
+def tree_bins(categories: Sequence[int]) -> int:
+    """Bins of boosted trees whose ordered columns have so many categories each."""
+    return min(PLACE_BINS, max([BINS, *categories]))
 
 
-def fit(kind: str, train: DataFrame, cols: Sequence[str], p: Params, *, categories: Sequence[str] = (), order: CategoryOrder | None = None, partition_rows: int | None = None) -> Fitted:
+def fit(kind: str, train: DataFrame, cols: Sequence[str], p: Params, *, categories: Sequence[str] = (), order: CategoryOrder | None = None) -> Fitted:
     """Fit on a frame holding ``label`` and the predictor columns (doubles). ``order`` is the category
     order of these training rows, if it is known already; else it is learned here and written: every
     task of every round would carry the plan it comes from. Boosted trees beyond ``ONE_PARTITION_ROWS``
-    take a partition per core at most, or per ``partition_rows`` rows if that is fewer."""
+    take a partition per core at most."""
     cols = list(cols)
     ordered = [c for c in categories if c in cols and kind == "GBT"]
     n = train.count() if kind in ("GBT", "LR") else 0
@@ -122,10 +116,10 @@ def fit(kind: str, train: DataFrame, cols: Sequence[str], p: Params, *, categori
     if ordered and order is None:
         order = learned_order(materialise(category_order(category_sums(train, ordered))))
     fitted = Fitted(kind, None, cols, fill, order if ordered else None)
-    bins = min(PLACE_BINS, max([BINS, *order.categories.values()])) if ordered else BINS
+    bins = tree_bins(order.categories.values() if ordered else [])
     data = assemble(fitted.filled(train), cols)
     if kind == "GBT":
-        data = data.coalesce(fit_partitions(n, train.sparkSession.sparkContext.defaultParallelism, partition_rows))
+        data = data.coalesce(1 if n <= ONE_PARTITION_ROWS else train.sparkSession.sparkContext.defaultParallelism)
     return replace(fitted, model=estimator(kind, p, n, bins).fit(data))
 
 
@@ -196,36 +190,38 @@ def cv_scores(
     parallelism: int | None = None,
 ) -> dict[str, list[float]]:
     """k-fold accuracy per named frame: fit on the other folds, score the held-out fold. Folds are
-    balanced (hash order of the key) and written once for all fits. Logistic regressions of all folds and frames are fitted together
-    (``plans.logistic``); tree models are submitted concurrently, so Spark schedules their jobs side by
-    side, with the category orders of all folds learned in one aggregation beforehand."""
+    balanced (hash order of the key) and written once for all fits. Logistic regressions, and boosted
+    trees, of all folds and frames are fitted together (``plans.logistic``, ``plans.boosting``), with the
+    category orders of all folds learned in one aggregation beforehand; forests are submitted
+    concurrently, so Spark schedules their jobs side by side."""
     cores = next(iter(frames.values())).sparkSession.sparkContext.defaultParallelism
     folded = {name: materialise(fold_assignment(d, "sku_key", p.n_folds, p.fold_seed).coalesce(2 * cores)) for name, d in frames.items()}
     names = list(frames)
     together = reduce(DataFrame.unionByName, [d.withColumn("dataset", F.lit(i)).select("dataset", "fold", "label", *cols) for i, d in enumerate(folded.values())])
     if kind == "LR":
-        return held_out_accuracy(together, fit_folds(together, names, cols, p.n_folds))
-    ordered = [c for c in categories if c in cols and kind == "GBT"]
-    orders = None
-    if ordered:
-        sums = materialise(category_sums(together, ordered, by=["dataset", "fold"]))
-        orders = materialise(category_order(training_sums(sums, p.n_folds), by=["dataset", "fold"]))
+        return logistic.held_out_accuracy(together, logistic.fit_folds(together, names, cols, p.n_folds))
+    if kind == "GBT":
+        ordered = [c for c in categories if c in cols]
+        sums = orders = None
+        found: dict[tuple[int, int], list[int]] = {}
+        if ordered:
+            sums = materialise(category_sums(together, ordered, by=["dataset", "fold"]))
+            orders = materialise(category_order(training_sums(sums, p.n_folds), by=["dataset", "fold"]))
+            for r in orders.groupBy("dataset", "fold", "column_name").count().collect():  # a row per data set, fold and column
+                found.setdefault((r["dataset"], r["fold"]), []).append(r["count"])
+        bins = [tree_bins(found.get((i, k), [])) for i in range(len(names)) for k in range(p.n_folds)]
+        return boosting.held_out_accuracy(folded, cols, p, bins, ordered=ordered, sums=sums, orders=orders)
 
     def one(task: tuple[str, int]) -> float:
         name, k = task
         f = folded[name]
-        own = learned_order(orders.filter((F.col("dataset") == names.index(name)) & (F.col("fold") == k))) if orders else None
-        m = fit(kind, f.filter(F.col("fold") != k), cols, p, categories=ordered, order=own, partition_rows=FOLD_PARTITION_ROWS)
+        m = fit(kind, f.filter(F.col("fold") != k), cols, p)
         r = predict(m, f.filter(F.col("fold") == k)).agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a")).first()
         return float(r["a"])
 
+    # The pool size is bounded by frames x folds, not by the data.
     tasks = [(name, k) for name in frames for k in range(p.n_folds)]
-    # Each fit of a small frame is a chain of small jobs (latency-bound), so by default every fit runs at
-    # once; fits of several partitions run as many at a time as fill the cores three times, since each
-    # keeps its rows cached. The pool size is bounded by frames x folds, not by the data.
-    parts = max(fit_partitions(f.count(), cores, FOLD_PARTITION_ROWS) for f in folded.values()) if kind == "GBT" else 1
-    at_once = len(tasks) if parts == 1 else min(len(tasks), math.ceil(3 * cores / parts))
-    with ThreadPoolExecutor(max_workers=max(1, parallelism or at_once)) as pool:
+    with ThreadPoolExecutor(max_workers=max(1, parallelism or len(tasks))) as pool:
         scores = dict(zip(tasks, pool.map(one, tasks), strict=True))
     return {name: [scores[(name, k)] for k in range(p.n_folds)] for name in frames}
 
